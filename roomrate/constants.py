@@ -155,3 +155,27 @@ def request_fields() -> list[tuple[str, str, object]]:
     """(name, type, default) for every model feature of a score request, in training order."""
     amen = [(a, "int", 1 if a in AMENITY_DEFAULT_ON else 0) for a in REQUEST_AMENITIES]
     return list(REQUEST_SCALAR_DEFAULTS) + amen + list(REQUEST_TAIL_DEFAULTS)
+
+# ---------------------------------------------------------------------------
+# FIXED VALUES — listing columns pruned right after the read (production job), in order
+# ---------------------------------------------------------------------------
+LISTING_PRUNE_COLUMNS = (
+    "listing_url scrape_id last_scraped name space experiences_offered neighborhood_overview notes transit access "
+    "interaction house_rules thumbnail_url medium_url picture_url xl_picture_url host_id host_url host_name "
+    "host_location host_about host_response_time host_response_rate host_acceptance_rate host_since "
+    "host_listings_count host_total_listings_count host_verifications host_thumbnail_url host_picture_url "
+    "host_has_profile_pic host_identity_verified host_neighbourhood street neighbourhood city state zipcode market "
+    "smart_location country_code country is_location_exact instant_bookable is_business_travel_ready license "
+    "jurisdiction_names review_scores_value requires_license review_scores_communication bed_type weekly_price "
+    "monthly_price security_deposit guests_included minimum_minimum_nights maximum_minimum_nights "
+    "minimum_maximum_nights maximum_maximum_nights calendar_updated has_availability calendar_last_scraped "
+    "number_of_reviews_ltm first_review last_review review_scores_accuracy review_scores_cleanliness "
+    "review_scores_checkin review_scores_location cancellation_policy require_guest_profile_picture "
+    "require_guest_phone_verification calculated_host_listings_count calculated_host_listings_count_entire_homes "
+    "calculated_host_listings_count_private_rooms calculated_host_listings_count_shared_rooms cleaning_fee "
+    "extra_people square_feet property_type minimum_nights_avg_ntm maximum_nights_avg_ntm price minimum_nights "
+    "maximum_nights availability_30 availability_60 availability_90 availability_365 review_scores_rating "
+    "number_of_reviews reviews_per_month summary neighbourhood_cleansed neighbourhood_group_cleansed"
+).split()
+# Columns removed from the merged table before profiling/training
+MERGE_DROP_COLUMNS = ("id", "room_type", "description", "amenities")

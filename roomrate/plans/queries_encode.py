@@ -1,3 +1,206 @@
-"""Registered queries."""
+"""Registered queries: de-duplication, encoding, imputation, neighbour fill, band join."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from roomrate import constants as K
+from roomrate.functions.bins import right_closed_bin
+from roomrate.functions.text import amenity_token_set
+from roomrate.operators.dedupe import keep_first
+from roomrate.operators.encode import category_codes, mean_fill, multi_hot, vocabulary
+from roomrate.operators.neighbours import band_pairs, neighbour_fill
+from roomrate.plans import listings as C2
+from roomrate.plans.common import CAL_CTE, calendar, listings, lst_cte, r, round_doubles, tables
+from roomrate.plans.registry import register
+from roomrate.plans.sqltext import amenity_norm_sql, amenity_rename_sql, naive_fill_sql, q
+from roomrate.sources.bindings import CALENDAR_ORDER, inject_null
+
+HALF = K.NEIGHBOUR_LAT_HALF_WIDTH
+
+
+# E1 keep-first on (latitude, longitude)
+@register("listing_dedupe_latlon", f"""
+WITH {lst_cte()},
+d AS (SELECT *, row_number() OVER (PARTITION BY latitude, longitude ORDER BY id) AS rn FROM lst)
+SELECT id, latitude, longitude, description, room_type FROM d WHERE rn = 1
+""")
+def q_listing_dedupe(spark, sf_dir):
+    df = listings(spark, sf_dir)
+    return keep_first(df, ["latitude", "longitude"], ["id"], values=["id", "description", "room_type"]).select(
+        "id", "latitude", "longitude", "description", "room_type")
+
+
+# E2 keep-first on (listing, day)
+@register("calendar_dedupe_listing_day", f"""
+WITH {CAL_CTE},
+d AS (SELECT listing_id, CAST(date AS DATE) AS date, available, adjusted_price, minimum_nights,
+             row_number() OVER (PARTITION BY listing_id, CAST(date AS DATE) ORDER BY l_orderkey, l_linenumber, l_suppkey) AS rn
+      FROM cal)
+SELECT listing_id, date, available, adjusted_price, minimum_nights FROM d WHERE rn = 1
+""")
+def q_calendar_dedupe(spark, sf_dir):
+    cal = calendar(spark, sf_dir).withColumn("date", F.to_date("date"))
+    return keep_first(cal, ["listing_id", "date"], CALENDAR_ORDER,
+                      values=["available", "adjusted_price", "minimum_nights"])
+
+
+# E3 + E4 multi-hot with data vocabulary; flags folded back into a sorted '|' list to compare
+@register("amenity_multi_hot", f"""
+WITH {lst_cte(False)},
+t AS (SELECT id, unnest(string_split({amenity_norm_sql('amenities')}, ',')) AS tok FROM lst),
+u AS (SELECT DISTINCT id, {amenity_rename_sql('tok')} AS tok FROM t WHERE tok <> '')
+SELECT id, CAST(count(*) AS INTEGER) AS n_flags, string_agg(tok, '|' ORDER BY tok) AS flags
+FROM u GROUP BY id
+""")
+def q_amenity_multi_hot(spark, sf_dir):
+    df = listings(spark, sf_dir, with_nulls=False).select("id", amenity_token_set("amenities").alias("tokens"))
+    vocab = vocabulary(df, "tokens")
+    wide = multi_hot(df, "tokens", vocab)
+    on = F.filter(F.array(*[F.when(F.col(v) == 1, F.lit(v)) for v in vocab]), lambda x: x.isNotNull())
+    return wide.select("id", sum((F.col(v) for v in vocab), F.lit(0)).cast("int").alias("n_flags"),
+                       F.array_join(on, "|").alias("flags"))
+
+
+@register("amenity_vocabulary", f"""
+WITH {lst_cte(False)},
+t AS (SELECT id, unnest(string_split({amenity_norm_sql('amenities')}, ',')) AS tok FROM lst),
+u AS (SELECT DISTINCT id, {amenity_rename_sql('tok')} AS tok FROM t WHERE tok <> '')
+SELECT tok AS token, count(*) AS n_listings FROM u GROUP BY tok
+""")
+def q_amenity_vocabulary(spark, sf_dir):
+    df = listings(spark, sf_dir, with_nulls=False).select("id", F.explode(amenity_token_set("amenities")).alias("token"))
+    return df.groupBy("token").agg(F.count(F.lit(1)).alias("n_listings"))
+
+
+# E5 ordinal codes
+@register("brand_codes", """
+SELECT p_partkey, p_brand, CAST(dense_rank() OVER (ORDER BY p_brand) - 1 AS INTEGER) AS p_brand_code FROM part
+""")
+def q_brand_codes(spark, sf_dir):
+    return category_codes(tables(spark, sf_dir).part.select("p_partkey", "p_brand"), "p_brand")
+
+
+# E6 right-closed bins (prices on a 10-step grid so bin edges and <= 0 occur)
+_BIN_PRICE_SQL = "floor(l_extendedprice / 2000) * 10 - 10"
+
+
+def _bins_sql() -> str:
+    edges = K.PRICE_BIN_EDGES
+    whens = " ".join(f"WHEN price <= {edges[i]} THEN {i - 1}" for i in range(1, len(edges)))
+    return f"""
+SELECT l_orderkey, l_linenumber, price,
+       CAST(CASE WHEN price IS NULL OR price <= {edges[0]} THEN NULL {whens} ELSE {len(edges) - 1} END AS INTEGER) AS price_bin
+FROM (SELECT l_orderkey, l_linenumber, CAST({_BIN_PRICE_SQL} AS DOUBLE) AS price FROM lineitem)
+"""
+
+
+@register("price_bins", _bins_sql())
+def q_price_bins(spark, sf_dir):
+    li = tables(spark, sf_dir).lineitem
+    price = (F.floor(F.col("l_extendedprice") / 2000) * 10 - 10).cast("double")
+    return li.select("l_orderkey", "l_linenumber", price.alias("price")).withColumn(
+        "price_bin", right_closed_bin("price"))
+
+
+# E7 global-mean fill
+@register("mean_fill", """
+WITH p AS (SELECT p_partkey, CASE WHEN p_partkey % 10 = 0 THEN NULL ELSE p_retailprice END AS x FROM part)
+SELECT p_partkey, round(coalesce(x, (SELECT avg(x) FROM p)), 6) AS x FROM p
+""")
+def q_mean_fill(spark, sf_dir):
+    p = tables(spark, sf_dir).part
+    df = p.select("p_partkey", inject_null(F.col("p_retailprice"), F.col("p_partkey"), 0).alias("x"))
+    return round_doubles(mean_fill(df, ["x"]))
+
+
+# E8 neighbour fill, rounded half-even
+@register("neighbour_fill_rooms", f"""
+WITH {lst_cte()},
+f AS ({naive_fill_sql('lst', K.LISTING_FILL_COLUMNS, True)})
+SELECT id, bathrooms, bedrooms, beds FROM f
+""")
+def q_neighbour_fill_rooms(spark, sf_dir):
+    df = listings(spark, sf_dir)
+    return neighbour_fill(df, K.LISTING_FILL_COLUMNS, round_result=True).select("id", "bathrooms", "bedrooms", "beds")
+
+
+# E9 neighbour fill, unrounded; and the notebook variant where 0 also counts as missing
+def _priced_listings(spark, sf_dir, zeros: bool):
+    df = listings(spark, sf_dir)
+    x = inject_null(F.col("review_scores_rating"), F.col("id"), 4)
+    if zeros:
+        x = F.when(F.pmod(F.col("id"), F.lit(10)) == 6, F.lit(0.0)).otherwise(x)
+    return df.withColumn("price_year_avg", x).withColumn("price_winter_avg", F.col("bedrooms") * 10)
+
+
+_PRICED_SQL = (f"SELECT *, CASE WHEN id % 10 = 4 THEN NULL ELSE review_scores_rating END AS price_year_avg, "
+               f"bedrooms * 10 AS price_winter_avg FROM lst")
+_PRICED_ZERO_SQL = (f"SELECT *, CASE WHEN id % 10 = 6 THEN 0.0 WHEN id % 10 = 4 THEN NULL ELSE review_scores_rating END "
+                    f"AS price_year_avg, bedrooms * 10 AS price_winter_avg FROM lst")
+
+
+@register("neighbour_fill_prices", f"""
+WITH {lst_cte()}, pr AS ({_PRICED_SQL}),
+f AS ({naive_fill_sql('pr', ['price_year_avg', 'price_winter_avg'], False)})
+SELECT id, {r('price_year_avg')}, {r('price_winter_avg')} FROM f
+""")
+def q_neighbour_fill_prices(spark, sf_dir):
+    df = _priced_listings(spark, sf_dir, zeros=False)
+    out = neighbour_fill(df, ["price_year_avg", "price_winter_avg"], round_result=False)
+    return round_doubles(out.select("id", "price_year_avg", "price_winter_avg"))
+
+
+@register("neighbour_fill_prices_zero_missing", f"""
+WITH {lst_cte()}, pr AS ({_PRICED_ZERO_SQL}),
+f AS ({naive_fill_sql('pr', ['price_year_avg'], False, zero_is_missing=True)})
+SELECT id, {r('price_year_avg')} FROM f
+""")
+def q_neighbour_fill_prices_zero(spark, sf_dir):
+    df = _priced_listings(spark, sf_dir, zeros=True)
+    out = neighbour_fill(df, ["price_year_avg"], round_result=False, zero_is_missing=True)
+    return round_doubles(out.select("id", "price_year_avg"))
+
+
+# J5 band (range) self-join: neighbours per listing inside the open box, same room type
+@register("band_join_neighbours", f"""
+WITH {lst_cte(False)}
+SELECT a.id, count(*) AS n_neighbours, {r('avg(b.review_scores_rating)', 'mean_rating')}
+FROM lst a JOIN lst b ON a.room_type = b.room_type
+ AND b.latitude > a.latitude - {HALF} AND b.latitude < a.latitude + {HALF}
+ AND b.longitude > a.longitude - {HALF} AND b.longitude < a.longitude + {HALF}
+GROUP BY a.id
+""")
+def q_band_join(spark, sf_dir):
+    df = listings(spark, sf_dir, with_nulls=False).select("id", "room_type", "latitude", "longitude",
+                                                         "review_scores_rating")
+    pairs = band_pairs(df, df, "room_type", "latitude", "longitude", HALF, HALF)
+    return round_doubles(pairs.groupBy("id").agg(F.count(F.lit(1)).alias("n_neighbours"),
+                                                 F.avg("r_review_scores_rating").alias("mean_rating")))
+
+
+# C2 listing features (wide multi-hot; DuckDB PIVOT builds the same data-dependent columns)
+def _listing_features_sql() -> str:
+    # DuckDB's dynamic PIVOT cannot see CTEs, so the sources are nested subqueries
+    from roomrate.sources.bindings import listings_sql
+    f_sql = f"""(SELECT id, description, CASE WHEN host_is_superhost = 't' THEN 1 ELSE 0 END AS host_is_superhost,
+             latitude, longitude, room_type, accommodates, bathrooms, bedrooms, beds,
+             CASE WHEN room_type = {q(K.HOME_ROOM_TYPE)} THEN 1 ELSE 0 END AS entire_home_apt, amenities
+      FROM (SELECT *, row_number() OVER (PARTITION BY latitude, longitude ORDER BY id) AS rn
+            FROM (SELECT * EXCLUDE (neighbourhood, review_scores_rating) FROM ({listings_sql()}) lst) p) d
+      WHERE rn = 1 AND description IS NOT NULL
+        AND room_type IN ({', '.join(q(x) for x in K.KEPT_ROOM_TYPES)})
+        AND bedrooms <= {K.LISTING_CAPS['bedrooms']} AND beds <= {K.LISTING_CAPS['beds']}
+        AND bathrooms <= {K.LISTING_CAPS['bathrooms']})"""
+    u_sql = f"""(SELECT DISTINCT id, {amenity_rename_sql('tok')} AS tok
+      FROM (SELECT id, unnest(string_split({amenity_norm_sql('amenities')}, ',')) AS tok FROM {f_sql} f0) t
+      WHERE tok <> '')"""
+    return f"""
+SELECT f.* EXCLUDE (amenities), pv.* EXCLUDE (id)
+FROM {f_sql} f JOIN (PIVOT {u_sql} ON tok USING CAST(count(*) AS INTEGER) GROUP BY id) pv USING (id)
+"""
+
+
+@register("listing_features", _listing_features_sql())
+def q_listing_features(spark, sf_dir):
+    return C2.listing_features(listings(spark, sf_dir))

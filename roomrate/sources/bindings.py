@@ -39,8 +39,19 @@ CALENDAR_ORDER = ("l_orderkey", "l_linenumber", "l_suppkey")
 CALENDAR_PRICE_SCALE = 200  # l_extendedprice / 200 -> nightly price
 
 
+def _price_text(extendedprice: Column) -> Column:
+    """'$1,234.56'-style text of extendedprice / 200, built with integer arithmetic
+    (cents truncated) — exact in every engine and far cheaper than format_number."""
+    cents = F.floor(F.round(extendedprice * 100) / CALENDAR_PRICE_SCALE).cast("bigint")
+    dollars = F.floor(cents / 100).cast("bigint")
+    grouped = F.when(dollars >= 1000, F.concat(F.floor(dollars / 1000).cast("bigint").cast("string"), F.lit(","),
+                                               F.lpad(F.pmod(dollars, F.lit(1000)).cast("string"), 3, "0"))
+                     ).otherwise(dollars.cast("string"))
+    return F.concat(F.lit("$"), grouped, F.lit("."), F.lpad(F.pmod(cents, F.lit(100)).cast("string"), 2, "0"))
+
+
 def calendar_from_lineitem(lineitem: DataFrame) -> DataFrame:
-    price_text = F.concat(F.lit("$"), F.format_number(F.col("l_extendedprice") / CALENDAR_PRICE_SCALE, 2))
+    price_text = _price_text(F.col("l_extendedprice"))
     return lineitem.select(
         F.col("l_partkey").alias("listing_id"),
         F.col("l_shipdate").alias("date"),
@@ -52,12 +63,20 @@ def calendar_from_lineitem(lineitem: DataFrame) -> DataFrame:
     )
 
 
+CENTS_SQL = f"CAST(floor(round(l_extendedprice * 100) / {CALENDAR_PRICE_SCALE}) AS BIGINT)"
+DOLLARS_SQL = f"CAST(floor({CENTS_SQL} / 100) AS BIGINT)"
+PRICE_TEXT_SQL = (
+    f"'$' || CASE WHEN {DOLLARS_SQL} >= 1000 THEN CAST(CAST(floor({DOLLARS_SQL} / 1000) AS BIGINT) AS VARCHAR) || ',' "
+    f"|| lpad(CAST({DOLLARS_SQL} % 1000 AS VARCHAR), 3, '0') ELSE CAST({DOLLARS_SQL} AS VARCHAR) END "
+    f"|| '.' || lpad(CAST({CENTS_SQL} % 100 AS VARCHAR), 2, '0')"
+)
+
 CALENDAR_SQL = f"""
 SELECT l_partkey AS listing_id,
        l_shipdate AS date,
        CASE WHEN l_returnflag = 'A' THEN 't' ELSE 'f' END AS available,
-       '$' || format('{{:,.2f}}', l_extendedprice / {CALENDAR_PRICE_SCALE}) AS price,
-       '$' || format('{{:,.2f}}', l_extendedprice / {CALENDAR_PRICE_SCALE}) AS adjusted_price,
+       {PRICE_TEXT_SQL} AS price,
+       {PRICE_TEXT_SQL} AS adjusted_price,
        l_quantity AS minimum_nights,
        l_orderkey, l_linenumber, l_suppkey
 FROM lineitem
