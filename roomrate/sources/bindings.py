@@ -169,4 +169,22 @@ def descriptions_from_documents(documents: DataFrame) -> DataFrame:
 
 
 def requests_from_events(events: DataFrame) -> DataFrame:
-    return events.select(F.col("event_id").alias("request_id"), F.col("props").alias("body"))
+    """Score requests from `events.props` ({"k": n}): k becomes `accommodates`; one event in ten
+    carries a badly typed field ({"bedrooms": "x<n>"}) and one in ten is not valid JSON."""
+    props, eid = F.col("props"), F.col("event_id")
+    badly_typed = F.replace(F.replace(props, F.lit('"k": '), F.lit('"bedrooms": "x')), F.lit("}"), F.lit('"}'))
+    body = (F.when(F.pmod(eid, F.lit(10)) == 0, badly_typed)
+            .when(F.pmod(eid, F.lit(10)) == 5, F.replace(props, F.lit("}"), F.lit("")))
+            .otherwise(F.replace(props, F.lit('"k"'), F.lit('"accommodates"'))))
+    return events.select(eid.alias("request_id"), body.alias("body"),
+                         F.col("event_type").alias("description"))
+
+
+REQUESTS_SQL = """
+SELECT event_id AS request_id,
+       CASE WHEN event_id % 10 = 0 THEN replace(replace(props, '"k": ', '"bedrooms": "x'), '}', '"}')
+            WHEN event_id % 10 = 5 THEN replace(props, '}', '')
+            ELSE replace(props, '"k"', '"accommodates"') END AS body,
+       event_type AS description
+FROM events
+"""
