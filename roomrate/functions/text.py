@@ -7,7 +7,6 @@ higher-order array functions), so whole texts are processed JVM-side.
 from __future__ import annotations
 
 import string
-from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -65,32 +64,41 @@ def word_tokens(x) -> Column:
                       F.array().cast("array<string>"))
 
 
+def gram_arrays(tokens, n: int) -> Column:
+    """array of tokens -> array of n-token arrays, built from n shifted slices zipped together.
+
+    No lambda refers back to `tokens`, so even if the optimizer inlines the token
+    expression (e.g. into the filter it infers for explode) it is evaluated a fixed
+    number of times per row, never once per gram."""
+    t = _c(tokens)
+    m = F.size(t) - F.lit(n - 1)
+    zipped = F.arrays_zip(*[F.slice(t, k + 1, m).alias(f"w{k}") for k in range(n)])
+    grams = F.transform(zipped, lambda z: F.array(*[z[f"w{k}"] for k in range(n)]))
+    return F.when(F.size(t) >= F.lit(n), grams).otherwise(F.array().cast("array<array<string>>"))
+
+
 def ngrams(tokens, n: int) -> Column:
     """array of tokens -> array of space-joined n-grams (empty when fewer than n tokens)."""
-    t = _c(tokens)
-    grams = F.transform(F.sequence(F.lit(0), F.size(t) - F.lit(n)),
-                        lambda i: F.array_join(F.slice(t, i + 1, n), " "))
-    return F.when(F.size(t) >= F.lit(n), grams).otherwise(F.array().cast("array<string>"))
+    return F.transform(gram_arrays(tokens, n), lambda g: F.array_join(g, " "))
 
 
-@lru_cache(maxsize=1)
 def default_stop_words() -> tuple[str, ...]:
-    """English stop words shipped with Spark ML (needs an active JVM)."""
-    from pyspark.ml.feature import StopWordsRemover
+    """English stop words (the list shipped with Spark ML, kept as a fixed value)."""
+    return tuple(K.ENGLISH_STOP_WORDS)
+
 
-    return tuple(StopWordsRemover.loadDefaultStopWords("english"))
+def drop_stop_grams(grams, stop_words=None) -> Column:
+    """Keep n-token arrays holding no stop word, joined with spaces."""
+    stop = F.array(*[F.lit(w) for w in (stop_words or default_stop_words())])
+    kept = F.filter(_c(grams), lambda g: ~F.exists(g, lambda w: F.array_contains(stop, w)))
+    return F.transform(kept, lambda g: F.array_join(g, " "))
 
 
 def filtered_ngrams(x, n: int, stop_words=None) -> Column:
     """Text -> n-grams, then drop every gram holding a stop word.
 
     Grams are formed first and filtered after, so no gram bridges a removed word."""
-    stop = F.array(*[F.lit(w) for w in (stop_words or default_stop_words())])
-    grams = F.transform(F.sequence(F.lit(0), F.size(word_tokens(x)) - F.lit(n)),
-                        lambda i: F.slice(word_tokens(x), i + 1, n))
-    kept = F.filter(grams, lambda g: ~F.exists(g, lambda w: F.array_contains(stop, w)))
-    joined = F.transform(kept, lambda g: F.array_join(g, " "))
-    return F.when(F.size(word_tokens(x)) >= F.lit(n), joined).otherwise(F.array().cast("array<string>"))
+    return drop_stop_grams(gram_arrays(word_tokens(x), n), stop_words)
 
 
 def clean_tokens(x, stop_words=None, extra=K.EXTRA_STOP_WORDS) -> Column:

@@ -1,3 +1,83 @@
-"""Registered queries."""
+"""Registered queries: n-grams, gram flags, clean tokens (X1-X3) over whole documents."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from roomrate import constants as K
+from roomrate.functions.text import clean_tokens, drop_stop_grams, gram_arrays, gram_vocabulary_hits, word_tokens
+from roomrate.plans.common import tables
+from roomrate.plans.registry import register
+from roomrate.plans.sqltext import stop_words_sql
+
+_STOP = stop_words_sql(K.ENGLISH_STOP_WORDS)
+_TOKENS_SQL = r"regexp_extract_all(regexp_replace(lower(text), '\d+', '', 'g'), '\p{L}+')"
+_POS_SQL = f"""
+t AS (SELECT doc_id, {_TOKENS_SQL} AS toks FROM documents),
+w AS (SELECT doc_id, unnest(toks) AS w, generate_subscripts(toks, 1) AS pos FROM t)"""
+
+
+def _doc_tokens(spark, sf_dir):
+    """(doc_id, tokens) — tokens computed once per document."""
+    return tables(spark, sf_dir).documents.select("doc_id", word_tokens("text").alias("tokens"))
+
+
+def _grams(tokens_df, n: int):
+    return tokens_df.select("doc_id", drop_stop_grams(gram_arrays("tokens", n)).alias("grams"))
+
+
+@register("summary_bigrams", f"""
+WITH {_POS_SQL}
+SELECT a.w || ' ' || b.w AS gram, count(*) AS n FROM w a JOIN w b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1
+WHERE NOT list_contains({_STOP}, a.w) AND NOT list_contains({_STOP}, b.w)
+GROUP BY 1
+""")
+def q_bigrams(spark, sf_dir):
+    """X1 (n=2): grams formed first, then any gram holding a stop word is dropped."""
+    g = _grams(_doc_tokens(spark, sf_dir), 2)
+    return g.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("summary_trigrams", f"""
+WITH {_POS_SQL}
+SELECT a.w || ' ' || b.w || ' ' || c.w AS gram, count(*) AS n
+FROM w a JOIN w b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 JOIN w c ON c.doc_id = a.doc_id AND c.pos = a.pos + 2
+WHERE NOT list_contains({_STOP}, a.w) AND NOT list_contains({_STOP}, b.w) AND NOT list_contains({_STOP}, c.w)
+GROUP BY 1
+""")
+def q_trigrams(spark, sf_dir):
+    """X1 (n=3)."""
+    g = _grams(_doc_tokens(spark, sf_dir), 3)
+    return g.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+
+
+_VOCAB_SQL = "[" + ", ".join(f"'{v}'" for v in K.REQUEST_AMENITIES) + "]"
+
+
+@register("gram_amenity_hits", f"""
+WITH {_POS_SQL},
+g AS (SELECT a.doc_id, a.w AS w1, b.w AS w2 FROM w a JOIN w b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1
+      WHERE NOT list_contains({_STOP}, a.w) AND NOT list_contains({_STOP}, b.w)),
+h AS (SELECT doc_id, w1 || '_' || w2 AS hit FROM g UNION SELECT doc_id, w1 FROM g UNION SELECT doc_id, w2 FROM g)
+SELECT d.doc_id, CAST(count(h.hit) AS INTEGER) AS n_hits, coalesce(string_agg(h.hit, '|' ORDER BY h.hit), '') AS hits
+FROM documents d LEFT JOIN (SELECT * FROM h WHERE list_contains({_VOCAB_SQL}, hit)) h ON d.doc_id = h.doc_id
+GROUP BY d.doc_id
+""")
+def q_gram_hits(spark, sf_dir):
+    """X2 with sub-gram matching: bigram (joined by '_') or either word is a known amenity token."""
+    g = _grams(_doc_tokens(spark, sf_dir), 2)
+    hits = F.array_sort(gram_vocabulary_hits("grams", K.REQUEST_AMENITIES, match_subgram=True))
+    return g.select("doc_id", F.size(hits).alias("n_hits"), F.array_join(hits, "|").alias("hits"))
+
+
+_CLEAN_STOP = stop_words_sql(list(K.ENGLISH_STOP_WORDS) + list(K.EXTRA_STOP_WORDS))
+
+
+@register("clean_token_counts", f"""
+WITH {_POS_SQL}
+SELECT w AS token, count(*) AS n FROM w WHERE NOT list_contains({_CLEAN_STOP}, w) GROUP BY 1
+""")
+def q_clean_tokens(spark, sf_dir):
+    """Digit-free lower-case tokens minus stop words and the extra list (no lemmas)."""
+    d = tables(spark, sf_dir).documents.select(F.explode(clean_tokens("text")).alias("token"))
+    return d.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
