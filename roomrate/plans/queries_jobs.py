@@ -68,3 +68,57 @@ def q_calendar_features_extended(spark, sf_dir):
 def q_calendar_period_averages(spark, sf_dir):
     """A1 + A2: yearly and seasonal means per listing before the outlier band."""
     return round_doubles(C1.calendar_features(calendar(spark, sf_dir), CALENDAR_ORDER, drop_outliers=False))
+
+
+# ---------------------------------------------------------------------------
+# C3 merged features, A5 default profile
+# ---------------------------------------------------------------------------
+def merged_table(spark, sf_dir):
+    """C2 ⋈ C1 + price fill, identifiers still present (id, room_type, description)."""
+    from roomrate.plans import listings as C2
+    from roomrate.plans import merge as C3
+    from roomrate.plans.common import listings
+
+    lf = C2.listing_features(listings(spark, sf_dir))
+    cf = C1.calendar_features(calendar(spark, sf_dir), CALENDAR_ORDER)
+    return C3.merge_features(lf, cf)
+
+
+def _merged_sql() -> str:
+    from roomrate.plans.queries_encode import _listing_features_sql
+    from roomrate.plans.sqltext import naive_fill_sql
+
+    return f"""
+WITH l AS ({_listing_features_sql()}),
+c AS ({_calendar_features_sql(K.PERIODS_PRODUCTION)}),
+m AS (SELECT l.*, c.* EXCLUDE (listing_id) FROM l JOIN c ON l.id = c.listing_id),
+f AS ({naive_fill_sql('m', K.PRICE_FILL_COLUMNS, False)})"""
+
+
+@register("merged_features", _merged_sql() + f"""
+SELECT * EXCLUDE ({', '.join(K.MERGE_DROP_COLUMNS[:3])}) REPLACE ({', '.join(r(c) for c in K.PRICE_FILL_COLUMNS)}) FROM f
+""")
+def q_merged_features(spark, sf_dir):
+    """C3 (J1 J2 E9 P1): merged feature table without the text-model column."""
+    from roomrate.plans import merge as C3
+
+    return round_doubles(C3.final_features(merged_table(spark, sf_dir)))
+
+
+def _profile_sql() -> str:
+    unr = ", ".join(f"'{c}'" for c in K.PROFILE_UNROUNDED)
+    excl = ", ".join(f"'{c}'" for c in K.PROFILE_EXCLUDED)
+    return _merged_sql() + f""",
+g AS (SELECT * EXCLUDE ({', '.join(K.MERGE_DROP_COLUMNS[:3])}) FROM f)
+SELECT round_even(avg(COLUMNS(lambda c: c NOT IN ({unr}) AND c NOT IN ({excl}))), 0),
+       round(avg(COLUMNS(lambda c: c IN ({unr}))), 6)
+FROM g
+"""
+
+
+@register("default_profile", _profile_sql())
+def q_default_profile(spark, sf_dir):
+    """A5 (+ S3 payload): means of the merged features, half-even rounded except four columns."""
+    from roomrate.plans import merge as C3
+
+    return round_doubles(C3.profile_defaults(C3.final_features(merged_table(spark, sf_dir))))

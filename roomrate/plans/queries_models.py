@@ -1,3 +1,213 @@
-"""Registered queries."""
+"""Registered queries: splits, metrics, feature scoring and models.
+
+Split/metric/F-test queries have DuckDB twins. Fitted-model outputs are
+checked rows-only (Spark ML trees/logistic regression are not the source's
+libraries; parity is by metric, see tests). Iteration counts in these
+registered queries are reduced (the defaults stay those of the source).
+"""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from roomrate import constants as K
+from roomrate.functions.bins import right_closed_bin
+from roomrate.operators import metrics as M
+from roomrate.operators import models as ML
+from roomrate.operators import split as SP
+from roomrate.plans.common import r, round_doubles, tables
+from roomrate.plans.queries_scalar import listing_segments
+from roomrate.plans.registry import register
+
+_ROW_KEY = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_key")
+_ROW_KEY_SQL = "l_orderkey * 10 + l_linenumber"
+_MD5 = f"md5(CAST({_ROW_KEY_SQL} AS VARCHAR))"
+
+
+@register("hash_split", f"SELECT {_ROW_KEY_SQL} AS row_key, substr({_MD5}, 1, 1) < '4' AS is_test FROM lineitem")
+def q_hash_split(spark, sf_dir):
+    """M1: 75/25 split by md5 of the row key."""
+    return SP.hash_split(tables(spark, sf_dir).lineitem.select(_ROW_KEY), "row_key")
+
+
+@register("kfold_sizes", f"""
+SELECT CAST(('0x' || substr({_MD5}, 1, 13))::BIGINT % 5 AS INTEGER) AS fold, count(*) AS n FROM lineitem GROUP BY 1
+""")
+def q_kfold(spark, sf_dir):
+    """Fold sizes of a 5-fold key-hash assignment."""
+    f = SP.kfold(tables(spark, sf_dir).lineitem.select(_ROW_KEY), "row_key", 5)
+    return f.groupBy("fold").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _bin_sql(x: str) -> str:
+    edges = K.PRICE_BIN_EDGES
+    whens = " ".join(f"WHEN {x} <= {edges[i]} THEN {i - 1}" for i in range(1, len(edges)))
+    return f"CAST(CASE WHEN {x} IS NULL OR {x} <= {edges[0]} THEN NULL {whens} ELSE {len(edges) - 1} END AS INTEGER)"
+
+
+@register("stratified_split", f"""
+WITH b AS (SELECT {_ROW_KEY_SQL} AS row_key, {_bin_sql('l_extendedprice / 200')} AS price_bin FROM lineitem),
+k AS (SELECT row_key, price_bin,
+             row_number() OVER (PARTITION BY price_bin ORDER BY substr(md5(CAST(row_key AS VARCHAR)), 1, 13), row_key) AS rn,
+             count(*) OVER (PARTITION BY price_bin) AS n FROM b WHERE price_bin IS NOT NULL),
+c AS (SELECT *, CAST(ceil(0.4 * n) AS BIGINT) AS holdout FROM k)
+SELECT row_key, price_bin,
+       CASE WHEN rn <= n - holdout THEN 'train' WHEN rn <= n - CAST(ceil(0.5 * holdout) AS BIGINT) THEN 'val'
+            ELSE 'test' END AS part
+FROM c
+""")
+def q_stratified(spark, sf_dir):
+    """M2: exact 60/20/20 per price bin without a window over a whole label."""
+    li = tables(spark, sf_dir).lineitem.select(_ROW_KEY, right_closed_bin(F.col("l_extendedprice") / 200).alias("price_bin"))
+    return SP.stratified_split(li.where(F.col("price_bin").isNotNull()), "row_key", "price_bin", K.STRATIFIED_SHARES)
+
+
+@register("regression_metrics", f"""
+SELECT l_returnflag, count(*) AS n,
+  {r('1 - sum(power(l_extendedprice - l_extendedprice * (1 - l_discount), 2)) / (var_pop(l_extendedprice) * count(l_extendedprice))', 'r2')},
+  {r('avg(abs(l_extendedprice - l_extendedprice * (1 - l_discount)))', 'mae')}
+FROM lineitem GROUP BY l_returnflag
+""")
+def q_reg_metrics(spark, sf_dir):
+    """M9: R^2 and MAE per segment of a stand-in prediction."""
+    li = tables(spark, sf_dir).lineitem.withColumn("pred", F.col("l_extendedprice") * (1 - F.col("l_discount")))
+    return round_doubles(M.regression_metrics(li, "l_extendedprice", "pred", by=["l_returnflag"]))
+
+
+@register("classification_metrics", f"""
+WITH j AS (SELECT l.quality, CASE WHEN d.n_chars > 3000 THEN 1 ELSE 0 END AS pred FROM documents d JOIN labels l USING (doc_id))
+SELECT count(*) AS n, {r('avg(CASE WHEN pred = quality THEN 1.0 ELSE 0.0 END)', 'accuracy')},
+       {r('-avg(ln(CASE WHEN pred = quality THEN 0.8 ELSE 0.2 END))', 'log_loss')} FROM j
+""")
+def q_cls_metrics(spark, sf_dir):
+    """Accuracy and log-loss of a stand-in classifier."""
+    t = tables(spark, sf_dir)
+    j = t.documents.join(t.labels, "doc_id").select(
+        "quality", F.when(F.col("n_chars") > 3000, 1).otherwise(0).alias("pred"))
+    j = j.withColumn("p_label", F.when(F.col("pred") == F.col("quality"), 0.8).otherwise(0.2))
+    return round_doubles(M.classification_metrics(j, "quality", "pred", "p_label"))
+
+
+_F_FEATURES = ("l_quantity", "l_discount", "l_tax", "l_linenumber", "l_suppkey")
+
+
+@register("f_test_top_k", "SELECT * FROM (" + " UNION ALL ".join(
+    f"SELECT '{f}' AS feature, {r(f'corr({f}, l_extendedprice)', 'r')}, count(*) AS n, "
+    f"{r(f'power(corr({f}, l_extendedprice), 2) / (1 - power(corr({f}, l_extendedprice), 2)) * (count(*) - 2)', 'f_score')} "
+    f"FROM lineitem" for f in _F_FEATURES) + ") ORDER BY f_score DESC, feature LIMIT 3")
+def q_ftest(spark, sf_dir):
+    """Univariate F scores, best 3."""
+    scores = M.f_regression_scores(tables(spark, sf_dir).lineitem, _F_FEATURES, "l_extendedprice")
+    return round_doubles(M.top_k_features(scores, 3).select("feature", "r", "n", "f_score"))
+
+
+@register("linear_one_feature", f"""
+SELECT {r('regr_slope(l_extendedprice, l_quantity)', 'slope')}, {r('regr_intercept(l_extendedprice, l_quantity)', 'intercept')}
+FROM lineitem
+""")
+def q_linear_one(spark, sf_dir):
+    """M4 (one feature, checkable): OLS coefficients equal regr_slope / regr_intercept."""
+    model = ML.fit_regression(tables(spark, sf_dir).lineitem, ["l_quantity"], "l_extendedprice", "lr", solver="normal")
+    lr = model.stages[-1]
+    return round_doubles(spark.createDataFrame([(float(lr.coefficients[0]), float(lr.intercept))],
+                                               "slope double, intercept double"))
+
+
+# ----------------------------------------------------------------------------------------------
+# fitted models over the merged feature table (rows-only)
+# ----------------------------------------------------------------------------------------------
+def _merged(spark, sf_dir):
+    from roomrate.plans.queries_jobs import merged_table
+
+    return merged_table(spark, sf_dir)
+
+
+def model_features(df) -> list[str]:
+    """Numeric features of the merged table minus all period columns, with the yearly
+    availability / minimum-nights averages re-appended last (the production combo)."""
+    combo = K.PERIOD_COMBOS[0]
+    period = {c for c in df.columns if c.endswith("_avg")}
+    base = [c for c, t in df.dtypes if t in ("int", "bigint", "double") and c not in period and c != "id"]
+    return base + list(combo[:2])
+
+
+@register("gbt_price_model")
+def q_gbt(spark, sf_dir):
+    """M3: gradient-boosted trees on the 75 % split, predictions on the 25 % hold-out."""
+    df = SP.hash_split(_merged(spark, sf_dir), "id")
+    model = ML.fit_regression(df.where(~F.col("is_test")), model_features(df), "price_year_avg", "gbt",
+                              maxIter=10, maxDepth=5)
+    return ML.predict(model, df.where(F.col("is_test"))).select("id", "price_year_avg", "prediction")
+
+
+@register("forest_price_model")
+def q_rf(spark, sf_dir):
+    """M5: random forest, hold-out predictions."""
+    df = SP.hash_split(_merged(spark, sf_dir), "id")
+    model = ML.fit_regression(df.where(~F.col("is_test")), model_features(df), "price_year_avg", "rf", numTrees=20)
+    return ML.predict(model, df.where(F.col("is_test"))).select("id", "price_year_avg", "prediction")
+
+
+@register("linear_price_model")
+def q_lr(spark, sf_dir):
+    """M4: linear regression, hold-out predictions."""
+    df = SP.hash_split(_merged(spark, sf_dir), "id")
+    model = ML.fit_regression(df.where(~F.col("is_test")), model_features(df), "price_year_avg", "lr")
+    return ML.predict(model, df.where(F.col("is_test"))).select("id", "price_year_avg", "prediction")
+
+
+def _docs_with_bins(spark, sf_dir):
+    d = tables(spark, sf_dir).documents
+    return d.select("doc_id", "text", right_closed_bin(F.col("n_chars") / 20).alias("length_bin"))
+
+
+@register("text_price_bin_model")
+def q_text_bins(spark, sf_dir):
+    """M6 + M8: multinomial text classifier (stratified 60/20/20), predicted bin appended to every row,
+    plus the bin accuracy on the test part in each row's `test_accuracy`."""
+    docs = _docs_with_bins(spark, sf_dir).where(F.col("length_bin").isNotNull())
+    parts = SP.stratified_split(docs, "doc_id", "length_bin", K.STRATIFIED_SHARES)
+    train = parts.where(F.col("part") == "train").withColumn("_label", F.col("length_bin").cast("double"))
+    model = ML.text_classifier("text", "_label", max_iter=20).fit(train)
+    scored = ML.append_class(model, parts, "pred_bin")
+    acc = M.classification_metrics(scored.where(F.col("part") == "test"), "length_bin", "pred_bin")
+    return scored.select("doc_id", "part", "length_bin", "pred_bin",
+                         acc.select("accuracy").scalar().alias("test_accuracy"))
+
+
+@register("text_quality_classifier")
+def q_text_binary(spark, sf_dir):
+    """M7 + M8 + M10: binary text classifier on labelled documents; 0/1 appended, test metrics."""
+    t = tables(spark, sf_dir)
+    docs = t.documents.join(t.labels, "doc_id").select("doc_id", "text", "quality")
+    parts = SP.stratified_split(docs, "doc_id", "quality", K.STRATIFIED_SHARES)
+    train = parts.where(F.col("part") == "train").withColumn("_label", F.col("quality").cast("double"))
+    model = ML.text_classifier("text", "_label", num_classes=2, max_iter=20).fit(train)
+    scored = ML.append_class(model, parts, "pred_quality", label="quality")
+    return M.classification_metrics(scored.where(F.col("part") == "test"), "quality", "pred_quality",
+                                     "pred_quality_p_label", by=["part"])
+
+
+@register("select_k_search")
+def q_kbest(spark, sf_dir):
+    """M11 + M12: F-test top-k features for each candidate k; fit; keep the best R^2."""
+    df = SP.hash_split(_merged(spark, sf_dir), "id").cache()
+    feats = model_features(df)
+    rows, best = ML.select_k_search(df.where(~F.col("is_test")), df.where(F.col("is_test")), feats,
+                                    "price_year_avg", K.KBEST_CANDIDATES, "gbt", maxIter=5, maxDepth=4)
+    return spark.createDataFrame([(k, n, r2, mae, k == best) for k, n, r2, mae in rows],
+                                 "k int, n_features int, r2 double, mae double, is_best boolean")
+
+
+@register("model_segment_table")
+def q_model_segments(spark, sf_dir):
+    """M13 + M15: linear / forest / boosted models over the six segments, per period combo."""
+    from roomrate.plans.common import listings
+    hoods = listings(spark, sf_dir, with_nulls=False).select("id", "neighbourhood")
+    df = SP.hash_split(_merged(spark, sf_dir).join(hoods, "id", "left"), "id").cache()
+    segs = {name: df.where(pred) for name, pred in listing_segments().items()}
+    rows = []
+    for combo in K.PERIOD_COMBOS:
+        rows += ML.compare_models(segs, model_features, combo[2], kinds=("lr", "rf", "gbt"),
+                                  params={"rf": {"numTrees": 10}, "gbt": {"maxIter": 5, "maxDepth": 4}})
+    return spark.createDataFrame(rows, "model string, segment string, label string, n_test int, r2 double, mae double")
