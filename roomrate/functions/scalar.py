@@ -128,3 +128,12 @@ def min_max_scaled(x: ColumnOrName, lo: ColumnOrName, hi: ColumnOrName) -> Colum
     c, l, h = _c(x), _c(lo), _c(hi)
     rng = h - l
     return F.when(rng == 0, F.lit(0.0)).otherwise((c - l) / rng)
+
+
+def safe_corr(x: ColumnOrName, y: ColumnOrName) -> Column:
+    """Pearson r as an aggregate that yields NULL (not an ANSI divide-by-zero error) when a
+    side is constant. Pairs with a NULL on either side are skipped, like corr()."""
+    cx, cy = _c(x).cast("double"), _c(y).cast("double")
+    both = cx.isNotNull() & cy.isNotNull()
+    xx, yy = F.when(both, cx), F.when(both, cy)
+    return F.try_divide(F.covar_pop(xx, yy), F.sqrt(F.var_pop(xx)) * F.sqrt(F.var_pop(yy)))

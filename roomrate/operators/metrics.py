@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from roomrate.functions.scalar import safe_corr
+
 LOG_EPS = 1e-7
 
 
@@ -14,7 +16,7 @@ def regression_metrics(df: DataFrame, label: str = "label", pred: str = "predict
     g = df.groupBy(*by) if by else df.groupBy()
     return g.agg(
         F.count(F.lit(1)).alias("n"),
-        (F.lit(1.0) - F.sum((y - p) * (y - p)) / (F.var_pop(y) * F.count(y))).alias("r2"),
+        (F.lit(1.0) - F.try_divide(F.sum((y - p) * (y - p)), F.var_pop(y) * F.count(y))).alias("r2"),
         F.avg(F.abs(y - p)).alias("mae"),
     )
 
@@ -37,13 +39,13 @@ def f_regression_scores(df: DataFrame, features, label: str) -> DataFrame:
     aggs = []
     for i, f in enumerate(feats):
         x = F.col(f).cast("double")
-        aggs += [F.corr(x, y).alias(f"r{i}"), F.count(F.when(x.isNotNull() & y.isNotNull(), 1)).alias(f"n{i}")]
+        aggs += [safe_corr(x, y).alias(f"r{i}"), F.count(F.when(x.isNotNull() & y.isNotNull(), 1)).alias(f"n{i}")]
     wide = df.agg(*aggs)
     stacked = wide.select(F.explode(F.array(*[
         F.struct(F.lit(f).alias("feature"), F.col(f"r{i}").alias("r"), F.col(f"n{i}").alias("n"))
         for i, f in enumerate(feats)])).alias("s")).select("s.*")
     r = F.col("r")
-    return stacked.withColumn("f_score", r * r / (F.lit(1.0) - r * r) * (F.col("n") - 2))
+    return stacked.withColumn("f_score", F.try_divide(r * r, F.lit(1.0) - r * r) * (F.col("n") - 2))
 
 
 def top_k_features(scores: DataFrame, k: int) -> DataFrame:

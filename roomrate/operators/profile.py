@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from roomrate.functions.scalar import safe_corr
+
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
 
@@ -225,7 +227,7 @@ def correlation_matrix(df: DataFrame, columns) -> DataFrame:
     """Pairwise-complete Pearson r for every pair (a < b by position), one aggregate."""
     cols = list(columns)
     pairs = list(combinations(cols, 2))
-    wide = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{i}")
+    wide = df.agg(*[safe_corr(a, b).alias(f"{i}")
                     for i, (a, b) in enumerate(pairs)])
     idx = df.sparkSession.createDataFrame([(str(i), a, b) for i, (a, b) in enumerate(pairs)],
                                           "k string, col_a string, col_b string")

@@ -122,3 +122,129 @@ def q_default_profile(spark, sf_dir):
     from roomrate.plans import merge as C3
 
     return round_doubles(C3.profile_defaults(C3.final_features(merged_table(spark, sf_dir))))
+
+
+# ---------------------------------------------------------------------------
+# C4 train + save, C6 error report, C5 exploration report, M14 scoring (rows-only)
+# ---------------------------------------------------------------------------
+_SMOKE_GBT = {"maxIter": 10, "maxDepth": 5}
+
+
+def _train_split(spark, sf_dir):
+    from roomrate.operators.split import hash_split
+
+    return hash_split(merged_table(spark, sf_dir), "id")
+
+
+@register("train_price_model")
+def q_train(spark, sf_dir):
+    """C4 (P11 M1 M3 M9 S5): fit on 75 %, score the 25 % hold-out, save without overwriting."""
+    from pyspark.sql import functions as F
+
+    from roomrate.operators import models as ML
+    from roomrate.plans.queries_models import model_features
+    from roomrate.sources.model_store import save_model
+
+    df = _train_split(spark, sf_dir)
+    feats = model_features(df)
+    label = K.PERIOD_COMBOS[0][2]
+    model = ML.fit_regression(df.where(~F.col("is_test")), feats, label, "gbt", **_SMOKE_GBT)
+    path = save_model(spark, model, "price_model")
+    m = ML.evaluate(model, df.where(F.col("is_test")), label)
+    return m.select(F.lit("gbt").alias("model"), F.lit(label).alias("label"), "n", "r2", "mae",
+                    F.lit(len(feats)).alias("n_features"), F.lit(path).alias("model_path"))
+
+
+@register("error_report")
+def q_error_report(spark, sf_dir):
+    """C6 (J6 F12 O2): hold-out predictions attached by key, errors, worst and best rows."""
+    from pyspark.sql import functions as F
+
+    from roomrate.functions.scalar import abs_error, signed_error
+    from roomrate.operators import models as ML
+    from roomrate.operators.joins import attach_predictions
+    from roomrate.operators.profile import top_n
+    from roomrate.plans.queries_models import model_features
+
+    df = _train_split(spark, sf_dir)
+    label = K.PERIOD_COMBOS[0][2]
+    model = ML.fit_regression(df.where(~F.col("is_test")), model_features(df), label, "gbt", **_SMOKE_GBT)
+    preds = ML.predict(model, df.where(F.col("is_test")), "predicted_price_year_avg")
+    res = attach_predictions(df.where(F.col("is_test")).select("id", label, "room_type"), preds,
+                             "id", ["predicted_price_year_avg"])
+    res = res.withColumn("price_year_avg_error", signed_error("predicted_price_year_avg", label)) \
+             .withColumn("price_year_avg_error_abs", abs_error("predicted_price_year_avg", label))
+    worst = top_n(res, "price_year_avg_error_abs", 1000, "id", True).withColumn("kind", F.lit("high_abs_error"))
+    best = top_n(res, "price_year_avg_error_abs", 1000, "id", False).withColumn("kind", F.lit("low_abs_error"))
+    return worst.unionByName(best)
+
+
+@register("exploration_report")
+def q_exploration(spark, sf_dir):
+    """The notebook's summaries over the merged table as (section, key, value) rows —
+    room-type counts (A6), box statistics of the yearly price (A13), histogram (A12),
+    correlations (A14) and per-column null counts (A9)."""
+    from pyspark.sql import functions as F
+
+    from roomrate.operators import profile as A
+
+    m = merged_table(spark, sf_dir).cache()
+    parts = [
+        A.frequencies(m, "room_type").select(F.lit("room_type_counts").alias("section"),
+                                              F.col("room_type").alias("key"), F.col("count").cast("double").alias("value")),
+        A.box_stats(m, "price_year_avg").unpivot([], ["q1", "median", "q3", "iqr", "whisker_low", "whisker_high"],
+                                                  "key", "value").select(F.lit("price_box").alias("section"), "key", "value"),
+        A.histogram(m, "price_year_avg").select(F.lit("price_hist").alias("section"),
+                                                F.col("bin").cast("string").alias("key"), F.col("count").cast("double").alias("value")),
+        A.correlation_matrix(m, ["price_year_avg", "available_year_avg", "min_nights_year_avg", "bedrooms",
+                                 "accommodates"]).select(F.lit("corr").alias("section"),
+                                                         F.concat_ws(":", "col_a", "col_b").alias("key"), F.col("r").alias("value")),
+        A.null_counts(m).select(F.lit("nulls").alias("section"), F.col("column").alias("key"),
+                                F.col("null_count").cast("double").alias("value")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _scoring_models(spark, sf_dir):
+    """Main model on the request features present in the merged table (the saved training
+    vocabulary) + the text -> price-bin model used for the bin override."""
+    from pyspark.sql import functions as F
+
+    from roomrate.operators import models as ML
+    from roomrate.plans import merge as C3
+
+    merged = merged_table(spark, sf_dir)
+    scored, text_model, _ = C3.add_text_bin(merged.withColumn("_text", F.coalesce("description", F.lit(""))),
+                                            text="_text", max_iter=10)
+    feats = [n for n, _, _ in K.request_fields() if n in scored.columns]
+    main = ML.fit_regression(scored, feats, "price_year_avg", "gbt", **_SMOKE_GBT)
+    return main, text_model, feats
+
+
+@register("score_requests")
+def q_score(spark, sf_dir):
+    """M14 batch: decode + defaults + text-bin override + model + JSON response per request."""
+    from roomrate.sources.bindings import requests_from_events
+    from roomrate.sources.tables import read_table
+    from roomrate.streaming.scoring import score
+
+    main, text_model, feats = _scoring_models(spark, sf_dir)
+    return score(requests_from_events(read_table(spark, sf_dir, "events")), main, feats, text_model)
+
+
+@register("score_requests_stream")
+def q_score_stream(spark, sf_dir):
+    """M14 stream: the same scoring over a parquet file stream (availableNow), sink read back."""
+    from roomrate.session import shared_path
+    from roomrate.sources.bindings import requests_from_events
+    from roomrate.sources.tables import read_table
+    from roomrate.streaming.scoring import score_stream
+
+    main, text_model, feats = _scoring_models(spark, sf_dir)
+    schema = read_table(spark, sf_dir, "events").schema
+    base = shared_path(spark, "streams", "score_requests")
+    return score_stream(spark, sf_dir, "events.parquet", schema, requests_from_events, main, feats,
+                        base + "/sink", base + "/checkpoint", text_model)
