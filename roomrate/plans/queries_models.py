@@ -19,8 +19,10 @@ from roomrate.plans.common import r, round_doubles, tables
 from roomrate.plans.queries_scalar import listing_segments
 from roomrate.plans.registry import register
 
-_ROW_KEY = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_key")
-_ROW_KEY_SQL = "l_orderkey * 10 + l_linenumber"
+# lineitem has no single-column key: (orderkey, linenumber, suppkey, partkey, shipdate) is unique
+_ROW_KEY = F.concat_ws("|", "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey",
+                       F.col("l_shipdate").cast("string")).alias("row_key")
+_ROW_KEY_SQL = ("concat_ws('|', l_orderkey, l_linenumber, l_suppkey, l_partkey, CAST(l_shipdate AS VARCHAR))")
 _MD5 = f"md5(CAST({_ROW_KEY_SQL} AS VARCHAR))"
 
 
