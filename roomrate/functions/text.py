@@ -117,3 +117,24 @@ def gram_vocabulary_hits(grams, vocabulary, match_subgram: bool = False) -> Colu
         words = F.flatten(F.transform(_c(grams), lambda g: F.split(g, " ")))
         hits = F.array_union(hits, F.array_intersect(words, vocab))
     return hits
+
+
+def exploded_ngrams(df, tokens: str, n: int, keep=(), stop_words=None, out: str = "gram"):
+    """One row per n-gram that holds no stop word: (keep..., gram).
+
+    Lambda-free on purpose: shifted slices are zipped and exploded, the stop-word test is a
+    column `isin` (planned as a hashed InSet inside whole-stage codegen) and the words are
+    joined with concat_ws. Higher-order functions are interpreted per element; this form is
+    several times faster on long documents. Short token lists give no rows (slice length is
+    clamped at 0)."""
+    t = F.col(tokens)
+    m = F.greatest(F.size(t) - F.lit(n - 1), F.lit(0))
+    zipped = F.arrays_zip(*[F.slice(t, k + 1, m).alias(f"w{k}") for k in range(n)])
+    rows = df.select(*keep, F.explode(zipped).alias("_g"))
+    words = [F.col(f"_g.w{k}") for k in range(n)]
+    stop = list(stop_words or default_stop_words())
+    cond = None
+    for w in words:
+        c = ~w.isin(stop)
+        cond = c if cond is None else cond & c
+    return rows.where(cond).select(*keep, F.concat_ws(" ", *words).alias(out))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from roomrate.plans.registry import ORACLE_DIGITS
+from roomrate.session import ensure_parallelism
 from roomrate.sources import bindings as B
 from roomrate.sources.tables import Tables, read_table
 
@@ -16,7 +17,7 @@ def tables(spark: SparkSession, sf_dir: str) -> Tables:
 
 
 def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.calendar_from_lineitem(read_table(spark, sf_dir, "lineitem"))
+    return B.calendar_from_lineitem(ensure_parallelism(read_table(spark, sf_dir, "lineitem")))
 
 
 def listings(spark: SparkSession, sf_dir: str, with_nulls: bool = True) -> DataFrame:

@@ -33,7 +33,7 @@ def add_text_bin(merged: DataFrame, text: str = "description", key: str = "id",
     parts = stratified_split(data, key, "price_year_avg_bin", K.STRATIFIED_SHARES)
     train = parts.where(F.col("part") == "train").withColumn("_label", F.col("price_year_avg_bin").cast("double"))
     model = text_classifier(text, "_label", max_iter=max_iter).fit(train)
-    scored = append_class(model, merged, "pred_price_year_avg_bin")
+    scored = append_class(model, merged, "pred_price_year_avg_bin").cache()
     return scored, model, parts.where(F.col("part") == "test")
 
 

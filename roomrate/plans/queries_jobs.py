@@ -130,10 +130,18 @@ def q_default_profile(spark, sf_dir):
 _SMOKE_GBT = {"maxIter": 10, "maxDepth": 5}
 
 
+def materialised_merged(spark, sf_dir):
+    """C3 written once to the shared checkpoint folder before repeated fits (cuts lineage,
+    survives executor loss; never localCheckpoint)."""
+    from roomrate.session import cut_lineage
+
+    return cut_lineage(merged_table(spark, sf_dir))
+
+
 def _train_split(spark, sf_dir):
     from roomrate.operators.split import hash_split
 
-    return hash_split(merged_table(spark, sf_dir), "id")
+    return hash_split(materialised_merged(spark, sf_dir), "id")
 
 
 @register("train_price_model")
@@ -188,7 +196,7 @@ def q_exploration(spark, sf_dir):
 
     from roomrate.operators import profile as A
 
-    m = merged_table(spark, sf_dir).cache()
+    m = materialised_merged(spark, sf_dir)
     parts = [
         A.frequencies(m, "room_type").select(F.lit("room_type_counts").alias("section"),
                                               F.col("room_type").alias("key"), F.col("count").cast("double").alias("value")),
@@ -216,7 +224,7 @@ def _scoring_models(spark, sf_dir):
     from roomrate.operators import models as ML
     from roomrate.plans import merge as C3
 
-    merged = merged_table(spark, sf_dir)
+    merged = materialised_merged(spark, sf_dir)
     scored, text_model, _ = C3.add_text_bin(merged.withColumn("_text", F.coalesce("description", F.lit(""))),
                                             text="_text", max_iter=10)
     feats = [n for n, _, _ in K.request_fields() if n in scored.columns]
@@ -231,8 +239,11 @@ def q_score(spark, sf_dir):
     from roomrate.sources.tables import read_table
     from roomrate.streaming.scoring import score
 
+    from roomrate.session import ensure_parallelism
+
     main, text_model, feats = _scoring_models(spark, sf_dir)
-    return score(requests_from_events(read_table(spark, sf_dir, "events")), main, feats, text_model)
+    events = ensure_parallelism(read_table(spark, sf_dir, "events"))
+    return score(requests_from_events(events), main, feats, text_model)
 
 
 @register("score_requests_stream")

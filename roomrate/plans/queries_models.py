@@ -119,9 +119,9 @@ def q_linear_one(spark, sf_dir):
 # fitted models over the merged feature table (rows-only)
 # ----------------------------------------------------------------------------------------------
 def _merged(spark, sf_dir):
-    from roomrate.plans.queries_jobs import merged_table
+    from roomrate.plans.queries_jobs import materialised_merged
 
-    return merged_table(spark, sf_dir)
+    return materialised_merged(spark, sf_dir)
 
 
 def model_features(df) -> list[str]:

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from roomrate import constants as K
-from roomrate.functions.text import clean_tokens, drop_stop_grams, gram_arrays, gram_vocabulary_hits, word_tokens
+from roomrate.functions.text import (clean_tokens, drop_stop_grams, exploded_ngrams, gram_arrays,
+                                     gram_vocabulary_hits, word_tokens)
 from roomrate.plans.common import tables
 from roomrate.plans.registry import register
+from roomrate.session import ensure_parallelism
 from roomrate.plans.sqltext import stop_words_sql
 
 _STOP = stop_words_sql(K.ENGLISH_STOP_WORDS)
@@ -19,7 +21,8 @@ w AS (SELECT doc_id, unnest(toks) AS w, generate_subscripts(toks, 1) AS pos FROM
 
 def _doc_tokens(spark, sf_dir):
     """(doc_id, tokens) — tokens computed once per document."""
-    return tables(spark, sf_dir).documents.select("doc_id", word_tokens("text").alias("tokens"))
+    docs = ensure_parallelism(tables(spark, sf_dir).documents.select("doc_id", "text"))
+    return docs.select("doc_id", word_tokens("text").alias("tokens"))
 
 
 def _grams(tokens_df, n: int):
@@ -34,8 +37,8 @@ GROUP BY 1
 """)
 def q_bigrams(spark, sf_dir):
     """X1 (n=2): grams formed first, then any gram holding a stop word is dropped."""
-    g = _grams(_doc_tokens(spark, sf_dir), 2)
-    return g.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    g = exploded_ngrams(_doc_tokens(spark, sf_dir), "tokens", 2)
+    return g.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("summary_trigrams", f"""
@@ -47,8 +50,8 @@ GROUP BY 1
 """)
 def q_trigrams(spark, sf_dir):
     """X1 (n=3)."""
-    g = _grams(_doc_tokens(spark, sf_dir), 3)
-    return g.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    g = exploded_ngrams(_doc_tokens(spark, sf_dir), "tokens", 3)
+    return g.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
 
 
 _VOCAB_SQL = "[" + ", ".join(f"'{v}'" for v in K.REQUEST_AMENITIES) + "]"
@@ -79,5 +82,6 @@ SELECT w AS token, count(*) AS n FROM w WHERE NOT list_contains({_CLEAN_STOP}, w
 """)
 def q_clean_tokens(spark, sf_dir):
     """Digit-free lower-case tokens minus stop words and the extra list (no lemmas)."""
-    d = tables(spark, sf_dir).documents.select(F.explode(clean_tokens("text")).alias("token"))
+    docs = ensure_parallelism(tables(spark, sf_dir).documents.select("text"))
+    d = docs.select(F.explode(clean_tokens("text")).alias("token"))
     return d.groupBy("token").agg(F.count(F.lit(1)).alias("n"))

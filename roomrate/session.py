@@ -69,3 +69,13 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
 
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
+
+
+def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Spread an under-partitioned input (e.g. one large parquet row group read as a single
+    split) over the cluster before CPU-heavy row work. A no-op when the scan already has at
+    least `min_partitions` splits, which is the normal case for large inputs, so no extra
+    shuffle is added at scale. Round-robin repartitioning is deterministic (rows are sorted
+    before assignment), so recomputation after executor loss yields the same partitions."""
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
