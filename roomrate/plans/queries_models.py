@@ -20,7 +20,8 @@ from roomrate.plans.queries_scalar import listing_segments
 from roomrate.plans.registry import register
 
 # lineitem has no single-column key: (orderkey, linenumber, suppkey, partkey, shipdate) is unique
-_ROW_KEY = F.concat_ws("|", "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey",
+def _row_key():
+    return F.concat_ws("|", "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey",
                        F.col("l_shipdate").cast("string")).alias("row_key")
 _ROW_KEY_SQL = ("concat_ws('|', l_orderkey, l_linenumber, l_suppkey, l_partkey, CAST(l_shipdate AS VARCHAR))")
 _MD5 = f"md5(CAST({_ROW_KEY_SQL} AS VARCHAR))"
@@ -29,7 +30,7 @@ _MD5 = f"md5(CAST({_ROW_KEY_SQL} AS VARCHAR))"
 @register("hash_split", f"SELECT {_ROW_KEY_SQL} AS row_key, substr({_MD5}, 1, 1) < '4' AS is_test FROM lineitem")
 def q_hash_split(spark, sf_dir):
     """M1: 75/25 split by md5 of the row key."""
-    return SP.hash_split(tables(spark, sf_dir).lineitem.select(_ROW_KEY), "row_key")
+    return SP.hash_split(tables(spark, sf_dir).lineitem.select(_row_key()), "row_key")
 
 
 @register("kfold_sizes", f"""
@@ -37,7 +38,7 @@ SELECT CAST(('0x' || substr({_MD5}, 1, 13))::BIGINT % 5 AS INTEGER) AS fold, cou
 """)
 def q_kfold(spark, sf_dir):
     """Fold sizes of a 5-fold key-hash assignment."""
-    f = SP.kfold(tables(spark, sf_dir).lineitem.select(_ROW_KEY), "row_key", 5)
+    f = SP.kfold(tables(spark, sf_dir).lineitem.select(_row_key()), "row_key", 5)
     return f.groupBy("fold").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -60,7 +61,7 @@ FROM c
 """)
 def q_stratified(spark, sf_dir):
     """M2: exact 60/20/20 per price bin without a window over a whole label."""
-    li = tables(spark, sf_dir).lineitem.select(_ROW_KEY, right_closed_bin(F.col("l_extendedprice") / 200).alias("price_bin"))
+    li = tables(spark, sf_dir).lineitem.select(_row_key(), right_closed_bin(F.col("l_extendedprice") / 200).alias("price_bin"))
     return SP.stratified_split(li.where(F.col("price_bin").isNotNull()), "row_key", "price_bin", K.STRATIFIED_SHARES)
 
 

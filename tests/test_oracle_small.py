@@ -40,3 +40,13 @@ def test_every_oracle_has_a_query():
 def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() >= 0 and "price_year_avg" in df.columns
+
+
+def test_registry_needs_no_jvm():
+    """The driver may call oracle_sql() before any Spark session exists."""
+    import subprocess
+    import sys
+
+    code = "import __spark_entry__ as E; assert len(E.oracle_sql()) > 50 and len(E.queries()) > 80"
+    root = __import__("os").path.dirname(__import__("os").path.dirname(__import__("os").path.abspath(__file__)))
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=120)
