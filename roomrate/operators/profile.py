@@ -97,22 +97,20 @@ def column_profile(df: DataFrame) -> DataFrame:
 def exact_quantiles(df: DataFrame, columns, probs, accuracy: int = 10000, max_rounds: int = 6) -> DataFrame:
     """(column, p, quantile) with linear interpolation between order statistics."""
     probs = list(probs)
-    long = unpivot_values(df, columns).cache()
-    try:
-        ns = {r["column"]: r["n"] for r in long.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
-        targets = []  # (column, p, rank_lo, rank_hi, frac)
-        for c, n in ns.items():
-            for p in probs:
-                h = (n - 1) * p
-                lo = int(math.floor(h))
-                hi = min(lo + 1, n - 1)
-                targets.append((c, float(p), lo, hi, float(h - lo)))
-        ranks = sorted({(c, r) for c, _, lo, hi, _ in targets for r in (lo, hi)})
-        values = _select_ranks(long, ranks, ns, accuracy, max_rounds)
-        rows = [(c, p, values[(c, lo)] + f * (values[(c, hi)] - values[(c, lo)]) if f else values[(c, lo)])
-                for c, p, lo, hi, f in targets]
-    finally:
-        long.unpersist()
+    # no cache: every selection pass is a column-pruned scan, nothing is pinned at scale
+    long = unpivot_values(df, columns)
+    ns = {r["column"]: r["n"] for r in long.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
+    targets = []  # (column, p, rank_lo, rank_hi, frac)
+    for c, n in ns.items():
+        for p in probs:
+            h = (n - 1) * p
+            lo = int(math.floor(h))
+            hi = min(lo + 1, n - 1)
+            targets.append((c, float(p), lo, hi, float(h - lo)))
+    ranks = sorted({(c, r) for c, _, lo, hi, _ in targets for r in (lo, hi)})
+    values = _select_ranks(long, ranks, ns, accuracy, max_rounds)
+    rows = [(c, p, values[(c, lo)] + f * (values[(c, hi)] - values[(c, lo)]) if f else values[(c, lo)])
+            for c, p, lo, hi, f in targets]
     return df.sparkSession.createDataFrame(rows, "column string, p double, quantile double")
 
 

@@ -52,17 +52,14 @@ def stratified_split(df: DataFrame, key: str, label: str, shares=(0.6, 0.2, 0.2)
     spark = df.sparkSession
     ordered = df.select(F.col(label).cast("string").alias("column"),
                         key_hash52(key).cast("double").alias("value"), F.col(key).alias("_tie"))
-    ordered = ordered.where(F.col("column").isNotNull()).cache()
-    try:
-        ns = {r["column"]: r["n"] for r in ordered.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
-        cuts, ranks = {}, []
-        for lab, n in ns.items():
-            n_train, n_val = _cut_counts(n, shares[0], shares[2])
-            cuts[lab] = (n_train, n_train + n_val)
-            ranks += [(lab, r) for r in cuts[lab] if r < n]
-        stats = order_statistics(ordered, ranks, ns, tie="_tie")
-    finally:
-        ordered.unpersist()
+    ordered = ordered.where(F.col("column").isNotNull())
+    ns = {r["column"]: r["n"] for r in ordered.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
+    cuts, ranks = {}, []
+    for lab, n in ns.items():
+        n_train, n_val = _cut_counts(n, shares[0], shares[2])
+        cuts[lab] = (n_train, n_train + n_val)
+        ranks += [(lab, r) for r in cuts[lab] if r < n]
+    stats = order_statistics(ordered, ranks, ns, tie="_tie")
     rows = []
     for lab, n in ns.items():
         a, b = cuts[lab]

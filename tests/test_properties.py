@@ -101,3 +101,19 @@ def test_multi_hot_row_sum_equals_distinct_tokens(spark):
     for r in wide.collect():
         assert sum(r[v] for v in vocab) == len(r.t)
     assert vocab == ["a", "b", "c"]
+
+
+def test_exploded_ngrams_match_python(spark):
+    from roomrate import constants as K
+    from roomrate.functions.text import exploded_ngrams
+
+    rnd = random.Random(11)
+    words = ["the", "room", "park", "a", "view", "of", "great", "big"]
+    docs = [(i, [rnd.choice(words) for _ in range(rnd.randint(0, 12))]) for i in range(60)]
+    df = spark.createDataFrame(docs, "doc_id int, tokens array<string>")
+    stop = set(K.ENGLISH_STOP_WORDS)
+    for n in (2, 3):
+        want = sorted((d, " ".join(t[i:i + n])) for d, t in docs for i in range(len(t) - n + 1)
+                      if not any(w in stop for w in t[i:i + n]))
+        got = sorted((r.doc_id, r.gram) for r in exploded_ngrams(df, "tokens", n, keep=["doc_id"]).collect())
+        assert got == want
