@@ -8,9 +8,9 @@ does not count), before any fill of that column.
 Spark plan (no nested loop, no per-row Python):
   1. build  = rows aggregated per exact (category, lat, lon): sum and count of
               each target's non-NULL values (copies at one coordinate collapse
-              map-side), tagged with their grid cell (cell side >= half-width);
+              map-side), tagged with their grid cell (side = half-width / K);
   2. probes = DISTINCT (category, lat, lon) of rows missing any target,
-              exploded to the 3 x 3 neighbouring cells;
+              exploded to the (2K+1) x (2K+1) neighbouring cells;
   3. equi-join on (category, cell_x, cell_y) + the exact strict box predicate,
      partial sums per probe (the join output is aggregated in the same stage);
   4. left-join the means back on (category, lat, lon) and coalesce.
@@ -27,9 +27,16 @@ from pyspark.sql import functions as F
 
 from roomrate import constants as K
 
-# cell side = half-width * (1 + CELL_SLACK): every neighbour then lies in the
-# probe's cell or one of its 8 neighbours, with slack far above rounding error.
+# cell side = half-width / K * (1 + CELL_SLACK): every neighbour then lies within K cells of the
+# probe's cell on each axis, with slack far above rounding error. Candidate area per probe is
+# (2K+1)^2 / K^2 half-widths^2: 9 for K=1, 6.25 for K=2 (the box itself is 4).
 CELL_SLACK = 1e-6
+CELLS_PER_HALF_WIDTH = 2
+
+
+def _offsets(k: int):
+    return F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"))
+                     for dx in range(-k, k + 1) for dy in range(-k, k + 1)])
 
 
 def _missing(col: str, zero_is_missing: bool):
@@ -42,7 +49,8 @@ def neighbour_means(df: DataFrame, targets, category: str = "room_type", lat: st
                     half_lon: float = K.NEIGHBOUR_LON_HALF_WIDTH, zero_is_missing: bool = False) -> DataFrame:
     """(category, lat, lon, <t>_nbr_mean...) for every probe coordinate (rows missing any target)."""
     targets = list(targets)
-    cell_lat, cell_lon = half_lat * (1 + CELL_SLACK), half_lon * (1 + CELL_SLACK)
+    k = CELLS_PER_HALF_WIDTH
+    cell_lat, cell_lon = half_lat / k * (1 + CELL_SLACK), half_lon / k * (1 + CELL_SLACK)
 
     build = (df.where(F.col(category).isNotNull() & F.col(lat).isNotNull() & F.col(lon).isNotNull())
              .groupBy(category, lat, lon)
@@ -53,8 +61,7 @@ def neighbour_means(df: DataFrame, targets, category: str = "room_type", lat: st
              .withColumnsRenamed({lat: "_b_lat", lon: "_b_lon"}))
 
     any_missing = reduce(lambda a, b: a | b, [_missing(t, zero_is_missing) for t in targets])
-    offsets = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"))
-                        for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
+    offsets = _offsets(k)
     probes = (df.where(any_missing & F.col(category).isNotNull() & F.col(lat).isNotNull() & F.col(lon).isNotNull())
               .select(category, lat, lon).distinct()
               .withColumn("_o", F.explode(offsets))
@@ -94,9 +101,9 @@ def band_pairs(left: DataFrame, right: DataFrame, category: str, lat: str, lon:
     """General 2-D band join: every (left, right) pair of the same category whose
     coordinates differ by less than the half-widths (strict). Right columns get
     the prefix 'r_'. (J5)"""
-    cell_lat, cell_lon = half_lat * (1 + CELL_SLACK), half_lon * (1 + CELL_SLACK)
-    offsets = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"))
-                        for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
+    k = CELLS_PER_HALF_WIDTH
+    cell_lat, cell_lon = half_lat / k * (1 + CELL_SLACK), half_lon / k * (1 + CELL_SLACK)
+    offsets = _offsets(k)
     r = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns])
     r = (r.withColumn("_cx", F.floor(F.col(f"r_{lat}") / cell_lat))
          .withColumn("_cy", F.floor(F.col(f"r_{lon}") / cell_lon)))
