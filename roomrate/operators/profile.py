@@ -25,6 +25,8 @@ from pyspark.sql import types as T
 
 from roomrate.functions.scalar import safe_corr
 
+BRACKET_ROWS = 2_000_000      # target rows ranked per order statistic
+MAX_ACCURACY = 2_000_000_000  # percentile_approx accuracy is an int
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
 
@@ -121,6 +123,10 @@ def _select_ranks(long: DataFrame, ranks, ns: dict, accuracy: int, max_rounds: i
     spark = long.sparkSession
     pending = list(ranks)
     out: dict = {}
+    # the bracket holds ~8 n / accuracy rows (ranked in one task per target): scale the sketch
+    # accuracy with n so a bracket stays near BRACKET_ROWS rows whatever the input size
+    n_max = max([ns[c] for c, _ in pending] or [1])
+    accuracy = int(min(MAX_ACCURACY, max(accuracy, math.ceil(8 * n_max / BRACKET_ROWS))))
     width = 4.0 / accuracy
     order = ["value"] + ([tie] if tie else [])
     for _ in range(max_rounds):
