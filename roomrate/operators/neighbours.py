@@ -9,8 +9,9 @@ Spark plan (no nested loop, no per-row Python):
   1. build  = rows aggregated per exact (category, lat, lon): sum and count of
               each target's non-NULL values (copies at one coordinate collapse
               map-side), tagged with their grid cell (side = half-width / K);
-  2. probes = DISTINCT (category, lat, lon) of rows missing any target,
-              exploded to the (2K+1) x (2K+1) neighbouring cells;
+  2. probes = the coordinates of that same aggregate holding a row that misses
+              a target, exploded to the (2K+1) x (2K+1) neighbouring cells
+              (one aggregate, one shuffle, feeds both sides);
   3. equi-join on (category, cell_x, cell_y) + the exact strict box predicate,
      partial sums per probe (the join output is aggregated in the same stage);
   4. left-join the means back on (category, lat, lon) and coalesce.
@@ -52,19 +53,20 @@ def neighbour_means(df: DataFrame, targets, category: str = "room_type", lat: st
     k = CELLS_PER_HALF_WIDTH
     cell_lat, cell_lon = half_lat / k * (1 + CELL_SLACK), half_lon / k * (1 + CELL_SLACK)
 
-    build = (df.where(F.col(category).isNotNull() & F.col(lat).isNotNull() & F.col(lon).isNotNull())
-             .groupBy(category, lat, lon)
-             .agg(*[F.sum(F.col(t).cast("double")).alias(f"_s_{t}") for t in targets],
-                  *[F.count(F.col(t)).alias(f"_n_{t}") for t in targets])
-             .withColumn("_cx", F.floor(F.col(lat) / cell_lat))
+    # ONE aggregate per exact coordinate feeds both sides: sums/counts for the build side and a
+    # "some row here misses a target" flag that selects the probe coordinates
+    any_missing = reduce(lambda a, b: a | b, [_missing(t, zero_is_missing) for t in targets])
+    coords = (df.where(F.col(category).isNotNull() & F.col(lat).isNotNull() & F.col(lon).isNotNull())
+              .groupBy(category, lat, lon)
+              .agg(*[F.sum(F.col(t).cast("double")).alias(f"_s_{t}") for t in targets],
+                   *[F.count(F.col(t)).alias(f"_n_{t}") for t in targets],
+                   F.max(any_missing).alias("_probe")))
+    build = (coords.withColumn("_cx", F.floor(F.col(lat) / cell_lat))
              .withColumn("_cy", F.floor(F.col(lon) / cell_lon))
+             .drop("_probe")
              .withColumnsRenamed({lat: "_b_lat", lon: "_b_lon"}))
-
-    any_missing = reduce(lambda a, b: a | b, [_missing(t, zero_is_missing) for t in targets])
-    offsets = _offsets(k)
-    probes = (df.where(any_missing & F.col(category).isNotNull() & F.col(lat).isNotNull() & F.col(lon).isNotNull())
-              .select(category, lat, lon).distinct()
-              .withColumn("_o", F.explode(offsets))
+    probes = (coords.where(F.col("_probe")).select(category, lat, lon)
+              .withColumn("_o", F.explode(_offsets(k)))
               .withColumn("_cx", F.floor(F.col(lat) / cell_lat) + F.col("_o.dx"))
               .withColumn("_cy", F.floor(F.col(lon) / cell_lon) + F.col("_o.dy"))
               .drop("_o"))

@@ -17,10 +17,16 @@ from roomrate.operators.models import append_class, text_classifier
 from roomrate.operators.neighbours import neighbour_fill
 from roomrate.operators.profile import default_profile
 from roomrate.operators.split import stratified_split
+from roomrate.session import cut_lineage
 
 
-def merge_features(listing_feats: DataFrame, calendar_feats: DataFrame) -> DataFrame:
+def merge_features(listing_feats: DataFrame, calendar_feats: DataFrame, materialise: bool = True) -> DataFrame:
+    """The fill reads the joined table three times (aggregate, join-back, output); the joined
+    table is listing-level, so it is checkpointed once into the shared folder instead of
+    re-running the calendar pipeline over the full calendar for each read."""
     m = inner_join(listing_feats, calendar_feats, "id", "listing_id")
+    if materialise:
+        m = cut_lineage(m)
     return neighbour_fill(m, K.PRICE_FILL_COLUMNS, round_result=False)
 
 
