@@ -96,11 +96,20 @@ def column_profile(df: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 # A10, A13 exact quantiles, describe, box statistics
 # ---------------------------------------------------------------------------
-def exact_quantiles(df: DataFrame, columns, probs, accuracy: int = 10000, max_rounds: int = 6) -> DataFrame:
-    """(column, p, quantile) with linear interpolation between order statistics."""
+def exact_quantiles(df: DataFrame, columns, probs, accuracy: int = 10000, max_rounds: int = 6,
+                    materialise: bool = True) -> DataFrame:
+    """(column, p, quantile) with linear interpolation between order statistics.
+
+    The selection makes several passes. With `materialise`, only the projected columns are
+    checkpointed once into the shared folder (a narrow write), so an expensive input plan
+    (e.g. a de-duplicated calendar) is not recomputed per pass; nothing is cached in memory."""
     probs = list(probs)
-    # no cache: every selection pass is a column-pruned scan, nothing is pinned at scale
-    long = unpivot_values(df, columns)
+    src = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    if materialise:
+        from roomrate.session import cut_lineage
+
+        src = cut_lineage(src)
+    long = unpivot_values(src, columns)
     ns = {r["column"]: r["n"] for r in long.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
     targets = []  # (column, p, rank_lo, rank_hi, frac)
     for c, n in ns.items():
