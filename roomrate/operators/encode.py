@@ -73,3 +73,14 @@ def min_max_scale(df: DataFrame, columns, suffix: str = "") -> DataFrame:
         hi = df.select(F.max(F.col(c))).scalar()
         out = out.withColumn(c + suffix, min_max_scaled(F.col(c).cast("double"), lo, hi))
     return out
+
+
+def or_gram_flags(df: DataFrame, hits_col: str, vocab) -> DataFrame:
+    """Set a multi-hot flag to 1 when the token also occurs among the text-gram hits of the row
+    (X2: grams matched against the vocabulary, OR-ed into the E3 flags). Flags absent from the
+    frame are added. Narrow, one select."""
+    vocab = list(vocab)
+    hit = {v: F.array_contains(F.col(hits_col), F.lit(v)).cast("int") for v in vocab}
+    out = [F.greatest(F.col(c), hit[c]).alias(c) if c in hit else F.col(c) for c in df.columns]
+    out += [hit[v].alias(v) for v in vocab if v not in df.columns]
+    return df.select(*out)

@@ -120,3 +120,15 @@ def test_empty_description_keeps_default_bin(spark):
     assert rows[2].bedrooms == 1 and not rows[2].is_valid
     assert rows[3].accommodates == 3 and not rows[3].is_valid
     assert rows[1].wifi == 1 and rows[1].toilet == 0 and len(K.request_fields()) == 138
+
+
+def test_gram_hits_or_into_flags(spark):
+    from roomrate.functions.text import filtered_ngrams, gram_vocabulary_hits
+    from roomrate.operators.encode import or_gram_flags
+
+    df = spark.createDataFrame([(1, "Hot water and free street parking nearby", 0, 1)],
+                               "id int, d string, hot_water int, tv int")
+    df = df.withColumn("hits", gram_vocabulary_hits(filtered_ngrams("d", 2), ["hot_water", "tv", "parking"],
+                                                    match_subgram=True))
+    row = or_gram_flags(df, "hits", ["hot_water", "tv", "parking"]).first()
+    assert (row.hot_water, row.tv, row.parking) == (1, 1, 1)
