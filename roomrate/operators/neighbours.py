@@ -32,7 +32,9 @@ from roomrate import constants as K
 # probe's cell on each axis, with slack far above rounding error. Candidate area per probe is
 # (2K+1)^2 / K^2 half-widths^2: 9 for K=1, 6.25 for K=2 (the box itself is 4).
 CELL_SLACK = 1e-6
-CELLS_PER_HALF_WIDTH = 2
+CELLS_PER_HALF_WIDTH = 2           # general band join (pairs are the output)
+INTERIOR_CELLS_PER_HALF_WIDTH = 4  # neighbour means: finer cells, interior ones pre-aggregated
+INTERIOR_MARGIN = 1e-7             # relative safety margin for "wholly inside" (>> rounding error)
 
 
 def _offsets(k: int):
@@ -47,34 +49,54 @@ def _missing(col: str, zero_is_missing: bool):
 
 def neighbour_means(df: DataFrame, targets, category: str = "room_type", lat: str = "latitude",
                     lon: str = "longitude", half_lat: float = K.NEIGHBOUR_LAT_HALF_WIDTH,
-                    half_lon: float = K.NEIGHBOUR_LON_HALF_WIDTH, zero_is_missing: bool = False) -> DataFrame:
-    """(category, lat, lon, <t>_nbr_mean...) for every probe coordinate (rows missing any target)."""
+                    half_lon: float = K.NEIGHBOUR_LON_HALF_WIDTH, zero_is_missing: bool = False,
+                    k: int | None = None) -> DataFrame:
+    """(category, lat, lon, <t>_nbr_mean...) for every probe coordinate (rows missing any target).
+
+    A probe's (2k+1)^2 neighbouring cells split in two: cells lying wholly inside its open
+    box (with a margin far above rounding error) contribute their per-cell pre-aggregated
+    sums — one row per cell, no point pairs — and only boundary cells compare individual
+    coordinates against the exact strict predicate."""
     targets = list(targets)
-    k = CELLS_PER_HALF_WIDTH
+    k = k or INTERIOR_CELLS_PER_HALF_WIDTH
     cell_lat, cell_lon = half_lat / k * (1 + CELL_SLACK), half_lon / k * (1 + CELL_SLACK)
 
     # ONE aggregate per exact coordinate feeds both sides: sums/counts for the build side and a
     # "some row here misses a target" flag that selects the probe coordinates
     any_missing = reduce(lambda a, b: a | b, [_missing(t, zero_is_missing) for t in targets])
+    sums = [f"_s_{t}" for t in targets] + [f"_n_{t}" for t in targets]
     coords = (df.where(F.col(category).isNotNull() & F.col(lat).isNotNull() & F.col(lon).isNotNull())
               .groupBy(category, lat, lon)
               .agg(*[F.sum(F.col(t).cast("double")).alias(f"_s_{t}") for t in targets],
                    *[F.count(F.col(t)).alias(f"_n_{t}") for t in targets],
                    F.max(any_missing).alias("_probe")))
-    build = (coords.withColumn("_cx", F.floor(F.col(lat) / cell_lat))
-             .withColumn("_cy", F.floor(F.col(lon) / cell_lon))
-             .drop("_probe")
-             .withColumnsRenamed({lat: "_b_lat", lon: "_b_lon"}))
+    points = (coords.withColumn("_cx", F.floor(F.col(lat) / cell_lat))
+              .withColumn("_cy", F.floor(F.col(lon) / cell_lon))
+              .drop("_probe")
+              .withColumnsRenamed({lat: "_b_lat", lon: "_b_lon"}))
+    cells = points.groupBy(category, "_cx", "_cy").agg(*[F.sum(c).alias(c) for c in sums])
+
+    cx = F.floor(F.col(lat) / cell_lat) + F.col("_o.dx")
+    cy = F.floor(F.col(lon) / cell_lon) + F.col("_o.dy")
+    eps_lat, eps_lon = half_lat * INTERIOR_MARGIN, half_lon * INTERIOR_MARGIN
+    interior = ((F.col("_cx") * cell_lat > F.col(lat) - half_lat + eps_lat)
+                & ((F.col("_cx") + 1) * cell_lat < F.col(lat) + half_lat - eps_lat)
+                & (F.col("_cy") * cell_lon > F.col(lon) - half_lon + eps_lon)
+                & ((F.col("_cy") + 1) * cell_lon < F.col(lon) + half_lon - eps_lon))
     probes = (coords.where(F.col("_probe")).select(category, lat, lon)
               .withColumn("_o", F.explode(_offsets(k)))
-              .withColumn("_cx", F.floor(F.col(lat) / cell_lat) + F.col("_o.dx"))
-              .withColumn("_cy", F.floor(F.col(lon) / cell_lon) + F.col("_o.dy"))
-              .drop("_o"))
+              .withColumn("_cx", cx).withColumn("_cy", cy).drop("_o")
+              .withColumn("_interior", interior))
 
     inside = ((F.col("_b_lat") > F.col(lat) - F.lit(half_lat)) & (F.col("_b_lat") < F.col(lat) + F.lit(half_lat))
               & (F.col("_b_lon") > F.col(lon) - F.lit(half_lon)) & (F.col("_b_lon") < F.col(lon) + F.lit(half_lon)))
-    pairs = probes.join(build, on=[category, "_cx", "_cy"], how="inner").where(inside)
-    return (pairs.groupBy(category, lat, lon)
+    edge = (probes.where(~F.col("_interior"))
+            .join(points, on=[category, "_cx", "_cy"], how="inner").where(inside)
+            .select(category, lat, lon, *sums))
+    core = (probes.where(F.col("_interior"))
+            .join(cells, on=[category, "_cx", "_cy"], how="inner")
+            .select(category, lat, lon, *sums))
+    return (edge.unionByName(core).groupBy(category, lat, lon)
             .agg(*[F.try_divide(F.sum(f"_s_{t}"), F.sum(f"_n_{t}")).alias(f"{t}_nbr_mean") for t in targets]))
 
 
