@@ -132,3 +132,17 @@ def test_gram_hits_or_into_flags(spark):
                                                     match_subgram=True))
     row = or_gram_flags(df, "hits", ["hot_water", "tv", "parking"]).first()
     assert (row.hot_water, row.tv, row.parking) == (1, 1, 1)
+
+
+def test_default_profile_rounding(spark):
+    from roomrate.plans.merge import profile_defaults
+
+    rows = [(1, 40.1, 2.5, 0.25, 3.0, 100.0), (2, 40.2, 2.5, 0.35, 2.0, 300.0)]
+    df = spark.createDataFrame(rows, "beds int, latitude double, bathrooms double, available_year_avg double, "
+                                     "min_nights_year_avg double, price_year_avg double")
+    r = profile_defaults(df).first()
+    assert r.beds == 2.0                      # mean 1.5 -> 2 (half-even)
+    assert r.bathrooms == 2.0                 # mean 2.5 -> 2 (half-even)
+    assert abs(r.latitude - 40.15) < 1e-12    # kept unrounded
+    assert abs(r.available_year_avg - 0.3) < 1e-12 and r.min_nights_year_avg == 2.5
+    assert "price_year_avg" not in r.asDict()  # label columns are excluded
