@@ -11,10 +11,12 @@ the exact intersection of sorted arrays.
   content of the range): linked sets meet in a tile, for certain, and unlike sets hardly ever do, as a
   tile asks for some five equal n-grams. (A set with more than `spare` empty ranges also enters the
   tiles of its empty ranges, which keeps the guarantee.)
-* Within a tile each set is compared with one leader, the set that meets the most others. Links give a
-  first clustering. Only tiles that still hold several clusters go on: further leaders, then every pair
-  of different clusters. A tile of thousands of near copies thus costs thousands of comparisons, not
-  millions, and no link between clusters is lost.
+* Sets that meet, directly or through others, are a family. A link only joins sets of one family, so a
+  family's components are worked out where its texts are gathered, in one pass over tables sorted by family:
+  rows of different components are compared until none is left, so that copies of one text soon count as one.
+* A family of more than FAMILY n-grams in all is never gathered. Within its tiles each set is compared with one
+  leader, the set that meets the most others; links give a first clustering. Only tiles that still hold
+  several clusters go on: further leaders, then every pair of different clusters.
 * A comparison first uses bitmaps (one bit per hash value modulo the bitmap's length): each bit that
   differs is one n-gram outside the intersection, so (a + b - differing bits) / 2 bounds the overlap from
   above. Pairs that pass are intersected exactly from the whole texts.
@@ -37,7 +39,9 @@ from roomrate.llm import textops as X
 from roomrate.llm.components import connected
 from roomrate.llm.storage import written
 
-#: rounds with further leaders before all remaining pairs of clusters are compared
+#: n-grams of a family that is compared in one place (32 MB of hashes)
+FAMILY = 4_000_000
+#: rounds with further leaders before all remaining pairs of clusters of a larger family are compared
 LEADER_ROUNDS = 6
 
 
@@ -128,20 +132,20 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.astype(np.uint64).view(np.int64))
 
 
-def document_sets(docs: DataFrame, k: int) -> DataFrame:
-    """(id, n, s1, s2, bits) of every row of docs (id, text)."""
+def document_sets(docs: DataFrame, k: int, bits: bool = False) -> DataFrame:
+    """(id, n, s1, s2) of every row of docs (id, text); with `bits`, also the set's bitmap."""
 
     def run(batches):
         for batch in batches:
             ids = batch.column("id")
             for lo, hi, h, _, first in sets_of(batch.column("text"), k):
                 s1, s2 = set_keys(h, first)
-                maps = [bitmap(h[first[i]: first[i + 1]]) for i in range(hi - lo)]
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(lo, hi - lo), pa.array(np.diff(first)), _signed(s1), _signed(s2), pa.array(maps, pa.binary())],
-                    names=["id", "n", "s1", "s2", "bits"])
+                columns = [ids.slice(lo, hi - lo), pa.array(np.diff(first)), _signed(s1), _signed(s2)]
+                if bits:
+                    columns.append(pa.array([bitmap(h[first[i]: first[i + 1]]) for i in range(hi - lo)], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "s1", "s2", "bits"][: len(columns)])
 
-    return docs.mapInArrow(run, "id long, n long, s1 long, s2 long, bits binary")
+    return docs.mapInArrow(run, "id long, n long, s1 long, s2 long" + ", bits binary" * bits)
 
 
 def document_tiles(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -202,26 +206,94 @@ def _exact(pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def near_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id",
-                    text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of docs: the size of its n-gram set and the smallest
-    id that it reaches over links of Jaccard similarity >= num / den (itself included)."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sets = written(document_sets(rows, k), "sets")
-    classes = written(sets.where("n > 0 and id is not null").groupBy("n", "s1", "s2")
-                      .agg(F.min("id").alias("c"), F.any_value("bits").alias("bits")), "classes")
+def family_components(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
+    """Component number of each of the sets of one family."""
+    n = len(sets)
+    up = np.arange(n)
+
+    def enough(both, a, b):
+        return (den * both >= num * (a + b - both)) & (both > 0)
+
+    if n == 2:
+        x, y = sets
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        return up if not enough(both, len(x), len(y)) else np.zeros(2, int)
+    sizes = np.array([len(x) for x in sets], np.int64)
+    order = np.argsort(sizes, kind="stable")
+    sets, sizes = [sets[i] for i in order], sizes[order]
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    words, at = np.unique(np.concatenate(sets), return_inverse=True)
+    m = max(64, min(1 << (2 * int(sizes[-1]) - 1).bit_length(), 1 << ((1 << 29) // n).bit_length() - 1))  # 64 MB at most
+    maps = np.zeros((n, m // 64), np.uint64)
+    bit = (np.concatenate(sets) & np.uint64(m - 1)).astype(np.int64)
+    np.bitwise_or.at(maps, (np.repeat(np.arange(n), sizes), bit >> 6), np.uint64(1) << (bit & 63).astype(np.uint64))
+    mark = np.zeros(len(words), bool)
+    for i in range(n):
+        # the larger sets of other components that are not too large
+        others = np.arange(i + 1, int(np.searchsorted(sizes, sizes[i] * den // num, side="right")))
+        others = others[up[others] != up[i]]
+        if not len(others):
+            continue
+        xor = np.bitwise_count(maps[others] ^ maps[i]).sum(axis=1, dtype=np.int64)
+        others = others[enough((sizes[i] + sizes[others] - xor) // 2, sizes[i], sizes[others])]
+        if not len(others):
+            continue
+        mark[at[first[i]: first[i + 1]]] = True
+        n_words = sizes[others]
+        begin = np.cumsum(n_words) - n_words
+        where = np.repeat(first[others] - begin, n_words) + np.arange(n_words.sum())
+        both = np.add.reduceat(mark[at[where]], begin, dtype=np.int64)
+        mark[at[first[i]: first[i + 1]]] = False
+        linked = others[enough(both, sizes[i], sizes[others])]
+        if len(linked):
+            joined = np.unique(np.append(up[linked], up[i]))
+            up[np.isin(up, joined)] = joined[0]
+    out = np.empty(n, int)
+    out[order] = up
+    return out
+
+
+def gathered_components(rows: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(node, component) of the sets of rows (family, id, text), which come sorted by family."""
+
+    def done(table):
+        family, ids = table.column("family").to_numpy(), table.column("id").to_numpy()
+        sets: list[np.ndarray] = []
+        for lo, hi, h, _, first in sets_of(table.column("text"), k):
+            sets += [h[first[i]: first[i + 1]] for i in range(hi - lo)]
+        cuts = np.flatnonzero(np.append(True, family[1:] != family[:-1]))
+        low = ids.copy()
+        for lo, hi in zip(cuts, np.append(cuts[1:], len(ids)), strict=True):
+            own, up = ids[lo:hi], family_components(sets[lo:hi], num, den)
+            for c in np.unique(up):
+                low[lo:hi][up == c] = own[up == c].min()
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(low)], names=["node", "component"])
 
+    def run(batches):
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            family = table.column("family").to_numpy()
+            cut = int(np.searchsorted(family, family[-1])) if len(family) else 0
+            if cut:
+                yield done(table.slice(0, cut))
+            held = table.slice(cut)
+        if held is not None and held.num_rows:
+            yield done(held)
+
+    return rows.mapInArrow(run, "node long, component long")
+
+
+def apart_components(rows: DataFrame, members: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(node, component) of the linked sets among members (tile, c, n), compared tile by tile."""
     tile = Window.partitionBy("tile")
-    shared = (document_tiles(rows.where("id is not null"), k, num, den)
-              .select("tile", "s1", F.min("s1").over(tile).alias("lo"), F.max("s1").over(tile).alias("hi"))
-              .where("lo < hi").select("tile", "s1").distinct())
-    members = written(shared.join(classes.select("s1", "c", "n"), "s1").select("tile", "c", "n"), "members")
+    members = written(members, "members")
     texts = written(rows.join(members.select(F.col("c").alias("id")).distinct(), "id")
                     .dropDuplicates(["id"]), "texts")
+    maps = written(document_sets(texts, k, bits=True).select("id", "n", "bits"), "bitmaps")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        one = classes.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a"))
-        two = classes.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b"))
+        one, two = maps.toDF("a", "na", "bits_a"), maps.toDF("b", "nb", "bits_b")
         possible = written(_possible(pairs.join(one, "a").join(two, "b"), num, den), "possible")
         text_a = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
         text_b = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
@@ -265,6 +337,36 @@ def near_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
         if few or turn == LEADER_ROUNDS:
             labels = connected(links)
             break
+    return labels
+
+
+def near_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id",
+                    text_col: str = "text", family: int = FAMILY) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row of docs: the size of its n-gram set and the smallest
+    id that it reaches over links of Jaccard similarity >= num / den (itself included)."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    sets = written(document_sets(rows, k), "sets")
+    classes = written(sets.where("n > 0 and id is not null").groupBy("n", "s1", "s2")
+                      .agg(F.min("id").alias("c")), "classes")
+
+    tile = Window.partitionBy("tile")
+    shared = (document_tiles(rows.where("id is not null"), k, num, den)
+              .select("tile", "s1", F.min("s1").over(tile).alias("lo"), F.max("s1").over(tile).alias("hi"))
+              .where("lo < hi").select("tile", "s1").distinct())
+    members = written(shared.join(classes.select("s1", "c", "n"), "s1").select("tile", "c", "n"), "members")
+    first = F.min(F.struct("c", "n")).over(tile)
+    meet = (members.withColumn("first", first).where("c <> first.c")
+            .select(F.col("first.c").alias("a"), F.col("c").alias("b")).distinct())
+    families = connected(meet).toDF("c", "family")
+    sized = families.join(classes.select("c", "n"), "c")
+    loads = written(sized.groupBy("family").agg(F.sum("n").alias("load")).where(F.col("load") > family), "loads")
+    gathered = written(families.join(loads, "family", "left_anti"), "families")
+    texts = rows.join(gathered.select(F.col("c").alias("id"), "family"), "id")
+    each = texts.repartition("family").sortWithinPartitions("family", "id")
+    labels = gathered_components(each, k, num, den).distinct()
+    if not loads.isEmpty():
+        apart = families.join(loads, "family", "left_semi")
+        labels = labels.union(apart_components(rows, members.join(apart.select("c"), "c", "left_semi"), k, num, den))
 
     found = classes.join(labels.withColumnRenamed("node", "c"), "c", "left").select(
         "n", "s1", "s2", F.coalesce("component", "c").alias("component"))

@@ -24,6 +24,18 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted(docs, model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from roomrate.llm.html_extract import extracted
+
+    return extracted(read_table(spark, sf_dir, "pages"))
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from roomrate.llm.line_dedup import without_boilerplate
+
+    return without_boilerplate(read_table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from roomrate.llm.mixing import scheduled
 
@@ -36,6 +48,24 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded(read_table(spark, sf_dir, "documents"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from roomrate.llm.pii import private_spans
+
+    return private_spans(read_table(spark, sf_dir, "documents"))
+
+
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from roomrate.llm.suffix_dedup import repeated_passages
+
+    return repeated_passages(read_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_repeated", "n_duplicate")
+
+
+def op9_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from roomrate.llm.hnsw import neighbours
+
+    return neighbours(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from roomrate.llm.decontaminate import contamination, digest
 
@@ -48,8 +78,13 @@ MIX_DEFAULT = 1
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op2_language_id, op5_mixing, op6_sharding, op10_decontaminate)}
+    return {f.__name__: f for f in (
+        op1_ngram_jaccard, op2_language_id, op3_html_extract, op4_line_dedup, op5_mixing, op6_sharding, op7_pii,
+        op8_suffix_dedup, op9_hnsw, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Twins of the operators that SQL expresses; the others are tested against brute force."""
+    from roomrate.llm import line_dedup, suffix_dedup
+
+    return {"op4_line_dedup": line_dedup.sql(), "op8_suffix_dedup": suffix_dedup.sql()}

@@ -54,13 +54,13 @@ def near_corpus(seed):
     return [(i * 3 + 1, t) for i, t in enumerate(rows)]
 
 
-@pytest.mark.parametrize("seed,k,num", [(1, 4, 85), (2, 5, 80), (3, 2, 60)])
-def test_near_components_equal_brute_force(spark, seed, k, num):
+@pytest.mark.parametrize("seed,k,num,family", [(1, 4, 85, 10**6), (2, 5, 80, 10**6), (3, 2, 60, 10**6), (4, 4, 85, 100), (5, 2, 70, 0)])
+def test_near_components_equal_brute_force(spark, seed, k, num, family):
     from roomrate.llm.ngram_jaccard import near_components
 
     rows = near_corpus(seed)
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", F.lit(1)).withColumn("tile", F.lit("x"))
-    got = sorted(map(tuple, near_components(df, k, num, 100).collect()))
+    got = sorted(map(tuple, near_components(df, k, num, 100, family=family).collect()))
     assert got == components(rows, k, num, 100)
 
 
