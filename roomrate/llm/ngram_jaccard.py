@@ -11,15 +11,17 @@ the exact intersection of sorted arrays.
   content of the range): linked sets meet in a tile, for certain, and unlike sets hardly ever do, as a
   tile asks for some five equal n-grams. (A set with more than `spare` empty ranges also enters the
   tiles of its empty ranges, which keeps the guarantee.)
-* Sets that meet, directly or through others, are a family. A link only joins sets of one family, so a
-  family's components are worked out where its texts are gathered, in one pass over tables sorted by family:
-  rows of different components are compared until none is left, so that copies of one text soon count as one.
+* Within a tile, bitmaps are compared: one bit per hash value modulo the bitmap's length. Each bit that differs
+  is one n-gram outside the intersection, so (a + b - differing bits) / 2 bounds the overlap from above. A tile
+  is walked from set to set among those not reached yet, so a tile of like sets takes about one comparison
+  for each. Tiles of the same sets are compared once; a tile of more than TILE sets is cut into blocks, and
+  each pair of blocks is compared.
+* Sets that the bound lets through, directly or through others, are a family. A link only joins sets of one
+  family, so a family's components are worked out where its texts are gathered: exact intersection of the
+  sorted arrays of n-grams, between rows of different components until none is left.
 * A family of more than FAMILY n-grams in all is never gathered. Within its tiles each set is compared with one
   leader, the set that meets the most others; links give a first clustering. Only tiles that still hold
   several clusters go on: further leaders, then every pair of different clusters.
-* A comparison first uses bitmaps (one bit per hash value modulo the bitmap's length): each bit that
-  differs is one n-gram outside the intersection, so (a + b - differing bits) / 2 bounds the overlap from
-  above. Pairs that pass are intersected exactly from the whole texts.
 
 Defined results: null or blank text has no n-grams and links with nothing; a text of fewer than k words
 is one n-gram; repeated rows and equal texts link; a null id is returned with its own null component;
@@ -39,6 +41,8 @@ from roomrate.llm import textops as X
 from roomrate.llm.components import connected
 from roomrate.llm.storage import written
 
+#: sets of a tile that are compared in one place (2 to 4 bits per n-gram each)
+TILE = 4096
 #: n-grams of a family that is compared in one place (32 MB of hashes)
 FAMILY = 4_000_000
 #: rounds with further leaders before all remaining pairs of clusters of a larger family are compared
@@ -206,6 +210,72 @@ def _exact(pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
+def reached(n: np.ndarray, bits: list[bytes], num: int, den: int) -> np.ndarray:
+    """Group of each set of a tile: sets that the bound lets through, directly or through others."""
+    length = min(map(len, bits))
+    maps = []
+    for x in bits:
+        x = np.frombuffer(x, np.uint8)
+        while len(x) > length:
+            x = x[: len(x) // 2] | x[len(x) // 2:]
+        maps.append(x)
+    maps = np.stack(maps).view(np.uint64)
+    group = np.full(len(n), -1)
+    left = np.arange(len(n))
+    while len(left):
+        group[left[0]] = left[0]
+        queue, left = [left[0]], left[1:]
+        while queue and len(left):
+            i = queue.pop()
+            xor = np.bitwise_count(maps[left] ^ maps[i]).sum(axis=1, dtype=np.int64)
+            most = np.minimum((n[i] + n[left] - xor) // 2, np.minimum(n[i], n[left]))
+            near = den * most >= num * (n[i] + n[left] - most)
+            if near.any():
+                group[left[near]] = group[i]
+                queue += left[near].tolist()
+                left = left[~near]
+    return group
+
+
+def tile_links(members: DataFrame, bits: DataFrame, num: int, den: int, limit: int = TILE) -> DataFrame:
+    """(a, b): links that span the groups of sets in each tile of members (tile, c, n) that the bound lets through."""
+    h = F.xxhash64("c")
+    same = (members.groupBy("tile").agg(F.count("*").alias("m"), F.bit_xor(h).alias("x"), F.bit_xor(F.xxhash64("c", F.lit(1))).alias("y"))
+            .groupBy("m", "x", "y").agg(F.min("tile").alias("tile")))
+    blocks = F.ceil(F.col("m") / limit).cast("int")
+    block = F.pmod(h, F.col("blocks")).cast("int")
+    dealt = (members.join(same.select("tile", blocks.alias("blocks")), "tile").withColumn("block", block)
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+             .select(F.xxhash64("tile", F.least("block", "other"), F.greatest("block", "other")).alias("at"), "c", "n"))
+    rows = dealt.join(bits, "c").repartition("at").sortWithinPartitions("at", "c")
+
+    def done(table):
+        at, c, n = (table.column(x).to_numpy() for x in ("at", "c", "n"))
+        bits = table.column("bits").to_pylist()
+        cuts = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+        low = np.empty(len(c), np.int64)
+        for lo, hi in zip(cuts, np.append(cuts[1:], len(c)), strict=True):
+            low[lo:hi] = c[lo:hi][reached(n[lo:hi], bits[lo:hi], num, den)]
+        pairs = np.unique(np.stack([low, c], 1)[low != c], axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], names=["a", "b"])
+
+    return rows.mapInArrow(lambda batches: by_key(batches, "at", done), "a long, b long").distinct()
+
+
+def by_key(batches, key: str, done):
+    """done(table) of runs of rows that hold whole groups of equal, sorted keys."""
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        keys = table.column(key).to_numpy()
+        cut = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
+        if cut:
+            yield done(table.slice(0, cut))
+        held = table.slice(cut)
+    if held is not None and held.num_rows:
+        yield done(held)
+
+
 def family_components(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
     """Component number of each of the sets of one family."""
     n = len(sets)
@@ -269,19 +339,7 @@ def gathered_components(rows: DataFrame, k: int, num: int, den: int) -> DataFram
                 low[lo:hi][up == c] = own[up == c].min()
         return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(low)], names=["node", "component"])
 
-    def run(batches):
-        held = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            family = table.column("family").to_numpy()
-            cut = int(np.searchsorted(family, family[-1])) if len(family) else 0
-            if cut:
-                yield done(table.slice(0, cut))
-            held = table.slice(cut)
-        if held is not None and held.num_rows:
-            yield done(held)
-
-    return rows.mapInArrow(run, "node long, component long")
+    return rows.mapInArrow(lambda batches: by_key(batches, "family", done), "node long, component long")
 
 
 def apart_components(rows: DataFrame, members: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -345,19 +403,16 @@ def near_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     """(doc_id, n_shingles, component_id) of every row of docs: the size of its n-gram set and the smallest
     id that it reaches over links of Jaccard similarity >= num / den (itself included)."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sets = written(document_sets(rows, k), "sets")
+    sets = written(document_sets(rows, k, bits=True), "sets")
     classes = written(sets.where("n > 0 and id is not null").groupBy("n", "s1", "s2")
-                      .agg(F.min("id").alias("c")), "classes")
+                      .agg(F.min("id").alias("c"), F.any_value("bits").alias("bits")), "classes")
 
     tile = Window.partitionBy("tile")
     shared = (document_tiles(rows.where("id is not null"), k, num, den)
               .select("tile", "s1", F.min("s1").over(tile).alias("lo"), F.max("s1").over(tile).alias("hi"))
               .where("lo < hi").select("tile", "s1").distinct())
     members = written(shared.join(classes.select("s1", "c", "n"), "s1").select("tile", "c", "n"), "members")
-    first = F.min(F.struct("c", "n")).over(tile)
-    meet = (members.withColumn("first", first).where("c <> first.c")
-            .select(F.col("first.c").alias("a"), F.col("c").alias("b")).distinct())
-    families = connected(meet).toDF("c", "family")
+    families = connected(tile_links(members, classes.select("c", "bits"), num, den)).toDF("c", "family")
     sized = families.join(classes.select("c", "n"), "c")
     loads = written(sized.groupBy("family").agg(F.sum("n").alias("load")).where(F.col("load") > family), "loads")
     gathered = written(families.join(loads, "family", "left_anti"), "families")
