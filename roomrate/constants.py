@@ -93,7 +93,7 @@ PROFILE_EXCLUDED = (
 # FIXED VALUES — models
 # ---------------------------------------------------------------------------
 GBT_PARAMS = {"maxDepth": 8, "maxIter": 200, "stepSize": 0.1}
-TEST_SHARE = 0.25
+FOREST_PARAMS = {"numTrees": 100, "maxDepth": 30, "featureSubsetStrategy": "all"}
 STRATIFIED_SHARES = (0.6, 0.2, 0.2)
 PERIOD_COMBOS = (("available_year_avg", "min_nights_year_avg", "price_year_avg"),)
 KBEST_CANDIDATES = (125, 124, 123, 122, 121, 100, 75)

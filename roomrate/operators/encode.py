@@ -1,41 +1,77 @@
 """Encoding and simple imputation.
 
-Data-dependent layouts (multi-hot columns, category codes) need a
-vocabulary. It is computed distributedly (explode -> distinct, map-side
-combined) and only the sorted distinct tokens reach the driver, behind a
-`max_tokens` guard: a vocabulary is bounded by construction, the data is not.
-Above the guard use `multi_hot_vector` (sparse ML vector, no wide schema).
+The wide multi-hot layout (one column per token) needs the vocabulary on the
+driver, as it becomes a schema; it is for vocabularies of WIDE_TOKENS at most.
+`multi_hot_sets` has no such bound: the tokens of each row stay an array, and
+codes come from a rank table that is joined, so nothing is collected. Category
+codes use the same rank table.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from roomrate.functions.scalar import min_max_scaled
 
-MAX_TOKENS = 2000
+WIDE_TOKENS = 2000  # widest schema that multi_hot builds; a larger vocabulary takes multi_hot_sets
 
 
-def vocabulary(df: DataFrame, tokens_col: str, max_tokens: int = MAX_TOKENS) -> list[str]:
-    """Sorted distinct non-empty tokens of an array column (guarded collect of the vocabulary only)."""
-    vocab = (df.select(F.explode(F.col(tokens_col)).alias("t")).where(F.col("t") != "")
-             .distinct().orderBy("t").limit(max_tokens + 1).collect())
-    if len(vocab) > max_tokens:
-        raise ValueError(f"vocabulary of {tokens_col} exceeds {max_tokens} tokens; use multi_hot_vector")
-    return [r["t"] for r in vocab]
+def ranked(values: DataFrame, column: str) -> DataFrame:
+    """(column, rank): 0, 1, ... over the distinct non-NULL values in ascending order, by a range sort.
+    Rows get their place within a sorted partition; partitions are moved up by the counts before them."""
+    from roomrate.session import cut_lineage
 
+    mask = (1 << 33) - 1
+    ordered = cut_lineage(values.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column)
+                          .withColumn("_id", F.monotonically_increasing_id()))
+    part = F.shiftright("_id", 33)
+    counts = ordered.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    moved = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return (ordered.withColumn("_part", part).join(moved, "_part")
+            .select(column, (F.col("_before") + F.col("_id").bitwiseAND(F.lit(mask))).alias("rank")))
 
-def multi_hot(df: DataFrame, tokens_col: str, vocab: list[str] | None = None, drop_tokens: bool = True,
-              max_tokens: int = MAX_TOKENS) -> DataFrame:
+
+def token_table(df: DataFrame, tokens_col: str) -> DataFrame:
+    """Distinct non-empty tokens of an array column, one row each (any size)."""
+    return df.select(F.explode(F.col(tokens_col)).alias("token")).where(F.col("token") != "").distinct()
+
+
+def vocabulary(df: DataFrame, tokens_col: str, wide_tokens: int = WIDE_TOKENS) -> list[str] | None:
+    """Sorted distinct tokens if a wide schema can hold them, else None."""
+    vocab = token_table(df, tokens_col).orderBy("token").limit(wide_tokens + 1).collect()
+    return [r["token"] for r in vocab] if len(vocab) <= wide_tokens else None
+
+
+def multi_hot(df: DataFrame, tokens_col: str, vocab: list[str] | None = None, drop_tokens: bool = True) -> DataFrame:
     """One 0/1 int column per vocabulary token (sorted by name), in ONE select.
-    Set-valued: a token repeated in a row still gives 1; '' never makes a column."""
-    vocab = vocab if vocab is not None else vocabulary(df, tokens_col, max_tokens)
+    Set-valued: a token repeated in a row still gives 1; '' never makes a column. A token that
+    is also the name of a column raises, as silently replacing that column would lose data."""
+    if vocab is None:
+        vocab = vocabulary(df, tokens_col)
+        if vocab is None:
+            raise ValueError(f"{tokens_col} has more than {WIDE_TOKENS} tokens: use multi_hot_sets")
+    base = [c for c in df.columns if not (drop_tokens and c == tokens_col)]
+    clash = sorted(set(base) & set(vocab))
+    if clash:
+        raise ValueError(f"tokens of {tokens_col} are also columns: {', '.join(clash)}")
     flags = [F.array_contains(F.col(tokens_col), F.lit(v)).cast("int").alias(v) for v in vocab]
-    base = [c for c in df.columns if not (drop_tokens and c == tokens_col) and c not in vocab]
     return df.select(*base, *flags)
 
 
+def multi_hot_sets(df: DataFrame, tokens_col: str, out_col: str = "token_codes") -> DataFrame:
+    """df with the sorted codes of each row's tokens, for vocabularies of any size; the code of a token is its
+    rank in the sorted vocabulary, so code i is column i of the wide layout. (E3)"""
+    codes = ranked(token_table(df, tokens_col), "token")
+    keyed = df.withColumn("_own", F.array_sort(F.array_distinct(tokens_col)))
+    # rows with equal token sets share one lookup
+    sets = (keyed.select("_own").distinct().withColumn("token", F.explode("_own")).join(codes, "token")
+            .groupBy("_own").agg(F.array_sort(F.collect_list("rank")).alias("_codes")))
+    return (keyed.join(sets, "_own", "left")
+            .select(*df.columns, F.coalesce(F.col("_codes"), F.array().cast("array<bigint>")).alias(out_col)))
+
+
 def multi_hot_vector(df: DataFrame, tokens_col: str, out_col: str = "amenity_vec", min_df: float = 1.0):
     """Sparse binary vector for wide vocabularies (the model edge). Returns (df, fitted vectorizer)."""
     from pyspark.ml.feature import CountVectorizer
@@ -45,15 +81,12 @@ def multi_hot_vector(df: DataFrame, tokens_col: str, out_col: str = "amenity_vec
     return model.transform(df.withColumn(tokens_col, F.filter(F.col(tokens_col), lambda t: t != ""))), model
 
 
-def category_codes(df: DataFrame, column: str, out_col: str | None = None, max_categories: int = MAX_TOKENS) -> DataFrame:
-    """Ordinal codes in sorted category order; missing -> -1. (E5)"""
-    cats = (df.select(F.col(column).alias("c")).where(F.col("c").isNotNull()).distinct()
-            .orderBy("c").limit(max_categories + 1).collect())
-    if len(cats) > max_categories:
-        raise ValueError(f"{column} has more than {max_categories} categories")
-    arr = F.array(*[F.lit(r["c"]) for r in cats]) if cats else F.array().cast("array<string>")
-    code = F.coalesce(F.array_position(arr, F.col(column)).cast("int") - 1, F.lit(-1))
-    return df.withColumn(out_col or f"{column}_code", code)
+def category_codes(df: DataFrame, column: str, out_col: str | None = None) -> DataFrame:
+    """Ordinal codes in sorted category order; missing -> -1. Any number of categories: the codes are a
+    rank table joined to the rows (Spark broadcasts it when small). (E5)"""
+    codes = ranked(df, column).withColumnRenamed("rank", "_rank")
+    return (df.join(codes, column, "left")
+            .select(*df.columns, F.coalesce(F.col("_rank"), F.lit(-1)).cast("int").alias(out_col or f"{column}_code")))
 
 
 def mean_fill(df: DataFrame, columns) -> DataFrame:

@@ -47,11 +47,6 @@ def exclude_key(df: DataFrame, column: str, key) -> DataFrame:
     return df.where(not_equal_key(column, key))
 
 
-def band_filter(df: DataFrame, columns, low=None, high=None) -> DataFrame:
-    """low <= c <= high for every column. (P7 building block)"""
-    return df.where(all_within(columns, low, high))
-
-
 def columns_differ(df: DataFrame, a: str, b: str) -> DataFrame:
     """Rows where a != b with pandas semantics."""
     return df.where(not_equal_pandas(a, b))
@@ -70,10 +65,6 @@ def tag_segments(df: DataFrame, segments: dict[str, Column], tag: str = "segment
     return df.withColumn(tag, F.explode(F.filter(names, lambda x: x.isNotNull())))
 
 
-def segment(df: DataFrame, predicate: Column) -> DataFrame:
-    return df.where(predicate)
-
-
 def feature_projection(df: DataFrame, drop, re_add=(), label: str | None = None, keep=()) -> DataFrame:
     """Feature/label projection for a period combo: drop the period columns, re-append the
     chosen ones at the end, and carry the label. (P11)"""

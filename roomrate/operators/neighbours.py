@@ -10,8 +10,8 @@ Spark plan (no nested loop, no per-row Python):
               each target's non-NULL values (copies at one coordinate collapse
               map-side), tagged with their grid cell (side = half-width / K);
   2. probes = the coordinates of that same aggregate holding a row that misses
-              a target, exploded to the (2K+1) x (2K+1) neighbouring cells
-              (one aggregate, one shuffle, feeds both sides);
+              a target, exploded to the (2K+1) x (2K+1) neighbouring cells;
+              the aggregate is written once and feeds both sides and the cells;
   3. equi-join on (category, cell_x, cell_y) + the exact strict box predicate,
      partial sums per probe (the join output is aggregated in the same stage);
   4. left-join the means back on (category, lat, lon) and coalesce.
@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roomrate import constants as K
+from roomrate.session import written
 
 # cell side = half-width / K * (1 + CELL_SLACK): every neighbour then lies within K cells of the
 # probe's cell on each axis, with slack far above rounding error. Candidate area per probe is
@@ -47,29 +48,27 @@ def _missing(col: str, zero_is_missing: bool):
     return (c.isNull() | (c == 0)) if zero_is_missing else c.isNull()
 
 
-def neighbour_means(df: DataFrame, targets, category: str = "room_type", lat: str = "latitude",
-                    lon: str = "longitude", half_lat: float = K.NEIGHBOUR_LAT_HALF_WIDTH,
-                    half_lon: float = K.NEIGHBOUR_LON_HALF_WIDTH, zero_is_missing: bool = False,
-                    k: int | None = None) -> DataFrame:
-    """(category, lat, lon, <t>_nbr_mean...) for every probe coordinate (rows missing any target).
+def neighbour_sums(df: DataFrame, targets, probe, category: str = "room_type", lat: str = "latitude",
+                   lon: str = "longitude", half_lat: float = K.NEIGHBOUR_LAT_HALF_WIDTH,
+                   half_lon: float = K.NEIGHBOUR_LON_HALF_WIDTH, k: int | None = None) -> DataFrame:
+    """(category, lat, lon, _s_<t>, _n_<t>, ...): sum and count of each target over the open box around every
+    coordinate at which `probe` holds for some row. (J5 without the pairs)
 
     A probe's (2k+1)^2 neighbouring cells split in two: cells lying wholly inside its open
     box (with a margin far above rounding error) contribute their per-cell pre-aggregated
-    sums — one row per cell, no point pairs — and only boundary cells compare individual
+    sums (one row per cell, no point pairs) and only boundary cells compare individual
     coordinates against the exact strict predicate."""
     targets = list(targets)
     k = k or INTERIOR_CELLS_PER_HALF_WIDTH
     cell_lat, cell_lon = half_lat / k * (1 + CELL_SLACK), half_lon / k * (1 + CELL_SLACK)
 
-    # ONE aggregate per exact coordinate feeds both sides: sums/counts for the build side and a
-    # "some row here misses a target" flag that selects the probe coordinates
-    any_missing = reduce(lambda a, b: a | b, [_missing(t, zero_is_missing) for t in targets])
+    # ONE aggregate per exact coordinate, written once, feeds the build side, the cells and the probes
     sums = [f"_s_{t}" for t in targets] + [f"_n_{t}" for t in targets]
-    coords = (df.where(F.col(category).isNotNull() & F.col(lat).isNotNull() & F.col(lon).isNotNull())
-              .groupBy(category, lat, lon)
-              .agg(*[F.sum(F.col(t).cast("double")).alias(f"_s_{t}") for t in targets],
-                   *[F.count(F.col(t)).alias(f"_n_{t}") for t in targets],
-                   F.max(any_missing).alias("_probe")))
+    coords = written(df.where(F.col(category).isNotNull() & F.col(lat).isNotNull() & F.col(lon).isNotNull())
+                     .groupBy(category, lat, lon)
+                     .agg(*[F.sum(F.col(t).cast("double")).alias(f"_s_{t}") for t in targets],
+                          *[F.count(F.col(t)).alias(f"_n_{t}") for t in targets],
+                          F.max(probe).alias("_probe")), "coordinates")
     points = (coords.withColumn("_cx", F.floor(F.col(lat) / cell_lat))
               .withColumn("_cy", F.floor(F.col(lon) / cell_lon))
               .drop("_probe")
@@ -96,8 +95,18 @@ def neighbour_means(df: DataFrame, targets, category: str = "room_type", lat: st
     core = (probes.where(F.col("_interior"))
             .join(cells, on=[category, "_cx", "_cy"], how="inner")
             .select(category, lat, lon, *sums))
-    return (edge.unionByName(core).groupBy(category, lat, lon)
-            .agg(*[F.try_divide(F.sum(f"_s_{t}"), F.sum(f"_n_{t}")).alias(f"{t}_nbr_mean") for t in targets]))
+    return edge.unionByName(core).groupBy(category, lat, lon).agg(*[F.sum(c).alias(c) for c in sums])
+
+
+def neighbour_means(df: DataFrame, targets, category: str = "room_type", lat: str = "latitude",
+                    lon: str = "longitude", half_lat: float = K.NEIGHBOUR_LAT_HALF_WIDTH,
+                    half_lon: float = K.NEIGHBOUR_LON_HALF_WIDTH, zero_is_missing: bool = False,
+                    k: int | None = None) -> DataFrame:
+    """(category, lat, lon, <t>_nbr_mean...) for every coordinate with a row that misses any target."""
+    targets = list(targets)
+    any_missing = reduce(lambda a, b: a | b, [_missing(t, zero_is_missing) for t in targets])
+    sums = neighbour_sums(df, targets, any_missing, category, lat, lon, half_lat, half_lon, k)
+    return sums.select(category, lat, lon, *[F.try_divide(f"_s_{t}", f"_n_{t}").alias(f"{t}_nbr_mean") for t in targets])
 
 
 def neighbour_fill(df: DataFrame, targets, round_result: bool, category: str = "room_type",

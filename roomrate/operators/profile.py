@@ -5,18 +5,19 @@ driver (one row per column, per bin, per quantile). Exact quartiles use a
 selection scheme instead of Spark's `percentile` (whose final buffer holds
 every distinct value in one task):
 
-  1. n per column and approximate quantiles bracketing each target rank
-     (`percentile_approx`, rank error <= n / accuracy);
-  2. one aggregate: rows below the bracket and rows inside it;
-  3. only rows inside the brackets are ranked (window per target), so the
-     ranked set is bounded by targets x bracket width, not by n.
-A bracket that misses (cannot happen within the sketch's guarantee) is
-widened and retried. Interpolation matches pandas/numpy 'linear'.
+  1. one aggregate to (column, value, count): copies collapse map-side, so a
+     value that a third of all rows hold is one row from here on;
+  2. each wanted rank keeps a bracket of values. A round cuts every bracket
+     into SELECT_BINS equal bins and sums the counts of each; a running sum
+     over the bins of a bracket (never over rows or values) finds the bin that
+     holds the rank, and the least and greatest value in it are the next bracket;
+  3. a bracket of one value is the answer. Brackets of a column are equal or
+     disjoint, so a value is in one at most: rows are never multiplied.
+Interpolation matches pandas/numpy 'linear'.
 """
 
 from __future__ import annotations
 
-import math
 from itertools import combinations
 
 from pyspark.sql import DataFrame, Window
@@ -25,8 +26,7 @@ from pyspark.sql import types as T
 
 from roomrate.functions.scalar import safe_corr
 
-BRACKET_ROWS = 2_000_000      # target rows ranked per order statistic
-MAX_ACCURACY = 2_000_000_000  # percentile_approx accuracy is an int
+SELECT_BINS = 1024  # bins of a bracket per selection round
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
 
@@ -96,104 +96,74 @@ def column_profile(df: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 # A10, A13 exact quantiles, describe, box statistics
 # ---------------------------------------------------------------------------
-def exact_quantiles(df: DataFrame, columns, probs, accuracy: int = 10000, max_rounds: int = 6,
-                    materialise: bool = True) -> DataFrame:
-    """(column, p, quantile) with linear interpolation between order statistics.
-
-    The selection makes several passes. With `materialise`, only the projected columns are
-    checkpointed once into the shared folder (a narrow write), so an expensive input plan
-    (e.g. a de-duplicated calendar) is not recomputed per pass; nothing is cached in memory."""
-    probs = list(probs)
-    src = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    if materialise:
-        from roomrate.session import cut_lineage
-
-        src = cut_lineage(src)
-    long = unpivot_values(src, columns)
-    ns = {r["column"]: r["n"] for r in long.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
-    targets = []  # (column, p, rank_lo, rank_hi, frac)
-    for c, n in ns.items():
-        for p in probs:
-            h = (n - 1) * p
-            lo = int(math.floor(h))
-            hi = min(lo + 1, n - 1)
-            targets.append((c, float(p), lo, hi, float(h - lo)))
-    ranks = sorted({(c, r) for c, _, lo, hi, _ in targets for r in (lo, hi)})
-    values = _select_ranks(long, ranks, ns, accuracy, max_rounds)
-    rows = [(c, p, values[(c, lo)] + f * (values[(c, hi)] - values[(c, lo)]) if f else values[(c, lo)])
-            for c, p, lo, hi, f in targets]
-    return df.sparkSession.createDataFrame(rows, "column string, p double, quantile double")
-
-
-def _select_ranks(long: DataFrame, ranks, ns: dict, accuracy: int, max_rounds: int,
-                  tie: str | None = None) -> dict:
-    """0-based order statistics {(column, rank): value} (or (value, tie) when a tie-break
-    column is given) by bracket + bounded ranking. `long` has columns (column, value[, tie])."""
-    spark = long.sparkSession
-    pending = list(ranks)
-    out: dict = {}
-    # the bracket holds ~8 n / accuracy rows (ranked in one task per target): scale the sketch
-    # accuracy with n so a bracket stays near BRACKET_ROWS rows whatever the input size
-    n_max = max([ns[c] for c, _ in pending] or [1])
-    accuracy = int(min(MAX_ACCURACY, max(accuracy, math.ceil(8 * n_max / BRACKET_ROWS))))
-    width = 4.0 / accuracy
-    order = ["value"] + ([tie] if tie else [])
-    for _ in range(max_rounds):
-        if not pending:
-            break
-        # approximate brackets for every pending rank
-        qs_of = {}
-        for c, r in pending:
-            n = ns[c]
-            q = r / (n - 1) if n > 1 else 0.0
-            qs_of[(c, r)] = (max(0.0, q - width), min(1.0, q + width))
-        allp = sorted({p for v in qs_of.values() for p in v})
-        cols = sorted({c for c, _ in pending})
-        approx_rows = (long.where(F.col("column").isin(cols)).groupBy("column")
-                       .agg(F.percentile_approx("value", allp, accuracy).alias("qs")).collect())
-        qmap = {(row["column"], p): row["qs"][i] for row in approx_rows for i, p in enumerate(allp)}
-        brackets = [(c, r, qmap[(c, lo)], qmap[(c, hi)]) for (c, r), (lo, hi) in qs_of.items()]
-        bdf = spark.createDataFrame(brackets, "column string, rank long, lo double, hi double")
-        j = long.join(F.broadcast(bdf), on="column")  # brackets: one row per pending rank (bounded)
-        counts = {(row["column"], row["rank"]): (row["below"], row["inside"]) for row in
-                  j.groupBy("column", "rank").agg(
-                      F.count_if(F.col("value") < F.col("lo")).alias("below"),
-                      F.count_if((F.col("value") >= F.col("lo")) & (F.col("value") <= F.col("hi"))).alias("inside"),
-                  ).collect()}
-        good = [(c, r) for c, r, _, _ in brackets
-                if (c, r) in counts and counts[(c, r)][0] <= r < counts[(c, r)][0] + counts[(c, r)][1]]
-        if good:
-            gdf = spark.createDataFrame([(c, r, counts[(c, r)][0]) for c, r in good],
-                                        "column string, rank long, below long")
-            band = (j.join(F.broadcast(gdf), on=["column", "rank"])
-                    .where((F.col("value") >= F.col("lo")) & (F.col("value") <= F.col("hi"))))
-            w = Window.partitionBy("column", "rank").orderBy(*order)
-            picked = (band.withColumn("_rn", F.row_number().over(w) - 1 + F.col("below"))
-                      .where(F.col("_rn") == F.col("rank")).select("column", "rank", *order).collect())
-            for row in picked:
-                out[(row["column"], row["rank"])] = (row["value"], row[tie]) if tie else row["value"]
-        pending = [(c, r) for c, r in pending if (c, r) not in out]
-        width *= 4
-    if pending:
-        raise RuntimeError(f"order-statistic selection did not converge for {pending[:3]}")
-    return out
-
-
-def order_statistics(long: DataFrame, ranks, ns: dict, tie: str | None = None,
-                     accuracy: int = 10000) -> dict:
-    """Public entry: {(group, rank): value or (value, tie)} for (group, rank) pairs; `long` has
-    columns (column = group, value double[, tie])."""
-    return _select_ranks(long, ranks, ns, accuracy, 8, tie)
+def value_counts(df: DataFrame, columns) -> DataFrame:
+    """(column, value, n) of the non-NULL values of the columns, written once: every round of a selection
+    reads it, and an expensive input (e.g. a de-duplicated calendar) is computed once."""
+    from roomrate.session import written
+
+    return written(unpivot_values(df, columns).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")), "value-counts")
+
+
+def order_statistics(counts: DataFrame, ranks: DataFrame) -> DataFrame:
+    """(column, rank, value, below) for the 0-based ranks (column, rank) over counts (column, value, n); `below`
+    rows of the column have a smaller value."""
+    from roomrate.session import written
+
+    spread = counts.groupBy("column").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    pending = ranks.distinct().join(spread, "column").withColumn("below", F.lit(0).cast("bigint"))
+    answers = None
+    while True:
+        pending = written(pending.select("column", "rank", "lo", "hi", "below"), "brackets")
+        found = pending.where(F.col("lo") == F.col("hi")).select("column", "rank", F.col("lo").alias("value"), "below")
+        answers = found if answers is None else answers.unionByName(found)
+        open_ = pending.where(F.col("lo") < F.col("hi"))
+        if open_.isEmpty():
+            return answers
+        brackets = open_.select("column", "lo", "hi", "below").distinct()
+        share = (F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo"))
+        bins = (counts.join(brackets, "column").where((F.col("value") >= F.col("lo")) & (F.col("value") <= F.col("hi")))
+                .withColumn("bin", F.least(F.floor(share * SELECT_BINS), F.lit(SELECT_BINS - 1)))
+                .groupBy("column", "lo", "below", "bin")
+                .agg(F.sum("n").alias("inside"), F.min("value").alias("first"), F.max("value").alias("last")))
+        before = Window.partitionBy("column", "lo").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+        bins = bins.withColumn("start", F.col("below") + F.coalesce(F.sum("inside").over(before), F.lit(0))).drop("below")
+        pending = (open_.select("column", "rank", "lo").join(bins, ["column", "lo"])
+                   .where((F.col("rank") >= F.col("start")) & (F.col("rank") < F.col("start") + F.col("inside")))
+                   .select("column", "rank", F.col("first").alias("lo"), F.col("last").alias("hi"), F.col("start").alias("below")))
+
+
+def exact_quantiles(df: DataFrame, columns, probs) -> DataFrame:
+    """(column, p, quantile) with linear interpolation between order statistics."""
+    return _quantiles(value_counts(df, columns), probs)
+
+
+def _quantiles(counts: DataFrame, probs) -> DataFrame:
+    p = F.explode(F.array(*[F.lit(float(x)) for x in probs])).alias("p")
+    wanted = (counts.groupBy("column").agg(F.sum("n").alias("total")).select("column", "total", p)
+              .withColumn("at", (F.col("total") - 1) * F.col("p")).withColumn("rank", F.floor("at"))
+              .withColumn("next", F.least(F.col("rank") + 1, F.col("total") - 1)).withColumn("part", F.col("at") - F.col("rank")))
+    ranks = wanted.select("column", "rank").union(wanted.select("column", F.col("next").alias("rank")))
+    values = order_statistics(counts, ranks).select("column", "rank", "value")
+    upper = values.select("column", F.col("rank").alias("next"), F.col("value").alias("upper"))
+    return (wanted.join(values, ["column", "rank"]).join(upper, ["column", "next"])
+            .select("column", "p", F.when(F.col("part") > 0, F.col("value") + F.col("part") * (F.col("upper") - F.col("value")))
+                    .otherwise(F.col("value")).alias("quantile")))
 
 
 def describe(df: DataFrame, columns=None) -> DataFrame:
     """(column, count, mean, std, min, q25, q50, q75, max) — pandas describe(), exact quartiles. (A10)"""
     cols = list(columns) if columns is not None else numeric_columns(df)
-    long = unpivot_values(df, cols)
-    stats = long.groupBy("column").agg(
-        F.count(F.lit(1)).cast("double").alias("count"), F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
-    q = exact_quantiles(df, cols, [0.25, 0.5, 0.75])
+    counts = value_counts(df, cols)
+    n, x = F.col("n"), F.col("value")
+    # moments of the distinct values weighted by their counts; deviations are taken from the mean
+    means = counts.groupBy("column").agg((F.sum(n * x) / F.sum(n)).alias("mean"), F.sum(n).alias("total"),
+                                         F.min(x).alias("min"), F.max(x).alias("max"))
+    spread = (counts.join(means.select("column", "mean"), "column").groupBy("column")
+              .agg(F.sum(n * (x - F.col("mean")) * (x - F.col("mean"))).alias("squares")))
+    stats = means.join(spread, "column").select(
+        "column", F.col("total").cast("double").alias("count"), "mean",
+        F.when(F.col("total") > 1, F.sqrt(F.col("squares") / (F.col("total") - 1))).alias("std"), "min", "max")
+    q = _quantiles(counts, [0.25, 0.5, 0.75])
     qw = (q.groupBy("column").pivot("p", [0.25, 0.5, 0.75]).agg(F.first("quantile"))
           .withColumnsRenamed({"0.25": "q25", "0.5": "q50", "0.75": "q75"}))
     return stats.join(qw, on="column", how="left").select(
@@ -202,17 +172,15 @@ def describe(df: DataFrame, columns=None) -> DataFrame:
 
 def box_stats(df: DataFrame, column: str, whisker: float = 1.5) -> DataFrame:
     """Quartiles, 1.5*IQR whiskers (most extreme values inside the fences), outlier count."""
-    q = {r["p"]: r["quantile"] for r in exact_quantiles(df, [column], [0.25, 0.5, 0.75]).collect()}
-    q1, med, q3 = q[0.25], q[0.5], q[0.75]
-    iqr = q3 - q1
-    lo_f, hi_f = q1 - whisker * iqr, q3 + whisker * iqr
-    x = F.col(column)
-    inside = (x >= F.lit(lo_f)) & (x <= F.lit(hi_f))
-    return df.where(x.isNotNull()).agg(
-        F.lit(q1).alias("q1"), F.lit(med).alias("median"), F.lit(q3).alias("q3"), F.lit(iqr).alias("iqr"),
-        F.min(F.when(inside, x)).cast("double").alias("whisker_low"),
-        F.max(F.when(inside, x)).cast("double").alias("whisker_high"),
-        F.count_if(~inside).alias("outliers"))
+    counts = value_counts(df, [column])
+    q = {r["p"]: r["quantile"] for r in _quantiles(counts, [0.25, 0.5, 0.75]).collect()}
+    q1, med, q3 = q.get(0.25), q.get(0.5), q.get(0.75)
+    iqr = q3 - q1 if q else None
+    inside = F.col("value").between(q1 - whisker * iqr, q3 + whisker * iqr) if q else F.lit(False)
+    return counts.agg(
+        *[F.lit(v).cast("double").alias(k) for k, v in (("q1", q1), ("median", med), ("q3", q3), ("iqr", iqr))],
+        F.min(F.when(inside, F.col("value"))).alias("whisker_low"), F.max(F.when(inside, F.col("value"))).alias("whisker_high"),
+        F.coalesce(F.sum(F.when(~inside, F.col("n"))), F.lit(0)).alias("outliers"))
 
 
 # ---------------------------------------------------------------------------

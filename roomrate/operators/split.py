@@ -16,12 +16,11 @@ executor loss.
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roomrate.operators.profile import order_statistics
+from roomrate.session import written
 
 
 def key_hash52(key) -> Column:
@@ -39,42 +38,41 @@ def kfold(df: DataFrame, key: str, k: int = 5, out: str = "fold") -> DataFrame:
     return df.withColumn(out, F.pmod(key_hash52(key), F.lit(k)).cast("int"))
 
 
-def _cut_counts(n: int, first_share: float, second_share: float) -> tuple[int, int]:
-    """Sizes (train, val) for one label: the hold-out is ceil((1-first)*n), then split in half
-    with the test half rounded up."""
-    holdout = int(math.ceil(round((1 - first_share) * n, 10)))
-    test = int(math.ceil(round(second_share / (1 - first_share) * holdout, 10)))
-    return n - holdout, holdout - test
-
-
 def stratified_split(df: DataFrame, key: str, label: str, shares=(0.6, 0.2, 0.2), out: str = "part") -> DataFrame:
-    """part in {'train', 'val', 'test'} with exact per-label sizes. (M2)"""
-    spark = df.sparkSession
-    ordered = df.select(F.col(label).cast("string").alias("column"),
-                        key_hash52(key).cast("double").alias("value"), F.col(key).alias("_tie"))
-    ordered = ordered.where(F.col("column").isNotNull())
-    ns = {r["column"]: r["n"] for r in ordered.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
-    cuts, ranks = {}, []
-    for lab, n in ns.items():
-        n_train, n_val = _cut_counts(n, shares[0], shares[2])
-        cuts[lab] = (n_train, n_train + n_val)
-        ranks += [(lab, r) for r in cuts[lab] if r < n]
-    stats = order_statistics(ordered, ranks, ns, tie="_tie")
-    rows = []
-    for lab, n in ns.items():
-        a, b = cuts[lab]
-        ta = stats.get((lab, a), (None, None))
-        tb = stats.get((lab, b), (None, None))
-        rows.append((lab, ta[0], ta[1], tb[0], tb[1]))
-    th = spark.createDataFrame(rows, f"_lab string, a_v double, a_t {df.schema[key].dataType.simpleString()}, "
-                                     f"b_v double, b_t {df.schema[key].dataType.simpleString()}")
-    h = key_hash52(key).cast("double")
-    k = F.col(key)
-
-    def before(v, t):  # (h, key) < (v, t); a missing cut point means "everything is before"
-        return F.when(v.isNull(), F.lit(True)).otherwise((h < v) | ((h == v) & (k < t)))
+    """part in {'train', 'val', 'test'} with exact per-label sizes; NULL for a row without a label. (M2)
 
-    j = df.join(F.broadcast(th), F.col(label).cast("string") == F.col("_lab"), "left")  # one row per label
-    part = (F.when(before(F.col("a_v"), F.col("a_t")), F.lit("train"))
-            .when(before(F.col("b_v"), F.col("b_t")), F.lit("val")).otherwise(F.lit("test")))
-    return j.withColumn(out, part).drop("_lab", "a_v", "a_t", "b_v", "b_t")
+    Rows of a label are ordered by (hash of the key, key). The cut ranks are order statistics of the hash over
+    (label, hash, count); keys that share a cut's hash (collisions, repeated keys) are ordered among themselves
+    only. Labels may be many: cut points are a table that is joined, and nothing is collected."""
+    h = key_hash52(key).cast("double")
+    rows = df.withColumns({"_label": F.col(label).cast("string"), "_h": h})
+    counts = written(rows.where(F.col("_label").isNotNull()).groupBy(F.col("_label").alias("column"), F.col("_h").alias("value"))
+                     .agg(F.count(F.lit(1)).alias("n")), "split-counts")
+    total = counts.groupBy("column").agg(F.sum("n").alias("total"))
+    holdout = F.ceil(F.round((1 - shares[0]) * F.col("total"), 10))
+    test = F.ceil(F.round(shares[2] / (1 - shares[0]) * holdout, 10))
+    cuts = total.select("column", "total", (F.col("total") - holdout).alias("a"), (F.col("total") - test).alias("b"))
+    ranks = cuts.select("column", F.col("a").alias("rank"), "total").union(cuts.select("column", F.col("b").alias("rank"), "total"))
+    at = written(order_statistics(counts, ranks.where(F.col("rank") < F.col("total")).select("column", "rank")), "split-cuts")
+
+    # ranks of the few keys that share a hash with a cut point
+    ties = (rows.join(at.select(F.col("column").alias("_label"), F.col("value").alias("_h"), "below").distinct(), ["_label", "_h"])
+            .groupBy("_label", "_h", "below", F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n")))
+    order = Window.partitionBy("_label", "_h").orderBy("_key")
+    before = F.coalesce(F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ties = ties.select("_label", "_h", "_key", (F.col("below") + before).alias("_tied"))
+
+    point = lambda name: at.select(F.col("column").alias("_c"), F.col("rank").alias(name), F.col("value").alias(f"{name}_h"))
+    table = (cuts.withColumnRenamed("column", "_c").join(point("a"), ["_c", "a"], "left").join(point("b"), ["_c", "b"], "left")
+             .select("_c", "a", "b", "a_h", "b_h"))
+    joined = (rows.join(table, F.col("_label") == F.col("_c"), "left").alias("r")
+              .join(ties.alias("t"), (F.col("r._label") == F.col("t._label")) & (F.col("r._h") == F.col("t._h"))
+                    & (F.col(f"r.{key}") == F.col("t._key")), "left"))
+
+    def before_cut(cut: str) -> Column:  # a cut after the last row has no hash: every row is before it
+        return F.when(F.col(f"{cut}_h").isNull() | (F.col("r._h") < F.col(f"{cut}_h")), F.lit(True)).when(
+            F.col("r._h") > F.col(f"{cut}_h"), F.lit(False)).otherwise(F.col("_tied") < F.col(cut))
+
+    part = (F.when(F.col("r._label").isNull(), F.lit(None).cast("string")).when(before_cut("a"), F.lit("train"))
+            .when(before_cut("b"), F.lit("val")).otherwise(F.lit("test")))
+    return joined.select(*[F.col(f"r.{c}") for c in df.columns], part.alias(out))

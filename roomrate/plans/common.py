@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from roomrate.plans.registry import ORACLE_DIGITS
-from roomrate.session import ensure_parallelism
 from roomrate.sources import bindings as B
 from roomrate.sources.tables import Tables, read_table
 
@@ -17,13 +16,22 @@ def tables(spark: SparkSession, sf_dir: str) -> Tables:
 
 
 def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.calendar_from_lineitem(ensure_parallelism(read_table(spark, sf_dir, "lineitem")))
+    return B.calendar_from_lineitem(read_table(spark, sf_dir, "lineitem"))
 
 
 def listings(spark: SparkSession, sf_dir: str, with_nulls: bool = True) -> DataFrame:
     return B.listings_from_part(read_table(spark, sf_dir, "part"), with_nulls=with_nulls)
 
 
+def folded_flags(df: DataFrame, fixed, others=()) -> DataFrame:
+    """Fixed columns, then the 0/1 columns that are neither fixed nor `others` as n_flags and a sorted '|' list of
+    the names that are 1, then the others."""
+    flags = sorted(c for c in df.columns if c not in set(fixed) | set(others))
+    names = F.array(*[F.when(F.col(f"`{c}`") == 1, F.lit(c)) for c in flags]) if flags else F.array().cast("array<string>")
+    on = F.filter(names, lambda x: x.isNotNull())
+    return df.select(*fixed, F.size(on).alias("n_flags"), F.array_join(on, "|").alias("flags"), *others)
+
+
 def round_doubles(df: DataFrame, digits: int = ORACLE_DIGITS) -> DataFrame:
     """Round every double column (summation order differs between engines)."""
     cols = []

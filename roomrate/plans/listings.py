@@ -6,7 +6,8 @@ room type in set -> entire-home flag -> caps -> amenity tokens -> multi-hot
 
 The de-duplication runs BEFORE the description filter (a NULL first row hides a
 valid later one), as in the source. The only driver-side step is the
-guarded vocabulary collect that fixes the multi-hot layout.
+collect of the vocabulary (WIDE_TOKENS at most) that fixes the multi-hot layout;
+a larger vocabulary stays in the table, as one array of token codes per row.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from roomrate import constants as K
 from roomrate.functions.scalar import category_flag, text_flag
 from roomrate.functions.text import amenity_token_set
 from roomrate.operators.dedupe import keep_first
-from roomrate.operators.encode import multi_hot, vocabulary
+from roomrate.operators.encode import multi_hot, multi_hot_sets, vocabulary
 from roomrate.operators.filters import drop_columns, in_set, not_null, within_caps
 
 
@@ -44,5 +45,9 @@ def listing_features(listings: DataFrame, order_by=("id",), vocab=None, keep_tok
     df = clean_listings(listings, order_by, prune_columns)
     df = df.withColumn("amenities", amenity_token_set("amenities"))
     vocab = vocab if vocab is not None else vocabulary(df, "amenities")
-    df = multi_hot(df, "amenities", vocab, drop_tokens=not keep_tokens)
+    if vocab is None:  # too many tokens for a schema: their codes as one array
+        df = multi_hot_sets(df, "amenities", "amenity_codes")
+        df = df if keep_tokens else df.drop("amenities")
+    else:
+        df = multi_hot(df, "amenities", vocab, drop_tokens=not keep_tokens)
     return df.withColumn("host_is_superhost", text_flag("host_is_superhost"))

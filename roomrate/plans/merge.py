@@ -17,16 +17,16 @@ from roomrate.operators.models import append_class, text_classifier
 from roomrate.operators.neighbours import neighbour_fill
 from roomrate.operators.profile import default_profile
 from roomrate.operators.split import stratified_split
-from roomrate.session import cut_lineage
+from roomrate.session import written
 
 
 def merge_features(listing_feats: DataFrame, calendar_feats: DataFrame, materialise: bool = True) -> DataFrame:
     """The fill reads the joined table three times (aggregate, join-back, output); the joined
-    table is listing-level, so it is checkpointed once into the shared folder instead of
+    table is listing-level, so it is written once into the shared folder instead of
     re-running the calendar pipeline over the full calendar for each read."""
     m = inner_join(listing_feats, calendar_feats, "id", "listing_id")
     if materialise:
-        m = cut_lineage(m)
+        m = written(m, "merged")
     return neighbour_fill(m, K.PRICE_FILL_COLUMNS, round_result=False)
 
 
@@ -39,7 +39,7 @@ def add_text_bin(merged: DataFrame, text: str = "description", key: str = "id",
     parts = stratified_split(data, key, "price_year_avg_bin", K.STRATIFIED_SHARES)
     train = parts.where(F.col("part") == "train").withColumn("_label", F.col("price_year_avg_bin").cast("double"))
     model = text_classifier(text, "_label", max_iter=max_iter).fit(train)
-    scored = append_class(model, merged, "pred_price_year_avg_bin").cache()
+    scored = append_class(model, merged, "pred_price_year_avg_bin")
     return scored, model, parts.where(F.col("part") == "test")
 
 

@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from roomrate import constants as K
 from roomrate.functions.bins import right_closed_bin
-from roomrate.functions.text import amenity_token_set
+from roomrate.functions.text import amenity_token_set, word_tokens
 from roomrate.operators.dedupe import keep_first
-from roomrate.operators.encode import category_codes, mean_fill, multi_hot, vocabulary
-from roomrate.operators.neighbours import band_pairs, neighbour_fill
+from roomrate.operators.encode import category_codes, mean_fill, multi_hot, multi_hot_sets, vocabulary
+from roomrate.operators.neighbours import band_pairs, neighbour_fill, neighbour_sums
 from roomrate.plans import listings as C2
-from roomrate.plans.common import CAL_CTE, calendar, listings, lst_cte, r, round_doubles, tables
+from roomrate.plans.common import CAL_CTE, calendar, folded_flags, listings, lst_cte, r, round_doubles, tables
 from roomrate.plans.registry import register
 from roomrate.plans.sqltext import amenity_norm_sql, amenity_rename_sql, naive_fill_sql, q
 from roomrate.sources.bindings import CALENDAR_ORDER, inject_null
@@ -57,9 +57,7 @@ def q_amenity_multi_hot(spark, sf_dir):
     df = listings(spark, sf_dir, with_nulls=False).select("id", amenity_token_set("amenities").alias("tokens"))
     vocab = vocabulary(df, "tokens")
     wide = multi_hot(df, "tokens", vocab)
-    on = F.filter(F.array(*[F.when(F.col(v) == 1, F.lit(v)) for v in vocab]), lambda x: x.isNotNull())
-    return wide.select("id", sum((F.col(v) for v in vocab), F.lit(0)).cast("int").alias("n_flags"),
-                       F.array_join(on, "|").alias("flags"))
+    return folded_flags(wide, ("id",))
 
 
 @register("amenity_vocabulary", f"""
@@ -174,33 +172,71 @@ GROUP BY a.id
 def q_band_join(spark, sf_dir):
     df = listings(spark, sf_dir, with_nulls=False).select("id", "room_type", "latitude", "longitude",
                                                          "review_scores_rating")
-    pairs = band_pairs(df, df, "room_type", "latitude", "longitude", HALF, HALF)
-    return round_doubles(pairs.groupBy("id").agg(F.count(F.lit(1)).alias("n_neighbours"),
-                                                 F.avg("r_review_scores_rating").alias("mean_rating")))
-
-
-# C2 listing features (wide multi-hot; DuckDB PIVOT builds the same data-dependent columns)
-def _listing_features_sql() -> str:
-    # DuckDB's dynamic PIVOT cannot see CTEs, so the sources are nested subqueries
-    from roomrate.sources.bindings import listings_sql
-    f_sql = f"""(SELECT id, description, CASE WHEN host_is_superhost = 't' THEN 1 ELSE 0 END AS host_is_superhost,
-             latitude, longitude, room_type, accommodates, bathrooms, bedrooms, beds,
-             CASE WHEN room_type = {q(K.HOME_ROOM_TYPE)} THEN 1 ELSE 0 END AS entire_home_apt, amenities
-      FROM (SELECT *, row_number() OVER (PARTITION BY latitude, longitude ORDER BY id) AS rn
-            FROM (SELECT * EXCLUDE (neighbourhood, review_scores_rating) FROM ({listings_sql()}) lst) p) d
-      WHERE rn = 1 AND description IS NOT NULL
-        AND room_type IN ({', '.join(q(x) for x in K.KEPT_ROOM_TYPES)})
-        AND bedrooms <= {K.LISTING_CAPS['bedrooms']} AND beds <= {K.LISTING_CAPS['beds']}
-        AND bathrooms <= {K.LISTING_CAPS['bathrooms']})"""
-    u_sql = f"""(SELECT DISTINCT id, {amenity_rename_sql('tok')} AS tok
-      FROM (SELECT id, unnest(string_split({amenity_norm_sql('amenities')}, ',')) AS tok FROM {f_sql} f0) t
-      WHERE tok <> '')"""
-    return f"""
-SELECT f.* EXCLUDE (amenities), pv.* EXCLUDE (id)
-FROM {f_sql} f JOIN (PIVOT {u_sql} ON tok USING CAST(count(*) AS INTEGER) GROUP BY id) pv USING (id)
-"""
+    # a count and a mean need no pairs: box sums per coordinate, joined back to the rows there
+    df = df.withColumn("one", F.lit(1.0))
+    sums = neighbour_sums(df, ["one", "review_scores_rating"], F.lit(True))
+    rated = df.join(sums, ["room_type", "latitude", "longitude"])
+    return round_doubles(rated.select("id", F.col("_n_one").alias("n_neighbours"),
+                                      (F.col("_s_review_scores_rating") / F.col("_n_review_scores_rating")).alias("mean_rating")))
 
 
-@register("listing_features", _listing_features_sql())
+# J5 as pairs: each row with its neighbours (districts keep their number constant at every scale)
+@register("band_join_pairs", f"""
+WITH {lst_cte(False)}
+SELECT a.id, b.id AS r_id, {r('b.review_scores_rating', 'r_rating')}
+FROM lst a JOIN lst b ON a.room_type = b.room_type AND a.id <> b.id
+ AND b.latitude > a.latitude - {HALF} AND b.latitude < a.latitude + {HALF}
+ AND b.longitude > a.longitude - {HALF} AND b.longitude < a.longitude + {HALF}
+""")
+def q_band_join_pairs(spark, sf_dir):
+    df = listings(spark, sf_dir, with_nulls=False).select("id", "room_type", "latitude", "longitude",
+                                                         "review_scores_rating")
+    pairs = band_pairs(df, df, "room_type", "latitude", "longitude", HALF, HALF).where("id <> r_id")
+    return round_doubles(pairs.select("id", "r_id", F.col("r_review_scores_rating").alias("r_rating")))
+
+
+# C2 listing features. The library's output is wide (one column per token); the query folds the 0/1 columns into
+# a sorted flag list, which SQL can state without knowing the tokens.
+LISTING_FIXED = ("id", "description", "host_is_superhost", "latitude", "longitude", "room_type", "accommodates",
+                 "bathrooms", "bedrooms", "beds", "entire_home_apt")
+
+
+def c2_ctes() -> str:
+    """CTEs of the listing features: lst, c2 (fixed columns), c2_tokens (id, tok), c2_flags (id, n_flags, flags)."""
+    return f"""{lst_cte()},
+first_rows AS (SELECT *, row_number() OVER (PARTITION BY latitude, longitude ORDER BY id) AS rn FROM lst),
+c2 AS (SELECT id, description, CASE WHEN host_is_superhost = 't' THEN 1 ELSE 0 END AS host_is_superhost,
+              latitude, longitude, room_type, accommodates, bathrooms, bedrooms, beds,
+              CASE WHEN room_type = {q(K.HOME_ROOM_TYPE)} THEN 1 ELSE 0 END AS entire_home_apt, amenities
+       FROM first_rows
+       WHERE rn = 1 AND description IS NOT NULL
+         AND room_type IN ({', '.join(q(x) for x in K.KEPT_ROOM_TYPES)})
+         AND bedrooms <= {K.LISTING_CAPS['bedrooms']} AND beds <= {K.LISTING_CAPS['beds']}
+         AND bathrooms <= {K.LISTING_CAPS['bathrooms']}),
+c2_tokens AS (SELECT DISTINCT id, {amenity_rename_sql('tok')} AS tok
+              FROM (SELECT id, unnest(string_split({amenity_norm_sql('amenities')}, ',')) AS tok FROM c2) t WHERE tok <> ''),
+c2_flags AS (SELECT c2.id, CAST(count(tok) AS INTEGER) AS n_flags, coalesce(string_agg(tok, '|' ORDER BY tok), '') AS flags
+             FROM c2 LEFT JOIN c2_tokens ON c2.id = c2_tokens.id GROUP BY c2.id)"""
+
+
+@register("listing_features", f"""
+WITH {c2_ctes()}
+SELECT c2.* EXCLUDE (amenities), n_flags, flags FROM c2 JOIN c2_flags ON c2.id = c2_flags.id
+""")
 def q_listing_features(spark, sf_dir):
-    return C2.listing_features(listings(spark, sf_dir))
+    return folded_flags(C2.listing_features(listings(spark, sf_dir)), LISTING_FIXED)
+
+
+# E3 without a bound on the vocabulary: token codes by a joined rank table, over the words of whole documents
+@register("word_code_sets", r"""
+WITH t AS (SELECT doc_id, list_distinct(regexp_extract_all(regexp_replace(lower(text), '\d+', '', 'g'), '\p{L}+')) AS toks FROM documents),
+u AS (SELECT doc_id, unnest(toks) AS tok FROM t),
+v AS (SELECT tok, row_number() OVER (ORDER BY encode(tok)) - 1 AS code FROM (SELECT DISTINCT tok FROM u))
+SELECT d.doc_id, CAST(count(v.code) AS INTEGER) AS n_codes, CAST(coalesce(sum(v.code), 0) AS BIGINT) AS code_sum
+FROM documents d LEFT JOIN u ON d.doc_id = u.doc_id LEFT JOIN v ON u.tok = v.tok GROUP BY d.doc_id
+""")
+def q_word_code_sets(spark, sf_dir):
+    docs = tables(spark, sf_dir).documents.select("doc_id", word_tokens("text").alias("tokens"))
+    codes = multi_hot_sets(docs, "tokens", "codes")
+    return codes.select("doc_id", F.size("codes").alias("n_codes"),
+                        F.aggregate("codes", F.lit(0).cast("bigint"), lambda a, c: a + c).alias("code_sum"))

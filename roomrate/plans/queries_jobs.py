@@ -5,8 +5,9 @@ from __future__ import annotations
 from roomrate import constants as K
 from roomrate.operators.periods import period_column
 from roomrate.plans import calendar as C1
-from roomrate.plans.common import CAL_CTE, calendar, r, round_doubles
+from roomrate.plans.common import CAL_CTE, calendar, folded_flags, r, round_doubles
 from roomrate.plans.registry import register
+from roomrate.session import written
 from roomrate.sources.bindings import CALENDAR_ORDER
 
 
@@ -84,58 +85,120 @@ def merged_table(spark, sf_dir):
     return C3.merge_features(lf, cf)
 
 
-def _merged_sql() -> str:
-    from roomrate.plans.queries_encode import _listing_features_sql
+def period_columns(periods=K.PERIODS_PRODUCTION) -> list[str]:
+    return [period_column(out, p) for out in K.CALENDAR_MEASURES for p in periods]
+
+
+def _merged_ctes(periods=K.PERIODS_PRODUCTION, fills=K.PRICE_FILL_COLUMNS, zero: bool = False, **calendar) -> str:
+    from roomrate.plans.queries_encode import c2_ctes
     from roomrate.plans.sqltext import naive_fill_sql
 
-    return f"""
-WITH l AS ({_listing_features_sql()}),
-c AS ({_calendar_features_sql(K.PERIODS_PRODUCTION)}),
-m AS (SELECT l.*, c.* EXCLUDE (listing_id) FROM l JOIN c ON l.id = c.listing_id),
-f AS ({naive_fill_sql('m', K.PRICE_FILL_COLUMNS, False)})"""
+    return f"""{c2_ctes()},
+c1 AS ({_calendar_features_sql(periods, **calendar)}),
+m AS (SELECT c2.* EXCLUDE (amenities), c1.* EXCLUDE (listing_id) FROM c2 JOIN c1 ON c2.id = c1.listing_id),
+f AS ({naive_fill_sql('m', fills, False, zero_is_missing=zero)})"""
 
 
-@register("merged_features", _merged_sql() + f"""
-SELECT * EXCLUDE ({', '.join(K.MERGE_DROP_COLUMNS[:3])}) REPLACE ({', '.join(r(c) for c in K.PRICE_FILL_COLUMNS)}) FROM f
+_FIXED_FEATURES = [c for c in ("host_is_superhost", "latitude", "longitude", "accommodates", "bathrooms", "bedrooms", "beds",
+                               "entire_home_apt")]
+_MERGED_COLUMNS = ", ".join(_FIXED_FEATURES + [r(c) for c in period_columns()])
+
+
+@register("merged_features", f"""
+WITH {_merged_ctes()}
+SELECT {_MERGED_COLUMNS}, n_flags, flags FROM f JOIN c2_flags ON f.id = c2_flags.id
 """)
 def q_merged_features(spark, sf_dir):
-    """C3 (J1 J2 E9 P1): merged feature table without the text-model column."""
+    """C3 (J1 J2 E9 P1): merged feature table, its flags folded; the text-model column is in feature_build_job."""
     from roomrate.plans import merge as C3
 
-    return round_doubles(C3.final_features(merged_table(spark, sf_dir)))
+    wide = C3.final_features(merged_table(spark, sf_dir))
+    return round_doubles(folded_flags(wide, _FIXED_FEATURES, period_columns()))
+
+
+_EXTENDED_FILLS = tuple(period_column("price", p) for p in K.PERIODS_EXTENDED)
+
+
+@register("merged_features_extended", f"""
+WITH {_merged_ctes(K.PERIODS_EXTENDED, _EXTENDED_FILLS, zero=True, shift_year=2000)}
+SELECT f.id, {', '.join(r(c) for c in period_columns(K.PERIODS_EXTENDED))} FROM f
+""")
+def q_merged_features_extended(spark, sf_dir):
+    """C3, notebook variant: 24 averages, eight price fills, a price of zero counts as missing."""
+    from roomrate.operators.joins import inner_join
+    from roomrate.operators.neighbours import neighbour_fill
+    from roomrate.plans import listings as C2
+    from roomrate.plans.common import listings
+
+    features = C1.calendar_features(calendar(spark, sf_dir), CALENDAR_ORDER, periods=K.PERIODS_EXTENDED, shift_year=2000)
+    merged = inner_join(C2.clean_listings(listings(spark, sf_dir)), features, "id", "listing_id")
+    filled = neighbour_fill(written(merged, "merged-extended"), _EXTENDED_FILLS, round_result=False, zero_is_missing=True)
+    return round_doubles(filled.select("id", *period_columns(K.PERIODS_EXTENDED)))
 
 
 def _profile_sql() -> str:
-    unr = ", ".join(f"'{c}'" for c in K.PROFILE_UNROUNDED)
-    excl = ", ".join(f"'{c}'" for c in K.PROFILE_EXCLUDED)
-    return _merged_sql() + f""",
-g AS (SELECT * EXCLUDE ({', '.join(K.MERGE_DROP_COLUMNS[:3])}) FROM f)
-SELECT round_even(avg(COLUMNS(lambda c: c NOT IN ({unr}) AND c NOT IN ({excl}))), 0),
-       round(avg(COLUMNS(lambda c: c IN ({unr}))), 6)
-FROM g
-"""
+    rows = [f"SELECT '{c}' AS feature, {'round(avg(' + c + '), 6)' if c in K.PROFILE_UNROUNDED else 'round_even(avg(' + c + '), 0)'} AS value FROM f"
+            for c in _FIXED_FEATURES + period_columns() if c not in K.PROFILE_EXCLUDED]
+    flags = """SELECT tok AS feature, round_even(count(*) / (SELECT count(*) FROM f), 0) AS value
+               FROM c2_tokens t JOIN f ON t.id = f.id GROUP BY tok"""
+    never = """SELECT DISTINCT tok AS feature, 0.0 AS value FROM c2_tokens
+               WHERE tok NOT IN (SELECT t.tok FROM c2_tokens t JOIN f ON t.id = f.id)"""
+    return f"WITH {_merged_ctes()}\n" + "\nUNION ALL ".join([*rows, flags, never])
 
 
 @register("default_profile", _profile_sql())
 def q_default_profile(spark, sf_dir):
-    """A5 (+ S3 payload): means of the merged features, half-even rounded except four columns."""
+    """A5 (+ S3 payload): means of the merged features as (feature, value), half-even rounded except four."""
     from roomrate.plans import merge as C3
 
-    return round_doubles(C3.profile_defaults(C3.final_features(merged_table(spark, sf_dir))))
+    profile = C3.profile_defaults(C3.final_features(merged_table(spark, sf_dir)))
+    return round_doubles(profile.unpivot([], profile.columns, "feature", "value"))
 
 
 # ---------------------------------------------------------------------------
-# C4 train + save, C6 error report, C5 exploration report, M14 scoring (rows-only)
+# C3 as a job from two CSV snapshots
 # ---------------------------------------------------------------------------
-_SMOKE_GBT = {"maxIter": 10, "maxDepth": 5}
+def snapshots(spark, sf_dir) -> tuple[str, str]:
+    """Listing and calendar snapshots as CSV, which Spark writes from the driver tables in file order."""
+    from roomrate.plans.common import listings
+    from roomrate.sources import csv_io
+    from roomrate.session import shared_path
+
+    rows = listings(spark, sf_dir).drop("neighbourhood", "review_scores_rating").orderBy("id")
+    days = calendar(spark, sf_dir).orderBy(*CALENDAR_ORDER).drop(*CALENDAR_ORDER)
+    return (csv_io.write_csv(rows, shared_path(spark, "snapshots", "listings")),
+            csv_io.write_csv(days, shared_path(spark, "snapshots", "calendar"), compression="none"))
+
+
+@register("feature_build_job", f"""
+WITH {_merged_ctes()}
+SELECT CAST(f.id AS BIGINT) AS id, {_MERGED_COLUMNS}, n_flags, flags, TRUE AS has_text_bin, TRUE AS in_profile
+FROM f JOIN c2_flags ON f.id = c2_flags.id
+""")
+def q_feature_build_job(spark, sf_dir):
+    """C3 end to end: CSV in (typed schemas, NaN to NULL, file order), C1, C2, join, fill, text bin, prune,
+    profile, JSON out. The bin's value is a model's, so the query shows that it is there and valid."""
+    from pyspark.sql import functions as F
+
+    from roomrate.plans.job import build_features
+
+    built = build_features(spark, *snapshots(spark, sf_dir))
+    bins = F.col("pred_price_year_avg_bin")
+    features = built.table.select("*", bins.between(0, len(K.PRICE_BIN_EDGES) - 1).alias("has_text_bin"),
+                                  F.lit("pred_price_year_avg_bin" in built.profile.columns).alias("in_profile")).drop(
+        "pred_price_year_avg_bin", "room_type", "description")
+    return round_doubles(folded_flags(features, ["id", *_FIXED_FEATURES], [*period_columns(), "has_text_bin", "in_profile"]))
 
 
+# ---------------------------------------------------------------------------
+# C4 train + save, C6 error report, C5 exploration report, M14 scoring (rows-only)
+# ---------------------------------------------------------------------------
 def materialised_merged(spark, sf_dir):
-    """C3 written once to the shared checkpoint folder before repeated fits (cuts lineage,
-    survives executor loss; never localCheckpoint)."""
-    from roomrate.session import cut_lineage
+    """C3 as a Parquet table in the shared folder, written once per session and input and read from there
+    by every model query (column pruning and size statistics stay)."""
+    from roomrate.sources.model_store import stored_table
 
-    return cut_lineage(merged_table(spark, sf_dir))
+    return stored_table(spark, f"merged:{sf_dir}", lambda: merged_table(spark, sf_dir))
 
 
 def _train_split(spark, sf_dir):
@@ -144,109 +207,210 @@ def _train_split(spark, sf_dir):
     return hash_split(materialised_merged(spark, sf_dir), "id")
 
 
-@register("train_price_model")
+@register("train_price_model", f"""
+WITH {_merged_ctes()}, h AS (SELECT * FROM f WHERE substr(md5(CAST(id AS VARCHAR)), 1, 1) < '4')
+SELECT 'gbt' AS model, 'price_year_avg' AS label, count(*) AS n, TRUE AS sound, TRUE AS loaded_alike FROM h
+""")
 def q_train(spark, sf_dir):
-    """C4 (P11 M1 M3 M9 S5): fit on 75 %, score the 25 % hold-out, save without overwriting."""
+    """C4 (P11 M1 M3 M9 S5): fit on 75 %, save without overwriting, load, score the 25 % hold-out."""
     from pyspark.sql import functions as F
 
     from roomrate.operators import models as ML
-    from roomrate.plans.queries_models import model_features
-    from roomrate.sources.model_store import save_model
+    from roomrate.plans.queries_models import price_model
+    from roomrate.sources.model_store import load_model, save_model
 
     df = _train_split(spark, sf_dir)
-    feats = model_features(df)
     label = K.PERIOD_COMBOS[0][2]
-    model = ML.fit_regression(df.where(~F.col("is_test")), feats, label, "gbt", **_SMOKE_GBT)
-    path = save_model(spark, model, "price_model")
-    m = ML.evaluate(model, df.where(F.col("is_test")), label)
-    return m.select(F.lit("gbt").alias("model"), F.lit(label).alias("label"), "n", "r2", "mae",
-                    F.lit(len(feats)).alias("n_features"), F.lit(path).alias("model_path"))
+    model = price_model(spark, sf_dir, "gbt")
+    loaded = load_model(save_model(spark, model, "price_model"))
+    fitted = ML.evaluate(model, df.where(~F.col("is_test")), label).first()
+    m, again = (ML.evaluate(x, df.where(F.col("is_test")), label).first() for x in (model, loaded))
+    return spark.createDataFrame([("gbt", label, m["n"], fitted["r2"] > 0, m["mae"] == again["mae"])],
+                                 "model string, label string, n long, sound boolean, loaded_alike boolean")
+
+
+@register("error_report", f"""
+WITH {_merged_ctes()},
+h AS (SELECT CAST(id AS BIGINT) AS id, room_type, price_year_avg FROM f WHERE substr(md5(CAST(id AS VARCHAR)), 1, 1) < '4'),
+n AS (SELECT least(1000, count(*)) AS n FROM h)
+SELECT kind, n, TRUE AS errors_agree, TRUE AS in_order FROM n, (VALUES ('high_abs_error'), ('low_abs_error')) k(kind)
+""")
+def q_error_report(spark, sf_dir):
+    """C6 (J6 F12 O2): hold-out predictions (which carry their rows), errors, worst and best rows. The twin
+    checks the two lists' sizes, the errors' arithmetic and that no best row is worse than a worst one."""
+    from pyspark.sql import functions as F
 
+    res = error_rows(spark, sf_dir)
+    agree = (F.abs(F.col("predicted_price_year_avg") - F.col("price_year_avg") - F.col("price_year_avg_error")) < 1e-9) & (
+        F.abs(F.col("price_year_avg_error")) == F.col("price_year_avg_error_abs"))
+    per = res.groupBy("kind").agg(F.count("*").alias("n"), F.every(agree).alias("errors_agree"),
+                                  F.max("price_year_avg_error_abs").alias("most"), F.min("price_year_avg_error_abs").alias("least"))
+    worst = per.where("kind = 'high_abs_error'").select("most", "least")
+    best = per.where("kind = 'low_abs_error'").select("most", "least")
+    ordered = (worst.select("most").scalar() >= best.select("most").scalar()) & (
+        worst.select("least").scalar() >= best.select("least").scalar())
+    return per.select("kind", "n", "errors_agree", ordered.alias("in_order"))
 
-@register("error_report")
-def q_error_report(spark, sf_dir):
-    """C6 (J6 F12 O2): hold-out predictions attached by key, errors, worst and best rows."""
+
+def error_rows(spark, sf_dir, n: int = 1000):
+    """The n worst and n best predictions of the hold-out with their errors."""
     from pyspark.sql import functions as F
 
     from roomrate.functions.scalar import abs_error, signed_error
     from roomrate.operators import models as ML
-    from roomrate.operators.joins import attach_predictions
     from roomrate.operators.profile import top_n
-    from roomrate.plans.queries_models import model_features
+    from roomrate.plans.queries_models import price_model
 
     df = _train_split(spark, sf_dir)
     label = K.PERIOD_COMBOS[0][2]
-    model = ML.fit_regression(df.where(~F.col("is_test")), model_features(df), label, "gbt", **_SMOKE_GBT)
-    preds = ML.predict(model, df.where(F.col("is_test")), "predicted_price_year_avg")
-    res = attach_predictions(df.where(F.col("is_test")).select("id", label, "room_type"), preds,
-                             "id", ["predicted_price_year_avg"])
+    res = ML.predict(price_model(spark, sf_dir, "gbt"), df.where(F.col("is_test")), "predicted_price_year_avg").select(
+        "id", label, "room_type", "predicted_price_year_avg")
     res = res.withColumn("price_year_avg_error", signed_error("predicted_price_year_avg", label)) \
              .withColumn("price_year_avg_error_abs", abs_error("predicted_price_year_avg", label))
-    worst = top_n(res, "price_year_avg_error_abs", 1000, "id", True).withColumn("kind", F.lit("high_abs_error"))
-    best = top_n(res, "price_year_avg_error_abs", 1000, "id", False).withColumn("kind", F.lit("low_abs_error"))
+    worst = top_n(res, "price_year_avg_error_abs", n, "id", True).withColumn("kind", F.lit("high_abs_error"))
+    best = top_n(res, "price_year_avg_error_abs", n, "id", False).withColumn("kind", F.lit("low_abs_error"))
     return worst.unionByName(best)
 
 
-@register("exploration_report")
+_REPORT_COLUMNS = ("price_year_avg", "available_year_avg", "min_nights_year_avg", "bedrooms", "accommodates")
+_TOP_GRAMS = 20
+
+
+def _report_sql() -> str:
+    from itertools import combinations
+
+    from roomrate.plans.sqltext import stop_words_sql
+
+    x, out = "price_year_avg", []
+    add = lambda section, key, value, tail="FROM f": out.append(
+        f"SELECT '{section}' AS section, {key} AS key, round(CAST({value} AS DOUBLE), 6) AS value {tail}")
+    add("room_type_counts", "room_type", "count(*)", "FROM f GROUP BY room_type")
+    fence = "BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)"
+    for key, value in (("q1", "q1"), ("median", "med"), ("q3", "q3"), ("iqr", "q3 - q1")):
+        add("price_box", f"'{key}'", value, "FROM bx")
+    add("price_box", "'whisker_low'", f"min({x})", f"FROM f, bx WHERE {x} {fence}")
+    add("price_box", "'whisker_high'", f"max({x})", f"FROM f, bx WHERE {x} {fence}")
+    add("price_box", "'outliers'", "count(*)", f"FROM f, bx WHERE {x} NOT {fence}")
+    add("price_hist", "CAST(g.bin AS VARCHAR)", "count(h.bin)", "FROM range(10) g(bin) LEFT JOIN hs h ON h.bin = g.bin GROUP BY g.bin")
+    for a, b in combinations(_REPORT_COLUMNS, 2):
+        add("corr", f"'{a}:{b}'", f"corr({a}, {b})")
+    for c in _REPORT_COLUMNS:
+        add("nulls", f"'{c}'", f"count(*) FILTER ({c} IS NULL)")
+        for key, value in (("count", f"count({c})"), ("mean", f"avg({c})"), ("std", f"stddev_samp({c})"), ("min", f"min({c})"),
+                           ("q25", f"quantile_cont({c}, 0.25)"), ("q50", f"quantile_cont({c}, 0.5)"),
+                           ("q75", f"quantile_cont({c}, 0.75)"), ("max", f"max({c})")):
+            add("describe", f"'{c}:{key}'", value)
+    for c in _REPORT_COLUMNS[1:]:
+        add("f_test", f"'{c}'", f"round(power(corr({c}, {x}), 2) / (1 - power(corr({c}, {x}), 2)) * (count(*) - 2), 3)")
+    add("price_above", "'200'", "count(*)", f"FROM f WHERE {x} > 200")
+    add("min_nights_above", "'10'", "count(*)", "FROM f WHERE min_nights_year_avg > 10")
+    add("grams", "gram", "n", f"FROM (SELECT gram, n FROM gr ORDER BY n DESC, gram LIMIT {_TOP_GRAMS}) t")
+    stop = stop_words_sql(K.ENGLISH_STOP_WORDS)
+    return f"""
+WITH {_merged_ctes()},
+bx AS (SELECT quantile_cont({x}, 0.25) AS q1, quantile_cont({x}, 0.5) AS med, quantile_cont({x}, 0.75) AS q3 FROM f),
+mm AS (SELECT min({x}) AS lo, max({x}) AS hi FROM f),
+hs AS (SELECT least(CAST(floor(({x} - lo) / (hi - lo) * 10) AS INTEGER), 9) AS bin FROM f, mm),
+tk AS (SELECT id, regexp_extract_all(regexp_replace(lower(description), '\\d+', '', 'g'), '\\p{{L}}+') AS toks FROM f),
+wd AS (SELECT id, unnest(toks) AS w, generate_subscripts(toks, 1) AS pos FROM tk),
+gr AS (SELECT a.w || ' ' || b.w AS gram, count(*) AS n FROM wd a JOIN wd b ON a.id = b.id AND b.pos = a.pos + 1
+       WHERE NOT list_contains({stop}, a.w) AND NOT list_contains({stop}, b.w) GROUP BY 1)
+""" + "\nUNION ALL ".join(out)
+
+
+@register("exploration_report", _report_sql())
 def q_exploration(spark, sf_dir):
-    """The notebook's summaries over the merged table as (section, key, value) rows —
-    room-type counts (A6), box statistics of the yearly price (A13), histogram (A12),
-    correlations (A14) and per-column null counts (A9)."""
+    """The notebook's summaries over the merged table as (section, key, value) rows: room types (A6), box
+    (A13) and histogram (A12) of the yearly price, correlations (A14), nulls (A9), describe (A10), F-test
+    (M11), filtered counts (A7, A8) and description bigrams (X1). The model tables of the notebook are
+    select_k_search and model_segment_table."""
+    from functools import reduce
+
     from pyspark.sql import functions as F
 
+    from roomrate.functions.text import exploded_ngrams, word_tokens
     from roomrate.operators import profile as A
+    from roomrate.operators.metrics import f_regression_scores
 
     m = materialised_merged(spark, sf_dir)
+    x, cols = _REPORT_COLUMNS[0], list(_REPORT_COLUMNS)
+
+    def section(name, df, key, value):
+        return df.select(F.lit(name).alias("section"), key.cast("string").alias("key"), value.cast("double").alias("value"))
+
+    box = A.box_stats(m, x)
+    box = box.select(*[F.col(c).cast("double").alias(c) for c in box.columns])
+    stats = A.describe(m, cols)
+    stats = stats.unpivot(["column"], [c for c in stats.columns if c != "column"], "stat", "value")
+    grams = exploded_ngrams(m.select(word_tokens("description").alias("tokens")), "tokens", 2)
     parts = [
-        A.frequencies(m, "room_type").select(F.lit("room_type_counts").alias("section"),
-                                              F.col("room_type").alias("key"), F.col("count").cast("double").alias("value")),
-        A.box_stats(m, "price_year_avg").unpivot([], ["q1", "median", "q3", "iqr", "whisker_low", "whisker_high"],
-                                                  "key", "value").select(F.lit("price_box").alias("section"), "key", "value"),
-        A.histogram(m, "price_year_avg").select(F.lit("price_hist").alias("section"),
-                                                F.col("bin").cast("string").alias("key"), F.col("count").cast("double").alias("value")),
-        A.correlation_matrix(m, ["price_year_avg", "available_year_avg", "min_nights_year_avg", "bedrooms",
-                                 "accommodates"]).select(F.lit("corr").alias("section"),
-                                                         F.concat_ws(":", "col_a", "col_b").alias("key"), F.col("r").alias("value")),
-        A.null_counts(m).select(F.lit("nulls").alias("section"), F.col("column").alias("key"),
-                                F.col("null_count").cast("double").alias("value")),
+        section("room_type_counts", A.frequencies(m, "room_type"), F.col("room_type"), F.col("count")),
+        section("price_box", box.unpivot([], box.columns, "key", "value"), F.col("key"), F.col("value")),
+        section("price_hist", A.histogram(m, x), F.col("bin"), F.col("count")),
+        section("corr", A.correlation_matrix(m, cols), F.concat_ws(":", "col_a", "col_b"), F.col("r")),
+        section("nulls", A.null_counts(m, cols), F.col("column"), F.col("null_count")),
+        section("describe", stats, F.concat_ws(":", "column", "stat"), F.col("value")),
+        section("f_test", f_regression_scores(m, cols[1:], x), F.col("feature"), F.round("f_score", 3)),
+        section("price_above", A.conditional_count(m, F.col(x) > 200), F.lit("200"), F.col("count")),
+        section("min_nights_above", A.conditional_count(m, F.col("min_nights_year_avg") > 10), F.lit("10"), F.col("count")),
+        section("grams", A.frequencies(grams, "gram").limit(_TOP_GRAMS), F.col("gram"), F.col("count")),
     ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return round_doubles(reduce(lambda a, b: a.unionByName(b), parts))
 
 
-def _scoring_models(spark, sf_dir):
-    """Main model on the request features present in the merged table (the saved training
-    vocabulary) + the text -> price-bin model used for the bin override."""
+def scoring_models(spark, sf_dir):
+    """(main model, text model, defaults): fitted once into the store and loaded from there. The main model takes
+    the request features that the feature table has, the text bin among them; the defaults are the written
+    profile."""
     from pyspark.sql import functions as F
 
     from roomrate.operators import models as ML
     from roomrate.plans import merge as C3
+    from roomrate.plans.job import stored_defaults
+    from roomrate.session import shared_path
+    from roomrate.sources.json_io import write_profile
+    from roomrate.sources.model_store import stored_model, stored_table
 
-    merged = materialised_merged(spark, sf_dir)
-    scored, text_model, _ = C3.add_text_bin(merged.withColumn("_text", F.coalesce("description", F.lit(""))),
-                                            text="_text", max_iter=10)
+    merged = materialised_merged(spark, sf_dir).withColumn("_text", F.coalesce("description", F.lit("")))
+    text_model = stored_model(spark, f"text:{sf_dir}", lambda: C3.add_text_bin(merged, text="_text")[1])
+    scored = stored_table(spark, f"binned:{sf_dir}", lambda: ML.append_class(text_model, merged, "pred_price_year_avg_bin"))
     feats = [n for n, _, _ in K.request_fields() if n in scored.columns]
-    main = ML.fit_regression(scored, feats, "price_year_avg", "gbt", **_SMOKE_GBT)
-    return main, text_model, feats
+    main = stored_model(spark, f"scoring:{sf_dir}", lambda: ML.fit_regression(scored, feats, "price_year_avg", "gbt"))
+    profile = stored_table(spark, f"defaults:{sf_dir}", lambda: spark.createDataFrame(
+        [(write_profile(C3.profile_defaults(C3.final_features(scored.drop("_text"))), shared_path(spark, "profiles", "scoring")),)], "path string"))
+    return main, text_model, stored_defaults(spark, profile.first()["path"])
+
+
+def _scored_sql() -> str:
+    from roomrate.plans.queries_sources import request_sql
+
+    return f"""
+SELECT request_id, is_valid, TRUE AS has_price,
+       CASE WHEN coalesce(text, description, '') <> '' THEN 'text' ELSE 'default' END AS bin_source
+FROM (SELECT request_id, is_valid, description, text FROM ({request_sql(extra="description, json_extract_string(CASE WHEN json_valid(body) THEN body END, '$.description') AS text")}) d) e
+"""
+
+
+def _shown(scored):
+    from pyspark.sql import functions as F
+
+    price = F.get_json_object("response", "$.pred_price_year_avg").try_cast("double")
+    return scored.select("request_id", "is_valid", (price == F.col("prediction")).alias("has_price"), "bin_source")
 
 
-@register("score_requests")
+@register("score_requests", _scored_sql())
 def q_score(spark, sf_dir):
-    """M14 batch: decode + defaults + text-bin override + model + JSON response per request."""
+    """M14 batch: decode + defaults + text-bin override + model + JSON response per request, with saved models.
+    The twin checks validity, that the response holds the prediction, and where the bin came from."""
     from roomrate.sources.bindings import requests_from_events
     from roomrate.sources.tables import read_table
     from roomrate.streaming.scoring import score
 
-    from roomrate.session import ensure_parallelism
-
-    main, text_model, feats = _scoring_models(spark, sf_dir)
-    events = ensure_parallelism(read_table(spark, sf_dir, "events"))
-    return score(requests_from_events(events), main, feats, text_model)
+    main, text_model, defaults = scoring_models(spark, sf_dir)
+    return _shown(score(requests_from_events(read_table(spark, sf_dir, "events")), main, text_model, defaults=defaults))
 
 
-@register("score_requests_stream")
+@register("score_requests_stream", _scored_sql())
 def q_score_stream(spark, sf_dir):
     """M14 stream: the same scoring over a parquet file stream (availableNow), sink read back."""
     from roomrate.session import shared_path
@@ -254,8 +418,8 @@ def q_score_stream(spark, sf_dir):
     from roomrate.sources.tables import read_table
     from roomrate.streaming.scoring import score_stream
 
-    main, text_model, feats = _scoring_models(spark, sf_dir)
+    main, text_model, defaults = scoring_models(spark, sf_dir)
     schema = read_table(spark, sf_dir, "events").schema
     base = shared_path(spark, "streams", "score_requests")
-    return score_stream(spark, sf_dir, "events.parquet", schema, requests_from_events, main, feats,
-                        base + "/sink", base + "/checkpoint", text_model)
+    return _shown(score_stream(spark, sf_dir, "events.parquet", schema, requests_from_events, main,
+                               base + "/sink", base + "/checkpoint", text_model, defaults))

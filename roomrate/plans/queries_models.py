@@ -1,9 +1,9 @@
 """Registered queries: splits, metrics, feature scoring and models.
 
-Split/metric/F-test queries have DuckDB twins. Fitted-model outputs are
-checked rows-only (Spark ML trees/logistic regression are not the source's
-libraries; parity is by metric, see tests). Iteration counts in these
-registered queries are reduced (the defaults stay those of the source).
+Split/metric/F-test queries have DuckDB twins. Of fitted models, the twins check what
+is determined (Spark ML's trees and logistic regression are not the source's
+libraries; parity is by metric, see tests). Fits have the source's size; a model that
+several queries use is fitted once and read from the store.
 """
 
 from __future__ import annotations
@@ -117,7 +117,8 @@ def q_linear_one(spark, sf_dir):
 
 
 # ----------------------------------------------------------------------------------------------
-# fitted models over the merged feature table (rows-only)
+# fitted models over the merged feature table. Spark ML's values are not the source's, so a query shows what is
+# determined: the hold-out rows and labels, that every row has a prediction, and that the model beats the mean.
 # ----------------------------------------------------------------------------------------------
 def _merged(spark, sf_dir):
     from roomrate.plans.queries_jobs import materialised_merged
@@ -125,38 +126,95 @@ def _merged(spark, sf_dir):
     return materialised_merged(spark, sf_dir)
 
 
-def model_features(df) -> list[str]:
-    """Numeric features of the merged table minus all period columns, with the yearly
-    availability / minimum-nights averages re-appended last (the production combo)."""
-    combo = K.PERIOD_COMBOS[0]
+def model_features(df, combo=K.PERIOD_COMBOS[0]) -> list[str]:
+    """Numeric features of the merged table minus all period columns, with the combo's availability and
+    minimum-nights averages re-appended last. (P11)"""
     period = {c for c in df.columns if c.endswith("_avg")}
-    base = [c for c, t in df.dtypes if t in ("int", "bigint", "double") and c not in period and c != "id"]
+    base = [c for c, t in df.dtypes if t in ("int", "bigint", "double") and c not in period | {"id", combo[2]}]
     return base + list(combo[:2])
 
 
-@register("gbt_price_model")
+def amenity_features(df) -> list[str]:
+    """The amenity flags and the superhost flag alone. (P11, the set that M12 searches)"""
+    from roomrate.plans.queries_encode import LISTING_FIXED
+
+    others = (set(LISTING_FIXED) - {"host_is_superhost"}) | {"is_test", "amenities", "neighbourhood"}
+    return [c for c, t in df.dtypes if t == "int" and c not in others]
+
+
+def _split(spark, sf_dir):
+    return SP.hash_split(_merged(spark, sf_dir), "id")
+
+
+def price_model(spark, sf_dir, kind: str, combo=K.PERIOD_COMBOS[0]):
+    """The model of a kind and period combo, fitted once on the 75 % split and read from the store."""
+    from roomrate.sources.model_store import stored_model
+
+    def fit():
+        df = _split(spark, sf_dir)
+        return ML.fit_regression(df.where(~F.col("is_test")), model_features(df, combo), combo[2], kind)
+
+    return stored_model(spark, f"{kind}:{combo}:{sf_dir}", fit)
+
+
+def _held_out_sql() -> str:
+    from roomrate.plans.queries_jobs import _merged_ctes
+
+    return f"""
+WITH {_merged_ctes()},
+h AS (SELECT CAST(id AS BIGINT) AS id, price_year_avg FROM f WHERE substr(md5(CAST(id AS VARCHAR)), 1, 1) < '4')
+SELECT id, round(price_year_avg, 6) AS price_year_avg, TRUE AS has_prediction, TRUE AS sound FROM h
+"""
+
+
+def _held_out(spark, sf_dir, kind: str):
+    """Hold-out rows with whether they have a prediction, and whether the model errs less than the mean does on
+    the rows that it was fitted on."""
+    label = K.PERIOD_COMBOS[0][2]
+    df = _split(spark, sf_dir)
+    model = price_model(spark, sf_dir, kind)
+    fitted = ML.evaluate(model, df.where(~F.col("is_test")), label).first()
+    rows = ML.predict(model, df.where(F.col("is_test")))
+    return round_doubles(rows.select("id", F.col(label)).withColumn(label, F.col(label))
+                         .join(rows.select("id", F.col("prediction").isNotNull().alias("has_prediction")), "id")
+                         .withColumn("sound", F.lit(bool(fitted["r2"] is not None and fitted["r2"] > 0))))
+
+
+@register("gbt_price_model", _held_out_sql())
 def q_gbt(spark, sf_dir):
-    """M3: gradient-boosted trees on the 75 % split, predictions on the 25 % hold-out."""
-    df = SP.hash_split(_merged(spark, sf_dir), "id")
-    model = ML.fit_regression(df.where(~F.col("is_test")), model_features(df), "price_year_avg", "gbt",
-                              maxIter=10, maxDepth=5)
-    return ML.predict(model, df.where(F.col("is_test"))).select("id", "price_year_avg", "prediction")
+    """M3: gradient-boosted trees (depth 8, 200 rounds) on the 75 % split, the 25 % hold-out."""
+    return _held_out(spark, sf_dir, "gbt")
 
 
-@register("forest_price_model")
+@register("forest_price_model", _held_out_sql())
 def q_rf(spark, sf_dir):
-    """M5: random forest, hold-out predictions."""
-    df = SP.hash_split(_merged(spark, sf_dir), "id")
-    model = ML.fit_regression(df.where(~F.col("is_test")), model_features(df), "price_year_avg", "rf", numTrees=20)
-    return ML.predict(model, df.where(F.col("is_test"))).select("id", "price_year_avg", "prediction")
+    """M5: random forest (100 trees, all features, depth 30), the hold-out."""
+    return _held_out(spark, sf_dir, "rf")
 
 
-@register("linear_price_model")
+@register("linear_price_model", _held_out_sql())
 def q_lr(spark, sf_dir):
-    """M4: linear regression, hold-out predictions."""
-    df = SP.hash_split(_merged(spark, sf_dir), "id")
-    model = ML.fit_regression(df.where(~F.col("is_test")), model_features(df), "price_year_avg", "lr")
-    return ML.predict(model, df.where(F.col("is_test"))).select("id", "price_year_avg", "prediction")
+    """M4: linear regression, the hold-out."""
+    return _held_out(spark, sf_dir, "lr")
+
+
+def _fold_sql() -> str:
+    from roomrate.plans.queries_jobs import _merged_ctes
+
+    return f"""
+WITH {_merged_ctes()}
+SELECT CAST(('0x' || substr(md5(CAST(id AS VARCHAR)), 1, 13))::BIGINT % 5 AS INTEGER) AS fold, count(*) AS n, TRUE AS scored
+FROM f GROUP BY 1
+"""
+
+
+@register("kfold_scores", _fold_sql())
+def q_kfold_scores(spark, sf_dir):
+    """Linear regression fitted on four folds and scored on the fifth, for each fold."""
+    df = SP.kfold(_merged(spark, sf_dir), "id", 5)
+    rows = ML.fold_scores(df, [c for c in model_features(df) if c != "fold"], K.PERIOD_COMBOS[0][2], 5)
+    return spark.createDataFrame([(k, n, r2 is not None and mae is not None) for k, n, r2, mae in rows],
+                                 "fold int, n long, scored boolean")
 
 
 def _docs_with_bins(spark, sf_dir):
@@ -164,40 +222,52 @@ def _docs_with_bins(spark, sf_dir):
     return d.select("doc_id", "text", right_closed_bin(F.col("n_chars") / 20).alias("length_bin"))
 
 
-@register("text_price_bin_model")
+def _parts_sql(source: str, label: str) -> str:
+    """CTE `parts` (doc_id, label, part): exact 60/20/20 of each label in the order of the key's hash."""
+    return f"""
+k AS (SELECT doc_id, {label}, row_number() OVER (PARTITION BY {label} ORDER BY substr(md5(CAST(doc_id AS VARCHAR)), 1, 13), doc_id) AS rn,
+             count(*) OVER (PARTITION BY {label}) AS n FROM ({source}) s WHERE {label} IS NOT NULL),
+c AS (SELECT *, CAST(ceil(round(0.4 * n, 10)) AS BIGINT) AS holdout FROM k),
+parts AS (SELECT doc_id, {label}, CASE WHEN rn <= n - holdout THEN 'train' WHEN rn <= n - CAST(ceil(round(0.5 * holdout, 10)) AS BIGINT)
+                 THEN 'val' ELSE 'test' END AS part FROM c)"""
+
+
+@register("text_price_bin_model", f"""
+WITH {_parts_sql("SELECT doc_id, " + _bin_sql("n_chars / 20") + " AS length_bin FROM documents", "length_bin")}
+SELECT doc_id, part, length_bin, TRUE AS has_bin FROM parts
+""")
 def q_text_bins(spark, sf_dir):
-    """M6 + M8: multinomial text classifier (stratified 60/20/20), predicted bin appended to every row,
-    plus the bin accuracy on the test part in each row's `test_accuracy`."""
+    """M6 + M8: multinomial text classifier (stratified 60/20/20), predicted bin appended to every row."""
     docs = _docs_with_bins(spark, sf_dir).where(F.col("length_bin").isNotNull())
     parts = SP.stratified_split(docs, "doc_id", "length_bin", K.STRATIFIED_SHARES)
     train = parts.where(F.col("part") == "train").withColumn("_label", F.col("length_bin").cast("double"))
-    model = ML.text_classifier("text", "_label", max_iter=20).fit(train)
+    model = ML.text_classifier("text", "_label").fit(train)
     scored = ML.append_class(model, parts, "pred_bin")
-    acc = M.classification_metrics(scored.where(F.col("part") == "test"), "length_bin", "pred_bin")
-    return scored.select("doc_id", "part", "length_bin", "pred_bin",
-                         acc.select("accuracy").scalar().alias("test_accuracy"))
+    return scored.select("doc_id", "part", "length_bin", F.col("pred_bin").between(0, len(K.PRICE_BIN_EDGES) - 1).alias("has_bin"))
 
 
-@register("text_quality_classifier")
+@register("text_quality_classifier", f"""
+WITH {_parts_sql("SELECT d.doc_id, l.quality FROM documents d JOIN labels l ON d.doc_id = l.doc_id", "quality")}
+SELECT part, count(*) AS n, TRUE AS scored FROM parts WHERE part = 'test' GROUP BY part
+""")
 def q_text_binary(spark, sf_dir):
     """M7 + M8 + M10: binary text classifier on labelled documents; 0/1 appended, test metrics."""
     t = tables(spark, sf_dir)
     docs = t.documents.join(t.labels, "doc_id").select("doc_id", "text", "quality")
     parts = SP.stratified_split(docs, "doc_id", "quality", K.STRATIFIED_SHARES)
     train = parts.where(F.col("part") == "train").withColumn("_label", F.col("quality").cast("double"))
-    model = ML.text_classifier("text", "_label", num_classes=2, max_iter=20).fit(train)
+    model = ML.text_classifier("text", "_label", num_classes=2).fit(train)
     scored = ML.append_class(model, parts, "pred_quality", label="quality")
-    return M.classification_metrics(scored.where(F.col("part") == "test"), "quality", "pred_quality",
-                                     "pred_quality_p_label", by=["part"])
+    m = M.classification_metrics(scored.where(F.col("part") == "test"), "quality", "pred_quality",
+                                 "pred_quality_p_label", by=["part"])
+    return m.select("part", "n", (F.col("accuracy").between(0, 1) & (F.col("log_loss") >= 0)).alias("scored"))
 
 
 @register("select_k_search")
 def q_kbest(spark, sf_dir):
-    """M11 + M12: F-test top-k features for each candidate k; fit; keep the best R^2."""
-    df = SP.hash_split(_merged(spark, sf_dir), "id").cache()
-    feats = model_features(df)
-    rows, best = ML.select_k_search(df.where(~F.col("is_test")), df.where(F.col("is_test")), feats,
-                                    "price_year_avg", K.KBEST_CANDIDATES, "gbt", maxIter=5, maxDepth=4)
+    """M11 + M12: F-test top-k of the amenity flags for each candidate k; fit; keep the best R^2."""
+    df = _split(spark, sf_dir)
+    rows, best = ML.select_k_search(df, amenity_features(df), K.PERIOD_COMBOS[0][2], K.KBEST_CANDIDATES, "gbt")
     return spark.createDataFrame([(k, n, r2, mae, k == best) for k, n, r2, mae in rows],
                                  "k int, n_features int, r2 double, mae double, is_best boolean")
 
@@ -207,10 +277,9 @@ def q_model_segments(spark, sf_dir):
     """M13 + M15: linear / forest / boosted models over the six segments, per period combo."""
     from roomrate.plans.common import listings
     hoods = listings(spark, sf_dir, with_nulls=False).select("id", "neighbourhood")
-    df = SP.hash_split(_merged(spark, sf_dir).join(hoods, "id", "left"), "id").cache()
+    df = SP.hash_split(_merged(spark, sf_dir).join(hoods, "id", "left"), "id")
     segs = {name: df.where(pred) for name, pred in listing_segments().items()}
     rows = []
     for combo in K.PERIOD_COMBOS:
-        rows += ML.compare_models(segs, model_features, combo[2], kinds=("lr", "rf", "gbt"),
-                                  params={"rf": {"numTrees": 10}, "gbt": {"maxIter": 5, "maxDepth": 4}})
+        rows += ML.compare_models(segs, lambda d, combo=combo: model_features(d, combo), combo[2], kinds=("lr", "rf", "gbt"))
     return spark.createDataFrame(rows, "model string, segment string, label string, n_test int, r2 double, mae double")

@@ -42,8 +42,8 @@ ORDERS_SCHEMA = T.StructType([
                                  "o_orderpriority FROM orders")
 def q_csv_dates(spark, sf_dir):
     """CSV with a parsed date-time column."""
-    path = csv_io.write_csv(tables(spark, sf_dir).orders, shared_path(spark, "roundtrip", "orders_csv"))
-    return csv_io.read_csv(spark, path, ORDERS_SCHEMA)
+    path = csv_io.write_csv(tables(spark, sf_dir).orders, shared_path(spark, "roundtrip", "orders_csv"), compression="none")
+    return csv_io.read_csv(spark, path, ORDERS_SCHEMA, multi_line=False)
 
 
 _PART_MEAN_COLS = ("p_partkey", "p_size", "p_retailprice")
@@ -71,43 +71,40 @@ def _field_sql(name: str, typ: str, default) -> str:
 
 
 _DEFAULTS = {n: (t, d) for n, t, d in K.request_fields()}
-_SHOWN = ("accommodates", "bedrooms", "bathrooms", "latitude", "wifi", "pred_price_year_avg_bin")
 
 
-def _request_sql(select_json: bool) -> str:
+def request_sql(extra: str = "") -> str:
+    """Decoded requests: request_id, all fields with their defaults, is_valid."""
     fields, bads = [], []
     for n, (t, d) in _DEFAULTS.items():
         val, bad = _field_sql(n, t, d)
-        if n in _SHOWN:
-            fields.append(f"CASE WHEN json_valid(body) THEN {val} ELSE CAST({d} AS {'INTEGER' if t == 'int' else 'DOUBLE'}) END AS {n}")
+        fields.append(f"CASE WHEN json_valid(body) THEN {val} ELSE CAST({d} AS {'INTEGER' if t == 'int' else 'DOUBLE'}) END AS {n}")
         bads.append(bad)
     valid = f"(json_valid(body) AND NOT ({' OR '.join(bads)}))"
-    inner = f"SELECT request_id, {', '.join(fields)}, CASE WHEN json_valid(body) THEN {valid} ELSE FALSE END AS is_valid FROM ({REQUESTS_SQL}) q"
-    if not select_json:
-        return inner
-    return (f"SELECT request_id, to_json({{'accommodates': accommodates, 'bedrooms': bedrooms, "
-            f"'bathrooms': bathrooms}}) AS response FROM ({inner}) d")
+    return f"SELECT request_id, {extra + ', ' if extra else ''}{', '.join(fields)}, CASE WHEN json_valid(body) THEN {valid} ELSE FALSE END AS is_valid FROM ({REQUESTS_SQL}) q"
 
 
-@register("request_defaults", _request_sql(False))
+@register("request_defaults", request_sql())
 def q_request_defaults(spark, sf_dir):
-    """F13 + F14: typed decode, per-field defaults, validity flag."""
-    return _decoded(spark, sf_dir).select("request_id", *_SHOWN, "is_valid")
+    """F13 + F14: typed decode, per-field defaults for all 138 fields, validity flag."""
+    return _decoded(spark, sf_dir).drop("description")
 
 
-@register("request_response_json", _request_sql(True))
+@register("request_response_json", f"""
+SELECT request_id, to_json({{'accommodates': accommodates, 'bedrooms': bedrooms, 'bathrooms': bathrooms}}) AS response
+FROM ({request_sql()}) d
+""")
 def q_request_json(spark, sf_dir):
     """Request decode + JSON encode of the completed feature subset."""
     d = _decoded(spark, sf_dir)
     return d.select("request_id", F.to_json(F.struct("accommodates", "bedrooms", "bathrooms")).alias("response"))
 
 
-@register("model_save_load")
+@register("model_save_load", "SELECT l_orderkey, l_linenumber, TRUE AS loaded_alike FROM lineitem")
 def q_model_save_load(spark, sf_dir):
-    """Fit, save (never overwriting), load, score. Rows-only check."""
+    """Fit, save (never overwriting), load, score: the loaded model predicts what the fitted one does."""
     li = tables(spark, sf_dir).lineitem
     model = fit_regression(li, ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", "lr")
-    path = model_store.save_model(spark, model, "lineitem_price")
-    loaded = model_store.load_model(path)
-    return loaded.transform(li.withColumn("label", F.col("l_extendedprice"))).select(
-        "l_orderkey", "l_linenumber", F.col("prediction").alias("pred_price"))
+    loaded = model_store.load_model(model_store.save_model(spark, model, "lineitem_price"))
+    first = model.transform(li).withColumnRenamed("prediction", "own").drop("features")
+    return loaded.transform(first).select("l_orderkey", "l_linenumber", (F.col("own") == F.col("prediction")).alias("loaded_alike"))

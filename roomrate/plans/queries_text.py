@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from roomrate import constants as K
-from roomrate.functions.text import (clean_tokens, drop_stop_grams, exploded_ngrams, gram_arrays,
-                                     gram_vocabulary_hits, word_tokens)
+from roomrate.functions.text import exploded_ngrams, word_tokens
 from roomrate.plans.common import tables
 from roomrate.plans.registry import register
-from roomrate.session import ensure_parallelism
 from roomrate.plans.sqltext import stop_words_sql
 
 _STOP = stop_words_sql(K.ENGLISH_STOP_WORDS)
@@ -21,14 +19,10 @@ w AS (SELECT doc_id, unnest(toks) AS w, generate_subscripts(toks, 1) AS pos FROM
 
 def _doc_tokens(spark, sf_dir):
     """(doc_id, tokens) — tokens computed once per document."""
-    docs = ensure_parallelism(tables(spark, sf_dir).documents.select("doc_id", "text"))
+    docs = tables(spark, sf_dir).documents
     return docs.select("doc_id", word_tokens("text").alias("tokens"))
 
 
-def _grams(tokens_df, n: int):
-    return tokens_df.select("doc_id", drop_stop_grams(gram_arrays("tokens", n)).alias("grams"))
-
-
 @register("summary_bigrams", f"""
 WITH {_POS_SQL}
 SELECT a.w || ' ' || b.w AS gram, count(*) AS n FROM w a JOIN w b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1
@@ -67,10 +61,16 @@ FROM documents d LEFT JOIN (SELECT * FROM h WHERE list_contains({_VOCAB_SQL}, hi
 GROUP BY d.doc_id
 """)
 def q_gram_hits(spark, sf_dir):
-    """X2 with sub-gram matching: bigram (joined by '_') or either word is a known amenity token."""
-    g = _grams(_doc_tokens(spark, sf_dir), 2)
-    hits = F.array_sort(gram_vocabulary_hits("grams", K.REQUEST_AMENITIES, match_subgram=True))
-    return g.select("doc_id", F.size(hits).alias("n_hits"), F.array_join(hits, "|").alias("hits"))
+    """X2 with sub-gram matching: bigram (joined by '_') or either word is a known amenity token. Grams are
+    exploded and tested with a hashed `isin`; only the hits are grouped again."""
+    docs = tables(spark, sf_dir).documents.select("doc_id")
+    grams = exploded_ngrams(_doc_tokens(spark, sf_dir), "tokens", 2, keep=["doc_id"])
+    words = F.split("gram", " ")
+    tested = grams.select("doc_id", F.explode(F.array(F.replace("gram", F.lit(" "), F.lit("_")), words[0], words[1])).alias("hit"))
+    hits = (tested.where(F.col("hit").isin(list(K.REQUEST_AMENITIES))).groupBy("doc_id")
+            .agg(F.array_sort(F.collect_set("hit")).alias("hits")))
+    found = F.coalesce(F.col("hits"), F.array().cast("array<string>"))
+    return docs.join(hits, "doc_id", "left").select("doc_id", F.size(found).alias("n_hits"), F.array_join(found, "|").alias("hits"))
 
 
 _CLEAN_STOP = stop_words_sql(list(K.ENGLISH_STOP_WORDS) + list(K.EXTRA_STOP_WORDS))
@@ -82,6 +82,6 @@ SELECT w AS token, count(*) AS n FROM w WHERE NOT list_contains({_CLEAN_STOP}, w
 """)
 def q_clean_tokens(spark, sf_dir):
     """Digit-free lower-case tokens minus stop words and the extra list (no lemmas)."""
-    docs = ensure_parallelism(tables(spark, sf_dir).documents.select("text"))
-    d = docs.select(F.explode(clean_tokens("text")).alias("token"))
-    return d.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    words = tables(spark, sf_dir).documents.select(F.explode(word_tokens("text")).alias("token"))
+    stop = list(K.ENGLISH_STOP_WORDS) + list(K.EXTRA_STOP_WORDS)
+    return words.where(~F.col("token").isin(stop)).groupBy("token").agg(F.count(F.lit(1)).alias("n"))

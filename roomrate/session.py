@@ -1,10 +1,10 @@
 """Spark session and shared-storage helpers.
 
-The library never writes to a machine-local temporary folder: any
-materialisation (lineage cut, round-trip file, saved model) goes under the
-shared folder the cluster names in ``spark.checkpoint.dir``. That setting
-is read from the session; a default is only set when it is missing (tests,
-local runs).
+Every materialisation (lineage cut, round-trip file, saved model) goes under the
+shared folder the cluster names in ``spark.checkpoint.dir``. That setting is
+read from the session. Where it is missing, a local master gets a folder of its
+own under /tmp (tests, local runs); any other master is refused, as its machines
+share no such folder.
 """
 
 from __future__ import annotations
@@ -47,6 +47,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    master = sc.master.split("[")[0]
+    if not configured and master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     target = configured or _LOCAL_FALLBACK_CHECKPOINT_DIR
     sc.setCheckpointDir(target)
     return sc.getCheckpointDir() or target
@@ -67,15 +70,14 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df from a Parquet table written into the shared folder: a lineage cut that keeps column pruning,
+    filters and size statistics, and that any executor can read again after a loss."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
-
-def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Spread an under-partitioned input (e.g. one large parquet row group read as a single
-    split) over the cluster before CPU-heavy row work. A no-op when the scan already has at
-    least `min_partitions` splits, which is the normal case for large inputs, so no extra
-    shuffle is added at scale. Round-robin repartitioning is deterministic (rows are sorted
-    before assignment), so recomputation after executor loss yields the same partitions."""
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df

@@ -85,11 +85,13 @@ FROM lineitem
 # ---------------------------------------------------------------------------
 # listings <- part
 # ---------------------------------------------------------------------------
-# Coordinates on a lattice of 0.0007 degrees (31 x 37 points), so several parts
-# share a coordinate (keep-first dedupe has work) and the +-0.002 box holds
-# up to 5 x 5 lattice points.
+# Coordinates grow with the table: every DISTRICT_ROWS consecutive keys form a district of their own, a
+# lattice of 13 x 17 points of 0.0007 degrees, 0.02 degrees from the next district. About a third of a
+# district's rows share a coordinate with another one (keep-first dedupe has work at every scale), and the
+# +-0.002 box holds up to 5 x 5 lattice points of one district, so neighbours per row stay constant.
 LAT_BASE, LON_BASE, LATTICE_STEP = 40.7, -73.9, 0.0007
-LAT_MOD, LON_MOD = 31, 37
+LAT_MOD, LON_MOD = 13, 17
+DISTRICT_ROWS, DISTRICT_STEP, DISTRICTS_PER_ROW = 331, 0.02, 1000
 ROOM_TYPE_OF_PART_TYPE = {
     "STANDARD": "Entire home/apt", "MEDIUM": "Entire home/apt", "LARGE": "Entire home/apt",
     "ECONOMY": "Private room", "SMALL": "Private room", "PROMO": "Shared room",
@@ -112,8 +114,12 @@ def listings_from_part(part: DataFrame, with_nulls: bool = True) -> DataFrame:
 
     # exact decimal arithmetic, then one rounding to double (same value in every engine)
     step = F.lit(Decimal(str(LATTICE_STEP)))
-    lat = (F.lit(Decimal(str(LAT_BASE))) + F.pmod(key, F.lit(LAT_MOD)) * step).cast("double")
-    lon = (F.lit(Decimal(str(LON_BASE))) + F.pmod(key, F.lit(LON_MOD)) * step).cast("double")
+    district = F.floor(key / DISTRICT_ROWS).cast("bigint")
+    apart = F.lit(Decimal(str(DISTRICT_STEP)))
+    lat = (F.lit(Decimal(str(LAT_BASE))) + F.pmod(key, F.lit(LAT_MOD)) * step
+           + F.floor(district / DISTRICTS_PER_ROW).cast("int") * apart).cast("double")
+    lon = (F.lit(Decimal(str(LON_BASE))) + F.pmod(key, F.lit(LON_MOD)) * step
+           + F.pmod(district, F.lit(DISTRICTS_PER_ROW)).cast("int") * apart).cast("double")
     amenities = F.concat(F.lit('{'), F.col("p_type"), F.lit(',"'), F.col("p_name"), F.lit('","'),
                          F.col("p_brand"), F.lit('",24-hour check-in'), F.lit('}'))
     return part.select(
@@ -146,8 +152,10 @@ def listings_sql(with_nulls: bool = True) -> str:
 SELECT p_partkey AS id,
        {maybe_null('p_name', 3)} AS description,
        CASE WHEN p_size % 3 = 0 THEN 't' ELSE 'f' END AS host_is_superhost,
-       CAST(CAST({LAT_BASE} AS DECIMAL(10,4)) + (p_partkey % {LAT_MOD}) * {LATTICE_STEP} AS DOUBLE) AS latitude,
-       CAST(CAST({LON_BASE} AS DECIMAL(10,4)) + (p_partkey % {LON_MOD}) * {LATTICE_STEP} AS DOUBLE) AS longitude,
+       CAST(CAST({LAT_BASE} AS DECIMAL(10,4)) + CAST(p_partkey % {LAT_MOD} AS INTEGER) * {LATTICE_STEP}
+            + CAST(p_partkey // {DISTRICT_ROWS * DISTRICTS_PER_ROW} AS INTEGER) * {DISTRICT_STEP} AS DOUBLE) AS latitude,
+       CAST(CAST({LON_BASE} AS DECIMAL(10,4)) + CAST(p_partkey % {LON_MOD} AS INTEGER) * {LATTICE_STEP}
+            + CAST((p_partkey // {DISTRICT_ROWS}) % {DISTRICTS_PER_ROW} AS INTEGER) * {DISTRICT_STEP} AS DOUBLE) AS longitude,
        {_room_type_sql()} AS room_type,
        CAST(p_size % 6 + 1 AS INTEGER) AS accommodates,
        {maybe_null('CAST(p_size % 7 AS DOUBLE)', 0)} AS bathrooms,
@@ -163,11 +171,6 @@ FROM part
 # ---------------------------------------------------------------------------
 # descriptions <- documents (+ labels), requests <- events.props
 # ---------------------------------------------------------------------------
-def descriptions_from_documents(documents: DataFrame) -> DataFrame:
-    return documents.select(F.col("doc_id"), F.col("text").alias("description"),
-                            F.col("lang"), F.col("n_chars"))
-
-
 def requests_from_events(events: DataFrame) -> DataFrame:
     """Score requests from `events.props` ({"k": n}): k becomes `accommodates`; one event in ten
     carries a badly typed field ({"bedrooms": "x<n>"}) and one in ten is not valid JSON."""

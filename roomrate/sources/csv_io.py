@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-READ_OPTIONS = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"', "mode": "FAILFAST",
+READ_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "mode": "FAILFAST",
                 "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 WRITE_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "quoteAll": "false",
                  "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
@@ -19,10 +19,11 @@ TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss"
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, date_format: str = "yyyy-MM-dd",
-             timestamp_format: str = TIMESTAMP_FORMAT) -> DataFrame:
+             timestamp_format: str = TIMESTAMP_FORMAT, multi_line: bool = True) -> DataFrame:
     """Header CSV (gzip inferred from the extension) with a declared schema.
-    Date / timestamp columns are parsed by the declared type. (S2)"""
-    return (spark.read.options(**READ_OPTIONS)
+    Date / timestamp columns are parsed by the declared type. (S2) Without line breaks in its fields
+    a file is read with multi_line=False: it is then split over tasks (unless gzipped)."""
+    return (spark.read.options(**READ_OPTIONS).option("multiLine", str(multi_line).lower())
             .option("dateFormat", date_format)
             .option("timestampFormat", timestamp_format)
             .option("timestampNTZFormat", timestamp_format)
@@ -37,7 +38,3 @@ def write_csv(df: DataFrame, path: str, compression: str = "gzip",
      .option("timestampNTZFormat", timestamp_format)
      .csv(path))
     return path
-
-
-def string_schema(names) -> T.StructType:
-    return T.StructType([T.StructField(n, T.StringType(), True) for n in names])

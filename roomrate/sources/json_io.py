@@ -27,11 +27,6 @@ def read_profile(spark: SparkSession, path: str, schema: T.StructType) -> DataFr
     return spark.read.schema(schema).json(path)
 
 
-def profile_as_json(profile: DataFrame) -> DataFrame:
-    """One-row profile -> one JSON string column `profile_json`."""
-    return profile.select(F.to_json(F.struct(*[F.col(c) for c in profile.columns])).alias("profile_json"))
-
-
 def request_schema(fields=None, with_description: bool = True) -> T.StructType:
     fields = fields if fields is not None else K.request_fields()
     out = [T.StructField("description", T.StringType(), True)] if with_description else []

@@ -8,10 +8,12 @@ unless the caller names another shared location.
 
 from __future__ import annotations
 
+import hashlib
 import time
+from collections.abc import Callable
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from roomrate.session import shared_path
 
@@ -43,3 +45,25 @@ def save_model(spark: SparkSession, model: PipelineModel, family: str, folder: s
 
 def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
+
+
+def _keyed_path(spark: SparkSession, kind: str, key: str) -> str:
+    """A path that this application and key always give (the shared folder is the application's own)."""
+    return shared_path(spark, kind, hashlib.sha256(key.encode()).hexdigest()[:24], unique=False)
+
+
+def stored_table(spark: SparkSession, key: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The Parquet table of a key, written on first use."""
+    path = _keyed_path(spark, "tables", key)
+    if not _exists(spark, path + "/_SUCCESS"):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def stored_model(spark: SparkSession, key: str, fit: Callable[[], PipelineModel]) -> PipelineModel:
+    """The saved model of a key, fitted on first use; always the loaded one, so that the first use and later
+    ones score alike."""
+    path = _keyed_path(spark, "fitted", key)
+    if not _exists(spark, path + "/metadata/_SUCCESS"):
+        fit().write().overwrite().save(path)
+    return load_model(path)

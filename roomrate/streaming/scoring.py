@@ -15,13 +15,12 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roomrate import constants as K
 from roomrate.sources.json_io import decode_requests, encode_response
 
 
-def score(requests: DataFrame, main_model: PipelineModel, features, text_model: PipelineModel | None = None,
+def score(requests: DataFrame, main_model: PipelineModel, text_model: PipelineModel | None = None,
           body: str = "body", description: str = "description", defaults: dict | None = None) -> DataFrame:
-    """requests(request_id, body[, description]) -> (request_id, is_valid, prediction, response).
+    """requests(request_id, body[, description]) -> (request_id, is_valid, prediction, response, bin_source).
 
     The description comes from the JSON body, or else from a `description` column of
     the request table. Empty text keeps the default bin (falsy text in the source)."""
@@ -30,33 +29,29 @@ def score(requests: DataFrame, main_model: PipelineModel, features, text_model:
                           defaults=defaults, keep=("request_id", "_desc_ext") if ext else ("request_id",))
     if ext:
         dec = dec.withColumn("description", F.coalesce(F.col("description"), F.col("_desc_ext"))).drop("_desc_ext")
+    dec = dec.withColumn("bin_source", F.lit("default"))
     if text_model is not None:
         has_text = F.col("description").isNotNull() & (F.col("description") != "")
         scored_text = text_model.transform(dec.withColumn("_text", F.coalesce(F.col("description"), F.lit(""))))
-        dec = scored_text.select(*[F.col(c) for c in dec.columns if c != "pred_price_year_avg_bin"],
+        dec = scored_text.select(*[F.col(c) for c in dec.columns if c not in ("pred_price_year_avg_bin", "bin_source")],
+                                 F.when(has_text, F.lit("text")).otherwise(F.lit("default")).alias("bin_source"),
                                  F.when(has_text, F.col("_pred").cast("int"))
                                  .otherwise(F.col("pred_price_year_avg_bin")).alias("pred_price_year_avg_bin"))
     out = main_model.transform(dec)
     return out.select("request_id", "is_valid", F.col("prediction"),
-                      encode_response(F.col("prediction")).alias("response"))
+                      encode_response(F.col("prediction")).alias("response"), "bin_source")
 
 
 def score_stream(spark: SparkSession, source_dir: str, glob: str, schema, to_requests, main_model: PipelineModel,
-                 features, sink_dir: str, checkpoint_dir: str, text_model: PipelineModel | None = None) -> DataFrame:
-    """Drain a parquet file stream through `score` (trigger availableNow) and return the sink as a table."""
-    stream = (spark.readStream.schema(schema).option("pathGlobFilter", glob)
-              .option("maxFilesPerTrigger", 1).parquet(source_dir))
-    scored = score(to_requests(stream), main_model, features, text_model)
+                 sink_dir: str, checkpoint_dir: str, text_model: PipelineModel | None = None,
+                 defaults: dict | None = None) -> DataFrame:
+    """Drain a parquet file stream through `score` (trigger availableNow: all waiting files in one batch) and
+    return the sink as a table."""
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(source_dir)
+    scored = score(to_requests(stream), main_model, text_model, defaults=defaults)
     q = (scored.writeStream.format("parquet").option("path", sink_dir)
          .option("checkpointLocation", checkpoint_dir).outputMode("append")
          .trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.parquet(sink_dir)
 
-
-def default_request_row(spark: SparkSession) -> DataFrame:
-    """The all-defaults request (the smoke-test request of the serving API)."""
-    return spark.createDataFrame([(0, "{}")], "request_id long, body string")
-
-
-__all__ = ["score", "score_stream", "default_request_row", "K"]

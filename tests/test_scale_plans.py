@@ -12,7 +12,6 @@ from roomrate.operators.periods import period_averages
 from roomrate.operators.profile import exact_quantiles
 from roomrate.plans import calendar as C1
 from roomrate.plans.common import calendar
-from roomrate.session import ensure_parallelism
 from roomrate.sources.bindings import CALENDAR_ORDER
 
 
@@ -51,11 +50,17 @@ def test_hot_key_with_copies_is_exact(spark):
     assert feats[1] == 50.0
 
 
-def test_parallelism_guard_is_a_no_op_on_split_inputs(spark):
-    wide = spark.range(0, 1000, numPartitions=spark.sparkContext.defaultParallelism)
-    assert ensure_parallelism(wide) is wide
-    narrow = spark.range(0, 1000, numPartitions=1)
-    assert ensure_parallelism(narrow).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+def test_listings_grow_with_the_table(spark):
+    """Coordinates come from growing districts: rows kept and neighbours per row do not depend on the scale."""
+    from roomrate.plans.queries_encode import q_band_join, q_listing_dedupe
+
+    kept, around = [], []
+    for sf in ("sf0.001", "sf0.01"):
+        path = SMALL_SF.replace("sf0.001", sf)
+        parts = spark.read.parquet(f"{path}/part.parquet").count()
+        kept.append(q_listing_dedupe(spark, path).count() / parts)
+        around.append(q_band_join(spark, path).agg(F.avg("n_neighbours")).first()[0])
+    assert all(k > 0.6 for k in kept) and kept[1] > 0.6 * kept[0] and around[1] < 2 * around[0]
 
 
 def test_exact_quantiles_never_use_exact_percentile(spark):
