@@ -7,7 +7,8 @@
 5 shard               places what is left on shards (op 6)
 
 All but the last return the columns of documents. Null texts go in stage 1; rows with a null doc_id go in
-stage 2, as no copy of theirs could be told apart; repeated rows are copies; an empty table passes through.
+stage 2, as no copy of theirs could be told apart (and in stage 4, which places rows by their id); repeated rows
+are copies; an empty table passes through.
 """
 
 from __future__ import annotations
@@ -15,8 +16,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from roomrate.llm.decontaminate import contamination, digest
-from roomrate.llm.language_id import UNKNOWN, predicted, train
+from roomrate.llm.decontaminate import without_contaminated
+from roomrate.llm.language_id import UNKNOWN, prediction, train
 from roomrate.llm.mixing import mixed
 from roomrate.llm.ngram_jaccard import near_components
 from roomrate.llm.queries import MIX_DEFAULT, MIX_WEIGHTS
@@ -29,9 +30,8 @@ LEAST_SCORE = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = train(docs, F.lit(True))
-    columns = docs.columns
-    return predicted(docs, model).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*columns)
+    told = docs.withColumn("__told", prediction(spark, train(docs, F.lit(True))))
+    return told.where((F.col("__told.lang_pred") != UNKNOWN) & (F.col("__told.score") >= LEAST_SCORE)).drop("__told")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,8 +43,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = digest(contamination(docs, read_table(spark, sf_dir, "benchmark")))
-    return docs.join(found.where("contaminated").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    return without_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -199,6 +200,29 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             .select("id", "n_words", F.coalesce("items", empty_items).alias("items"), F.coalesce("spans", empty_spans).alias("spans")))
 
 
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                         span: int = SPAN, gram: int = GRAM, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
+    """The rows of docs without a hit word. With one block of the benchmark, rows are tested where they are;
+    with several, rows go by their id, and rows with a null id stay."""
+    parts = blocks(benchmark, "item_id", "text", span, gram, broadcast_words)
+    if len(parts) > 1:
+        found = contamination(docs, benchmark, id_col, text_col, span=span, gram=gram, broadcast_words=broadcast_words)
+        hit = found.where(F.size("spans") > 0).select(F.col("id").alias(id_col)).distinct()
+        return docs.join(hit, id_col, "left_anti").select(*docs.columns)
+    items = [(r["id"], r["text"]) for r in parts[0].select("id", "text").orderBy("id", "text").collect()]
+    shared = docs.sparkSession.sparkContext.broadcast(Benchmark(items, span, gram))
+
+    @F.pandas_udf("boolean")
+    def hit(texts: pd.Series) -> pd.Series:
+        out = np.zeros(len(texts), bool)
+        for lo, _, data, offsets in X.pieces(pa.array(texts, pa.string())):
+            w = X.Words(data, offsets, X.ALNUM)
+            out[lo + w.row[hits(w, shared.value)[0]]] = True
+        return pd.Series(out)
+
+    return docs.where(~hit(F.col(text_col)))
+
+
 def digest(found: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) from the rows of contamination()."""
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s[1] - s[0])

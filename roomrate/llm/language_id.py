@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roomrate.llm.storage import written
@@ -142,9 +142,8 @@ def scored(texts: list[str | None], langs: list[str], logp: np.ndarray) -> tuple
     return best, score
 
 
-def predicted(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text") -> DataFrame:
-    """docs with lang_pred and score added (columns of these names are replaced)."""
-    spark = docs.sparkSession
+def prediction(spark: SparkSession, model: tuple[list[str], np.ndarray], text_col: str = "text") -> Column:
+    """Struct column (lang_pred, score) of a text column."""
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
@@ -153,8 +152,13 @@ def predicted(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: st
         best, score = scored(texts.tolist(), langs, logp)
         return pd.DataFrame({"lang_pred": best, "score": score})
 
-    return (docs.drop("lang_pred", "score").withColumn("predicted", predict(F.col(text_col)))
-            .select("*", "predicted.lang_pred", "predicted.score").drop("predicted"))
+    return predict(F.col(text_col))
+
+
+def predicted(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text") -> DataFrame:
+    """docs with lang_pred and score added (columns of these names are replaced)."""
+    found = docs.drop("lang_pred", "score").withColumn("__predicted", prediction(docs.sparkSession, model, text_col))
+    return found.select("*", "__predicted.lang_pred", "__predicted.score").drop("__predicted")
 
 
 def held_out(id_col: str = "doc_id"):

@@ -14,7 +14,7 @@ The mix is the longest run of slots in which every source still has whole blocks
 marked as not in the mix: the weights could not be held with them, and no row is repeated.
 
 Defined results: sources without a weight get default_weight (0 leaves a source out); a null source is a
-source; repeated rows are rows; an empty table gives an empty result; a weight that is negative raises.
+source; repeated rows are rows; rows with a null id are scheduled, but mixed() cannot tell them; an empty table gives an empty result; a weight that is negative raises.
 """
 
 from __future__ import annotations

@@ -164,6 +164,10 @@ def test_decontamination_equals_brute_force(spark, seed, limit):
         n, hit, found, sha = brute_force(t, items)
         r = got[i]
         assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == (n, hit, len(found), sha, hit > 0), i
+    from roomrate.llm.decontaminate import without_contaminated
+
+    clean = {i for i, t in docs if not brute_force(t, items)[1]}
+    assert {r.doc_id for r in without_contaminated(d, b, broadcast_words=limit).collect()} == clean
     assert all(r.n_hit == 0 for r in digest(contamination(d, b.limit(0))).collect())
     assert digest(contamination(d.limit(0), b)).collect() == []
 

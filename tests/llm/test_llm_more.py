@@ -324,7 +324,7 @@ def test_pipeline_against_brute_force(spark):
 def test_stages_take_nulls_repeats_extra_columns_and_empty_tables(spark):
     import corpus_pipeline as P
 
-    schema = "doc_id long, text string, lang string, source string, n_chars long, component string, slot int"
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score string, slot int"
     text = "the quick brown fox jumps over the lazy dog and runs away"
     rows = [(1, text, "en", "a", 5, "x", 1), (1, text, "en", "a", 5, "x", 1), (2, text, None, None, None, None, None), (None, text, "en", "a", 1, "y", 2),
             (3, None, "fr", "b", None, "z", 3), (4, "", "en", "b", 0, "", 4), (5, "le chat est sur la table avec la souris et le chien", "fr", "b", 0, "", 4)]
@@ -335,6 +335,8 @@ def test_stages_take_nulls_repeats_extra_columns_and_empty_tables(spark):
             assert name == "shard" or out.columns == df.columns
             n = out.count()
             assert n <= len(data)
+            if name == "language_id" and data:
+                assert {r.score for r in out.collect()} == {"x", None, "y", ""}
             if data and name == "near_duplicates":
                 assert sorted(r.doc_id for r in out.collect()) == [1, 3, 4, 5]
 
