@@ -10,7 +10,8 @@ against (-1) or not at all (0):
 * context    words to the left that speak of contacts and payments, or of versions, pages and prices
 
 Expectation-maximisation over the counts of vote patterns (a bounded table: kinds x votes x length
-classes) estimates each labeler's reliability and each pattern's probability. These soft labels train the span
+classes) estimates each labeler's reliability and each pattern's probability; base spans are known to be
+personal and hold their class. These soft labels train the span
 classifier, a logistic regression over kind, votes and length class; its coefficients score every candidate
 in a column expression. Candidates scored above one half that overlap no base span are added; base spans
 always stay.
@@ -116,6 +117,13 @@ def valid(hit: Column, kind: str) -> Column:
     return n.between(9, 15) if kind == "phone" else F.lit(True)
 
 
+def shaped(hit: Column, kind: str) -> Column:
+    """Whether a match that fails the conditions is still a candidate: runs of digits too short or too long for a
+    card or a phone number are none."""
+    n = F.char_length(digits(hit))
+    return n.between(13, 19) if kind == "card" else n.between(7, 15) if kind == "phone" else F.lit(True)
+
+
 def votes(text: Column, span: Column, kind: str) -> list[Column]:
     """The labelers' votes on a span, and its length class."""
     hit, number = span["hit"], digits(span["hit"])
@@ -147,18 +155,18 @@ def spotted(docs: DataFrame) -> DataFrame:
 
     def labelled(kind: str) -> Column:
         return F.transform(kind, lambda s: F.struct(F.lit(KINDS.index(kind)).alias("kind"), s["lo"].alias("lo"), s["hi"].alias("hi"),
-                                                    *votes(text, s, kind), valid(s["hit"], kind).alias("valid")))
+                                                    *votes(text, s, kind), valid(s["hit"], kind).alias("valid"), shaped(s["hit"], kind).alias("shaped")))
 
     each = found.select("id", *[labelled(k).alias(k) for k in KINDS])
     return each.select("id", F.concat(*[F.filter(k, lambda c: c["valid"]) for k in BASE]).alias("base"),
-                       F.concat(*[F.filter(k, lambda c: ~c["valid"]) for k in BASE], "number", "secret").alias("others"))
+                       F.concat(*[F.filter(k, lambda c: ~c["valid"] & c["shaped"]) for k in BASE], "number", "secret").alias("others"))
 
 
 def reliabilities(patterns: list[dict], rounds: int = 200) -> list[float]:
     """Probability of each pattern (votes and count n) by expectation-maximisation over two classes whose
-    labelers vote independently; the majority of the votes is the start."""
+    labelers vote independently; the majority of the votes is the start. Patterns that are `known` stay at 1."""
     weight = [p["n"] for p in patterns]
-    post = [min(0.9, max(0.1, 0.5 + 0.2 * sum(p[x] for x in LABELERS))) for p in patterns]
+    post = [1.0 if p.get("known") else min(0.9, max(0.1, 0.5 + 0.2 * sum(p[x] for x in LABELERS))) for p in patterns]
     for _ in range(rounds):
         total = sum(w * q for w, q in zip(weight, post, strict=True))
         share = min(0.95, max(0.05, total / sum(weight)))
@@ -169,7 +177,7 @@ def reliabilities(patterns: list[dict], rounds: int = 200) -> list[float]:
                 no = sum(w * (1 - q) for p, w, q in zip(patterns, weight, post, strict=True) if p[x] == v)
                 table[x, v] = math.log((yes + 1) / (total + 3)) - math.log((no + 1) / (sum(weight) - total + 3))
         logit = [math.log(share / (1 - share)) + sum(table[x, p[x]] for x in LABELERS) for p in patterns]
-        new = [1 / (1 + math.exp(-max(-30.0, min(30.0, z)))) for z in logit]
+        new = [1.0 if p.get("known") else 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))) for p, z in zip(patterns, logit, strict=True)]
         moved = max(abs(a - b) for a, b in zip(new, post, strict=True))
         post = new
         if moved < 1e-9:
@@ -179,7 +187,7 @@ def reliabilities(patterns: list[dict], rounds: int = 200) -> list[float]:
 
 def classifier(candidates: DataFrame) -> dict[str, float] | None:
     """Coefficients of the span classifier by feature name ("" is the intercept)."""
-    columns = ["kind", *LABELERS, "length"]
+    columns = ["kind", *LABELERS, "length", "known"]
     patterns = [r.asDict() for r in candidates.groupBy(*columns).agg(F.count("*").alias("n")).orderBy(*columns).collect()]
     if not patterns:
         return None
@@ -199,7 +207,10 @@ def private_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) of every row of docs."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     table = written(spotted(rows), "pii")
-    weights = classifier(table.select(F.explode(F.concat("base", "others")).alias("c")).select("c.*"))
+    free = F.filter("others", lambda c: ~F.exists("base", lambda b: (b["lo"] < c["hi"]) & (c["lo"] < b["hi"])))
+    table = table.withColumn("others", free)
+    known = table.select(F.explode("base").alias("c")).select("c.*", F.lit(True).alias("known"))
+    weights = classifier(known.union(table.select(F.explode("others").alias("c")).select("c.*", F.lit(False).alias("known"))))
 
     def score(c: Column) -> Column:
         out = F.lit(weights[""])
@@ -212,7 +223,7 @@ def private_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     if weights is None:
         added = F.filter("others", lambda c: F.lit(False))
     else:
-        added = F.filter("others", lambda c: (score(c) > 0) & ~F.exists("base", lambda b: (b["lo"] < c["hi"]) & (c["lo"] < b["hi"])))
+        added = F.filter("others", lambda c: score(c) > 0)
     names = F.array(*[F.lit(k) for k in KINDS])
 
     def joined(array) -> Column:
