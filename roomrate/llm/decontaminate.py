@@ -23,7 +23,6 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -212,13 +211,13 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "d
     items = [(r["id"], r["text"]) for r in parts[0].select("id", "text").orderBy("id", "text").collect()]
     shared = docs.sparkSession.sparkContext.broadcast(Benchmark(items, span, gram))
 
-    @F.pandas_udf("boolean")
-    def hit(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("boolean")
+    def hit(texts: pa.Array) -> pa.Array:
         out = np.zeros(len(texts), bool)
-        for lo, _, data, offsets in X.pieces(pa.array(texts, pa.string())):
+        for lo, _, data, offsets in X.pieces(texts):
             w = X.Words(data, offsets, X.ALNUM)
             out[lo + w.row[hits(w, shared.value)[0]]] = True
-        return pd.Series(out)
+        return pa.array(out)
 
     return docs.where(~hit(F.col(text_col)))
 

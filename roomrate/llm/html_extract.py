@@ -17,7 +17,7 @@ from __future__ import annotations
 import html as entities
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
@@ -218,9 +218,9 @@ def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """(page_id, url, text, n_chars) of every row of pages."""
     tree = trained(pages.sparkSession)
 
-    @F.pandas_udf("string")
-    def read(html: pd.Series) -> pd.Series:
-        return pd.Series([main_text(tree, x) for x in html], dtype=object)
+    @F.arrow_udf("string")
+    def read(html: pa.Array) -> pa.Array:
+        return pa.array([main_text(tree, x.as_py()) for x in html], pa.string())
 
     return (pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), read(F.col(html_col)).alias("text"))
             .withColumn("n_chars", F.char_length("text").cast("long")))

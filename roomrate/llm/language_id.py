@@ -18,7 +18,6 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,8 +31,9 @@ SMOOTHING = 0.5
 #: bound on the languages of a model (the matrix has MAX_LANGUAGES x BUCKETS numbers at most: 64 MB)
 MAX_LANGUAGES = 500
 UNKNOWN = "und"
-#: code points worked off at once
-PIECE = 1 << 20
+#: code points worked off at once, and rows whose texts are decoded at once
+PIECE = 1 << 18
+ROWS = 256
 
 _NOT_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")
 
@@ -84,7 +84,7 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
 
     def run(batches):
         totals: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             langs = np.array(batch.column("lang").to_pylist(), object)
             texts = batch.column("text").to_pylist()
             for lang in dict.fromkeys(langs):
@@ -146,11 +146,15 @@ def prediction(spark: SparkSession, model: tuple[list[str], np.ndarray], text_co
     """Struct column (lang_pred, score) of a text column."""
     shared = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double")
-    def predict(texts: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf("lang_pred string, score double")
+    def predict(texts: pa.Array) -> pa.Array:
         langs, logp = shared.value
-        best, score = scored(texts.tolist(), langs, logp)
-        return pd.DataFrame({"lang_pred": best, "score": score})
+        best, score = [], [np.zeros(0)]
+        for at in range(0, len(texts), ROWS):
+            b, s = scored(texts.slice(at, ROWS).to_pylist(), langs, logp)
+            best += b
+            score.append(s)
+        return pa.StructArray.from_arrays([pa.array(best, pa.string()), pa.array(np.concatenate(score))], names=["lang_pred", "score"])
 
     return predict(F.col(text_col))
 

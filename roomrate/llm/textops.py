@@ -13,7 +13,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
+#: rows whose texts are copied out of a batch at once
+PIECE_ROWS = 512
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
@@ -63,7 +65,7 @@ def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string array; a null counts as empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    texts = pa.concat_arrays([texts.cast(pa.large_string()).fill_null("")])
+    texts = pa.concat_arrays([texts.cast(pa.large_string()).fill_null("")])  # null becomes empty, offsets begin at 0
     offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset: texts.offset + len(texts) + 1]
     data = np.frombuffer(texts.buffers()[2], dtype=np.uint8) if texts.buffers()[2] is not None else np.zeros(0, np.uint8)
     return data[offsets[0]: offsets[-1]], offsets - offsets[0]
@@ -71,14 +73,13 @@ def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def pieces(texts: pa.Array, limit: int = PIECE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of consecutive runs of rows of about `limit` bytes."""
-    if len(texts) == 0:
-        return
-    data, offsets = flat(texts)
-    lo = 0
-    while lo < len(offsets) - 1:
-        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, side="right")) - 1)
-        yield lo, hi, data[offsets[lo]: offsets[hi]], offsets[lo: hi + 1] - offsets[lo]
-        lo = hi
+    for start in range(0, len(texts), PIECE_ROWS):
+        data, offsets = flat(texts.slice(start, PIECE_ROWS))
+        lo = 0
+        while lo < len(offsets) - 1:
+            hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, side="right")) - 1)
+            yield start + lo, start + hi, data[offsets[lo]: offsets[hi]], offsets[lo: hi + 1] - offsets[lo]
+            lo = hi
 
 
 class Words:
