@@ -41,7 +41,7 @@ from roomrate.llm import textops as X
 from roomrate.llm.components import connected
 from roomrate.llm.storage import written
 
-#: sets of a tile that are compared in one place (2 to 4 bits per n-gram each)
+#: sets of a tile that are compared in one place (1 to 2 bits per n-gram each)
 TILE = 4096
 #: n-grams of a family that is compared in one place (32 MB of hashes)
 FAMILY = 4_000_000
@@ -63,8 +63,8 @@ def set_keys(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def bitmap(h: np.ndarray) -> bytes:
-    """Bitmap of 2 to 4 bits per hash, a power of two long: bit (hash modulo length) of every hash."""
-    m = max(64, 1 << (2 * len(h) - 1).bit_length())
+    """Bitmap of 1 to 2 bits per hash, a power of two long: bit (hash modulo length) of every hash."""
+    m = max(64, 1 << (len(h) - 1).bit_length())
     bits = np.zeros(m, bool)
     bits[(h & np.uint64(m - 1)).astype(np.int64)] = True
     return np.packbits(bits, bitorder="little").tobytes()
@@ -265,7 +265,7 @@ def tile_links(members: DataFrame, bits: DataFrame, num: int, den: int, limit: i
 def by_key(batches, key: str, done):
     """done(table) of runs of rows that hold whole groups of equal, sorted keys."""
     held = None
-    for batch in batches:
+    for batch in (b.slice(at, 1024) for b in batches for at in range(0, b.num_rows, 1024)):
         table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
         keys = table.column(key).to_numpy()
         cut = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
