@@ -64,11 +64,12 @@ def multi_hot_sets(df: DataFrame, tokens_col: str, out_col: str = "token_codes")
     """df with the sorted codes of each row's tokens, for vocabularies of any size; the code of a token is its
     rank in the sorted vocabulary, so code i is column i of the wide layout. (E3)"""
     codes = ranked(token_table(df, tokens_col), "token")
-    keyed = df.withColumn("_own", F.array_sort(F.array_distinct(tokens_col)))
-    # rows with equal token sets share one lookup
-    sets = (keyed.select("_own").distinct().withColumn("token", F.explode("_own")).join(codes, "token")
-            .groupBy("_own").agg(F.array_sort(F.collect_list("rank")).alias("_codes")))
-    return (keyed.join(sets, "_own", "left")
+    # rows with equal token sets share one lookup; the set itself does not travel with its tokens
+    keyed = df.withColumn("_set", F.sha2(F.to_json(F.array_sort(F.array_distinct(tokens_col))), 256))
+    sets = (keyed.groupBy("_set").agg(F.any_value(tokens_col).alias("_tokens"))
+            .select("_set", F.explode(F.array_distinct("_tokens")).alias("token")).join(codes, "token")
+            .groupBy("_set").agg(F.array_sort(F.collect_list("rank")).alias("_codes")))
+    return (keyed.join(sets, "_set", "left")
             .select(*df.columns, F.coalesce(F.col("_codes"), F.array().cast("array<bigint>")).alias(out_col)))
 
 
