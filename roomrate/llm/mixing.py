@@ -6,37 +6,62 @@ schedule gives each slot to the released block of the earliest deadline (ties: a
 meets the next block's window first, then the source that sorts first). With shares that add up to 1, no
 deadline is missed: after t slots each source has had w t blocks, less than one block off.
 
-Weights are integers, so the schedule repeats after as many slots as the weights' sum. One period is worked
-out on the driver (PERIOD slots at most, whatever the data); the slot of each block is then arithmetic: a
-join of the numbered rows with the period's blocks.
-
-The mix is the longest run of slots in which every source still has whole blocks. Rows in later slots are
-marked as not in the mix: the weights could not be held with them, and no row is repeated.
-
-Defined results: sources without a weight get default_weight (0 leaves a source out); a null source is a
-source; repeated rows are rows; rows with a null id are scheduled, but mixed() cannot tell them; an empty table gives an empty result; a weight that is negative raises.
+Each source gives a number of rows to the mix: as many as the weights allow for which every source has enough.
+Rows that a source has beyond that are marked as not in the mix; no row is repeated. Without weights, the
+targets are the sources' own shares, but a source above SHARE of the rows gives up to GIVES of its rows to come
+down to it. The schedule repeats after at most PERIOD slots, the sum of the whole-number weights that stand
+for the rows. One period is worked out on the driver, whatever the data; each source's rows are cut into as many
+equal blocks as its weight times the number of periods, and the slot of a block is arithmetic: a join of the
+numbered rows with the period's blocks.
+
+Defined results: with weights, sources without one get default_weight (0 leaves a source out); a null source is a
+source; repeated rows are rows; rows with a null id are scheduled, but mixed() cannot tell them; an empty table
+gives an empty result; a weight that is negative raises.
 """
 
 from __future__ import annotations
 
+import heapq
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roomrate.llm.numbering import numbered
 from roomrate.llm.storage import written
 
+#: rows of a block, about
 BLOCK_ROWS = 8
-#: bound on the slots of a period, the sum of the weights, and so on the number of sources
-PERIOD = 100_000
+#: bound on the slots of a period, and so on the number of sources
+PERIOD = 20_000
+#: a source above this share of the rows gives up to this part of them, if no weights are set
+SHARE, GIVES = 0.3, 0.1
+
+
+def taken(rows: dict[str | None, int], weights: dict[str | None, int] | None, default_weight: int = 1) -> dict[str | None, int]:
+    """Rows that each source gives to the mix."""
+    if weights is None:
+        take = dict(rows)
+        for s, n in rows.items():
+            at_share = int(SHARE / (1 - SHARE) * (sum(rows.values()) - n))
+            if n > at_share:
+                take[s] = max(at_share, n - int(GIVES * n))
+        return take
+    each = {s: weights.get(s, default_weight) for s in rows}
+    if min(each.values(), default=0) < 0:
+        raise ValueError("weights must be 0 or more")
+    runs = min((rows[s] / w for s, w in each.items() if w), default=0)
+    return {s: min(rows[s], int(runs * w + 1e-9)) for s, w in each.items()}
+
+
+def whole_weights(take: dict[str | None, int], slots: int) -> dict[str | None, int]:
+    """Whole numbers of at least 1 for the rows of each source that gives any, adding up to about `slots`."""
+    total = sum(take.values())
+    return {s: max(1, round(slots * n / total)) for s, n in take.items() if n}
 
 
 def period(weights: dict[str | None, int]) -> list[tuple[str | None, int, int, int, int]]:
     """One period of the schedule: (source, block in the period from 0, release, deadline, slot)."""
     total = sum(weights.values())
-    if min(weights.values(), default=0) < 0 or total > PERIOD:
-        raise ValueError(f"weights must be 0 or more and add up to {PERIOD} at most")
-    import heapq
-
     names = sorted((s for s, w in weights.items() if w), key=lambda s: (s is not None, s))
 
     def window(i: int, j: int) -> tuple[int, int, int]:
@@ -62,35 +87,29 @@ def period(weights: dict[str | None, int]) -> list[tuple[str | None, int, int, i
 
 def scheduled(docs: DataFrame, weights: dict[str | None, int] | None = None, default_weight: int = 1,
               block_rows: int = BLOCK_ROWS, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """(doc_id, source, block, release, deadline, slot, in_mix) of every row of docs; null times and slot for
-    a source of weight 0."""
+    """(doc_id, source, block, release, deadline, slot, in_mix) of every row of docs; block, times and slot are null
+    for rows that are not in the mix."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"))
-    placed = written(numbered(rows, F.col("source"), [F.col("doc_id")], "at", F.col("doc_id"))
-                     .select("doc_id", "source", F.floor(F.col("at") / block_rows).alias("block")), "blocks")
-    sizes = placed.groupBy("source").agg(F.floor(F.count("*") / block_rows).alias("whole")).limit(PERIOD + 1).collect()
+    placed = written(numbered(rows, F.col("source"), [F.col("doc_id")], "at", F.col("doc_id")).select("doc_id", "source", "at"), "placed")
+    sizes = {r["source"]: r["n"] for r in placed.groupBy("source").agg(F.count("*").alias("n")).limit(PERIOD + 1).collect()}
     if len(sizes) > PERIOD:
         raise ValueError(f"more than {PERIOD} sources")
-    each = {r["source"]: (weights or {}).get(r["source"], default_weight) for r in sizes}
-    slots = period(each)
+    take = taken(sizes, weights, default_weight)
+    blocks = sum(take.values()) // block_rows
+    whole = whole_weights(take, max(1, min(PERIOD, blocks)))
+    periods = max(1, blocks // max(1, sum(whole.values())))
+    slots = period(whole)
     total = len(slots)
-    turns = spark.createDataFrame([(s, j, r, d, t, each[s]) for s, j, r, d, t in slots],
-                                  "s string, j long, r long, d long, t long, w long")
-    # the first slot for which a source has no whole block left ends the mix
-    by_source: dict[str | None, list[int]] = {}
-    for s, _, _, _, t in slots:
-        by_source.setdefault(s, []).append(t)
-    ends = [(r["whole"] // each[r["source"]]) * total + by_source[r["source"]][r["whole"] % each[r["source"]]]
-            for r in sizes if each[r["source"]]]
-    end = min(ends, default=0)
-    share = spark.createDataFrame([(s, w) for s, w in each.items()], "name string, w long")
-    keyed = (placed.join(share, F.col("source").eqNullSafe(F.col("name"))).drop("name")
-             .withColumn("j0", F.when(F.col("w") > 0, F.pmod("block", F.greatest(F.col("w"), F.lit(1))))))
-    turn = F.floor(F.try_divide("block", "w")) * total
-    return (keyed.withColumnRenamed("w", "weight").join(turns.drop("w"), F.col("source").eqNullSafe(F.col("s")) & (F.col("j0") == F.col("j")), "left")
-            .withColumnRenamed("weight", "w")
+    turns = spark.createDataFrame(slots, "s string, j long, r long, d long, t long")
+    given = spark.createDataFrame([(s, take[s], w, w * periods) for s, w in whole.items()], "s string, take long, w long, n long")
+    keyed = (placed.alias("p").join(given.alias("g"), F.col("source").eqNullSafe(F.col("g.s")) & (F.col("at") < F.col("take")), "left")
+             .select("doc_id", "source", "w", F.expr("(at * n) div take").alias("block"))
+             .withColumn("within", F.expr("block % w")))
+    turn = F.expr("block div w") * total
+    return (keyed.join(turns, F.col("source").eqNullSafe(F.col("s")) & (F.col("within") == F.col("j")), "left")
             .select("doc_id", "source", "block", (turn + F.col("r")).alias("release"), (turn + F.col("d")).alias("deadline"),
-                    (turn + F.col("t")).alias("slot"), F.coalesce(turn + F.col("t") < end, F.lit(False)).alias("in_mix")))
+                    (turn + F.col("t")).alias("slot"), F.col("t").isNotNull().alias("in_mix")))
 
 
 def mixed(docs: DataFrame, weights: dict[str | None, int] | None = None, default_weight: int = 1,

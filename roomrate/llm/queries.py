@@ -39,7 +39,7 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from roomrate.llm.mixing import scheduled
 
-    return scheduled(read_table(spark, sf_dir, "documents"), weights=MIX_WEIGHTS, default_weight=MIX_DEFAULT)
+    return scheduled(read_table(spark, sf_dir, "documents"))
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,11 +72,6 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")))
 
 
-#: Target weights of the mix: no source weighs more than six times another.
-MIX_WEIGHTS: dict[str | None, int] = {"src0": 6}
-MIX_DEFAULT = 1
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_ngram_jaccard, op2_language_id, op3_html_extract, op4_line_dedup, op5_mixing, op6_sharding, op7_pii,

@@ -208,6 +208,11 @@ def test_pfair_deviation():
     from roomrate.llm.mixing import period
 
     rng = random.Random(4)
+    from roomrate.llm.mixing import taken
+
+    assert taken({"a": 100, "b": 20, None: 30}, None) == {"a": 90, "b": 20, None: 30}
+    assert taken({"a": 36, "b": 34, "c": 30, "d": 0}, None) == {"a": 33, "b": 31, "c": 30, "d": 0}
+    assert taken({"a": 100, "b": 20}, {"a": 1, "b": 1}) == {"a": 20, "b": 20} and taken({}, None) == {}
     for _ in range(30):
         weights = {f"s{i}": rng.randint(1, 40) for i in range(rng.randint(1, 12))}
         total, had = sum(weights.values()), dict.fromkeys(weights, 0)
@@ -227,8 +232,18 @@ def test_mixing(spark):
     assert len(got) == len(rows)
     mix = [r for r in got if r.in_mix]
     slots = sorted({r.slot for r in mix})
-    assert slots == list(range(len(slots))) and len(mix) == 4 * len(slots) and len(slots) >= 199
+    assert slots == list(range(len(slots))) and len(mix) == 800 and len(slots) == 200
     assert all(r.slot is None and not r.in_mix for r in got if r.source == "tiny")
+    assert [sum(r.source == s for r in mix) for s in ("a", "b", None)] == [400, 200, 200]
+    assert all(r.release <= r.slot < r.deadline for r in mix)
+    whole = scheduled(df).collect()  # own shares: only the source above its share gives, a tenth at most
+    out = [r.source for r in whole if not r.in_mix]
+    assert set(out) == {"a"} and len(out) == 80
+    per_block = {}
+    for r in whole:
+        if r.in_mix:
+            per_block[r.source, r.block] = per_block.get((r.source, r.block), 0) + 1
+    assert max(per_block.values()) <= 10
     had = {}
     for t, s in enumerate(sorted({(r.slot, r.source) for r in mix}), 1):
         had[s[1]] = had.get(s[1], 0) + 1
