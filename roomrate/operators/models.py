@@ -12,6 +12,8 @@ fixed list of candidates (k values, segments, period combos).
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer, VectorAssembler
@@ -26,6 +28,7 @@ from roomrate.operators.metrics import f_regression_scores, regression_metrics,
 from roomrate.session import ensure_checkpoint_dir
 
 TEXT_FEATURES = 1 << 14
+PARALLEL_FITS = 4  # independent fits that are submitted to Spark at once
 
 
 def regressor(kind: str, **params):
@@ -90,17 +93,16 @@ def select_k_search(df: DataFrame, features, label: str, ks, kind: str = "gbt",
     choose the same features share one fit. (M11, M12)"""
     ranking = [r["feature"] for r in top_k_features(f_regression_scores(df, features, label), len(features)).collect()]
     train, test = df.where(~F.col(is_test)), df.where(F.col(is_test))
-    fitted: dict[int, tuple[float, float]] = {}
-    rows, best = [], (None, float("-inf"))
-    for k in ks:
-        n = min(k, len(ranking))
-        if n not in fitted:
-            m = evaluate(fit_regression(train, ranking[:n], label, kind, **params), test, label).first()
-            fitted[n] = (m["r2"], m["mae"])
-        r2, mae = fitted[n]
-        rows.append((int(k), n, r2, mae))
-        if r2 is not None and r2 > best[1]:
-            best = (k, r2)
+
+    def scored(n: int):
+        m = evaluate(fit_regression(train, ranking[:n], label, kind, **params), test, label).first()
+        return m["r2"], m["mae"]
+
+    sizes = sorted({min(k, len(ranking)) for k in ks})
+    with ThreadPool(PARALLEL_FITS) as pool:
+        fitted = dict(zip(sizes, pool.map(scored, sizes), strict=True))
+    rows = [(int(k), min(k, len(ranking)), *fitted[min(k, len(ranking))]) for k in ks]
+    best = max((r for r in rows if r[2] is not None), key=lambda r: r[2], default=(None,))
     return rows, best[0]
 
 
@@ -117,12 +119,11 @@ def fold_scores(df: DataFrame, features, label: str, folds: int, kind: str = "lr
 def compare_models(segments: dict, features_of, label: str, kinds=("lr", "rf", "gbt"), is_test: str = "is_test",
                    params: dict | None = None):
     """Model x segment table rows (model, segment, label, n_test, r2, mae)."""
-    out = []
-    for seg_name, seg_df in segments.items():
-        feats = features_of(seg_df)
-        train, test = seg_df.where(~F.col(is_test)), seg_df.where(F.col(is_test))
-        for kind in kinds:
-            model = fit_regression(train, feats, label, kind, **(params or {}).get(kind, {}))
-            m = evaluate(model, test, label).collect()[0]
-            out.append((kind, seg_name, label, int(m["n"]), m["r2"], m["mae"]))
-    return out
+    def scored(job):
+        (name, rows), kind = job
+        model = fit_regression(rows.where(~F.col(is_test)), features_of(rows), label, kind, **(params or {}).get(kind, {}))
+        m = evaluate(model, rows.where(F.col(is_test)), label).first()
+        return kind, name, label, int(m["n"]), m["r2"], m["mae"]
+
+    with ThreadPool(PARALLEL_FITS) as pool:
+        return pool.map(scored, [(segment, kind) for segment in segments.items() for kind in kinds], chunksize=1)
