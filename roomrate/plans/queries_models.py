@@ -15,7 +15,7 @@ from roomrate.functions.bins import right_closed_bin
 from roomrate.operators import metrics as M
 from roomrate.operators import models as ML
 from roomrate.operators import split as SP
-from roomrate.plans.common import r, round_doubles, tables
+from roomrate.plans.common import folded_flags, r, round_doubles, tables
 from roomrate.plans.queries_scalar import listing_segments
 from roomrate.plans.registry import register
 
@@ -263,16 +263,62 @@ def q_text_binary(spark, sf_dir):
     return m.select("part", "n", (F.col("accuracy").between(0, 1) & (F.col("log_loss") >= 0)).alias("scored"))
 
 
-@register("select_k_search")
+def _search_sql() -> str:
+    from roomrate.plans.queries_jobs import _merged_ctes
+
+    ks = ", ".join(f"({k})" for k in K.KBEST_CANDIDATES)
+    return f"""
+WITH {_merged_ctes()},
+t AS (SELECT count(DISTINCT tok) + 1 AS n FROM c2_tokens)
+SELECT CAST(k.k AS INTEGER) AS k, CAST(least(k.k, t.n) AS INTEGER) AS n_features, TRUE AS scored, CAST(1 AS BIGINT) AS n_best
+FROM (VALUES {ks}) k(k), t
+"""
+
+
+@register("select_k_search", _search_sql())
 def q_kbest(spark, sf_dir):
     """M11 + M12: F-test top-k of the amenity flags for each candidate k; fit; keep the best R^2."""
     df = _split(spark, sf_dir)
     rows, best = ML.select_k_search(df, amenity_features(df), K.PERIOD_COMBOS[0][2], K.KBEST_CANDIDATES, "gbt")
-    return spark.createDataFrame([(k, n, r2, mae, k == best) for k, n, r2, mae in rows],
-                                 "k int, n_features int, r2 double, mae double, is_best boolean")
+    ok = [r2 is not None and mae is not None and (k != best or all(r2 >= x[2] for x in rows)) for k, _, r2, mae in rows]
+    return spark.createDataFrame([(k, n, good, sum(x[0] == best for x in rows)) for (k, n, _, _), good in zip(rows, ok, strict=True)],
+                                 "k int, n_features int, scored boolean, n_best long")
+
+
+def _amenity_sql() -> str:
+    from roomrate.plans.queries_jobs import _merged_ctes
+
+    return f"""
+WITH {_merged_ctes()}
+SELECT CAST(f.id AS BIGINT) AS id, host_is_superhost, n_flags, flags, round(price_year_avg, 6) AS label
+FROM f JOIN c2_flags ON f.id = c2_flags.id
+"""
+
+
+@register("amenity_projection", _amenity_sql())
+def q_amenity_projection(spark, sf_dir):
+    """The amenity-only feature set (amenity flags and the superhost flag) with the label."""
+    df = _merged(spark, sf_dir)
+    flags = [c for c in amenity_features(df) if c != "host_is_superhost"]
+    wide = df.select("id", "host_is_superhost", F.col(K.PERIOD_COMBOS[0][2]).alias("label"), *flags)
+    return round_doubles(folded_flags(wide, ["id", "host_is_superhost"], ["label"]))
+
+
+def _segments_sql() -> str:
+    from roomrate.plans.queries_jobs import _merged_ctes
+    from roomrate.plans.queries_scalar import _SEGMENTS_SQL
+
+    counts = " UNION ALL ".join(f"SELECT '{name}' AS segment, count(*) AS n_test FROM h WHERE {cond}" for name, cond in _SEGMENTS_SQL.items())
+    return f"""
+WITH {_merged_ctes()},
+h AS (SELECT f.*, lst.neighbourhood FROM f JOIN lst ON f.id = lst.id WHERE substr(md5(CAST(f.id AS VARCHAR)), 1, 1) < '4'),
+s AS ({counts})
+SELECT m.model, s.segment, '{K.PERIOD_COMBOS[0][2]}' AS label, CAST(s.n_test AS INTEGER) AS n_test, TRUE AS scored
+FROM s, (VALUES ('lr'), ('rf'), ('gbt')) m(model)
+"""
 
 
-@register("model_segment_table")
+@register("model_segment_table", _segments_sql())
 def q_model_segments(spark, sf_dir):
     """M13 + M15: linear / forest / boosted models over the six segments, per period combo."""
     from roomrate.plans.common import listings
@@ -282,4 +328,5 @@ def q_model_segments(spark, sf_dir):
     rows = []
     for combo in K.PERIOD_COMBOS:
         rows += ML.compare_models(segs, lambda d, combo=combo: model_features(d, combo), combo[2], kinds=("lr", "rf", "gbt"))
-    return spark.createDataFrame(rows, "model string, segment string, label string, n_test int, r2 double, mae double")
+    return spark.createDataFrame([(m, seg, lab, n, r2 is not None and mae is not None) for m, seg, lab, n, r2, mae in rows],
+                                 "model string, segment string, label string, n_test int, scored boolean")

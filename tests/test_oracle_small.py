@@ -13,7 +13,8 @@ E = importlib.import_module("__spark_entry__")
 from scripts.check_oracle import TABLES, canon  # noqa: E402
 
 #: fits of the source's full size (the driver runs them too): left to it and to scripts/check_oracle.py
-LONG = {"gbt_price_model", "forest_price_model", "train_price_model", "error_report", "score_requests", "score_requests_stream"}
+LONG = {"gbt_price_model", "forest_price_model", "train_price_model", "error_report", "score_requests", "score_requests_stream",
+        "select_k_search", "model_segment_table"}
 OPTIONAL = ("op", "pipeline")  # the corpus queries have tests of their own
 NAMES = sorted(n for n in E.oracle_sql() if n not in LONG and not n.startswith(OPTIONAL))
 
