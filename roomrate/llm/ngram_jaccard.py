@@ -19,9 +19,9 @@ the exact intersection of sorted arrays.
 * Sets that the bound lets through, directly or through others, are a family. A link only joins sets of one
   family, so a family's components are worked out where its texts are gathered: exact intersection of the
   sorted arrays of n-grams, between rows of different components until none is left.
-* A family of more than FAMILY n-grams in all is never gathered. Within its tiles each set is compared with one
-  leader, the set that meets the most others; links give a first clustering. Only tiles that still hold
-  several clusters go on: further leaders, then every pair of different clusters.
+* A family of more than FAMILY n-grams in all is not gathered in one place: its sizes are banded, bands are cut
+  into blocks, and each pair of blocks that can hold links is gathered for itself; the links that span them
+  are joined up afterwards.
 
 Defined results: null or blank text has no n-grams and links with nothing; a text of fewer than k words
 is one n-gram; repeated rows and equal texts link; a null id is returned with its own null component;
@@ -45,8 +45,6 @@ from roomrate.llm.storage import written
 TILE = 4096
 #: n-grams of a family that is compared in one place (32 MB of hashes)
 FAMILY = 4_000_000
-#: rounds with further leaders before all remaining pairs of clusters of a larger family are compared
-LEADER_ROUNDS = 6
 
 
 def sets_of(texts: pa.Array, k: int):
@@ -70,16 +68,6 @@ def bitmap(h: np.ndarray) -> bytes:
     return np.packbits(bits, bitorder="little").tobytes()
 
 
-def differing_bits(a: bytes, b: bytes) -> int:
-    """Differing bits after the longer bitmap is folded to the length of the shorter."""
-    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-    if len(x) < len(y):
-        x, y = y, x
-    while len(x) > len(y):
-        x = x[: len(x) // 2] | x[len(x) // 2:]
-    return int(np.bitwise_count(x.view(np.uint64) ^ y.view(np.uint64)).sum())
-
-
 @cache
 def bands(num: int, den: int, up_to: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(lower sizes of the bands, most differing hashes at each level, ranges at each level). Level i holds
@@ -165,51 +153,6 @@ def document_tiles(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     return docs.mapInArrow(run, "tile long, s1 long")
 
 
-def _possible(pairs: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b, na, nb, bits_a, bits_b) that the bound on the overlap leaves, as (a, b)."""
-
-    def run(batches):
-        for batch in batches:
-            na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
-            xor = np.array([differing_bits(x.as_py(), y.as_py()) for x, y in
-                            zip(batch.column("bits_a"), batch.column("bits_b"), strict=True)], np.int64)
-            most = (na + nb - xor) // 2
-            keep = pa.array(den * most >= num * (na + nb - most))
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
-
-    return pairs.mapInArrow(run, "a long, b long")
-
-
-def _exact(pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Pairs (a, b, text_a, text_b) whose sets are similar enough, as (a, b)."""
-
-    def sets(ids, texts):
-        wanted, at, back = np.unique(ids, return_index=True, return_inverse=True)
-        found = []
-        for lo, hi, h, _, first in sets_of(texts.take(pa.array(at)), k):
-            found += [h[first[i]: first[i + 1]] for i in range(hi - lo)]
-        return found, back
-
-    def run(batches):
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 256):
-                batch = whole.slice(lo, 256)
-                xs, ia = sets(batch.column("a").to_numpy(), batch.column("text_a"))
-                ys, ib = sets(batch.column("b").to_numpy(), batch.column("text_b"))
-                keep = []
-                for i, j in zip(ia, ib, strict=True):
-                    x, y = xs[i], ys[j]
-                    if len(x) > len(y):
-                        x, y = y, x
-                    at = np.searchsorted(y, x)
-                    both = int((y[np.minimum(at, len(y) - 1)] == x).sum()) if len(y) else 0
-                    keep.append(den * both >= num * (len(x) + len(y) - both) and both > 0)
-                keep = pa.array(keep, pa.bool_())
-                yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
-
-    return pairs.mapInArrow(run, "a long, b long")
-
-
 def reached(n: np.ndarray, bits: list[bytes], num: int, den: int) -> np.ndarray:
     """Group of each set of a tile: sets that the bound lets through, directly or through others."""
     length = min(map(len, bits))
@@ -342,60 +285,30 @@ def gathered_components(rows: DataFrame, k: int, num: int, den: int) -> DataFram
     return rows.mapInArrow(lambda batches: by_key(batches, "family", done), "node long, component long")
 
 
-def apart_components(rows: DataFrame, members: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(node, component) of the linked sets among members (tile, c, n), compared tile by tile."""
-    tile = Window.partitionBy("tile")
-    members = written(members, "members")
-    texts = written(rows.join(members.select(F.col("c").alias("id")).distinct(), "id")
-                    .dropDuplicates(["id"]), "texts")
-    maps = written(document_sets(texts, k, bits=True).select("id", "n", "bits"), "bitmaps")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        one, two = maps.toDF("a", "na", "bits_a"), maps.toDF("b", "nb", "bits_b")
-        possible = written(_possible(pairs.join(one, "a").join(two, "b"), num, den), "possible")
-        text_a = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
-        text_b = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-        return written(_exact(possible.join(text_a, "a").join(text_b, "b"), k, num, den), "links")
-
-    def alike(a: str, b: str):
-        return (F.col(a) * den >= F.col(b) * num) & (F.col(b) * den >= F.col(a) * num)
-
-    def with_leader(rows: DataFrame, rank) -> DataFrame:
-        """Pairs (a, b) of each member with the member of its tile that ranks first."""
-        first = F.min(F.struct(rank.alias("r"), "c", "n", "label")).over(tile)
-        return (rows.withColumn("first", first).where("label <> first.label")
-                .where(alike("n", "first.n"))
-                .select(F.least("c", "first.c").alias("a"), F.greatest("c", "first.c").alias("b")).distinct())
-
-    degree = members.withColumn("others", F.count("*").over(tile)).groupBy("c").agg(F.sum("others").alias("meets"))
-    asked = written(with_leader(members.join(degree, "c").withColumn("label", F.col("c")), -F.col("meets")), "pairs")
-    links = verified(asked)
-    for turn in range(LEADER_ROUNDS + 1):
-        labels = connected(links)
-        mixed = (members.join(labels.withColumnRenamed("node", "c"), "c", "left")
-                 .select("tile", "c", "n", F.coalesce("component", "c").alias("label"))
-                 .withColumn("lo", F.min("label").over(tile)).withColumn("hi", F.max("label").over(tile))
-                 .where("lo < hi").drop("lo", "hi"))
-        mixed = written(mixed, "mixed")
-        per_label = mixed.groupBy("tile", "label").agg(F.count("*").alias("m"))
-        load = (per_label.groupBy("tile").agg(((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))) / 2).alias("pairs"))
-                .agg(F.sum("pairs"), F.max("pairs")).first())
-        if not load[0]:
-            break
-        few = load[0] <= 4 * mixed.count() + 10_000
-        if few or turn == LEADER_ROUNDS:
-            x = mixed.select("tile", F.col("c").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-            y = mixed.select("tile", F.col("c").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-            pairs = x.join(y, "tile").where("a < b and la <> lb").where(alike("na", "nb")).select("a", "b").distinct()
-        else:
-            pairs = with_leader(mixed, F.xxhash64("c", F.lit(turn)))
-        pairs = written(pairs.join(asked, ["a", "b"], "left_anti"), "pairs")
-        asked = asked.union(pairs)
-        links = links.union(verified(pairs))
-        if few or turn == LEADER_ROUNDS:
-            labels = connected(links)
-            break
-    return labels
+def apart_components(rows: DataFrame, sized: DataFrame, k: int, num: int, den: int, limit: int) -> DataFrame:
+    """(node, component) of the sets of families (family, c, n) that are too large for one place. Sizes are banded so
+    that linked sets are in the same or the next band; each band is cut into blocks by hash, and each pair of
+    blocks of a band, and of neighbouring bands, is compared in a place of its own for links that span."""
+    ratio = float(np.log(den / num * 1.0001)) if num < den else 1.0
+    sized = sized.withColumn("band", F.floor(F.log("n") / ratio))
+    cut = sized.groupBy("family", "band").agg(F.ceil(F.sum("n") / max(1, limit // 2)).cast("int").alias("blocks"))
+    near = [cut.select("family", (F.col("band") + d).alias("band"), F.col("blocks").alias(name)) for d, name in ((0, "own"), (-1, "above"), (1, "below"))]
+    dealt = sized.join(near[0], ["family", "band"]).join(near[1], ["family", "band"], "left").join(near[2], ["family", "band"], "left")
+    dealt = dealt.withColumn("i", F.pmod(F.xxhash64("c"), F.col("own")).cast("int"))
+
+    def with_blocks(count, low, first, second):
+        at = F.transform(F.sequence(F.lit(0), count - 1), lambda j: F.xxhash64("family", low, first(j), second(j)))
+        return F.when(count.isNull(), F.array().cast("array<bigint>")).otherwise(at)
+
+    i, band = F.col("i"), F.col("band")
+    places = F.concat(
+        with_blocks(F.col("own"), band, lambda j: F.least(i, j), lambda j: F.greatest(i, j)),
+        with_blocks(F.col("above"), band, lambda j: i, lambda j: -1 - j),
+        with_blocks(F.col("below"), band - 1, lambda j: j, lambda j: -1 - i))
+    at = dealt.select(F.col("c").alias("id"), F.explode(places).alias("family"))
+    each = rows.join(at, "id").repartition("family").sortWithinPartitions("family", "id")
+    links = gathered_components(each, k, num, den).where("node <> component").distinct()
+    return connected(links.toDF("b", "a"))
 
 
 def near_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id",
@@ -420,8 +333,7 @@ def near_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     each = texts.repartition("family").sortWithinPartitions("family", "id")
     labels = gathered_components(each, k, num, den).distinct()
     if not loads.isEmpty():
-        apart = families.join(loads, "family", "left_semi")
-        labels = labels.union(apart_components(rows, members.join(apart.select("c"), "c", "left_semi"), k, num, den))
+        labels = labels.union(apart_components(rows, sized.join(loads, "family", "left_semi"), k, num, den, family))
 
     found = classes.join(labels.withColumnRenamed("node", "c"), "c", "left").select(
         "n", "s1", "s2", F.coalesce("component", "c").alias("component"))
