@@ -3,7 +3,7 @@
 1 language_id         drops documents without letters or whose language stays a toss-up (op 2)
 2 near_duplicates     keeps the smallest doc_id of each group of near copies: five words, 0.8 (op 1)
 3 decontaminate       drops documents that hold ten consecutive words of a benchmark item (op 10)
-4 mix                 brings a source above its target share down towards it: rows not in the schedule go (op 5)
+4 mix                 brings the sources to the target weights: rows that they do not allow go (op 5)
 5 shard               places what is left on shards (op 6)
 
 All but the last return the columns of documents. Null texts go in stage 1; rows with a null doc_id go in
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from roomrate.llm.decontaminate import without_contaminated
 from roomrate.llm.language_id import UNKNOWN, prediction, train
-from roomrate.llm.mixing import mixed
+from roomrate.llm.mixing import DEFAULT_TARGET, TARGETS, mixed
 from roomrate.llm.ngram_jaccard import near_components
 from roomrate.llm.sharding import sharded
 from roomrate.llm.storage import written
@@ -46,7 +46,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixed(docs).select(*docs.columns)
+    return mixed(docs, TARGETS, DEFAULT_TARGET).select(*docs.columns)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

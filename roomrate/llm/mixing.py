@@ -7,7 +7,8 @@ meets the next block's window first, then the source that sorts first). With sha
 deadline is missed: after t slots each source has had w t blocks, less than one block off.
 
 Each source gives a number of rows to the mix: as many as the weights allow for which every source has enough.
-Rows that a source has beyond that are marked as not in the mix; no row is repeated. Without weights, the
+Rows that a source has beyond that are marked as not in the mix; no row is repeated. The registered query and stage
+4 of the pipeline mix to TARGETS and DEFAULT_TARGET. Callers without weights keep their shares: the
 targets are the sources' own shares, but a source above SHARE of the rows gives up to GIVES of its rows to come
 down to it. The schedule repeats after at most PERIOD slots, the sum of the whole-number weights that stand
 for the rows. One period is worked out on the driver, whatever the data; each source's rows are cut into as many
@@ -29,6 +30,9 @@ from pyspark.sql import functions as F
 from roomrate.llm.numbering import numbered
 from roomrate.llm.storage import written
 
+#: target weights of op5 and the pipeline's stage 4, whatever rows the sources have; DEFAULT_TARGET is that of the others
+TARGETS: dict[str | None, int] = {"src0": 6}
+DEFAULT_TARGET = 1
 #: rows of a block, about
 BLOCK_ROWS = 8
 #: bound on the slots of a period, and so on the number of sources

@@ -37,9 +37,9 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from roomrate.llm.mixing import scheduled
+    from roomrate.llm.mixing import DEFAULT_TARGET, TARGETS, scheduled
 
-    return scheduled(read_table(spark, sf_dir, "documents"))
+    return scheduled(read_table(spark, sf_dir, "documents"), TARGETS, DEFAULT_TARGET)
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -250,3 +250,18 @@ def test_mixing(spark):
         assert abs(had.get("a", 0) - t / 2) < 1 and abs(had.get("b", 0) - t / 4) < 1
     assert {r.doc_id for r in mixed(df, {"a": 2, "tiny": 0}, 1, 4).collect()} <= {r[0] for r in rows}
     assert scheduled(df.limit(0)).collect() == []
+
+
+def test_query_and_stage_mix_to_the_target_weights(spark, tmp_path):
+    import corpus_pipeline as P
+    from roomrate.llm.mixing import DEFAULT_TARGET, TARGETS
+
+    own = {"src0": 700, "src1": 100, "src2": 160, "src3": 120}  # no share is its target
+    rows = [(i, "words", s) for i, s in enumerate(s for s, n in own.items() for _ in range(n))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    want = {s: 100 * TARGETS.get(s, DEFAULT_TARGET) for s in own}
+    mix = [r.source for r in Q.op5_mixing(spark, str(tmp_path)).collect() if r.in_mix]
+    assert {s: mix.count(s) for s in own} == want == {"src0": 600, "src1": 100, "src2": 100, "src3": 100}
+    kept = [r.source for r in P.mix(spark, df, str(tmp_path)).collect()]
+    assert {s: kept.count(s) for s in own} == want
