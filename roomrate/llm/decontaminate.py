@@ -11,7 +11,8 @@ far as the words agree; runs of SPAN words or more are hits. Items of fewer word
 their whole sequence.
 
 The benchmark's words are broadcast to the tasks when a count shows at most BROADCAST_WORDS of them;
-a larger benchmark is worked off in blocks of items of that bound, each against all documents.
+a larger benchmark is worked off in blocks of items of that bound, each against all documents, whose rows are
+written with a key of their own: null and repeated ids give the same rows with one block and with many.
 
 Defined results: null or word-less text has no words and no hits; so has a null or word-less item;
 repeated items count by distinct item_id; an empty benchmark hits nothing; the result has one row per
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from roomrate.llm import textops as X
-from roomrate.llm.storage import written
+from roomrate.llm.storage import KEY, keyed, written
 
 SPAN = 10
 GRAM = 6
@@ -175,41 +176,49 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                   broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
     """(id, n_words, items, spans) of each row of docs; items are the ids of the items found, in order."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    found = []
-    for block in blocks(benchmark, item_id_col, item_text_col, span, gram, broadcast_words):
-        items = [(r["id"], r["text"]) for r in block.select("id", "text").orderBy("id", "text").collect()]
-        found.append(document_hits(rows, Benchmark(items, span, gram)))
-    if len(found) == 1:
-        return found[0]
-    # several blocks: the same rows again for each, so spans of a row meet by its id and its words
-    every = found[0]
-    for more in found[1:]:
-        every = every.union(more)
-    runs = every.select("id", "n_words", F.explode("spans").alias("s")).select("id", "n_words", F.col("s")[0].alias("lo"), F.col("s")[1].alias("hi"))
-    order = Window.partitionBy("id", "n_words").orderBy("lo", "hi")
+    parts = blocks(benchmark, item_id_col, item_text_col, span, gram, broadcast_words)
+    if len(parts) == 1:
+        return document_hits(rows, Benchmark(collected(parts[0]), span, gram))
+    # several blocks: the same rows again for each, which meet by a key of the row
+    rows = keyed(rows)
+    every = written(block_hits(rows.select(F.col(KEY).alias("id"), "text"), parts, span, gram).withColumnRenamed("id", KEY), "hits")
+    runs = every.select(KEY, F.explode("spans").alias("s")).select(KEY, F.col("s")[0].alias("lo"), F.col("s")[1].alias("hi"))
+    order = Window.partitionBy(KEY).orderBy("lo", "hi")
     before = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
     merged = (runs.distinct().withColumn("fresh", F.when(F.col("lo") > before, 1).when(before.isNull(), 1).otherwise(0))
               .withColumn("run", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-              .groupBy("id", "n_words", "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-              .groupBy("id", "n_words").agg(F.sort_array(F.collect_list(F.array("lo", "hi"))).alias("spans")))
-    items = (every.select("id", "n_words", F.explode("items").alias("i")).groupBy("id", "n_words")
-             .agg(F.sort_array(F.collect_set("i")).alias("items")))
+              .groupBy(KEY, "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+              .groupBy(KEY).agg(F.sort_array(F.collect_list(F.array("lo", "hi"))).alias("spans")))
+    items = every.select(KEY, F.explode("items").alias("i")).groupBy(KEY).agg(F.sort_array(F.collect_set("i")).alias("items"))
     empty_items, empty_spans = F.array().cast("array<long>"), F.array().cast("array<array<long>>")
-    return (found[0].select("id", "n_words").join(items, ["id", "n_words"], "left").join(merged, ["id", "n_words"], "left")
+    return (rows.select(KEY, "id").join(every.where("block = 0").select(KEY, "n_words"), KEY).join(items, KEY, "left").join(merged, KEY, "left")
             .select("id", "n_words", F.coalesce("items", empty_items).alias("items"), F.coalesce("spans", empty_spans).alias("spans")))
 
 
+def collected(block: DataFrame) -> list[tuple[int, str]]:
+    return [(r["id"], r["text"]) for r in block.select("id", "text").orderBy("id", "text").collect()]
+
+
+def block_hits(rows: DataFrame, parts: list[DataFrame], span: int, gram: int) -> DataFrame:
+    """document_hits() of rows (id, text) for each block of the benchmark, with the block's number."""
+    found = [document_hits(rows, Benchmark(collected(part), span, gram)).withColumn("block", F.lit(b)) for b, part in enumerate(parts)]
+    every = found[0]
+    for more in found[1:]:
+        every = every.union(more)
+    return every
+
+
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                          span: int = SPAN, gram: int = GRAM, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
     """The rows of docs without a hit word. With one block of the benchmark, rows are tested where they are;
-    with several, rows go by their id, and rows with a null id stay."""
+    with several, by a key of the row."""
     parts = blocks(benchmark, "item_id", "text", span, gram, broadcast_words)
     if len(parts) > 1:
-        found = contamination(docs, benchmark, id_col, text_col, span=span, gram=gram, broadcast_words=broadcast_words)
-        hit = found.where(F.size("spans") > 0).select(F.col("id").alias(id_col)).distinct()
-        return docs.join(hit, id_col, "left_anti").select(*docs.columns)
-    items = [(r["id"], r["text"]) for r in parts[0].select("id", "text").orderBy("id", "text").collect()]
-    shared = docs.sparkSession.sparkContext.broadcast(Benchmark(items, span, gram))
+        rows = keyed(docs)
+        found = block_hits(rows.select(F.col(KEY).alias("id"), F.col(text_col).alias("text")), parts, span, gram)
+        hit = found.where(F.size("spans") > 0).select(F.col("id").alias(KEY)).distinct()
+        return rows.join(hit, KEY, "left_anti").select(*docs.columns)
+    shared = docs.sparkSession.sparkContext.broadcast(Benchmark(collected(parts[0]), span, gram))
 
     @F.arrow_udf("boolean")
     def hit(texts: pa.Array) -> pa.Array:

@@ -172,6 +172,27 @@ def test_decontamination_equals_brute_force(spark, seed, limit):
     assert digest(contamination(d.limit(0), b)).collect() == []
 
 
+@pytest.mark.parametrize("limit", [2_000_000, 150])
+def test_decontamination_tells_rows_with_null_and_repeated_ids_apart(spark, limit):
+    from collections import Counter
+
+    from roomrate.llm.decontaminate import brute_force, contamination, digest, without_contaminated
+
+    docs, items = contaminated_corpus(3)
+    clean = " ".join(f"z{i}" for i in range(30))
+    hit = next(t for _, t in docs if brute_force(t, items)[1])
+    same = clean + " z30" * (len(hit.split()) - 30)  # as many words as hit, if that has 30 or more
+    docs = [(None if i % 3 else 7, t) for i, t in docs] + [(None, clean), (7, clean), (7, same), (None, None)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    got = Counter((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated)
+                  for r in digest(contamination(d, b, broadcast_words=limit)).collect())
+    want = [(i, *brute_force(t, items)) for i, t in docs]
+    assert got == Counter((i, n, h, len(found), sha, h > 0) for i, n, h, found, sha in want)
+    left = Counter(tuple(r) for r in without_contaminated(d, b, broadcast_words=limit).collect())
+    assert left == Counter(row for row, w in zip(docs, want) if not w[2])
+
+
 def test_decontamination_on_the_table(spark):
     from roomrate.llm.decontaminate import brute_force
 
