@@ -16,7 +16,7 @@ equal blocks as its weight times the number of periods, and the slot of a block
 numbered rows with the period's blocks.
 
 Defined results: with weights, sources without one get default_weight (0 leaves a source out); a null source is a
-source; repeated rows are rows; rows with a null id are scheduled, but mixed() cannot tell them; an empty table
+source; repeated rows, and rows with a null or repeated id, are rows; an empty table
 gives an empty result; a weight that is negative raises.
 """
 
@@ -28,11 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roomrate.llm.numbering import numbered
-from roomrate.llm.storage import written
+from roomrate.llm.storage import KEY, keyed, written
 
 #: target weights of op5 and the pipeline's stage 4, whatever rows the sources have; DEFAULT_TARGET is that of the others
 TARGETS: dict[str | None, int] = {"src0": 6}
 DEFAULT_TARGET = 1
+DIGEST = "__row_digest"
 #: rows of a block, about
 BLOCK_ROWS = 8
 #: bound on the slots of a period, and so on the number of sources
@@ -90,12 +91,14 @@ def period(weights: dict[str | None, int]) -> list[tuple[str | None, int, int, i
 
 
 def scheduled(docs: DataFrame, weights: dict[str | None, int] | None = None, default_weight: int = 1,
-              block_rows: int = BLOCK_ROWS, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+              block_rows: int = BLOCK_ROWS, id_col: str = "doc_id", source_col: str = "source",
+              apart: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, source, block, release, deadline, slot, in_mix) of every row of docs; block, times and slot are null
-    for rows that are not in the mix."""
+    for rows that are not in the mix. Columns `apart`, the first a digest, tell rows of one id apart and come along."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"))
-    placed = written(numbered(rows, F.col("source"), [F.col("doc_id")], "at", F.col("doc_id")).select("doc_id", "source", "at"), "placed")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), *apart)
+    by = F.xxhash64("doc_id", *apart[:1]) if apart else F.col("doc_id")
+    placed = written(numbered(rows, F.col("source"), [F.col("doc_id"), *map(F.col, apart)], "at", by).select("doc_id", "source", *apart, "at"), "placed")
     sizes = {r["source"]: r["n"] for r in placed.groupBy("source").agg(F.count("*").alias("n")).limit(PERIOD + 1).collect()}
     if len(sizes) > PERIOD:
         raise ValueError(f"more than {PERIOD} sources")
@@ -108,16 +111,17 @@ def scheduled(docs: DataFrame, weights: dict[str | None, int] | None = None, def
     turns = spark.createDataFrame(slots, "s string, j long, r long, d long, t long")
     given = spark.createDataFrame([(s, take[s], w, w * periods) for s, w in whole.items()], "s string, take long, w long, n long")
     keyed = (placed.alias("p").join(given.alias("g"), F.col("source").eqNullSafe(F.col("g.s")) & (F.col("at") < F.col("take")), "left")
-             .select("doc_id", "source", "w", F.expr("(at * n) div take").alias("block"))
+             .select("doc_id", "source", *apart, "w", F.expr("(at * n) div take").alias("block"))
              .withColumn("within", F.expr("block % w")))
     turn = F.expr("block div w") * total
     return (keyed.join(turns, F.col("source").eqNullSafe(F.col("s")) & (F.col("within") == F.col("j")), "left")
             .select("doc_id", "source", "block", (turn + F.col("r")).alias("release"), (turn + F.col("d")).alias("deadline"),
-                    (turn + F.col("t")).alias("slot"), F.col("t").isNotNull().alias("in_mix")))
+                    (turn + F.col("t")).alias("slot"), F.col("t").isNotNull().alias("in_mix"), *apart))
 
 
 def mixed(docs: DataFrame, weights: dict[str | None, int] | None = None, default_weight: int = 1,
           block_rows: int = BLOCK_ROWS, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """The rows of docs that are in the mix."""
-    chosen = scheduled(docs, weights, default_weight, block_rows, id_col, source_col).where("in_mix")
-    return docs.join(chosen.select(F.col("doc_id").alias(id_col)).distinct(), id_col, "left_semi")
+    """The rows of docs that are in the mix, told apart by a key of the row: null and repeated ids are rows like others."""
+    rows = keyed(docs.withColumn(DIGEST, F.xxhash64(*docs.columns)))
+    chosen = scheduled(rows, weights, default_weight, block_rows, id_col, source_col, (DIGEST, KEY)).where("in_mix")
+    return rows.join(chosen.select(KEY), KEY, "left_semi").select(*docs.columns)

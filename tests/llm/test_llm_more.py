@@ -341,6 +341,28 @@ def test_stages_take_nulls_repeats_extra_columns_and_empty_tables(spark):
                 assert sorted(r.doc_id for r in out.collect()) == [1, 3, 4, 5]
 
 
+def test_stages_keep_clean_documents_with_null_and_repeated_ids(spark):
+    import corpus_pipeline as P
+
+    def text(i):
+        return " ".join(f"w{i}x{j}" for j in range(20))
+
+    ids = [1, 1, 1, None, None, None, 9]  # texts 0 to 6 have nothing in common
+    rows = [(d, text(i), "en", f"src{i % 2}", i) for i, d in enumerate(ids)]
+    copies = [(None, text(0), "en", "src0", 50), (2, text(4), "en", "src1", 51), (None, text(5), "en", "src1", 52), (1, text(1), "en", "src1", 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    kept = P.near_duplicates(spark, spark.createDataFrame(rows + copies, schema).repartition(3), SF).collect()
+    assert sorted(r.text for r in kept) == sorted(text(i) for i in range(7))
+    assert {r.text: r.doc_id for r in kept} == {text(i): 2 if i == 4 else d for i, d in enumerate(ids)}
+    bare = [(1, "", "en", "a", 0), (1, "", "en", "a", 0), (1, " ", "en", "a", 0), (None, None, "en", "a", 0)]
+    assert len(P.near_duplicates(spark, spark.createDataFrame(bare, schema), SF).collect()) == 3
+    docs = [(None if i % 3 else 5, text(i), "en", "src0" if i < 600 else "src1", i) for i in range(700)]
+    mix = P.mix(spark, spark.createDataFrame(docs, schema), SF).collect()  # at the target weights: all are in the mix
+    assert sorted(r.n_chars for r in mix) == list(range(700))
+    less = P.mix(spark, spark.createDataFrame(docs[:650], schema), SF).collect()
+    assert sorted(r.source for r in less) == ["src0"] * 300 + ["src1"] * 50
+
+
 def test_library_does_not_import_this_folder():
     top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     for at, _, names in os.walk(os.path.join(top, "roomrate")):
