@@ -72,14 +72,32 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")))
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from roomrate.llm.quality import quality_scores
+
+    return quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from roomrate.llm.periodic_runs import periodic_runs
+
+    return periodic_runs(read_table(spark, sf_dir, "documents")).drop("runs")
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from roomrate.llm.merkle import manifest, verified
+
+    return verified(manifest(read_table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_ngram_jaccard, op2_language_id, op3_html_extract, op4_line_dedup, op5_mixing, op6_sharding, op7_pii,
-        op8_suffix_dedup, op9_hnsw, op10_decontaminate)}
+        op8_suffix_dedup, op9_hnsw, op10_decontaminate, op11_quality, op12_periodic_runs, op13_merkle)}
 
 
 def oracle_sql() -> dict[str, str]:
     """Twins of the operators that SQL expresses; the others are tested against brute force."""
-    from roomrate.llm import line_dedup, suffix_dedup
+    from roomrate.llm import line_dedup, merkle, suffix_dedup
 
-    return {"op4_line_dedup": line_dedup.sql(), "op8_suffix_dedup": suffix_dedup.sql()}
+    return {"op4_line_dedup": line_dedup.sql(), "op8_suffix_dedup": suffix_dedup.sql(), "op13_merkle": merkle.sql()}
