@@ -114,14 +114,15 @@ def labelled_features(docs: DataFrame, labels: DataFrame, train_on: Column, samp
                 first = pa.array(first.astype(np.int32))
                 columns = [batch.column(c).slice(lo, hi - lo) for c in ("shard", "key", "label")]
                 yield pa.RecordBatch.from_arrays(
-                    [*columns, pa.ListArray.from_arrays(first, pa.array(buckets)), pa.ListArray.from_arrays(first, pa.array(values))],
+                    [*columns, pa.ListArray.from_arrays(first, pa.array(buckets)), pa.ListArray.from_arrays(first, pa.array(values.astype(np.float32)))],
                     names=["shard", "key", "label", "buckets", "values"])
 
-    return rows.mapInArrow(run, "shard int, key long, label double, buckets array<int>, values array<double>")
+    return rows.mapInArrow(run, "shard int, key long, label double, buckets array<int>, values array<float>")
 
 
 def one_round(rows: DataFrame, z: np.ndarray, n: np.ndarray) -> DataFrame:
-    """(bucket, z, n): the sum of the shards' changes of the state, each shard starting from (z, n)."""
+    """(bucket, z, n): the sum of the shards' changes of the state, each shard starting from (z, n); rows come sorted by
+    shard and key within partitions (a shard that a partition ends in goes on as one more shard)."""
     shared = rows.sparkSession.sparkContext.broadcast((z, n))
 
     def changes(state):
@@ -143,14 +144,13 @@ def one_round(rows: DataFrame, z: np.ndarray, n: np.ndarray) -> DataFrame:
         if state:
             yield changes(state)
 
-    # a file of the table may be read in splits: shards are brought together, in order, before they are gone through
-    return (rows.repartition(SHARDS, "shard").sortWithinPartitions("shard", "key")
-            .mapInArrow(run, "bucket int, z double, n double").groupBy("bucket").agg(F.sum("z").alias("z"), F.sum("n").alias("n")))
+    return rows.mapInArrow(run, "bucket int, z double, n double").groupBy("bucket").agg(F.sum("z").alias("z"), F.sum("n").alias("n"))
 
 
 def train(docs: DataFrame, labels: DataFrame, train_on: Column, id_col: str = "doc_id", text_col: str = "text",
           label_col: str = "quality", sample: int = SAMPLE, epochs: int = EPOCHS) -> np.ndarray:
     """Weights of the buckets, and of the constant feature in the last place."""
+    # a file holds whole shards in order and is one row group, so a round reads it without another shuffle
     rows = written(labelled_features(docs, labels, train_on, sample, id_col, text_col, label_col), "quality-features")
     z, n = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
     for _ in range(epochs):

@@ -200,7 +200,7 @@ def test_rounds_equal_a_plain_ftrl(spark):
         rows.append((i % 3, i, float(rng.integers(0, 2)), at, rng.random(len(at)).tolist()))
     df = spark.createDataFrame(rows, "shard int, key long, label double, buckets array<int>, values array<double>")
     z0, n0 = rng.normal(size=C.BUCKETS + 1), rng.random(C.BUCKETS + 1)
-    got = {r.bucket: (r.z, r.n) for r in C.one_round(df.repartition(5), z0, n0).collect()}
+    got = {r.bucket: (r.z, r.n) for r in C.one_round(df.repartition(5, "shard").sortWithinPartitions("shard", "key"), z0, n0).collect()}
     want: dict = {}
     for shard in range(3):
         z, n = {}, {}
