@@ -1,10 +1,11 @@
 """Encoding and simple imputation.
 
-The wide multi-hot layout (one column per token) needs the vocabulary on the
-driver, as it becomes a schema; it is for vocabularies of WIDE_TOKENS at most.
-`multi_hot_sets` has no such bound: the tokens of each row stay an array, and
-codes come from a rank table that is joined, so nothing is collected. Category
-codes use the same rank table.
+`multi_hot_sets` takes a vocabulary of any size: the tokens of each row stay an
+array, and codes come from a rank table that is joined, so nothing is collected
+(operators/vectors.py makes sparse vectors of them, which the feature table, the
+profile and the models use). Category codes use the same rank table. The wide
+layout (one column per token) is there for callers that want it: its names go
+through the driver, as any schema does.
 """
 
 from __future__ import annotations
@@ -14,8 +15,6 @@ from pyspark.sql import functions as F
 
 from roomrate.functions.scalar import min_max_scaled
 
-WIDE_TOKENS = 2000  # widest schema that multi_hot builds; a larger vocabulary takes multi_hot_sets
-
 
 def ranked(values: DataFrame, column: str) -> DataFrame:
     """(column, rank): 0, 1, ... over the distinct non-NULL values in ascending order, by a range sort.
@@ -38,10 +37,9 @@ def token_table(df: DataFrame, tokens_col: str) -> DataFrame:
     return df.select(F.explode(F.col(tokens_col)).alias("token")).where(F.col("token") != "").distinct()
 
 
-def vocabulary(df: DataFrame, tokens_col: str, wide_tokens: int = WIDE_TOKENS) -> list[str] | None:
-    """Sorted distinct tokens if a wide schema can hold them, else None."""
-    vocab = token_table(df, tokens_col).orderBy("token").limit(wide_tokens + 1).collect()
-    return [r["token"] for r in vocab] if len(vocab) <= wide_tokens else None
+def vocabulary(df: DataFrame, tokens_col: str) -> list[str]:
+    """Sorted distinct tokens: the column names of the wide layout."""
+    return [r["token"] for r in token_table(df, tokens_col).orderBy("token").collect()]
 
 
 def multi_hot(df: DataFrame, tokens_col: str, vocab: list[str] | None = None, drop_tokens: bool = True) -> DataFrame:
@@ -50,8 +48,6 @@ def multi_hot(df: DataFrame, tokens_col: str, vocab: list[str] | None = None, dr
     is also the name of a column raises, as silently replacing that column would lose data."""
     if vocab is None:
         vocab = vocabulary(df, tokens_col)
-        if vocab is None:
-            raise ValueError(f"{tokens_col} has more than {WIDE_TOKENS} tokens: use multi_hot_sets")
     base = [c for c in df.columns if not (drop_tokens and c == tokens_col)]
     clash = sorted(set(base) & set(vocab))
     if clash:
@@ -60,10 +56,11 @@ def multi_hot(df: DataFrame, tokens_col: str, vocab: list[str] | None = None, dr
     return df.select(*base, *flags)
 
 
-def multi_hot_sets(df: DataFrame, tokens_col: str, out_col: str = "token_codes") -> DataFrame:
+def multi_hot_sets(df: DataFrame, tokens_col: str, out_col: str = "token_codes", ranks: DataFrame | None = None) -> DataFrame:
     """df with the sorted codes of each row's tokens, for vocabularies of any size; the code of a token is its
-    rank in the sorted vocabulary, so code i is column i of the wide layout. (E3)"""
-    codes = ranked(token_table(df, tokens_col), "token")
+    rank in the sorted vocabulary, so code i is column i of the wide layout. `ranks` (token, rank) is another
+    table's vocabulary; tokens that it lacks have no code. (E3)"""
+    codes = ranked(token_table(df, tokens_col), "token") if ranks is None else ranks
     # rows with equal token sets share one lookup; the set itself does not travel with its tokens
     keyed = df.withColumn("_set", F.sha2(F.to_json(F.array_sort(F.array_distinct(tokens_col))), 256))
     sets = (keyed.groupBy("_set").agg(F.any_value(tokens_col).alias("_tokens"))
@@ -73,15 +70,6 @@ def multi_hot_sets(df: DataFrame, tokens_col: str, out_col: str = "token_codes")
             .select(*df.columns, F.coalesce(F.col("_codes"), F.array().cast("array<bigint>")).alias(out_col)))
 
 
-def multi_hot_vector(df: DataFrame, tokens_col: str, out_col: str = "amenity_vec", min_df: float = 1.0):
-    """Sparse binary vector for wide vocabularies (the model edge). Returns (df, fitted vectorizer)."""
-    from pyspark.ml.feature import CountVectorizer
-
-    cv = CountVectorizer(inputCol=tokens_col, outputCol=out_col, binary=True, minDF=min_df)
-    model = cv.fit(df.select(F.filter(F.col(tokens_col), lambda t: t != "").alias(tokens_col)))
-    return model.transform(df.withColumn(tokens_col, F.filter(F.col(tokens_col), lambda t: t != ""))), model
-
-
 def category_codes(df: DataFrame, column: str, out_col: str | None = None) -> DataFrame:
     """Ordinal codes in sorted category order; missing -> -1. Any number of categories: the codes are a
     rank table joined to the rows (Spark broadcasts it when small). (E5)"""

@@ -16,7 +16,7 @@ from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer, VectorAssembler
+from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from roomrate import constants as K
 from roomrate.functions.text import WORD_TOKEN_REGEX
 from roomrate.operators.metrics import f_regression_scores, regression_metrics, top_k_features
+from roomrate.operators.vectors import top_entries, vector_f_scores
 from roomrate.session import ensure_checkpoint_dir
 
 TEXT_FEATURES = 1 << 14
@@ -56,6 +57,15 @@ def fit_regression(df: DataFrame, features, label: str, kind: str = "gbt", **par
     return pipe.fit(data)
 
 
+def fit_on_entries(df: DataFrame, vector: str, indices, label: str, kind: str = "gbt", **params) -> PipelineModel:
+    """Slice the given entries of a vector column + fit."""
+    ensure_checkpoint_dir(df.sparkSession)
+    data = df.withColumn("label", F.col(label).cast("double"))
+    pipe = Pipeline(stages=[VectorSlicer(inputCol=vector, outputCol="features", indices=[int(i) for i in indices]),
+                            regressor(kind, **params)])
+    return pipe.fit(data)
+
+
 def text_classifier(text: str, label: str, num_classes: int | None = None, max_iter: int = 50) -> Pipeline:
     """Text -> class (multinomial) or 0/1 (binomial). (M6, M7)"""
     family = "binomial" if num_classes == 2 else "multinomial"
@@ -106,6 +116,25 @@ def select_k_search(df: DataFrame, features, label: str, ks, kind: str = "gbt",
     return rows, best[0]
 
 
+def select_k_entries(df: DataFrame, vector: str, names: DataFrame, label: str, ks, kind: str = "gbt", is_test: str = "is_test",
+                     name: str = "token", **params):
+    """select_k_search over the entries of a vector column; names (name, rank) tells them apart. Only the indices of
+    the largest k go through the driver. (M11, M12)"""
+    top = top_entries(vector_f_scores(df, vector, label), names, max(ks), name).collect()
+    ranking = [r["index"] for r in top]
+    train, test = df.where(~F.col(is_test)), df.where(F.col(is_test))
+
+    def scored(n: int):
+        m = evaluate(fit_on_entries(train, vector, ranking[:n], label, kind, **params), test, label).first()
+        return m["r2"], m["mae"]
+
+    sizes = sorted({min(k, len(ranking)) for k in ks})
+    with ThreadPool(PARALLEL_FITS) as pool:
+        fitted = dict(zip(sizes, pool.map(scored, sizes), strict=True))
+    rows = [(int(k), min(k, len(ranking)), *fitted[min(k, len(ranking))]) for k in ks]
+    return rows, max((r for r in rows if r[2] is not None), key=lambda r: r[2], default=(None,))[0]
+
+
 def fold_scores(df: DataFrame, features, label: str, folds: int, kind: str = "lr", fold: str = "fold", **params):
     """(fold, n, r2, mae): fit on the other folds, score on the fold."""
     out = []

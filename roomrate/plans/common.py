@@ -32,6 +32,11 @@ def folded_flags(df: DataFrame, fixed, others=()) -> DataFrame:
     return df.select(*fixed, F.size(on).alias("n_flags"), F.array_join(on, "|").alias("flags"), *others)
 
 
+def listed_tokens(df: DataFrame, fixed, tokens: str = "amenities", others=()) -> DataFrame:
+    """Fixed columns, then a token set as n_flags and a sorted '|' list of its tokens, then the others."""
+    return df.select(*fixed, F.size(tokens).alias("n_flags"), F.array_join(tokens, "|").alias("flags"), *others)
+
+
 def round_doubles(df: DataFrame, digits: int = ORACLE_DIGITS) -> DataFrame:
     """Round every double column (summation order differs between engines)."""
     cols = []

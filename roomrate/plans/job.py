@@ -17,7 +17,7 @@ from roomrate.plans import listings as C2
 from roomrate.plans import merge as C3
 from roomrate.session import shared_path, written
 from roomrate.sources.csv_io import read_csv
-from roomrate.sources.json_io import write_profile
+from roomrate.sources.json_io import write_profile_rows
 
 _TYPES = {"id": T.LongType(), "latitude": T.DoubleType(), "longitude": T.DoubleType(), "accommodates": T.IntegerType(),
           "bathrooms": T.DoubleType(), "bedrooms": T.DoubleType(), "beds": T.DoubleType()}
@@ -37,7 +37,8 @@ def listing_schema(columns=LISTING_COLUMNS) -> T.StructType:
 class Built(NamedTuple):
     table: DataFrame  # identifiers and text still present
     features: DataFrame
-    profile: DataFrame
+    profile: DataFrame  # (feature, value)
+    vocabulary: DataFrame  # (token, rank): the entries of the table's amenity vector
     profile_path: str
     text_model: PipelineModel
 
@@ -58,19 +59,20 @@ def build_features(spark: SparkSession, listings_csv: str, calendar_csv: str, li
                    max_iter: int = 50) -> Built:
     rows, days = read_snapshots(spark, listings_csv, calendar_csv, listing_columns)
     order = [c for c in rows.columns if c not in listing_columns]
-    features = C2.listing_features(rows, order_by=order).drop(*order)
+    features, ranks = C2.encoded_listings(C2.listing_features(rows, order_by=order).drop(*order))
     averages = C1.calendar_features(days, [c for c in days.columns if c not in CALENDAR_SCHEMA.names])
     merged = written(C3.merge_features(features, averages), "filled")
     scored, text_model, _ = C3.add_text_bin(merged, max_iter=max_iter)
     table = written(scored, "features")
     final = C3.final_features(table)
-    profile = C3.profile_defaults(final)
-    path = write_profile(profile, shared_path(spark, "profiles", "default_features"))
-    return Built(table, final, profile, path, text_model)
+    profile = C3.profile_rows(final, ranks)
+    path = write_profile_rows(profile, shared_path(spark, "profiles", "default_features"))
+    return Built(table, final, profile, ranks, path, text_model)
 
 
 def stored_defaults(spark: SparkSession, path: str) -> dict[str, float]:
-    """The written profile (one JSON object) as request defaults."""
+    """The written profile (one JSON object) as request defaults; only the request's fields are taken from it."""
     fields = {n: t for n, t, _ in K.request_fields()}
-    row = spark.read.json(path).first().asDict()
-    return {n: int(v) if fields[n] == "int" else float(v) for n, v in row.items() if n in fields and v is not None}
+    profile = spark.read.text(path).select(F.from_json("value", "map<string,double>").alias("p"))
+    row = profile.select(*[F.try_element_at("p", F.lit(n)).alias(n) for n in fields]).first().asDict()
+    return {n: int(v) if fields[n] == "int" else float(v) for n, v in row.items() if v is not None}

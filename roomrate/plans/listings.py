@@ -1,13 +1,13 @@
 """C2 — listing features.
 
 prune -> keep-first per (latitude, longitude) -> description present ->
-room type in set -> entire-home flag -> caps -> amenity tokens -> multi-hot
-(+ renames) -> superhost flag.
+room type in set -> entire-home flag -> caps -> amenity token set (+ renames) ->
+superhost flag.
 
 The de-duplication runs BEFORE the description filter (a NULL first row hides a
-valid later one), as in the source. The only driver-side step is the
-collect of the vocabulary (WIDE_TOKENS at most) that fixes the multi-hot layout;
-a larger vocabulary stays in the table, as one array of token codes per row.
+valid later one), as in the source. The amenities of a row stay one set of tokens,
+whatever the size of the vocabulary; nothing is collected. `encoded_listings` adds
+the multi-hot form: the vocabulary as a table of ranks and one sparse vector per row.
 """
 
 from __future__ import annotations
@@ -19,8 +19,11 @@ from roomrate import constants as K
 from roomrate.functions.scalar import category_flag, text_flag
 from roomrate.functions.text import amenity_token_set
 from roomrate.operators.dedupe import keep_first
-from roomrate.operators.encode import multi_hot, multi_hot_sets, vocabulary
 from roomrate.operators.filters import drop_columns, in_set, not_null, within_caps
+from roomrate.operators.vectors import token_list, token_ranks, with_token_vectors
+from roomrate.session import written
+
+VECTOR = "amenity_vector"
 
 
 def prune(listings: DataFrame, columns=K.LISTING_PRUNE_COLUMNS, strict: bool = False) -> DataFrame:
@@ -40,14 +43,14 @@ def clean_listings(listings: DataFrame, order_by=("id",), prune_columns=K.LISTIN
     return df
 
 
-def listing_features(listings: DataFrame, order_by=("id",), vocab=None, keep_tokens: bool = False,
-                     prune_columns=K.LISTING_PRUNE_COLUMNS) -> DataFrame:
+def listing_features(listings: DataFrame, order_by=("id",), prune_columns=K.LISTING_PRUNE_COLUMNS) -> DataFrame:
+    """Fixed columns and `amenities`, the sorted token set."""
     df = clean_listings(listings, order_by, prune_columns)
-    df = df.withColumn("amenities", amenity_token_set("amenities"))
-    vocab = vocab if vocab is not None else vocabulary(df, "amenities")
-    if vocab is None:  # too many tokens for a schema: their codes as one array
-        df = multi_hot_sets(df, "amenities", "amenity_codes")
-        df = df if keep_tokens else df.drop("amenities")
-    else:
-        df = multi_hot(df, "amenities", vocab, drop_tokens=not keep_tokens)
-    return df.withColumn("host_is_superhost", text_flag("host_is_superhost"))
+    return df.withColumns({"amenities": token_list(amenity_token_set("amenities")), "host_is_superhost": text_flag("host_is_superhost")})
+
+
+def encoded_listings(features: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(listing features with the fields of VECTOR, (token, rank) of their whole vocabulary)."""
+    features = written(features, "listing-features")
+    ranks = token_ranks(features, "amenities")
+    return with_token_vectors(features, "amenities", VECTOR, ranks), ranks

@@ -3,6 +3,8 @@
 listing features ⋈ calendar features on id (inner; the source's two semi-joins
 are implied by it) -> neighbour fill of the price averages (grid band join)
 -> optional text-bin model column -> drop identifiers/text -> default profile.
+The amenities travel as a token set and, with `encoded_listings`, as one sparse
+vector; their means join the profile's rows under the tokens' names.
 """
 
 from __future__ import annotations
@@ -17,7 +19,8 @@ from roomrate.operators.models import append_class, text_classifier
 from roomrate.operators.neighbours import neighbour_fill
 from roomrate.operators.profile import default_profile
 from roomrate.operators.split import stratified_split
-from roomrate.session import written
+from roomrate.operators.vectors import vector_means, written_vectors
+from roomrate.plans.listings import VECTOR
 
 
 def merge_features(listing_feats: DataFrame, calendar_feats: DataFrame, materialise: bool = True) -> DataFrame:
@@ -26,7 +29,7 @@ def merge_features(listing_feats: DataFrame, calendar_feats: DataFrame, material
     re-running the calendar pipeline over the full calendar for each read."""
     m = inner_join(listing_feats, calendar_feats, "id", "listing_id")
     if materialise:
-        m = written(m, "merged")
+        m = written_vectors(m, "merged", (VECTOR,))
     return neighbour_fill(m, K.PRICE_FILL_COLUMNS, round_result=False)
 
 
@@ -50,3 +53,10 @@ def final_features(merged: DataFrame) -> DataFrame:
 def profile_defaults(features: DataFrame) -> DataFrame:
     """A5: means minus label/season columns, half-even rounded except four columns."""
     return default_profile(features, K.PROFILE_EXCLUDED, K.PROFILE_UNROUNDED)
+
+
+def profile_rows(features: DataFrame, ranks: DataFrame, vector: str = VECTOR) -> DataFrame:
+    """A5 as (feature, value): profile_defaults of the columns, and the rounded mean of every token of the vocabulary."""
+    columns = profile_defaults(features)
+    tokens = vector_means(features, vector, ranks).select(F.col("token").alias("feature"), F.bround("mean", 0).alias("value"))
+    return columns.unpivot([], columns.columns, "feature", "value").union(tokens)

@@ -9,9 +9,10 @@ from roomrate.functions.bins import right_closed_bin
 from roomrate.functions.text import amenity_token_set, word_tokens
 from roomrate.operators.dedupe import keep_first
 from roomrate.operators.encode import category_codes, mean_fill, multi_hot, multi_hot_sets, vocabulary
+from roomrate.operators.vectors import top_entries, vector_f_scores, vector_means, with_token_vectors, token_ranks, written_vectors
 from roomrate.operators.neighbours import band_pairs, neighbour_fill, neighbour_sums
 from roomrate.plans import listings as C2
-from roomrate.plans.common import CAL_CTE, calendar, folded_flags, listings, lst_cte, r, round_doubles, tables
+from roomrate.plans.common import CAL_CTE, calendar, folded_flags, listed_tokens, listings, lst_cte, r, round_doubles, tables
 from roomrate.plans.registry import register
 from roomrate.plans.sqltext import amenity_norm_sql, amenity_rename_sql, naive_fill_sql, q
 from roomrate.sources.bindings import CALENDAR_ORDER, inject_null
@@ -195,8 +196,7 @@ def q_band_join_pairs(spark, sf_dir):
     return round_doubles(pairs.select("id", "r_id", F.col("r_review_scores_rating").alias("r_rating")))
 
 
-# C2 listing features. The library's output is wide (one column per token); the query folds the 0/1 columns into
-# a sorted flag list, which SQL can state without knowing the tokens.
+# C2 listing features. The library keeps a row's amenities as one token set; the query shows it as a sorted list.
 LISTING_FIXED = ("id", "description", "host_is_superhost", "latitude", "longitude", "room_type", "accommodates",
                  "bathrooms", "bedrooms", "beds", "entire_home_apt")
 
@@ -224,7 +224,7 @@ WITH {c2_ctes()}
 SELECT c2.* EXCLUDE (amenities), n_flags, flags FROM c2 JOIN c2_flags ON c2.id = c2_flags.id
 """)
 def q_listing_features(spark, sf_dir):
-    return folded_flags(C2.listing_features(listings(spark, sf_dir)), LISTING_FIXED)
+    return listed_tokens(C2.listing_features(listings(spark, sf_dir)), LISTING_FIXED)
 
 
 # E3 without a bound on the vocabulary: token codes by a joined rank table, over the words of whole documents
@@ -240,3 +240,81 @@ def q_word_code_sets(spark, sf_dir):
     codes = multi_hot_sets(docs, "tokens", "codes")
     return codes.select("doc_id", F.size("codes").alias("n_codes"),
                         F.aggregate("codes", F.lit(0).cast("bigint"), lambda a, c: a + c).alias("code_sum"))
+
+
+# E3 -> A5 / M11 / M4 over vocabularies of any size: the words of whole documents as one sparse vector per document
+WORDS_CTE = r"""
+t AS (SELECT doc_id, n_chars, list_distinct(regexp_extract_all(regexp_replace(lower(text), '\d+', '', 'g'), '\p{L}+')) AS toks FROM documents),
+u AS (SELECT doc_id, n_chars, unnest(toks) AS token FROM t)"""
+
+
+def word_vectors(spark, sf_dir):
+    """((doc_id, n_chars, words, word_vector), (token, rank)) of the documents, written once per session and input."""
+    from pyspark.ml.linalg import VectorUDT  # noqa: F401  (the stored table holds vectors)
+
+    from roomrate.sources.model_store import stored_table
+
+    docs = tables(spark, sf_dir).documents.select("doc_id", F.col("n_chars").cast("double").alias("n_chars"),
+                                                  F.array_distinct(word_tokens("text")).alias("words"))
+    ranks = stored_table(spark, f"words:{sf_dir}", lambda: token_ranks(docs, "words"))
+    vectors = stored_table(spark, f"word-vectors:{sf_dir}", lambda: written_vectors(
+        with_token_vectors(docs, "words", "word_vector", ranks), "word-vectors", ("word_vector",)))
+    return vectors, ranks
+
+
+@register("word_vector_profile", f"""
+WITH {WORDS_CTE}
+SELECT token AS feature, {r('count(*) / (SELECT count(*) FROM documents)', 'mean')},
+       round_even(count(*) / (SELECT count(*) FROM documents), 0) AS value FROM u GROUP BY token
+""")
+def q_word_vector_profile(spark, sf_dir):
+    """E3 + A4 + A5: mean of every entry of a sparse vector as profile rows, by the tokens' names."""
+    vectors, ranks = word_vectors(spark, sf_dir)
+    means = vector_means(vectors, "word_vector", ranks)
+    return round_doubles(means.select(F.col("token").alias("feature"), "mean", F.bround("mean", 0).alias("value")))
+
+
+_WORD_SCORES_SQL = """
+n AS (SELECT count(*) AS n, avg(n_chars) AS m, var_pop(n_chars) * count(*) AS syy FROM documents),
+s AS (SELECT token, count(*) AS c, sum(n_chars - m) AS sxy FROM u, n GROUP BY token),
+f AS (SELECT token, n, CASE WHEN c < n AND syy > 0 THEN sxy / sqrt((c - c * c / n) * syy) END AS r FROM s, n),
+g AS (SELECT token, n, r, r * r / (1 - r * r) * (n - 2) AS f_score FROM f)"""
+
+
+@register("word_vector_f_test", f"""
+WITH {WORDS_CTE}, {_WORD_SCORES_SQL}
+SELECT token, n, {r('r', 'r')}, {r('f_score', 'f_score', 4)} FROM g
+""")
+def q_word_vector_f_test(spark, sf_dir):
+    """M11 over a sparse vector: F score of every word (one grouped sum per index) against the document's length."""
+    vectors, ranks = word_vectors(spark, sf_dir)
+    scores = vector_f_scores(vectors, "word_vector", "n_chars").join(ranks.withColumnRenamed("rank", "index"), "index")
+    return scores.select("token", "n", F.round("r", 6).alias("r"), F.round("f_score", 4).alias("f_score"))
+
+
+_TOP_WORDS = 12
+
+
+@register("word_vector_ols", f"""
+WITH {WORDS_CTE}, {_WORD_SCORES_SQL},
+k AS (SELECT token FROM g ORDER BY round(f_score, 4) DESC NULLS LAST, token LIMIT {_TOP_WORDS})
+SELECT token, 0.0 AS moment, TRUE AS explains FROM k
+""")
+def q_word_vector_ols(spark, sf_dir):
+    """M4 + M11 + M12: least squares on the top words of the vector (VectorSlicer). The moments of the residuals with
+    each chosen word, relative to the label's, are zero for the least-squares fit and for no other; `explains` is a
+    smaller residual sum of squares than the label's own."""
+    from roomrate.operators import models as ML
+
+    vectors, ranks = word_vectors(spark, sf_dir)
+    scores = vector_f_scores(vectors, "word_vector", "n_chars").withColumn("f_score", F.round("f_score", 4))
+    top = top_entries(scores, ranks, _TOP_WORDS).collect()
+    model = ML.fit_on_entries(vectors, "word_vector", [row["index"] for row in top], "n_chars", "lr", solver="normal")
+    scored = model.transform(vectors).select("words", "n_chars", (F.col("n_chars") - F.col("prediction")).alias("e"))
+    mean = vectors.select(F.avg("n_chars")).scalar()
+    size = F.sum(F.abs("n_chars"))
+    stats = scored.agg(*[F.round(F.sum(F.when(F.array_contains("words", row["token"]), F.col("e")).otherwise(0.0)) / size, 6).alias(f"m{i}")
+                         for i, row in enumerate(top)],
+                       (F.sum(F.col("e") * F.col("e")) < F.sum((F.col("n_chars") - mean) * (F.col("n_chars") - mean))).alias("explains"))
+    rows = F.array(*[F.struct(F.lit(row["token"]).alias("token"), (F.col(f"m{i}") + 0.0).alias("moment")) for i, row in enumerate(top)])
+    return stats.select(F.explode(rows).alias("r"), "explains").select("r.token", F.abs("r.moment").alias("moment"), "explains")

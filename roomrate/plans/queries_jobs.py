@@ -5,7 +5,7 @@ from __future__ import annotations
 from roomrate import constants as K
 from roomrate.operators.periods import period_column
 from roomrate.plans import calendar as C1
-from roomrate.plans.common import CAL_CTE, calendar, folded_flags, r, round_doubles
+from roomrate.plans.common import CAL_CTE, calendar, listed_tokens, r, round_doubles
 from roomrate.plans.registry import register
 from roomrate.session import written
 from roomrate.sources.bindings import CALENDAR_ORDER
@@ -75,14 +75,15 @@ def q_calendar_period_averages(spark, sf_dir):
 # C3 merged features, A5 default profile
 # ---------------------------------------------------------------------------
 def merged_table(spark, sf_dir):
-    """C2 ⋈ C1 + price fill, identifiers still present (id, room_type, description)."""
+    """(C2 ⋈ C1 + price fill, identifiers still present (id, room_type, description, amenities); (token, rank) of
+    the amenity vector's entries)."""
     from roomrate.plans import listings as C2
     from roomrate.plans import merge as C3
     from roomrate.plans.common import listings
 
-    lf = C2.listing_features(listings(spark, sf_dir))
+    lf, ranks = C2.encoded_listings(C2.listing_features(listings(spark, sf_dir)))
     cf = C1.calendar_features(calendar(spark, sf_dir), CALENDAR_ORDER)
-    return C3.merge_features(lf, cf)
+    return C3.merge_features(lf, cf), ranks
 
 
 def period_columns(periods=K.PERIODS_PRODUCTION) -> list[str]:
@@ -109,11 +110,9 @@ WITH {_merged_ctes()}
 SELECT {_MERGED_COLUMNS}, n_flags, flags FROM f JOIN c2_flags ON f.id = c2_flags.id
 """)
 def q_merged_features(spark, sf_dir):
-    """C3 (J1 J2 E9 P1): merged feature table, its flags folded; the text-model column is in feature_build_job."""
-    from roomrate.plans import merge as C3
-
-    wide = C3.final_features(merged_table(spark, sf_dir))
-    return round_doubles(folded_flags(wide, _FIXED_FEATURES, period_columns()))
+    """C3 (J1 J2 E9 P1): merged feature table, its tokens listed; the text-model column is in feature_build_job."""
+    merged, _ = merged_table(spark, sf_dir)
+    return round_doubles(listed_tokens(merged, _FIXED_FEATURES, others=period_columns()))
 
 
 _EXTENDED_FILLS = tuple(period_column("price", p) for p in K.PERIODS_EXTENDED)
@@ -151,8 +150,8 @@ def q_default_profile(spark, sf_dir):
     """A5 (+ S3 payload): means of the merged features as (feature, value), half-even rounded except four."""
     from roomrate.plans import merge as C3
 
-    profile = C3.profile_defaults(C3.final_features(merged_table(spark, sf_dir)))
-    return round_doubles(profile.unpivot([], profile.columns, "feature", "value"))
+    merged, ranks = merged_features_and_tokens(spark, sf_dir)
+    return round_doubles(C3.profile_rows(C3.final_features(merged), ranks))
 
 
 # ---------------------------------------------------------------------------
@@ -184,10 +183,10 @@ def q_feature_build_job(spark, sf_dir):
 
     built = build_features(spark, *snapshots(spark, sf_dir))
     bins = F.col("pred_price_year_avg_bin")
-    features = built.table.select("*", bins.between(0, len(K.PRICE_BIN_EDGES) - 1).alias("has_text_bin"),
-                                  F.lit("pred_price_year_avg_bin" in built.profile.columns).alias("in_profile")).drop(
-        "pred_price_year_avg_bin", "room_type", "description")
-    return round_doubles(folded_flags(features, ["id", *_FIXED_FEATURES], [*period_columns(), "has_text_bin", "in_profile"]))
+    told = built.profile.where("feature = 'pred_price_year_avg_bin'").select("value").scalar()
+    mean = built.table.agg(F.bround(F.avg(bins), 0)).scalar()
+    features = built.table.select("*", bins.between(0, len(K.PRICE_BIN_EDGES) - 1).alias("has_text_bin"), (told == mean).alias("in_profile"))
+    return round_doubles(listed_tokens(features, ["id", *_FIXED_FEATURES], others=[*period_columns(), "has_text_bin", "in_profile"]))
 
 
 # ---------------------------------------------------------------------------
@@ -198,7 +197,22 @@ def materialised_merged(spark, sf_dir):
     by every model query (column pruning and size statistics stay)."""
     from roomrate.sources.model_store import stored_table
 
-    return stored_table(spark, f"merged:{sf_dir}", lambda: merged_table(spark, sf_dir))
+    return merged_features_and_tokens(spark, sf_dir)[0]
+
+
+def merged_features_and_tokens(spark, sf_dir):
+    """(materialised_merged, (token, rank) of its amenity vector's entries), written together."""
+    from roomrate.sources.model_store import stored_table
+
+    built = {}
+
+    def table():
+        built["merged"], built["ranks"] = merged_table(spark, sf_dir)
+        return built["merged"]
+
+    merged = stored_table(spark, f"merged:{sf_dir}", table)
+    ranks = stored_table(spark, f"tokens:{sf_dir}", lambda: built["ranks"] if built else merged_table(spark, sf_dir)[1])
+    return merged, ranks
 
 
 def _train_split(spark, sf_dir):
@@ -360,24 +374,28 @@ def q_exploration(spark, sf_dir):
 
 def scoring_models(spark, sf_dir):
     """(main model, text model, defaults): fitted once into the store and loaded from there. The main model takes
-    the request features that the feature table has, the text bin among them; the defaults are the written
-    profile."""
+    the request features that the feature table has, the text bin and the amenities that are tokens of it among
+    them; the defaults are the written profile."""
     from pyspark.sql import functions as F
 
     from roomrate.operators import models as ML
     from roomrate.plans import merge as C3
     from roomrate.plans.job import stored_defaults
+    from roomrate.operators.vectors import named_flags
     from roomrate.session import shared_path
-    from roomrate.sources.json_io import write_profile
+    from roomrate.sources.json_io import write_profile_rows
     from roomrate.sources.model_store import stored_model, stored_table
 
-    merged = materialised_merged(spark, sf_dir).withColumn("_text", F.coalesce("description", F.lit("")))
+    merged, ranks = merged_features_and_tokens(spark, sf_dir)
+    merged = merged.withColumn("_text", F.coalesce("description", F.lit("")))
     text_model = stored_model(spark, f"text:{sf_dir}", lambda: C3.add_text_bin(merged, text="_text")[1])
     scored = stored_table(spark, f"binned:{sf_dir}", lambda: ML.append_class(text_model, merged, "pred_price_year_avg_bin"))
-    feats = [n for n, _, _ in K.request_fields() if n in scored.columns]
-    main = stored_model(spark, f"scoring:{sf_dir}", lambda: ML.fit_regression(scored, feats, "price_year_avg", "gbt"))
+    asked = {row["token"] for row in ranks.where(F.col("token").isin(list(K.REQUEST_AMENITIES))).collect()}
+    feats = [n for n, _, _ in K.request_fields() if n in scored.columns or n in asked]
+    wide = named_flags(scored, "amenities", [n for n in K.REQUEST_AMENITIES if n in asked])
+    main = stored_model(spark, f"scoring:{sf_dir}", lambda: ML.fit_regression(wide, feats, "price_year_avg", "gbt"))
     profile = stored_table(spark, f"defaults:{sf_dir}", lambda: spark.createDataFrame(
-        [(write_profile(C3.profile_defaults(C3.final_features(scored.drop("_text"))), shared_path(spark, "profiles", "scoring")),)], "path string"))
+        [(write_profile_rows(C3.profile_rows(C3.final_features(scored.drop("_text")), ranks), shared_path(spark, "profiles", "scoring")),)], "path string"))
     return main, text_model, stored_defaults(spark, profile.first()["path"])
 
 

@@ -15,7 +15,9 @@ from roomrate.functions.bins import right_closed_bin
 from roomrate.operators import metrics as M
 from roomrate.operators import models as ML
 from roomrate.operators import split as SP
-from roomrate.plans.common import folded_flags, r, round_doubles, tables
+from roomrate.operators.vectors import entries
+from roomrate.plans.common import listed_tokens, r, round_doubles, tables
+from roomrate.plans.listings import VECTOR
 from roomrate.plans.queries_scalar import listing_segments
 from roomrate.plans.registry import register
 
@@ -127,19 +129,27 @@ def _merged(spark, sf_dir):
 
 
 def model_features(df, combo=K.PERIOD_COMBOS[0]) -> list[str]:
-    """Numeric features of the merged table minus all period columns, with the combo's availability and
-    minimum-nights averages re-appended last. (P11)"""
+    """Numeric features of the merged table minus all period columns, the amenity vector, and the combo's availability
+    and minimum-nights averages last. (P11)"""
     period = {c for c in df.columns if c.endswith("_avg")}
-    base = [c for c, t in df.dtypes if t in ("int", "bigint", "double") and c not in period | {"id", combo[2]}]
+    base = [c for c, t in df.dtypes if t in ("int", "bigint", "double", "vector") and c not in period | {"id", combo[2]}]
     return base + list(combo[:2])
 
 
-def amenity_features(df) -> list[str]:
-    """The amenity flags and the superhost flag alone. (P11, the set that M12 searches)"""
-    from roomrate.plans.queries_encode import LISTING_FIXED
+def amenity_features(df, ranks):
+    """(df with the vector `searched` of the superhost flag and the amenities alone, (token, rank) of its entries).
+    (P11, the set that M12 searches)"""
+    from pyspark.ml.feature import VectorAssembler
 
-    others = (set(LISTING_FIXED) - {"host_is_superhost"}) | {"is_test", "amenities", "neighbourhood"}
-    return [c for c, t in df.dtypes if t == "int" and c not in others]
+    searched = VectorAssembler(inputCols=["host_is_superhost", VECTOR], outputCol="searched").transform(df)
+    first = df.sparkSession.createDataFrame([("host_is_superhost", 0)], "token string, rank long")
+    return searched, first.union(ranks.select("token", F.col("rank") + 1))
+
+
+def _tokens(spark, sf_dir):
+    from roomrate.plans.queries_jobs import merged_features_and_tokens
+
+    return merged_features_and_tokens(spark, sf_dir)[1]
 
 
 def _split(spark, sf_dir):
@@ -278,8 +288,8 @@ FROM (VALUES {ks}) k(k), t
 @register("select_k_search", _search_sql())
 def q_kbest(spark, sf_dir):
     """M11 + M12: F-test top-k of the amenity flags for each candidate k; fit; keep the best R^2."""
-    df = _split(spark, sf_dir)
-    rows, best = ML.select_k_search(df, amenity_features(df), K.PERIOD_COMBOS[0][2], K.KBEST_CANDIDATES, "gbt")
+    df, names = amenity_features(_split(spark, sf_dir), _tokens(spark, sf_dir))
+    rows, best = ML.select_k_entries(df, "searched", names, K.PERIOD_COMBOS[0][2], K.KBEST_CANDIDATES, "gbt")
     ok = [r2 is not None and mae is not None and (k != best or all(r2 >= x[2] for x in rows)) for k, _, r2, mae in rows]
     return spark.createDataFrame([(k, n, good, sum(x[0] == best for x in rows)) for (k, n, _, _), good in zip(rows, ok, strict=True)],
                                  "k int, n_features int, scored boolean, n_best long")
@@ -297,11 +307,16 @@ FROM f JOIN c2_flags ON f.id = c2_flags.id
 
 @register("amenity_projection", _amenity_sql())
 def q_amenity_projection(spark, sf_dir):
-    """The amenity-only feature set (amenity flags and the superhost flag) with the label."""
-    df = _merged(spark, sf_dir)
-    flags = [c for c in amenity_features(df) if c != "host_is_superhost"]
-    wide = df.select("id", "host_is_superhost", F.col(K.PERIOD_COMBOS[0][2]).alias("label"), *flags)
-    return round_doubles(folded_flags(wide, ["id", "host_is_superhost"], ["label"]))
+    """The amenity-only feature set (a vector of the superhost flag and the amenities) with the label, told by
+    the names of its entries."""
+    df, names = amenity_features(_merged(spark, sf_dir), _tokens(spark, sf_dir))
+    rows = df.select("id", "searched", F.col(K.PERIOD_COMBOS[0][2]).alias("label"))
+    on = (entries(rows, "searched", ["id"]).join(names, F.col("index") == F.col("rank")).groupBy("id")
+          .agg(F.array_sort(F.collect_list("token")).alias("on")))
+    host, on_ = F.lit("host_is_superhost"), F.coalesce("on", F.array().cast("array<string>"))
+    told = rows.join(on, "id", "left").select("id", F.array_contains(on_, host).cast("int").alias("host_is_superhost"),
+                                              F.array_remove(on_, host).alias("amenities"), "label")
+    return round_doubles(listed_tokens(told, ["id", "host_is_superhost"], others=["label"]))
 
 
 def _segments_sql() -> str:

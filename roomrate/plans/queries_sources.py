@@ -87,7 +87,20 @@ def request_sql(extra: str = "") -> str:
 @register("request_defaults", request_sql())
 def q_request_defaults(spark, sf_dir):
     """F13 + F14: typed decode, per-field defaults for all 138 fields, validity flag."""
-    return _decoded(spark, sf_dir).drop("description")
+    return _decoded(spark, sf_dir).drop("description", "rejects")
+
+
+_REJECTS_SQL = ("concat_ws('|', " + ", ".join(f"CASE WHEN {_field_sql(n, t, d)[1]} THEN '{n}' END" for n, (t, d) in _DEFAULTS.items()) + ")")
+
+
+@register("request_rejects", f"""
+SELECT request_id, CASE WHEN json_valid(body) THEN {_REJECTS_SQL} ELSE 'not a JSON object' END AS reason
+FROM ({REQUESTS_SQL}) q WHERE NOT json_valid(body) OR {_REJECTS_SQL} <> ''
+""")
+def q_request_rejects(spark, sf_dir):
+    """S4 + F13: requests that do not decode, with the fields that are badly typed."""
+    bad = _decoded(spark, sf_dir).where("not is_valid")
+    return bad.select("request_id", F.coalesce(F.array_join("rejects", "|"), F.lit("not a JSON object")).alias("reason"))
 
 
 @register("request_response_json", f"""
