@@ -70,6 +70,53 @@ def test_near_components_on_the_table(spark):
     assert got == components(rows, 4, 85, 100)
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_connected_equals_union_find(spark, seed):
+    from roomrate.llm.components import connected
+
+    rng = random.Random(seed)
+    n = 300
+    shapes = {1: [(rng.randrange(n), rng.randrange(n)) for _ in range(220)],
+              2: [(i, i + 1) for i in range(n)] + [(1000, 1000 + i) for i in range(1, 50)] + [(2000 + i, 3000) for i in range(50)],
+              3: [(5, 5), (7, 6), (6, 7)] + [(i, 2 * i) for i in range(1, n)]}
+    links = shapes[seed]
+    up = {x: x for e in links for x in e}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in links:
+        a, b = sorted((root(a), root(b)))
+        up[b] = a
+    got = {r.node: r.component for r in connected(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {x: root(x) for a, b in links if a != b for x in (a, b)}
+    assert connected(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_links_of_a_large_family_fall_to_one_each(spark):
+    """Near copies of 300 words meet in many tiles: the joins of the components see few links a set."""
+    from roomrate.llm import components as C
+    from roomrate.llm import ngram_jaccard as J
+
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(300)]
+    rows = []
+    for d in range(1500):
+        words = list(base)
+        for _ in range(rng.randrange(1, 4)):
+            words[rng.randrange(300)] = f"x{rng.randrange(10**6)}"
+        rows.append((d, " ".join(words)))
+    df = spark.createDataFrame(rows, "id long, text string").repartition(8)
+    sets = J.document_sets(df, 5, bits=True).selectExpr("id c", "n", "s1", "bits")
+    members = J.document_tiles(df, 5, 80, 100).join(sets.select("s1", "c", "n"), "s1").select("tile", "c", "n").distinct()
+    links = C.written(J.tile_links(members, sets.select("c", "bits"), 80, 100), "test-links")
+    edges = C.starred(C.ordered(links))
+    assert edges.count() < 2 * len(rows)
+    assert {r.component for r in C.connected(links).collect()} == {0}
+
+
 def test_near_components_edges(spark):
     from roomrate.llm.ngram_jaccard import near_components
 
