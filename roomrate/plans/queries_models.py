@@ -2,8 +2,9 @@
 
 Split/metric/F-test queries have DuckDB twins. Of fitted models, the twins check what
 is determined (Spark ML's trees and logistic regression are not the source's
-libraries; parity is by metric, see tests). Fits have the source's size; a model that
-several queries use is fitted once and read from the store.
+libraries; parity is by metric, see tests); their predictions and metrics are the
+*_values queries, which have no twin. Fits have the source's size; a model or a table of
+scores that several queries use is worked out once and read from the store.
 """
 
 from __future__ import annotations
@@ -15,9 +16,10 @@ from roomrate.functions.bins import right_closed_bin
 from roomrate.operators import metrics as M
 from roomrate.operators import models as ML
 from roomrate.operators import split as SP
-from roomrate.operators.vectors import entries
+from roomrate.operators.vectors import entries, top_entries, vector_f_scores
 from roomrate.plans.common import listed_tokens, r, round_doubles, tables
 from roomrate.plans.listings import VECTOR
+from roomrate.plans.queries_encode import WORDS_CTE, word_vectors
 from roomrate.plans.queries_scalar import listing_segments
 from roomrate.plans.registry import register
 
@@ -178,16 +180,20 @@ SELECT id, round(price_year_avg, 6) AS price_year_avg, TRUE AS has_prediction, T
 
 
 def _held_out(spark, sf_dir, kind: str):
-    """Hold-out rows with whether they have a prediction, and whether the model errs less than the mean does on
-    the rows that it was fitted on."""
+    """Hold-out rows with whether their prediction is one of a price like those that were fitted (within the range of
+    the training labels, widened by its width on either side), and whether the model errs less than the mean does on the
+    rows that it was fitted on. (The tables' prices are drawn at random: no model beats the mean on the hold-out; see
+    price_model_values.)"""
     label = K.PERIOD_COMBOS[0][2]
     df = _split(spark, sf_dir)
     model = price_model(spark, sf_dir, kind)
-    fitted = ML.evaluate(model, df.where(~F.col("is_test")), label).first()
+    train = df.where(~F.col("is_test"))
+    fitted = ML.evaluate(model, train, label)
+    ends = train.agg(F.min(label).alias("lo"), F.max(label).alias("hi"))
+    lo, hi = ends.select("lo").scalar(), ends.select("hi").scalar()
     rows = ML.predict(model, df.where(F.col("is_test")))
-    return round_doubles(rows.select("id", F.col(label)).withColumn(label, F.col(label))
-                         .join(rows.select("id", F.col("prediction").isNotNull().alias("has_prediction")), "id")
-                         .withColumn("sound", F.lit(bool(fitted["r2"] is not None and fitted["r2"] > 0))))
+    return round_doubles(rows.select("id", label, F.col("prediction").between(lo - (hi - lo), hi + (hi - lo)).alias("has_prediction"),
+                                     (fitted.select("r2").scalar() > 0).alias("sound")))
 
 
 @register("gbt_price_model", _held_out_sql())
@@ -208,6 +214,32 @@ def q_lr(spark, sf_dir):
     return _held_out(spark, sf_dir, "lr")
 
 
+@register("price_predictions_values")
+def q_price_predictions(spark, sf_dir):
+    """M3 + M4 + M5: the three models' predictions of the hold-out."""
+    out = _split(spark, sf_dir).where(F.col("is_test"))
+    for kind in ("lr", "rf", "gbt"):
+        out = ML.predict(price_model(spark, sf_dir, kind), out, f"predicted_{kind}")
+    return out.select("id", K.PERIOD_COMBOS[0][2], "predicted_lr", "predicted_rf", "predicted_gbt")
+
+
+@register("price_model_values")
+def q_price_model_values(spark, sf_dir):
+    """M3 + M4 + M5 + M9: R^2 and MAE of the three models on the rows they were fitted on and on the hold-out, beside the MAE
+    of the training mean."""
+    label = K.PERIOD_COMBOS[0][2]
+    df = _split(spark, sf_dir)
+    mean = df.where(~F.col("is_test")).select(F.avg(label)).scalar()
+    out = None
+    for kind in ("lr", "rf", "gbt"):
+        scored = price_model(spark, sf_dir, kind).transform(df.withColumns({"label": F.col(label), "_off": F.abs(F.col(label) - mean)}))
+        rows = (M.regression_metrics(scored, "label", "prediction", by=["is_test"])
+                .join(scored.groupBy("is_test").agg(F.avg("_off").alias("mae_of_mean")), "is_test"))
+        rows = rows.select(F.lit(kind).alias("model"), F.when(F.col("is_test"), "hold-out").otherwise("fitted").alias("rows"), "n", "r2", "mae", "mae_of_mean")
+        out = rows if out is None else out.union(rows)
+    return out
+
+
 def _fold_sql() -> str:
     from roomrate.plans.queries_jobs import _merged_ctes
 
@@ -221,10 +253,7 @@ FROM f GROUP BY 1
 @register("kfold_scores", _fold_sql())
 def q_kfold_scores(spark, sf_dir):
     """Linear regression fitted on four folds and scored on the fifth, for each fold."""
-    df = SP.kfold(_merged(spark, sf_dir), "id", 5)
-    rows = ML.fold_scores(df, [c for c in model_features(df) if c != "fold"], K.PERIOD_COMBOS[0][2], 5)
-    return spark.createDataFrame([(k, n, r2 is not None and mae is not None) for k, n, r2, mae in rows],
-                                 "fold int, n long, scored boolean")
+    return q_kfold_values(spark, sf_dir).select("fold", "n", _possible().alias("scored"))
 
 
 def _docs_with_bins(spark, sf_dir):
@@ -288,11 +317,12 @@ FROM (VALUES {ks}) k(k), t
 @register("select_k_search", _search_sql())
 def q_kbest(spark, sf_dir):
     """M11 + M12: F-test top-k of the amenity flags for each candidate k; fit; keep the best R^2."""
-    df, names = amenity_features(_split(spark, sf_dir), _tokens(spark, sf_dir))
-    rows, best = ML.select_k_entries(df, "searched", names, K.PERIOD_COMBOS[0][2], K.KBEST_CANDIDATES, "gbt")
-    ok = [r2 is not None and mae is not None and (k != best or all(r2 >= x[2] for x in rows)) for k, _, r2, mae in rows]
-    return spark.createDataFrame([(k, n, good, sum(x[0] == best for x in rows)) for (k, n, _, _), good in zip(rows, ok, strict=True)],
-                                 "k int, n_features int, scored boolean, n_best long")
+    found = q_select_k_values(spark, sf_dir)
+    label = K.PERIOD_COMBOS[0][2]
+    told = found.withColumns({"variance": _merged_variance(_split(spark, sf_dir).where(F.col("is_test")), label),
+                              "_top": found.agg(F.max("r2")).scalar()})
+    return told.select("k", "n_features", (_possible() & (~F.col("best") | (F.col("r2") == F.col("_top")))).alias("scored"),
+                       found.agg(F.count_if("best")).scalar().alias("n_best"))
 
 
 def _amenity_sql() -> str:
@@ -336,12 +366,110 @@ FROM s, (VALUES ('lr'), ('rf'), ('gbt')) m(model)
 @register("model_segment_table", _segments_sql())
 def q_model_segments(spark, sf_dir):
     """M13 + M15: linear / forest / boosted models over the six segments, per period combo."""
+    found = q_segment_values(spark, sf_dir)
+    return found.select("model", "segment", "label", "n_test", ((F.col("r2") <= 1) & (F.col("mae") >= 0)).alias("scored"))
+
+
+def _merged_variance(df, label: str):
+    return df.agg(F.var_pop(label)).scalar()
+
+
+def _possible():
+    """R^2 and MAE that go together: the mean absolute error is not above the root of the mean squared one."""
+    return (F.col("r2") <= 1) & (F.col("mae") >= 0) & (F.col("mae") <= F.sqrt((1 - F.col("r2")) * F.col("variance")) * (1 + 1e-9))
+
+
+@register("kfold_values")
+def q_kfold_values(spark, sf_dir):
+    """N, R^2 and MAE of each fold, and the variance of its labels."""
+    from roomrate.sources.model_store import stored_table
+
+    def scores():
+        df = SP.kfold(_merged(spark, sf_dir), "id", 5)
+        rows = ML.fold_scores(df, [c for c in model_features(df) if c != "fold"], K.PERIOD_COMBOS[0][2], 5)
+        table = spark.createDataFrame(rows, "fold int, n long, r2 double, mae double")
+        return table.join(df.groupBy("fold").agg(F.var_pop(K.PERIOD_COMBOS[0][2]).alias("variance")), "fold")
+
+    return stored_table(spark, f"kfold-values:{sf_dir}", scores)
+
+
+@register("select_k_values")
+def q_select_k_values(spark, sf_dir):
+    """R^2 and MAE of the hold-out for each number of amenity features, and the best number."""
+    from roomrate.sources.model_store import stored_table
+
+    def scores():
+        df, names = amenity_features(_split(spark, sf_dir), _tokens(spark, sf_dir))
+        rows, best = ML.select_k_entries(df, "searched", names, K.PERIOD_COMBOS[0][2], K.KBEST_CANDIDATES, "gbt")
+        return spark.createDataFrame([(*row, row[0] == best) for row in rows], "k int, n_features int, r2 double, mae double, best boolean")
+
+    return stored_table(spark, f"select-k-values:{sf_dir}", scores)
+
+
+@register("model_segment_values")
+def q_segment_values(spark, sf_dir):
+    """M13 + M15: n, R^2 and MAE of every model on every segment's hold-out, per period combo."""
     from roomrate.plans.common import listings
-    hoods = listings(spark, sf_dir, with_nulls=False).select("id", "neighbourhood")
-    df = SP.hash_split(_merged(spark, sf_dir).join(hoods, "id", "left"), "id")
-    segs = {name: df.where(pred) for name, pred in listing_segments().items()}
-    rows = []
-    for combo in K.PERIOD_COMBOS:
-        rows += ML.compare_models(segs, lambda d, combo=combo: model_features(d, combo), combo[2], kinds=("lr", "rf", "gbt"))
-    return spark.createDataFrame([(m, seg, lab, n, r2 is not None and mae is not None) for m, seg, lab, n, r2, mae in rows],
-                                 "model string, segment string, label string, n_test int, scored boolean")
+    from roomrate.sources.model_store import stored_table
+
+    def scores():
+        hoods = listings(spark, sf_dir, with_nulls=False).select("id", "neighbourhood")
+        df = SP.hash_split(_merged(spark, sf_dir).join(hoods, "id", "left"), "id")
+        segs = {name: df.where(pred) for name, pred in listing_segments().items()}
+        rows = []
+        for combo in K.PERIOD_COMBOS:
+            rows += ML.compare_models(segs, lambda d, combo=combo: model_features(d, combo), combo[2], kinds=("lr", "rf", "gbt"))
+        return spark.createDataFrame(rows, "model string, segment string, label string, n_test int, r2 double, mae double")
+
+    return stored_table(spark, f"segment-values:{sf_dir}", scores)
+
+
+# cross-validation over a stored fold column, out-of-fold text bins
+_CV_FOLDS, _CV_SIZES = 4, (2, 5, 10)
+
+
+@register("cross_validated_k", f"""
+WITH {WORDS_CTE}, c AS (SELECT count(DISTINCT token) AS words FROM u)
+SELECT CAST(k AS INTEGER) AS k, CAST(least(k, words) AS INTEGER) AS n_features, TRUE AS means_agree, CAST(1 AS BIGINT) AS n_best
+FROM (VALUES {', '.join(f'({k})' for k in _CV_SIZES)}) s(k), c
+""")
+def q_cross_validated_k(spark, sf_dir):
+    """M11 + M12 + M16: how many of the best words of a sparse vector tell a document's length, by Spark's cross-validation
+    over a stored fold column. means_agree compares the mean R^2 of each choice with a plain loop over the folds."""
+    vectors, ranks = word_vectors(spark, sf_dir)
+    df = SP.kfold(vectors, "doc_id", _CV_FOLDS)
+    scores = vector_f_scores(vectors, "word_vector", "n_chars").withColumn("f_score", F.round("f_score", 4))
+    top = [row["index"] for row in top_entries(scores, ranks, max(_CV_SIZES)).collect()]
+    found = ML.cross_validated(df, "word_vector", "n_chars", [top[:k] for k in _CV_SIZES], _CV_FOLDS, solver="normal")
+    best, rows = max(found.avgMetrics), []
+    for k, mean in zip(_CV_SIZES, found.avgMetrics, strict=True):
+        own = [ML.evaluate(ML.fit_on_entries(df.where(F.col("fold") != f), "word_vector", top[:k], "n_chars", "lr", solver="normal"),
+                           df.where(F.col("fold") == f), "n_chars").first()["r2"] for f in range(_CV_FOLDS)]
+        agree = abs(sum(own) / _CV_FOLDS - mean) <= 1e-6 * max(1.0, abs(mean))
+        rows.append((k, len(top[:k]), bool(agree), sum(bool(m == best) for m in found.avgMetrics)))
+    return spark.createDataFrame(rows, "k int, n_features int, means_agree boolean, n_best long")
+
+
+_TEXT_FOLDS = 3
+
+
+def _cross_text_sql() -> str:
+    from roomrate.plans.queries_jobs import _merged_ctes
+
+    return f"""
+WITH {_merged_ctes()}
+SELECT CAST(id AS BIGINT) AS id, CAST(('0x' || substr(md5(CAST(id AS VARCHAR)), 1, 13))::BIGINT % {_TEXT_FOLDS} AS INTEGER) AS fold,
+       FALSE AS seen, TRUE AS has_bin FROM f
+"""
+
+
+@register("text_bin_cross_fit", _cross_text_sql())
+def q_text_bin_cross_fit(spark, sf_dir):
+    """M6 + M8 + M16: text bins out of fold. `seen` says whether the model that scored a row was fitted on rows of the row's
+    own fold, by the folds stored with the model's training rows."""
+    from roomrate.plans.merge import cross_text_bin
+
+    merged = _merged(spark, sf_dir).select("id", F.coalesce("description", F.lit("")).alias("description"), "price_year_avg")
+    scored = cross_text_bin(merged, _TEXT_FOLDS)
+    return scored.select("id", "fold", F.array_contains("fitted_on", F.col("fold")).alias("seen"),
+                         F.col("pred_price_year_avg_bin").between(0, len(K.PRICE_BIN_EDGES) - 1).alias("has_bin"))
