@@ -36,5 +36,6 @@ def sharded(docs: DataFrame, weights: list[float] | None = None, added: float =
                        F.crc32(text).alias("text_crc32"))
     rows = rows.withColumns({"law": F.lit("key"), "shard": shard_of(F.col("doc_id"), weights),
                              "grown_shard": shard_of(F.col("doc_id"), [*weights, added])})
-    return (numbered(rows, F.col("shard"), [F.col("doc_id"), F.col("text_crc32"), F.col("size")], "slot", F.col("doc_id"))
+    return (numbered(rows, F.col("shard"), [F.col("doc_id"), F.col("text_crc32"), F.col("size")], "slot",
+                     F.xxhash64("doc_id", "text_crc32", "size"))  # rows of a null or repeated id are no one cell
             .select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"))

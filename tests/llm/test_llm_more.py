@@ -359,8 +359,11 @@ def test_stages_keep_clean_documents_with_null_and_repeated_ids(spark):
     docs = [(None if i % 3 else 5, text(i), "en", "src0" if i < 600 else "src1", i) for i in range(700)]
     mix = P.mix(spark, spark.createDataFrame(docs, schema), SF).collect()  # at the target weights: all are in the mix
     assert sorted(r.n_chars for r in mix) == list(range(700))
-    less = P.mix(spark, spark.createDataFrame(docs[:650], schema), SF).collect()
-    assert sorted(r.source for r in less) == ["src0"] * 300 + ["src1"] * 50
+    less = P.mix(spark, spark.createDataFrame(docs[:650], schema), SF).collect()  # a small source costs no rows of another
+    assert sorted(r.source for r in less) == ["src0"] * 600 + ["src1"] * 50
+    hot = [(i, text(i), "en", f"src{1 + i % 5}" if i < 500 else "src1", i) for i in range(900)]
+    few = P.mix(spark, spark.createDataFrame(hot, schema), SF).collect()  # a hot one gives what its weight allows
+    assert sorted(r.source for r in few) == [f"src{s}" for s in range(1, 6) for _ in range(100)]
 
 
 def test_library_does_not_import_this_folder():
