@@ -3,7 +3,7 @@
 1 language_id         drops documents without letters or whose language stays a toss-up (op 2)
 2 near_duplicates     keeps one row of each group of near copies, of the smallest doc_id: five words, 0.8 (op 1)
 3 decontaminate       drops documents that hold ten consecutive words of a benchmark item (op 10)
-4 mix                 brings the sources to the target weights: rows that they do not allow go (op 5)
+4 mix                 brings the sources to the target weights while sources of most of the weight last: rows beyond go (op 5)
 5 shard               places what is left on shards (op 6)
 
 All but the last return the columns of documents. Null texts go in stage 1. Stages 2 to 4 tell rows apart by a key of
@@ -52,8 +52,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return without_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
 
 
-def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixed(docs, TARGETS, DEFAULT_TARGET)
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str, targets: dict = TARGETS, default: float = DEFAULT_TARGET) -> DataFrame:
+    return mixed(docs, targets, default)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
