@@ -5,10 +5,16 @@ density, those of its neighbours, and the containers it lies in (article or main
 footer, sidebar, notice, advert, form, comments by tag, role, class or id; hidden). A Spark ML decision tree
 trained on the small labelled pages below says which blocks are main text.
 
+A class, id or role names clutter only as a whole: its parts (`site-footer`, `adSlot2`) must all be clutter words or plain
+layout words, so that `has-sidebar`, `category-legal` or `social-issues` say nothing. Whether a container is clutter is then
+decided by what it holds, once the page is read: one that holds most of the words of the page's article, such as a form
+around the whole page, is none.
+
 The tree is a few dozen nodes; the tasks get it with the function's closure.
 
 Defined results: null or empty html, or a page without main text, gives the empty text; unclosed tags end with
-the page or where HTML says; an unclosed comment, script or style takes the rest of the page; pages of any
+the page or where HTML says (text after an unclosed head is text); an unclosed comment, script or style takes the rest of
+the page; an empty table gives an empty table; pages of any
 length are parsed whole; a null page_id or url passes through; repeated rows stay; other columns are ignored.
 """
 
@@ -31,17 +37,27 @@ figcaption figure footer form frame frameset h1 h2 h3 h4 h5 h6 head header hr ht
 ol option p pre section select summary table tbody td textarea tfoot th thead title tr ul video audio canvas""".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: elements whose text is never read
-RAW = "script|style|noscript|template|iframe|object|svg|math|textarea|select|head"
+RAW = "script|style|noscript|template|iframe|object|svg|math|textarea|select|title"
 #: elements that are clutter whatever they hold
 CLUTTER_TAGS = set("nav aside footer form button label fieldset legend option menu dialog".split())
 ARTICLE_TAGS = {"article", "main"}
+#: parts of a name that say clutter beside plain layout words
 CLUTTER_NAMES = set("""ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos promotion
-banner banners nav navbar navigation navigations menu menus breadcrumb breadcrumbs header masthead topbar toolbar footer foot
-colophon copyright legal sidebar sidebars aside side rail widget widgets related recommended recommendations trending popular
+banner banners nav navbar navigation navigations menu menus breadcrumb breadcrumbs masthead topbar toolbar footer
+colophon copyright sidebar sidebars aside widget widgets related recommended recommendations trending
 cookie cookies consent gdpr notice notices alert alerts popup modal overlay dialog lightbox newsletter subscribe subscription
-signup login signin register form search searchbox share sharing social comment comments commentlist respond reply replies
-disqus discussion reviews pagination pager paging skip tags tagcloud toc metadata byline contentinfo complementary
-navigation banner hidden""".split())
+signup login signin register share sharing comments commentlist respond disqus pagination pager paging searchbox tagcloud
+byline contentinfo complementary""".split())
+#: names that say clutter alone, not as a part
+WHOLE_NAMES = set("""header foot legal side rail popular form search social comment reply replies discussion reviews skip tags toc
+metadata hidden""".split())
+COMMENT_NAMES = set("comment comments commentlist respond reply replies disqus discussion reviews".split())
+#: parts that only say where or how something is laid out
+LAYOUT_NAMES = set("""site main page global top bottom left right center centre primary secondary inner outer wrap wrapper container
+content contents box block area section row col column group list lists item items link links bar panel pane slot unit space zone
+module region part body text title heading button buttons btn field fields icon icons logo form post posts article articles
+entry story stories new more mini mega sub desktop mobile sticky fixed floating small large default js policy message form
+header menu nav sidebar footer""".split())
 ARTICLE_NAMES = {"article", "articlebody", "main", "post", "entry", "story"}
 
 _TOKEN = re.compile(
@@ -54,25 +70,63 @@ _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|d
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
-def marks(name: str, rest: str, in_article: bool) -> tuple[bool, bool]:
-    """(article, clutter) that a start tag says of what it holds."""
-    article, clutter = name in ARTICLE_TAGS, name in CLUTTER_TAGS or name == "header" and not in_article
+#: kinds of clutter containers: one that may be a wrapper, one that says what it is, comments and hidden parts
+WRAPPER, NAMED, FIXED = 1, 2, 3
+WRAPPER_TAGS = set("form header fieldset label legend dialog menu option button".split())
+
+
+def marks(name: str, rest: str, in_article: bool) -> tuple[bool, int]:
+    """(article, kind of clutter or 0) that a start tag says of what it holds."""
+    article, clutter = name in ARTICLE_TAGS, 0
+    if name in CLUTTER_TAGS or name == "header" and not in_article:
+        clutter = WRAPPER if name in WRAPPER_TAGS else NAMED
     if rest and not rest.isspace():
-        names = {p.lower() for m in _NAMED.finditer(rest) for p in _PARTS.findall(m[1] or m[2] or m[3] or "")}
-        whole = {(m[1] or m[2] or m[3] or "").strip().lower().replace("-", "").replace("_", "") for m in _NAMED.finditer(rest)}
-        if name not in ("html", "body"):
-            found = names & CLUTTER_NAMES
-            if in_article:
-                found -= {"header"}
-            clutter = clutter or bool(found) or bool(_HIDDEN.search(rest))
-        article = article or bool((names | whole) & ARTICLE_NAMES)
+        for m in _NAMED.finditer(rest):
+            for token in (m[1] or m[2] or m[3] or "").split():
+                parts = [p.lower() for p in _PARTS.findall(token)]
+                whole = "".join(parts)
+                article = article or whole in ARTICLE_NAMES or bool(ARTICLE_NAMES.intersection(parts))
+                if name in ("html", "body") or not parts or in_article and whole == "header":
+                    continue
+                told = [p for p in parts if p in CLUTTER_NAMES or p in COMMENT_NAMES]
+                if whole in WHOLE_NAMES or told and all(p in CLUTTER_NAMES or p in COMMENT_NAMES or p in LAYOUT_NAMES or p.isdigit() for p in parts):
+                    kind = FIXED if COMMENT_NAMES.intersection(told) or whole in COMMENT_NAMES else WRAPPER if whole in WHOLE_NAMES else NAMED
+                    clutter = max(clutter, kind)
+        if name not in ("html", "body") and _HIDDEN.search(rest):
+            clutter = FIXED
     return article, clutter
 
 
+def settled(out: list[dict]) -> None:
+    """Sets article and clutter of the blocks from the containers around them: (number in opening order, is article,
+    kind of clutter). A clutter container is none if it holds most words of the page's articles by an article inside it,
+    and, unless it may be a wrapper, most words of the page; a wrapper also if no article is there and it holds most
+    words of the page."""
+    words = sum(b["words"] for b in out)
+    of_articles = [b for b in out if any(a for _, a, _ in b["in"]) and not any(k == FIXED for _, _, k in b["in"])]
+    in_articles = sum(b["words"] for b in of_articles)
+    held: dict[int, list] = {}
+    for b in out:
+        for n, _, kind in b["in"]:
+            if kind:
+                h = held.setdefault(n, [kind, 0, 0])
+                h[1] += b["words"]
+                if any(a and m > n for m, a, _ in b["in"]):
+                    h[2] += b["words"]
+    none = {n for n, (kind, all_words, by_article) in held.items() if kind != FIXED and (
+        2 * by_article > in_articles > 0 and (kind == WRAPPER or 2 * all_words > words)
+        or kind == WRAPPER and not in_articles and 2 * all_words > words)}
+    for b in out:
+        around = b.pop("in")
+        b["article"] = float(any(a for _, a, _ in around))
+        b["clutter"] = float(any(kind and n not in none for n, _, kind in around))
+
+
 def blocks(page: str | None) -> list[dict]:
     """The text blocks of a page in order, with their features."""
     out: list[dict] = []
-    open_tags: list[tuple[str, bool, bool]] = []  # name, in article, in clutter
+    open_tags: list[tuple[str, tuple]] = []  # name, containers that mark what they hold, from the outside in
+    containers = 0
     text: list[str] = []
     linked: list[str] = []
     heading, anchors = False, 0
@@ -81,10 +135,9 @@ def blocks(page: str | None) -> list[dict]:
         nonlocal text, linked
         words = entities.unescape("".join(text)).split() if text else []
         if words:
-            article, clutter = open_tags[-1][1:] if open_tags else (False, False)
             in_links = len(entities.unescape(" ".join(linked)).split())
             out.append({"text": " ".join(words), "words": len(words), "links": min(1.0, in_links / len(words)),
-                        "article": float(article), "clutter": float(clutter), "heading": float(heading)})
+                        "in": open_tags[-1][1] if open_tags else (), "heading": float(heading)})
         text, linked = [], []
 
     def close(name: str) -> None:
@@ -127,13 +180,17 @@ def blocks(page: str | None) -> list[dict]:
         if name == "a":
             anchors = 1
         if name not in VOID and (name in BLOCK or m["rest"]) and not m["rest"].endswith("/"):
-            article, clutter = open_tags[-1][1:] if open_tags else (False, False)
-            a, c = marks(name, m["rest"], article)
-            if a or c or name in BLOCK:
-                open_tags.append((name, article or a, clutter or c))
+            around = open_tags[-1][1] if open_tags else ()
+            article, clutter = marks(name, m["rest"], any(a for _, a, _ in around))
+            if article or clutter or name in BLOCK:
+                if article or clutter:
+                    containers += 1
+                    around = (*around, (containers, article, clutter))
+                open_tags.append((name, around))
     if at < len(page):
         text.append(page[at:])
     end()
+    settled(out)
     some = float(any(b["article"] and not b["clutter"] for b in out))
     for i, b in enumerate(out):
         before, after = out[i - 1] if i else None, out[i + 1] if i + 1 < len(out) else None
@@ -177,6 +234,9 @@ LABELLED = (
     "<div>-120</div><p>-22</p><article><h2>+2</h2><p>+3</p><ul><li>+1<li>+2<li>+1<li><a>+4</a></ul></article><div>-60</div>",
     "<article><p>+2</p><p>+30</p><p>+1</p><p>+1</p><blockquote>+2</blockquote></article><div>-35</div>",
     "<div>-14</div><p>-44</p><p>-19</p><article>+1</article>",
+    "<form id=aspnetForm><nav><a>-3</a></nav><main><h1>+4</h1><p>+30</p><p>+2</p></main><div class=footer>-20</div></form>",
+    "<div class='content has-sidebar'><article><p>+25</p><p>+3</p></article><div class=sidebar>-30</div></div>",
+    "<div id=page class=with-nav><ul class=main-nav><li><a>-2</a></ul><p>+40</p><p>+22</p><div class='related-posts'><a>-6</a></div></div>",
     "<main><h1>+3</h1><p>+2</p><pre>+1</pre><p>+4</p></main><div>-24</div><div>-52</div><div>-17</div>",
 )
 

@@ -264,6 +264,37 @@ def test_html_pages(tree):
         assert main_text(tree, page) == text, page
 
 
+A, B = "The first words of the article are these ones.", "And here are some more words that belong to it."
+#: hand-worked: wrappers whose names or tags look like clutter, unclosed tags, nested forms, tables; the main text of each
+WRAPPED = [
+    (f"<html><head><title>T</title><meta charset=utf-8><body><article><p>{A}</p><p>{B}</p></article>", f"{A}\n{B}"),
+    (f"<html><head><title>T</title><link rel=x><p>{A} {A} {A}</p><p>{B} {B} {B}</p>", f"{A} {A} {A}\n{B} {B} {B}"),
+    (f"<body><form id=aspnetForm method=post><div class=nav><a href=x>Home</a></div><main><p>{A}</p><p>{B}</p></main><footer>Us</footer></form>", f"{A}\n{B}"),
+    (f"<div class='content has-sidebar'><article><p>{A}</p><p>{B}</p></article><div class=sidebar><p>Other things to read</p></div></div>", f"{A}\n{B}"),
+    (f"<article class='post type-post category-legal'><p>{A}</p><p>{B}</p></article>", f"{A}\n{B}"),
+    (f"<div class='social-issues'><article><p>{A}</p><p>{B}</p></article></div>", f"{A}\n{B}"),
+    (f"<div id=page class=with-nav><article><p>{A}</p><p>{B}</p></article></div>", f"{A}\n{B}"),
+    (f"<div class='widget-free search-results-page'><main><h1>Head</h1><p>{A}</p></main></div>", f"Head\n{A}"),
+    (f"<form><form class=inner><article><p>{A}</p></article></form><p>{B}</p></form>", A),
+    (f"<article><p>{A}</p><form class=newsletter-signup><p>Give us your address for news of all kinds</p></form><p>{B}</p></article>", f"{A}\n{B}"),
+    (f"<article><p>{A}<p>{B}<div class='site-footer'>All rights reserved</div></article>", f"{A}\n{B}"),
+    (f"<main><table><tr><td>{A}<td>{B}</table></main><aside><article><p>A card with a few words</p></article></aside>", f"{A}\n{B}"),
+    (f"<article><p>{A}</p></article><section id=comments><article class=comment><p>{B} {B} {B} {B}</p></article></section>", A),
+    (f"<div class='page tag-politics single-post'><article><header><h1>Head</h1></header><p>{A}</p></article></div>", f"Head\n{A}"),
+    (f"<div class='no-ads'><article><p>{A}</p><div class='ad-slot'>Buy this thing now</div><p>{B}</p></article></div>", f"{A}\n{B}"),
+    (f"<div class=skip-link><a href=#c>Skip</a></div><div id=c class='legal-blog'><article><p>{A}</p></article></div>", A),
+    (f"<div class=modal-open><article><p>{A}</p></article><div class='cookie-consent-banner'><p>We use cookies and so on</p></div></div>", A),
+    (f"<article><p>{A}</p><div hidden><p>{B}</p></div><div style='display: none'>{B}</div></article>", A),
+]
+
+
+def test_html_wrappers_that_look_like_clutter(tree):
+    from roomrate.llm.html_extract import main_text
+
+    for page, text in WRAPPED:
+        assert main_text(tree, page) == text, page
+
+
 def test_html_labelled_pages_are_learnt(tree):
     from roomrate.llm.html_extract import FEATURES, is_main, labelled_blocks
 
