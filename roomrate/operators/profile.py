@@ -18,14 +18,12 @@ Interpolation matches pandas/numpy 'linear'.
 
 from __future__ import annotations
 
-from itertools import combinations
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from roomrate.functions.scalar import safe_corr
-
 SELECT_BINS = 1024  # bins of a bracket per selection round
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
@@ -205,15 +203,42 @@ def histogram(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
 
 
 def correlation_matrix(df: DataFrame, columns) -> DataFrame:
-    """Pairwise-complete Pearson r for every pair (a < b by position), one aggregate."""
+    """Pairwise-complete Pearson r for every pair (a < b by position); NULL where a side is constant.
+
+    Every task sums the products of its rows, centred at the columns' means, in Gram matrices (values and presence, four
+    matrix products a batch); the sums of the pairs are added up in a grouped aggregate. So tables of hundreds of columns
+    take one pass and no expression per pair; a task holds 32 bytes a pair of columns."""
     cols = list(columns)
-    pairs = list(combinations(cols, 2))
-    wide = df.agg(*[safe_corr(a, b).alias(f"{i}")
-                    for i, (a, b) in enumerate(pairs)])
-    idx = df.sparkSession.createDataFrame([(str(i), a, b) for i, (a, b) in enumerate(pairs)],
-                                          "k string, col_a string, col_b string")
-    long = wide.unpivot([], [str(i) for i in range(len(pairs))], "k", "r")
-    return idx.join(long, on="k").select("col_a", "col_b", "r")
+    means = np.array([0.0 if m is None else m for m in df.agg(*[F.avg(F.col(c).cast("double")) for c in cols]).first()])
+
+    def run(batches):
+        sums = np.zeros((4, len(cols), len(cols)))
+        for batch in batches:
+            x = np.column_stack([np.asarray(c.fill_null(np.nan).to_numpy(zero_copy_only=False), float) for c in batch.columns]) - means
+            there = ~np.isnan(x)
+            x, m = np.where(there, x, 0.0), there.astype(float)
+            sums += np.stack([m.T @ m, x.T @ m, (x * x).T @ m, x.T @ x])
+        a, b = np.triu_indices(len(cols), 1)
+        n, sx, sxx, sxy = sums
+        parts = [a.astype(np.int32), b.astype(np.int32), n[a, b], sx[a, b], sx[b, a], sxx[a, b], sxx[b, a], sxy[a, b]]
+        yield pa.RecordBatch.from_arrays([pa.array(p) for p in parts], names=["a", "b", *_GRAM])
+
+    data = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    g = (data.mapInArrow(run, "a int, b int, " + ", ".join(f"{c} double" for c in _GRAM))
+         .groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in _GRAM]))
+    table = F.array(*[F.lit(float(m)) for m in means])
+
+    def spread(square, plain, at):
+        within = F.col("n") * F.col(square) - F.col(plain) * F.col(plain)
+        rounding = F.greatest(F.lit(1e-13) * F.col("n") * F.col(square), F.pow(F.lit(1e-13) * F.col("n") * F.get(table, F.col(at)), F.lit(2.0)))
+        return F.when(within > rounding, within)
+
+    r = (F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")) / (F.sqrt(spread("sxx", "sx", "a")) * F.sqrt(spread("syy", "sy", "b")))
+    names = F.array(*[F.lit(c) for c in cols])
+    return g.select(F.get(names, F.col("a")).alias("col_a"), F.get(names, F.col("b")).alias("col_b"), r.alias("r"))
+
+
+_GRAM = ("n", "sx", "sy", "sxx", "syy", "sxy")
 
 
 # ---------------------------------------------------------------------------

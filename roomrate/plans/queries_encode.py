@@ -256,8 +256,8 @@ def word_vectors(spark, sf_dir):
 
     docs = tables(spark, sf_dir).documents.select("doc_id", F.col("n_chars").cast("double").alias("n_chars"),
                                                   F.array_distinct(word_tokens("text")).alias("words"))
-    ranks = stored_table(spark, f"words:{sf_dir}", lambda: token_ranks(docs, "words"))
-    vectors = stored_table(spark, f"word-vectors:{sf_dir}", lambda: written_vectors(
+    ranks = stored_table(spark, "words", sf_dir, lambda: token_ranks(docs, "words"))
+    vectors = stored_table(spark, "word-vectors", sf_dir, lambda: written_vectors(
         with_token_vectors(docs, "words", "word_vector", ranks), "word-vectors", ("word_vector",)))
     return vectors, ranks
 

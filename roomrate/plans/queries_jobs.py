@@ -210,8 +210,8 @@ def merged_features_and_tokens(spark, sf_dir):
         built["merged"], built["ranks"] = merged_table(spark, sf_dir)
         return built["merged"]
 
-    merged = stored_table(spark, f"merged:{sf_dir}", table)
-    ranks = stored_table(spark, f"tokens:{sf_dir}", lambda: built["ranks"] if built else merged_table(spark, sf_dir)[1])
+    merged = stored_table(spark, "merged", sf_dir, table)
+    ranks = stored_table(spark, "tokens", sf_dir, lambda: built["ranks"] if built else merged_table(spark, sf_dir)[1])
     return merged, ranks
 
 
@@ -388,13 +388,13 @@ def scoring_models(spark, sf_dir):
 
     merged, ranks = merged_features_and_tokens(spark, sf_dir)
     merged = merged.withColumn("_text", F.coalesce("description", F.lit("")))
-    text_model = stored_model(spark, f"text:{sf_dir}", lambda: C3.add_text_bin(merged, text="_text")[1])
-    scored = stored_table(spark, f"binned:{sf_dir}", lambda: ML.append_class(text_model, merged, "pred_price_year_avg_bin"))
+    text_model = stored_model(spark, "text", sf_dir, lambda: C3.add_text_bin(merged, text="_text")[1])
+    scored = stored_table(spark, "binned", sf_dir, lambda: ML.append_class(text_model, merged, "pred_price_year_avg_bin"))
     asked = {row["token"] for row in ranks.where(F.col("token").isin(list(K.REQUEST_AMENITIES))).collect()}
     feats = [n for n, _, _ in K.request_fields() if n in scored.columns or n in asked]
     wide = named_flags(scored, "amenities", [n for n in K.REQUEST_AMENITIES if n in asked])
-    main = stored_model(spark, f"scoring:{sf_dir}", lambda: ML.fit_regression(wide, feats, "price_year_avg", "gbt"))
-    profile = stored_table(spark, f"defaults:{sf_dir}", lambda: spark.createDataFrame(
+    main = stored_model(spark, "scoring", sf_dir, lambda: ML.fit_regression(wide, feats, "price_year_avg", "gbt"))
+    profile = stored_table(spark, "defaults", sf_dir, lambda: spark.createDataFrame(
         [(write_profile_rows(C3.profile_rows(C3.final_features(scored.drop("_text")), ranks), shared_path(spark, "profiles", "scoring")),)], "path string"))
     return main, text_model, stored_defaults(spark, profile.first()["path"])
 
@@ -430,14 +430,16 @@ def q_score(spark, sf_dir):
 
 @register("score_requests_stream", _scored_sql())
 def q_score_stream(spark, sf_dir):
-    """M14 stream: the same scoring over a parquet file stream (availableNow), sink read back."""
+    """M14 stream: the same scoring over a parquet file stream (availableNow), sink read back. Sink and checkpoint are kept
+    by the state of the input files: another run over the same files adds nothing."""
     from roomrate.session import shared_path
     from roomrate.sources.bindings import requests_from_events
+    from roomrate.sources.model_store import input_stamp
     from roomrate.sources.tables import read_table
     from roomrate.streaming.scoring import score_stream
 
     main, text_model, defaults = scoring_models(spark, sf_dir)
     schema = read_table(spark, sf_dir, "events").schema
-    base = shared_path(spark, "streams", "score_requests")
+    base = shared_path(spark, "streams", "score_requests", input_stamp(spark, sf_dir), unique=False)
     return _shown(score_stream(spark, sf_dir, "events.parquet", schema, requests_from_events, main,
                                base + "/sink", base + "/checkpoint", text_model, defaults))

@@ -166,7 +166,7 @@ def price_model(spark, sf_dir, kind: str, combo=K.PERIOD_COMBOS[0]):
         df = _split(spark, sf_dir)
         return ML.fit_regression(df.where(~F.col("is_test")), model_features(df, combo), combo[2], kind)
 
-    return stored_model(spark, f"{kind}:{combo}:{sf_dir}", fit)
+    return stored_model(spark, f"{kind}:{combo}", sf_dir, fit)
 
 
 def _held_out_sql() -> str:
@@ -390,7 +390,7 @@ def q_kfold_values(spark, sf_dir):
         table = spark.createDataFrame(rows, "fold int, n long, r2 double, mae double")
         return table.join(df.groupBy("fold").agg(F.var_pop(K.PERIOD_COMBOS[0][2]).alias("variance")), "fold")
 
-    return stored_table(spark, f"kfold-values:{sf_dir}", scores)
+    return stored_table(spark, "kfold-values", sf_dir, scores)
 
 
 @register("select_k_values")
@@ -403,7 +403,7 @@ def q_select_k_values(spark, sf_dir):
         rows, best = ML.select_k_entries(df, "searched", names, K.PERIOD_COMBOS[0][2], K.KBEST_CANDIDATES, "gbt")
         return spark.createDataFrame([(*row, row[0] == best) for row in rows], "k int, n_features int, r2 double, mae double, best boolean")
 
-    return stored_table(spark, f"select-k-values:{sf_dir}", scores)
+    return stored_table(spark, "select-k-values", sf_dir, scores)
 
 
 @register("model_segment_values")
@@ -421,7 +421,7 @@ def q_segment_values(spark, sf_dir):
             rows += ML.compare_models(segs, lambda d, combo=combo: model_features(d, combo), combo[2], kinds=("lr", "rf", "gbt"))
         return spark.createDataFrame(rows, "model string, segment string, label string, n_test int, r2 double, mae double")
 
-    return stored_table(spark, f"segment-values:{sf_dir}", scores)
+    return stored_table(spark, "segment-values", sf_dir, scores)
 
 
 # cross-validation over a stored fold column, out-of-fold text bins

@@ -18,6 +18,7 @@ from roomrate.plans.registry import register
 from roomrate.session import shared_path
 from roomrate.sources import csv_io, json_io, model_store
 from roomrate.sources.bindings import REQUESTS_SQL, requests_from_events
+from roomrate.streaming.scoring import reject_stream, rejected
 
 DOC_SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()),
                            T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()),
@@ -99,8 +100,19 @@ FROM ({REQUESTS_SQL}) q WHERE NOT json_valid(body) OR {_REJECTS_SQL} <> ''
 """)
 def q_request_rejects(spark, sf_dir):
     """S4 + F13: requests that do not decode, with the fields that are badly typed."""
-    bad = _decoded(spark, sf_dir).where("not is_valid")
-    return bad.select("request_id", F.coalesce(F.array_join("rejects", "|"), F.lit("not a JSON object")).alias("reason"))
+    return rejected(requests_from_events(tables(spark, sf_dir).events)).drop("body")
+
+
+@register("rejected_requests_stream", f"""
+SELECT request_id, CASE WHEN json_valid(body) THEN {_REJECTS_SQL} ELSE 'not a JSON object' END AS reason, body
+FROM ({REQUESTS_SQL}) q WHERE NOT json_valid(body) OR {_REJECTS_SQL} <> ''
+""")
+def q_rejected_stream(spark, sf_dir):
+    """M14 + S4: the dead-letter sink of the request stream, read back. Sink and checkpoint are kept by the state of
+    the input files: another run over the same files adds nothing."""
+    base = shared_path(spark, "streams", "rejected", model_store.input_stamp(spark, sf_dir), unique=False)
+    schema = tables(spark, sf_dir).events.schema
+    return reject_stream(spark, sf_dir, "events.parquet", schema, requests_from_events, base + "/sink", base + "/checkpoint")
 
 
 @register("request_response_json", f"""

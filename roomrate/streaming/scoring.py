@@ -4,9 +4,13 @@ score(requests) = decode JSON -> defaults -> (text present and non-empty ? text-
 default bin) -> main model -> {"pred_price_year_avg": "<str>"}.
 
 Stateless and row-wise (no shuffle), so the same function runs over a batch
-table or a Structured Streaming source. The stream helper reads JSON-bearing
-parquet files with a glob filter and drains them with `availableNow`, writing
-to a parquet sink + checkpoint in the shared folder.
+table or a Structured Streaming source. The stream helpers read JSON-bearing
+parquet files with a glob filter and drain them with `availableNow`, writing
+to a parquet sink + checkpoint in the shared folder. Sink and checkpoint are the
+caller's, and stay: a later run takes the files that came since, and a run that
+follows a killed one does the unfinished batch again. The sink's own log says
+which files are its output, so each request is there once. Requests that do not
+decode go, with the reason, to a dead-letter sink by a stream of their own.
 """
 
 from __future__ import annotations
@@ -45,13 +49,30 @@ def score(requests: DataFrame, main_model: PipelineModel, text_model: PipelineMo
 def score_stream(spark: SparkSession, source_dir: str, glob: str, schema, to_requests, main_model: PipelineModel,
                  sink_dir: str, checkpoint_dir: str, text_model: PipelineModel | None = None,
                  defaults: dict | None = None) -> DataFrame:
-    """Drain a parquet file stream through `score` (trigger availableNow: all waiting files in one batch) and
+    """Drain a parquet file stream through `score` (trigger availableNow: all files that came since the last run) and
     return the sink as a table."""
     stream = spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(source_dir)
-    scored = score(to_requests(stream), main_model, text_model, defaults=defaults)
-    q = (scored.writeStream.format("parquet").option("path", sink_dir)
+    return drained(score(to_requests(stream), main_model, text_model, defaults=defaults), sink_dir, checkpoint_dir)
+
+
+def rejected(requests: DataFrame, body: str = "body") -> DataFrame:
+    """(request_id, reason, body) of the requests that do not decode."""
+    told = decode_requests(requests.withColumn("_body", F.col(body)), body, keep=("request_id", "_body")).where("not is_valid")
+    return told.select("request_id", F.coalesce(F.array_join("rejects", "|"), F.lit("not a JSON object")).alias("reason"),
+                       F.col("_body").alias("body"))
+
+
+def reject_stream(spark: SparkSession, source_dir: str, glob: str, schema, to_requests, sink_dir: str, checkpoint_dir: str) -> DataFrame:
+    """Drain the same file stream through `rejected` into the dead-letter sink, and return that as a table."""
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(source_dir)
+    return drained(rejected(to_requests(stream)), sink_dir, checkpoint_dir)
+
+
+def drained(stream: DataFrame, sink_dir: str, checkpoint_dir: str) -> DataFrame:
+    """Append what waits in a stream to a parquet sink; the sink as a table."""
+    q = (stream.writeStream.format("parquet").option("path", sink_dir)
          .option("checkpointLocation", checkpoint_dir).outputMode("append")
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(sink_dir)
+    return stream.sparkSession.read.schema(stream.schema).parquet(sink_dir)
 
