@@ -5,8 +5,11 @@ driver (one row per column, per bin, per quantile). Exact quartiles use a
 selection scheme instead of Spark's `percentile` (whose final buffer holds
 every distinct value in one task):
 
-  1. one aggregate to (column, value, count): copies collapse map-side, so a
-     value that a third of all rows hold is one row from here on;
+  1. a mergeable quantile sketch (KLL) of each column bounds every wanted rank by
+     two values; one more pass counts what lies below each bracket and, inside the brackets
+     only, aggregates to (column, value, count). So the shuffle holds a few
+     thousandths of the distinct values, and a value that a third of all rows hold is one row.
+     The counts prove a bracket right; a column whose bracket misses takes all its values;
   2. each wanted rank keeps a bracket of values. A round cuts every bracket
      into SELECT_BINS equal bins and sums the counts of each; a running sum
      over the bins of a bracket (never over rows or values) finds the bin that
@@ -18,6 +21,8 @@ Interpolation matches pandas/numpy 'linear'.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -25,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SELECT_BINS = 1024  # bins of a bracket per selection round
+SKETCH_SIZE, SKETCH_MARGIN = 4096, 0.004  # a KLL sketch of this size is off by about a thousandth of the ranks
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
 
@@ -130,9 +136,52 @@ def order_statistics(counts: DataFrame, ranks: DataFrame) -> DataFrame:
                    .select("column", "rank", F.col("first").alias("lo"), F.col("last").alias("hi"), F.col("start").alias("below")))
 
 
-def exact_quantiles(df: DataFrame, columns, probs) -> DataFrame:
-    """(column, p, quantile) with linear interpolation between order statistics."""
-    return _quantiles(value_counts(df, columns), probs)
+def exact_quantiles(df: DataFrame, columns, probs, margin: float = SKETCH_MARGIN) -> DataFrame:
+    """(column, p, quantile) with linear interpolation between order statistics. df is read twice (a scan of the columns;
+    callers write an expensive input first). `margin` widens the sketch's brackets on either side."""
+    from roomrate.session import written
+
+    probs = sorted(float(p) for p in probs)
+    long = unpivot_values(df, columns)
+    sketch = F.col("sketch")
+    cuts = [e for p in probs for e in (p - margin, p + margin)]
+    ends = written(long.groupBy("column").agg(F.kll_sketch_agg_double("value", F.lit(SKETCH_SIZE)).alias("sketch"), F.count("*").alias("total"),
+                                              F.min("value").alias("least"), F.max("value").alias("most"))
+                   .select("column", "total", F.array(*[F.col("least") if c <= 0 else F.col("most") if c >= 1 else F.kll_sketch_get_quantile_double(sketch, F.lit(c))
+                                                        for c in cuts]).alias("cuts")), "rank-brackets")
+    x = F.col("value")
+    low, high = [F.col("cuts")[2 * i] for i in range(len(probs))], [F.col("cuts")[2 * i + 1] for i in range(len(probs))]
+    inside = reduce(lambda a, b: a | b, [x.between(a, b) for a, b in zip(low, high, strict=True)])
+    # values inside a bracket one by one; those outside by the number of brackets that begin below them
+    counts = written(long.join(ends, "column").groupBy("column", F.when(inside, x).alias("value"),
+                                                       F.when(~inside, sum((x > a).cast("int") for a in low)).alias("outside"))
+                     .agg(F.count("*").alias("n")), "bracket-counts")
+    which = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(p).alias("p"), a.alias("lo"), b.alias("hi"))
+                                for i, (p, a, b) in enumerate(zip(probs, low, high, strict=True))])).alias("w")
+    wanted = (ends.select("column", "total", which).select("column", "total", "w.*")
+              .withColumn("at", (F.col("total") - 1) * F.col("p")).withColumn("rank", F.floor("at"))
+              .withColumn("next", F.least(F.col("rank") + 1, F.col("total") - 1)))
+    met = counts.join(wanted, "column")
+    below = F.coalesce(x < F.col("lo"), F.col("outside") <= F.col("i"))
+    told = written(met.groupBy(*wanted.columns).agg(F.coalesce(F.sum(F.when(below, F.col("n"))), F.lit(0)).alias("below"),
+                                                    F.coalesce(F.sum(F.when(x.between(F.col("lo"), F.col("hi")), F.col("n"))), F.lit(0)).alias("inside")), "bracket-ranks")
+    held = told.withColumn("held", (F.col("below") <= F.col("rank")) & (F.col("next") < F.col("below") + F.col("inside")))
+    key = F.concat_ws("|", F.col("i"), F.col("column")).alias("column")
+    found = order_statistics(
+        met.where(x.between(F.col("lo"), F.col("hi"))).select(key, "value", "n"),
+        held.where("held").select(key, F.explode(F.array(F.col("rank") - F.col("below"), F.col("next") - F.col("below"))).alias("rank")))
+    found = found.select("column", "rank", "value")
+    upper = found.select("column", F.col("rank").alias("next"), F.col("value").alias("upper"))
+    part = F.col("at") - F.col("first")
+    out = (held.where("held").select(F.col("column").alias("name"), "p", "at", F.col("rank").alias("first"), key,
+                                     (F.col("rank") - F.col("below")).alias("rank"), (F.col("next") - F.col("below")).alias("next"))
+           .join(found, ["column", "rank"]).join(upper, ["column", "next"])
+           .select(F.col("name").alias("column"), "p", F.when(part > 0, F.col("value") + part * (F.col("upper") - F.col("value")))
+                   .otherwise(F.col("value")).alias("quantile")))
+    missed = [r["column"] for r in held.where("not held").select("column").distinct().collect()]  # names of df's columns
+    if missed:
+        out = out.where(~F.col("column").isin(missed)).union(_quantiles(value_counts(df, missed), probs))
+    return out
 
 
 def _quantiles(counts: DataFrame, probs) -> DataFrame:
@@ -151,17 +200,10 @@ def _quantiles(counts: DataFrame, probs) -> DataFrame:
 def describe(df: DataFrame, columns=None) -> DataFrame:
     """(column, count, mean, std, min, q25, q50, q75, max) — pandas describe(), exact quartiles. (A10)"""
     cols = list(columns) if columns is not None else numeric_columns(df)
-    counts = value_counts(df, cols)
-    n, x = F.col("n"), F.col("value")
-    # moments of the distinct values weighted by their counts; deviations are taken from the mean
-    means = counts.groupBy("column").agg((F.sum(n * x) / F.sum(n)).alias("mean"), F.sum(n).alias("total"),
-                                         F.min(x).alias("min"), F.max(x).alias("max"))
-    spread = (counts.join(means.select("column", "mean"), "column").groupBy("column")
-              .agg(F.sum(n * (x - F.col("mean")) * (x - F.col("mean"))).alias("squares")))
-    stats = means.join(spread, "column").select(
-        "column", F.col("total").cast("double").alias("count"), "mean",
-        F.when(F.col("total") > 1, F.sqrt(F.col("squares") / (F.col("total") - 1))).alias("std"), "min", "max")
-    q = _quantiles(counts, [0.25, 0.5, 0.75])
+    x = F.col("value")
+    stats = unpivot_values(df, cols).groupBy("column").agg(
+        F.count(x).cast("double").alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"))
+    q = exact_quantiles(df, cols, [0.25, 0.5, 0.75])
     qw = (q.groupBy("column").pivot("p", [0.25, 0.5, 0.75]).agg(F.first("quantile"))
           .withColumnsRenamed({"0.25": "q25", "0.5": "q50", "0.75": "q75"}))
     return stats.join(qw, on="column", how="left").select(
@@ -170,15 +212,15 @@ def describe(df: DataFrame, columns=None) -> DataFrame:
 
 def box_stats(df: DataFrame, column: str, whisker: float = 1.5) -> DataFrame:
     """Quartiles, 1.5*IQR whiskers (most extreme values inside the fences), outlier count."""
-    counts = value_counts(df, [column])
-    q = {r["p"]: r["quantile"] for r in _quantiles(counts, [0.25, 0.5, 0.75]).collect()}
+    rows = unpivot_values(df, [column])
+    q = {r["p"]: r["quantile"] for r in exact_quantiles(df, [column], [0.25, 0.5, 0.75]).collect()}
     q1, med, q3 = q.get(0.25), q.get(0.5), q.get(0.75)
     iqr = q3 - q1 if q else None
     inside = F.col("value").between(q1 - whisker * iqr, q3 + whisker * iqr) if q else F.lit(False)
-    return counts.agg(
+    return rows.agg(
         *[F.lit(v).cast("double").alias(k) for k, v in (("q1", q1), ("median", med), ("q3", q3), ("iqr", iqr))],
         F.min(F.when(inside, F.col("value"))).alias("whisker_low"), F.max(F.when(inside, F.col("value"))).alias("whisker_high"),
-        F.coalesce(F.sum(F.when(~inside, F.col("n"))), F.lit(0)).alias("outliers"))
+        F.count_if(~inside).alias("outliers"))
 
 
 # ---------------------------------------------------------------------------

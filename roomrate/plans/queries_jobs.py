@@ -428,6 +428,28 @@ def q_score(spark, sf_dir):
     return _shown(score(requests_from_events(read_table(spark, sf_dir, "events")), main, text_model, defaults=defaults))
 
 
+@register("score_empty_requests", """
+SELECT event_id AS request_id, event_id % 2 = 0 AS is_valid, 'default' AS bin_source, TRUE AS one_price, TRUE AS in_range FROM events
+""")
+def q_score_empty(spark, sf_dir):
+    """M14 + F14: requests that give nothing (an empty object, or no body at all) are scored by the written defaults alone:
+    all at one price, within the range of the prices that the model was fitted on, widened by its width."""
+    from pyspark.sql import functions as F
+
+    from roomrate.sources.tables import read_table
+    from roomrate.streaming.scoring import score
+
+    main, text_model, defaults = scoring_models(spark, sf_dir)
+    events = read_table(spark, sf_dir, "events")
+    empty = events.select(F.col("event_id").alias("request_id"), F.when(F.col("event_id") % 2 == 0, F.lit("{}")).alias("body"))
+    scored = written(score(empty, main, text_model, defaults=defaults), "empty-requests")
+    ends = materialised_merged(spark, sf_dir).agg(F.min("price_year_avg").alias("lo"), F.max("price_year_avg").alias("hi"))
+    lo, hi = ends.select("lo").scalar(), ends.select("hi").scalar()
+    one = scored.agg(F.min("prediction")).scalar()
+    return scored.select("request_id", "is_valid", "bin_source", (F.col("prediction") == one).alias("one_price"),
+                         F.col("prediction").between(lo - (hi - lo), hi + (hi - lo)).alias("in_range"))
+
+
 @register("score_requests_stream", _scored_sql())
 def q_score_stream(spark, sf_dir):
     """M14 stream: the same scoring over a parquet file stream (availableNow), sink read back. Sink and checkpoint are kept

@@ -12,6 +12,7 @@ from roomrate.plans import calendar as C1
 from roomrate.plans.common import CAL_CTE, calendar, listings, lst_cte, r, round_doubles, tables
 from roomrate.plans.queries_jobs import _calendar_features_sql
 from roomrate.plans.registry import register
+from roomrate.session import written
 from roomrate.sources.bindings import CALENDAR_ORDER
 
 _LI_COLS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
@@ -99,7 +100,7 @@ k AS (SELECT CAST(minimum_nights AS DOUBLE) AS minimum_nights,
 def q_describe_calendar(spark, sf_dir):
     """A10 over the cleaned calendar (one row per listing-day)."""
     cal = C1.clean_calendar(calendar(spark, sf_dir), CALENDAR_ORDER)
-    return round_doubles(A.describe(cal, ["minimum_nights", "price"]))
+    return round_doubles(A.describe(written(cal.select("minimum_nights", "price"), "described"), ["minimum_nights", "price"]))
 
 
 @register("price_histogram", f"""
@@ -130,7 +131,7 @@ FROM (SELECT min_nights_year_avg AS x FROM c), q GROUP BY q1, med, q3
 def q_box(spark, sf_dir):
     """A13 over the calendar features."""
     feats = round_doubles(C1.calendar_features(calendar(spark, sf_dir), CALENDAR_ORDER))
-    return round_doubles(A.box_stats(feats, "min_nights_year_avg"))
+    return round_doubles(A.box_stats(written(feats.select("min_nights_year_avg"), "boxed"), "min_nights_year_avg"))
 
 
 _CORR_COLS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber")

@@ -13,6 +13,7 @@ from roomrate.operators.periods import period_column
 from roomrate.plans.common import listings, lst_cte, r, round_doubles, tables
 from roomrate.plans.queries_jobs import _calendar_features_sql
 from roomrate.plans.registry import register
+from roomrate.streaming.scoring import text_bin
 from roomrate.plans.sqltext import amenity_norm_sql, amenity_rename_sql, q
 from roomrate.plans import calendar as C1
 from roomrate.plans.common import calendar
@@ -259,9 +260,8 @@ FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
 def q_text_override(spark, sf_dir):
     t = tables(spark, sf_dir)
     j = t.documents.join(t.labels, "doc_id", "left")
-    has_text = F.col("text").isNotNull() & (F.col("text") != "") & F.col("quality").isNotNull()
-    default = dict((n, d) for n, _, d in K.REQUEST_TAIL_DEFAULTS)["pred_price_year_avg_bin"]
-    return j.select("doc_id", F.when(has_text, F.col("quality")).otherwise(F.lit(default)).alias("pred_price_year_avg_bin"))
+    default = F.lit(dict((n, d) for n, _, d in K.REQUEST_TAIL_DEFAULTS)["pred_price_year_avg_bin"])
+    return j.select("doc_id", text_bin(F.col("text"), F.coalesce("quality", default), default).alias("pred_price_year_avg_bin"))
 
 
 @register("min_max_scale", f"""

@@ -16,12 +16,21 @@ decode go, with the reason, to a dead-letter sink by a stream of their own.
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roomrate.sources.json_io import decode_requests, encode_response
 
 
+def text_bin(text: Column, predicted: Column, default: Column) -> Column:
+    """The text model's bin where there is text (empty text is none), else the default bin."""
+    return F.when(has_text(text), predicted).otherwise(default)
+
+
+def has_text(text: Column) -> Column:
+    return text.isNotNull() & (text != "")
+
+
 def score(requests: DataFrame, main_model: PipelineModel, text_model: PipelineModel | None = None,
           body: str = "body", description: str = "description", defaults: dict | None = None) -> DataFrame:
     """requests(request_id, body[, description]) -> (request_id, is_valid, prediction, response, bin_source).
@@ -35,12 +44,11 @@ def score(requests: DataFrame, main_model: PipelineModel, text_model: PipelineMo
         dec = dec.withColumn("description", F.coalesce(F.col("description"), F.col("_desc_ext"))).drop("_desc_ext")
     dec = dec.withColumn("bin_source", F.lit("default"))
     if text_model is not None:
-        has_text = F.col("description").isNotNull() & (F.col("description") != "")
+        text = F.col("description")
         scored_text = text_model.transform(dec.withColumn("_text", F.coalesce(F.col("description"), F.lit(""))))
         dec = scored_text.select(*[F.col(c) for c in dec.columns if c not in ("pred_price_year_avg_bin", "bin_source")],
-                                 F.when(has_text, F.lit("text")).otherwise(F.lit("default")).alias("bin_source"),
-                                 F.when(has_text, F.col("_pred").cast("int"))
-                                 .otherwise(F.col("pred_price_year_avg_bin")).alias("pred_price_year_avg_bin"))
+                                 F.when(has_text(text), F.lit("text")).otherwise(F.lit("default")).alias("bin_source"),
+                                 text_bin(text, F.col("_pred").cast("int"), F.col("pred_price_year_avg_bin")).alias("pred_price_year_avg_bin"))
     out = main_model.transform(dec)
     return out.select("request_id", "is_valid", F.col("prediction"),
                       encode_response(F.col("prediction")).alias("response"), "bin_source")

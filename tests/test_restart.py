@@ -97,3 +97,33 @@ def test_correlations_of_140_columns_equal_corr(spark):
     assert all(math.isclose(got[a, b], want[f"{a}_{b}"], rel_tol=1e-7, abs_tol=1e-9) for a, b in pairs)
     assert all(r is None for (a, b), r in got.items() if "c5" in (a, b))
     assert {r.r for r in correlation_matrix(df.limit(0), cols[:3]).collect()} <= {None}
+
+
+@pytest.mark.parametrize("margin", [0.004, 0.3, -0.2])
+def test_quantiles_from_sketch_brackets_are_exact(spark, margin):
+    """Also where the brackets are wide, and where they miss (a negative margin) and all values are taken."""
+    import numpy as np
+
+    from roomrate.operators.profile import exact_quantiles
+
+    rnd = random.Random(6)
+    x = [float(rnd.choice([1, 2, 2, 2, 3])) if rnd.random() < 0.4 else rnd.gauss(0, 1e6) for _ in range(6000)]
+    y = [float(i % 7) if i % 11 else None for i in range(6000)]
+    df = spark.createDataFrame([(a, b, 5) for a, b in zip(x, y, strict=True)], "x double, y double, z int").repartition(6)
+    probs = [0.0, 0.01, 0.25, 0.5, 0.75, 0.999, 1.0]
+    got = {(r.column, r.p): r.quantile for r in exact_quantiles(df, ["x", "y", "z"], probs, margin).collect()}
+    for name, values in (("x", x), ("y", [v for v in y if v is not None]), ("z", [5.0] * 6000)):
+        for p in probs:
+            assert math.isclose(got[name, p], float(np.quantile(values, p)), rel_tol=1e-12, abs_tol=1e-9), (name, p)
+    assert len(got) == 21
+
+
+def test_brackets_shuffle_few_of_the_values(spark):
+    from roomrate.operators import profile as A
+
+    df = spark.range(200_000).select((F.col("id") * 1.5).alias("x"))
+    assert A.exact_quantiles(df, ["x"], [0.25, 0.5, 0.75]).count() == 3
+    base = shared_path(spark, "bracket-counts", unique=False)
+    fs, path = model_store._located(spark, base)
+    newest = max(fs.listStatus(path), key=lambda s: s.getModificationTime()).getPath().toString()
+    assert spark.read.parquet(newest).count() < 0.03 * 200_000
