@@ -180,6 +180,41 @@ LISTING_PRUNE_COLUMNS = (
 # Columns removed from the merged table before profiling/training
 MERGE_DROP_COLUMNS = ("id", "room_type", "description", "amenities")
 
+# ---------------------------------------------------------------------------
+# FIXED VALUES — Treebank-like word tokens of lower-case text without digits: rules in order, as (pattern, replacement) with
+# \\1 for a group, in the syntax that Java and RE2 share. Words stand between blanks, two between neighbours. The private
+# character U+E000 keeps a full stop or an apostrophe that stays with its word.
+# ---------------------------------------------------------------------------
+TOKEN_ABBREVIATIONS = ("mr mrs ms dr prof sr jr st ave blvd rd apt ste mt ft hwy bldg fl no vs etc approx min max hr hrs mi "
+                       "sq inc co corp ltd dept est jan feb mar apr jun jul aug sep sept oct nov dec mon tue wed thu fri sat sun").split()
+TOKEN_RULES = (
+    ("[\\x09-\\x0D\\x20]+", "  "),
+    ("^|$", "  "),
+    # quotes, brackets, punctuation other than full stops, dashes
+    ("([\"“”„«»])", " \\1 "),
+    ("(``|'')", " \\1 "),
+    ("([,:;@#$%&?!])", " \\1 "),
+    ("([\\[\\](){}<>])", " \\1 "),
+    ("(\\.\\.+)", " \\1 "),
+    ("(--+|—|–)", " \\1 "),
+    # full stops: kept with abbreviations, initials and letters between stops; split off at the end of other words
+    (f" ({'|'.join(TOKEN_ABBREVIATIONS)})\\. ", " \\1\ue000 "),
+    (" ([a-z](?:\\.[a-z])*)\\. ", " \\1\ue000 "),
+    ("([^. ])\\.(['’]*) ", "\\1 . \\2 "),
+    ("\ue000", "."),
+    # apostrophes: the clitics are words, quotes around words go apart
+    (" '(t)(is|was) ", " \ue000\\1 \\2 "),
+    (" '([^' ])", " ' \\1"),
+    ("\ue000", "'"),
+    ("([^' ])(n't|'s|'m|'d|'ll|'re|'ve) ", "\\1 \\2 "),
+    (" (can)(not) ", " \\1 \\2 "),
+    (" (gon|wan)(na) ", " \\1 \\2 "),
+    (" (got)(ta) ", " \\1 \\2 "),
+    (" (gim|lem)(me) ", " \\1 \\2 "),
+    ("([^' ])' ", "\\1 ' "),
+)
+TOKEN_KEPT = "[\\p{L}\\p{N}]"
+
 # ---------------------------------------------------------------------------
 # FIXED VALUES — English stop words (Spark ML StopWordsRemover default list), in order
 # ---------------------------------------------------------------------------

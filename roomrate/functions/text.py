@@ -64,6 +64,16 @@ def word_tokens(x) -> Column:
                       F.array().cast("array<string>"))
 
 
+def treebank_tokens(x) -> Column:
+    """lower -> strip digit runs -> Treebank-like words that hold a letter: contractions are split (do n't, host 's), hyphenated
+    words, abbreviations and initials are kept whole. NULL text -> empty array. (X1)"""
+    out = F.regexp_replace(F.lower(_c(x)), r"\d+", "")
+    for pattern, into in K.TOKEN_RULES:
+        out = F.regexp_replace(out, pattern, into.replace("\\", "$"))
+    words = F.filter(F.split(out, " +"), lambda w: F.regexp_like(w, F.lit(K.TOKEN_KEPT)))
+    return F.coalesce(words, F.array().cast("array<string>"))
+
+
 def gram_arrays(tokens, n: int) -> Column:
     """array of tokens -> array of n-token arrays, built from n shifted slices zipped together.
 

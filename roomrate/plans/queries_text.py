@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from roomrate import constants as K
-from roomrate.functions.text import exploded_ngrams, word_tokens
+from roomrate.functions.text import exploded_ngrams, treebank_tokens, word_tokens
 from roomrate.plans.common import tables
 from roomrate.plans.registry import register
-from roomrate.plans.sqltext import stop_words_sql
+from roomrate.plans.sqltext import stop_words_sql, treebank_sql
 
 _STOP = stop_words_sql(K.ENGLISH_STOP_WORDS)
 _TOKENS_SQL = r"regexp_extract_all(regexp_replace(lower(text), '\d+', '', 'g'), '\p{L}+')"
@@ -85,3 +85,20 @@ def q_clean_tokens(spark, sf_dir):
     words = tables(spark, sf_dir).documents.select(F.explode(word_tokens("text")).alias("token"))
     stop = list(K.ENGLISH_STOP_WORDS) + list(K.EXTRA_STOP_WORDS)
     return words.where(~F.col("token").isin(stop)).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+
+
+_TREEBANK_SQL = f"""
+t AS (SELECT doc_id, {treebank_sql('text')} AS toks FROM documents),
+w AS (SELECT doc_id, unnest(toks) AS w, generate_subscripts(toks, 1) AS pos FROM t)"""
+
+
+@register("treebank_bigrams", f"""
+WITH {_TREEBANK_SQL}
+SELECT a.w || ' ' || b.w AS gram, count(*) AS n FROM w a JOIN w b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1
+WHERE NOT list_contains({_STOP}, a.w) AND NOT list_contains({_STOP}, b.w)
+GROUP BY 1
+""")
+def q_treebank_bigrams(spark, sf_dir):
+    """X1 (n=2) over tokens of the source's kind."""
+    docs = tables(spark, sf_dir).documents.select("doc_id", treebank_tokens("text").alias("tokens"))
+    return exploded_ngrams(docs, "tokens", 2).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))

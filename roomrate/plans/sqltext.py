@@ -38,5 +38,13 @@ def naive_fill_sql(base: str, targets, round_result: bool, category="room_type",
     return f"SELECT a.* REPLACE ({', '.join(reps)}) FROM {base} a"
 
 
+def treebank_sql(x: str) -> str:
+    """List of the Treebank-like tokens of a text column."""
+    out = f"regexp_replace(lower({x}), '\\d+', '', 'g')"
+    for pattern, into in K.TOKEN_RULES:
+        out = f"regexp_replace({out}, {q(pattern)}, {q(into)}, 'g')"
+    return f"list_filter(string_split({out}, ' '), lambda w: regexp_matches(w, {q(K.TOKEN_KEPT)}))"
+
+
 def stop_words_sql(words) -> str:
     return "[" + ", ".join(q(w) for w in words) + "]"
