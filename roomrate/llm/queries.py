@@ -55,9 +55,9 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from roomrate.llm.suffix_dedup import repeated_passages
+    from roomrate.llm.suffix_dedup import listed, repeated_passages
 
-    return repeated_passages(read_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_repeated", "n_duplicate")
+    return listed(repeated_passages(read_table(spark, sf_dir, "documents")))
 
 
 def op9_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -62,6 +62,17 @@ def test_repeated_passages_equal_brute_force(spark, seed):
     assert sorted((r.doc_id or 0, r.n_repeated, r.n_duplicate) for r in repeated_passages(twice, 12, 4).collect()) == [(0, 0, 0), (1, 13, 0), (1, 13, 0)]
 
 
+def test_repeated_passages_of_one_id_with_unlike_texts(spark):
+    from roomrate.llm.suffix_dedup import listed, repeated_passages
+
+    own = [" ".join(f"{k}{i}" for i in range(30)) for k in "abc"]
+    rows = [(1, own[0]), (1, own[1]), (2, own[0]), (3, f"x y {own[2]} z"), (4, own[2])]
+    got = listed(repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), 12, 4)).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_repeated, r.n_duplicate, r.repeated, r.duplicate) for r in got) == [
+        (1, 30, 0, 0, "", ""), (1, 30, 30, 0, "0:30", ""), (2, 30, 30, 30, "0:30", "0:30"), (3, 33, 30, 0, "2:32", ""), (4, 30, 30, 30, "0:30", "0:30")]
+    assert [(r.n_words, r.n_repeated) for r in repeated_passages(spark.createDataFrame([(7, "a b " * 200_000)], "doc_id long, text string")).collect()] == [(400_000, 400_000)]
+
+
 def test_repeated_passages_on_the_table(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     want = passages(rows, 50)
