@@ -91,10 +91,19 @@ def test_line_dedup_edges(spark):
     assert (got[3].text, got[3].n_lines, got[3].n_dropped) == ("\nline 3\nend 0", 5, 2)
     assert got[4].text == "\nline 4\nend 1"
     assert (got[90].text, got[90].n_lines) == (None, 0) and (got[91].text, got[91].n_lines, got[91].n_dropped) == ("", 1, 0)
-    assert (got[92].text, got[92].n_dropped) == ("", 1)
+    assert (got[92].text, got[92].n_dropped) == ("top", 0)  # a page and its copy are one text
     assert without_boilerplate(df.limit(0)).collect() == []
 
 
+def test_copies_of_an_article_are_no_boilerplate(spark):
+    from roomrate.llm.line_dedup import without_boilerplate
+
+    article = "\n".join(f"line {i} of the article" for i in range(6))
+    rows = [(i, "a", f"menu\nown {i}\nmore {i}") for i in range(195)] + [(500 + i, "a", article) for i in range(60)]
+    got = without_boilerplate(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()
+    assert {r.doc_id: r.text for r in got} == {d: t.removeprefix("menu\n") for d, _, t in rows}
+
+
 @pytest.mark.parametrize("name", ["op4_line_dedup", "op8_suffix_dedup"])
 def test_sql_twin(spark, name):
     import duckdb
