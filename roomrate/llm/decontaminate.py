@@ -6,229 +6,194 @@ of a window is hit.
 
 Items and documents are fingerprinted alike: of the hashes of GRAM words, the minimum of every window of
 SPAN - GRAM + 1 hashes is kept. Equal spans of SPAN words hold the same window and keep the same minimum,
-so every shared span shares a fingerprint. Each shared fingerprint is extended to the left and right as
-far as the words agree; runs of SPAN words or more are hits. Items of fewer words are found by the hash of
-their whole sequence.
-
-The benchmark's words are broadcast to the tasks when a count shows at most BROADCAST_WORDS of them;
-a larger benchmark is worked off in blocks of items of that bound, each against all documents, whose rows are
-written with a key of their own: null and repeated ids give the same rows with one block and with many.
-
-Defined results: null or word-less text has no words and no hits; so has a null or word-less item;
-repeated items count by distinct item_id; an empty benchmark hits nothing; the result has one row per
-document row, in which other columns are left out.
+so every shared span shares a fingerprint. An item of fewer words has the hash of its whole sequence as its
+fingerprint, and documents have those of their runs of that many words.
+
+The items' fingerprints are a table; nothing of it passes through the driver but a bitmap of BITS bits, whatever
+the benchmark's size. It thins out the documents' fingerprints before they are joined with the items': where it
+is full it only stops saving rows. A fingerprint is joined together with the hash of the span around it, so that
+the rows of a fingerprint that many spans share are no pairs; the spans that agree are extended by uniting
+those that overlap. The items' side is repeated SALT times, so that a passage that a third of all
+documents hold is dealt to as many tasks.
+
+Defined results: null or word-less text has no words and no hits; so has a null or word-less item; an item with a
+null id is no item; repeated items count by distinct item_id; an empty benchmark hits nothing; the result has one row
+per document row, null and repeated ids included, in which other columns are left out. A long text is one row of the
+tasks' arrays; its hits are rows of their own until their runs are put together.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roomrate.llm import textops as X
-from roomrate.llm.storage import KEY, keyed, written
+from roomrate.llm.storage import KEY, written
 
 SPAN = 10
 GRAM = 6
-#: words of the benchmark that are broadcast at once (about 40 bytes each in the tasks)
-BROADCAST_WORDS = 2_000_000
+#: bits of the bitmap of fingerprints (2 MB), a power of two, and bits of one of Spark's bitmaps
+BITS = 1 << 24
+BUCKET = 1 << 15
+#: copies of the items' side of the joins
+SALT = 8
+
+SPANS = "array<struct<print:bigint,span:bigint,size:int,at:bigint>>"
+_SPANS = pa.list_(pa.struct([("print", pa.int64()), ("span", pa.int64()), ("size", pa.int32()), ("at", pa.int64())]))
 
 
-def minima(h: np.ndarray, rows: np.ndarray, width: int) -> np.ndarray:
-    """Indices that are the (rightmost) minimum of some window of `width` consecutive hashes of one row."""
+def minima(h: np.ndarray, rows: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(start, index of the rightmost minimum) of every window of `width` consecutive hashes of one row."""
     n = len(h) - width + 1
     if n <= 0:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     low, at = h[:n].copy(), np.arange(n)
     for j in range(1, width):
         other = h[j: j + n]
         less = other <= low
         low[less] = other[less]
         at[less] = np.flatnonzero(less) + j
-    keep = np.zeros(len(h), bool)
-    keep[at[rows[:n] == rows[width - 1:]]] = True
-    return np.flatnonzero(keep)
-
-
-class Benchmark:
-    """Items as one flat array of word hashes with their fingerprints sorted by hash."""
-
-    def __init__(self, items: list[tuple[int, str]], span: int = SPAN, gram: int = GRAM):
-        self.span, self.gram = span, gram
-        self.ids = np.array([i for i, _ in items], np.int64)
-        data, offsets = X.flat(pa.array([t for _, t in items], pa.string()))
-        w = X.Words(data, offsets, X.ALNUM)
-        self.words, self.first = w.hash, w.first
-        row = w.row
-        h, rows, pos = X.grams(w.hash, w.first, w.count, w.row, gram)
-        long = w.count[rows] >= span
-        h, rows, pos = h[long], rows[long], pos[long]
-        at = minima(h, rows, span - gram + 1)
-        order = np.argsort(h[at], kind="stable")
-        self.print_hash, self.print_word = h[at][order], (w.first[rows[at]] + pos[at])[order]
-        self.row = row
-        #: whole short items by their number of words: (sorted hashes, item rows)
-        self.short = {}
-        for n in range(1, span):
-            some = np.flatnonzero(w.count == n)
-            if len(some):
-                g, r, _ = X.grams(w.hash, w.first, w.count, w.row, n)
-                pick = w.count[r] == n
-                g, r = g[pick], r[pick]
-                order = np.argsort(g, kind="stable")
-                self.short[n] = g[order], r[order]
-        bits = np.zeros(1 << 20, bool)
-        bits[(self.print_hash & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-        self.bits = bits
-
-
-def _ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All (i, j) with lo[i] <= j < hi[i]."""
-    n = hi - lo
-    i = np.repeat(np.arange(len(n)), n)
-    return i, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + lo[i]
-
-
-def hits(w: X.Words, bench: Benchmark) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first word, end word, item row) of each run of words of the piece that an item shares."""
-    n = len(w.hash)
-    starts, ends, items = [], [], []
-    h, rows, pos = X.grams(w.hash, w.first, w.count, w.row, bench.gram)
-    at = minima(h, rows, bench.span - bench.gram + 1)
-    at = at[bench.bits[(h[at] & np.uint64(len(bench.bits) - 1)).astype(np.int64)]]
-    i, j = _ranges(np.searchsorted(bench.print_hash, h[at], side="left"), np.searchsorted(bench.print_hash, h[at], side="right"))
-    here, there = (w.first[rows[at]] + pos[at])[i], bench.print_word[j]
-    lo_here, hi_here = w.first[w.row[here]] if len(here) else here, w.first[w.row[here] + 1] if len(here) else here
-    lo_item, hi_item = bench.first[bench.row[there]], bench.first[bench.row[there] + 1]
-    left, right = np.zeros(len(here), np.int64), np.zeros(len(here), np.int64)
-    for length, step in ((left, -1), (right, 1)):
-        room = np.minimum(here - lo_here, there - lo_item) if step < 0 else np.minimum(hi_here - here, hi_item - there)
-        live = np.arange(len(here))
-        d = 1 if step < 0 else 0
-        while len(live):
-            live = live[room[live] >= (d if step < 0 else d + 1)]
-            live = live[w.hash[here[live] + step * d] == bench.words[there[live] + step * d]]
-            length[live] += 1
-            d += 1
-    good = left + right >= bench.span
-    starts.append((here - left)[good])
-    ends.append((here + right)[good])
-    items.append(bench.row[there[good]])
-    for k, (g, r) in bench.short.items():
-        h, rows, pos = X.grams(w.hash, w.first, w.count, w.row, k)
-        lo, hi = np.searchsorted(g, h, side="left"), np.searchsorted(g, h, side="right")
-        i, j = _ranges(lo, hi)
-        begin = (w.first[rows] + pos)[i]
-        starts.append(begin)
-        ends.append(begin + k)
-        items.append(r[j])
-    return (np.concatenate(starts), np.concatenate(ends), np.concatenate(items)) if n else (np.zeros(0, np.int64),) * 3
-
-
-def document_hits(docs: DataFrame, bench: Benchmark) -> DataFrame:
-    """(the columns of docs (id, text) but the text, n_words, n_hit, items, spans): spans are the merged hit
-    runs as [first word, end word]."""
-    shared = docs.sparkSession.sparkContext.broadcast(bench)
+    start = np.flatnonzero(rows[:n] == rows[width - 1:])
+    return start, at[start]
+
+
+def fingerprinted(w: X.Words, span: int, gram: int, sizes: list[int] | None, known: Callable[[np.ndarray], np.ndarray] | None):
+    """(row, print, span, size, at) arrays of the spans of a piece, row by row. Items (`sizes` is None) have all spans of `span`
+    words, or their whole sequence; documents those of `span` words and of each of `sizes`, if their print is `known`."""
+    rows, prints, spans, lengths, places = [], [], [], [], []
+
+    def add(row, h, s, size, at):
+        rows.append(row)
+        prints.append(h)
+        spans.append(s)
+        lengths.append(np.full(len(row), size, np.int32))
+        places.append(at)
+
+    h, row, pos = X.grams(w.hash, w.first, w.count, w.row, gram)
+    start, least = minima(h, row, span - gram + 1)
+    if known is not None:
+        keep = known(h)[least]
+        start, least = start[keep], least[keep]
+    first = w.first[row[start]] + pos[start]
+    total = np.zeros(len(first), np.uint64)
+    for j in range(span):
+        total += w.hash[first + j] * X.multiplier(j)
+    add(row[start], h[least], X.mix64(total), span, pos[start])
+    for size in range(1, span) if sizes is None else sizes:
+        h, row, pos = X.grams(w.hash, w.first, w.count, w.row, size)
+        keep = w.count[row] == size if sizes is None else known(h)
+        add(row[keep], h[keep], h[keep], size, pos[keep])
+    row = np.concatenate(rows)
+    order = np.argsort(row, kind="stable")
+    return (row[order], np.concatenate(prints)[order].view(np.int64), np.concatenate(spans)[order].view(np.int64),
+            np.concatenate(lengths)[order], np.concatenate(places)[order].astype(np.int64))
+
+
+def listed(w: X.Words, found: tuple, n_rows: int) -> pa.Array:
+    """The spans of fingerprinted() as one list for each row of the piece."""
+    row, *parts = found
+    offsets = np.searchsorted(row, np.arange(n_rows + 1)).astype(np.int32)
+    values = pa.StructArray.from_arrays([pa.array(x) for x in parts], fields=list(_SPANS.value_type))
+    return pa.ListArray.from_arrays(pa.array(offsets), values)
+
+
+def item_spans(benchmark: DataFrame, id_col: str, text_col: str, span: int, gram: int) -> DataFrame:
+    """The distinct (item, print, span, size) of the benchmark, written."""
 
     def run(batches):
-        bench = shared.value
         for batch in batches:
             for lo, hi, data, offsets in X.pieces(batch.column("text")):
                 w = X.Words(data, offsets, X.ALNUM)
-                start, end, item = hits(w, bench)
-                change = np.zeros(len(w.hash) + 1, np.int64)
-                np.add.at(change, start, 1)
-                np.add.at(change, end, -1)
-                hit = np.cumsum(change[:-1]) > 0
-                rows = w.row[start] if len(start) else start
-                found, spans = [[] for _ in range(hi - lo)], [[] for _ in range(hi - lo)]
-                for r, i in {(int(r), int(bench.ids[i])) for r, i in zip(rows, item, strict=True)}:
-                    found[r].append(i)
-                for r in np.unique(rows):
-                    own = np.concatenate([[False], hit[w.first[r]: w.first[r + 1]], [False]])
-                    edge = np.flatnonzero(own[1:] != own[:-1])
-                    spans[r] = edge.reshape(-1, 2).tolist()
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").slice(lo, hi - lo), pa.array(w.count.astype(np.int64)),
-                     pa.array([sorted(x) for x in found], pa.list_(pa.int64())),
-                     pa.array(spans, pa.list_(pa.list_(pa.int64())))], names=["id", "n_words", "items", "spans"])
-
-    return docs.mapInArrow(run, "id long, n_words long, items array<long>, spans array<array<long>>")
-
-
-def blocks(benchmark: DataFrame, id_col: str, text_col: str, span: int, gram: int, limit: int) -> list[DataFrame]:
-    """The items (id, text) cut into runs of at most `limit` words, or one item more."""
-    words = F.size(F.split(F.col(text_col), "[^0-9A-Za-z\\x{80}-\\x{10FFFF}]+"))
-    items = written(benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), words.alias("n"))
-                    .where("id is not null and text is not null"), "benchmark")
-    total = items.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    n_blocks = max(1, -(-2 * total // limit)) if total > limit else 1
-    if n_blocks == 1:
-        return [items]
-    return [items.where(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == b) for b in range(n_blocks)]
+                row, prints, spans, sizes, _ = fingerprinted(w, span, gram, None, None)
+                ids = batch.column("item").slice(lo, hi - lo).take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(prints), pa.array(spans), pa.array(sizes)], names=["item", "print", "span", "size"])
+
+    items = benchmark.select(F.col(id_col).cast("long").alias("item"), F.col(text_col).alias("text")).where("item is not null and text is not null")
+    return written(items.mapInArrow(run, "item long, print long, span long, size int").distinct(), "item-spans")
+
+
+def bitmap(items: DataFrame, bits: int) -> np.ndarray:
+    """`bits` bits, packed; those of the fingerprints' lowest digits are set."""
+    at = F.col("print").bitwiseAND(F.lit(bits - 1)) + 1
+    maps = (items.select(F.bitmap_bucket_number(at).alias("bucket"), F.bitmap_bit_position(at).alias("place"))
+            .groupBy("bucket").agg(F.bitmap_construct_agg("place").alias("map")))
+    out = np.zeros(max(bits, BUCKET) // 8, np.uint8)
+    for r in maps.collect():  # bits / BUCKET rows at most, or one
+        out[(r["bucket"] - 1) * BUCKET // 8: r["bucket"] * BUCKET // 8] = np.frombuffer(r["map"], np.uint8)
+    return out
+
+
+def document_spans(items: DataFrame, span: int, gram: int, bits: int) -> Callable[[str], Column]:
+    """Column function: struct (n_words, spans) of a text column, the spans being those whose print's bit is set."""
+    sizes = sorted(r[0] for r in items.where(F.col("size") < span).select("size").distinct().collect())  # span - 1 at most
+    shared = items.sparkSession.sparkContext.broadcast(bitmap(items, bits))
+
+    def known(h: np.ndarray) -> np.ndarray:
+        at = (h & np.uint64(bits - 1)).astype(np.int64)
+        return (shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+    @F.arrow_udf(f"struct<n_words:bigint,spans:{SPANS}>")
+    def spans(texts: pa.Array) -> pa.Array:
+        counts, lists = [pa.array([], pa.int64())], [pa.array([], _SPANS)]
+        for lo, hi, data, offsets in X.pieces(texts):
+            w = X.Words(data, offsets, X.ALNUM)
+            counts.append(pa.array(w.count.astype(np.int64)))
+            lists.append(listed(w, fingerprinted(w, span, gram, sizes, known), hi - lo))
+        return pa.StructArray.from_arrays([pa.concat_arrays(counts), pa.concat_arrays([x.cast(_SPANS) for x in lists])], names=["n_words", "spans"])
+
+    return lambda text: spans(F.col(text))
+
+
+JOINED = ["print", "span", "size", "salt"]
+
+
+def salted(items: DataFrame) -> DataFrame:
+    return items.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   item_id_col: str = "item_id", item_text_col: str = "text", span: int = SPAN, gram: int = GRAM,
-                  broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
-    """(id, n_words, items, spans) of each row of docs; items are the ids of the items found, in order."""
+                  bits: int = BITS) -> DataFrame:
+    """(id, n_words, items, spans) of each row of docs; items are the ids of the items found, in order, spans the merged hit
+    runs as [first word, end word]."""
+    items = item_spans(benchmark, item_id_col, item_text_col, span, gram)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    parts = blocks(benchmark, item_id_col, item_text_col, span, gram, broadcast_words)
-    if len(parts) == 1:
-        return document_hits(rows, Benchmark(collected(parts[0]), span, gram))
-    # several blocks: the same rows again for each, which meet by a key of the row
-    rows = keyed(rows)
-    every = written(block_hits(rows.select(F.col(KEY).alias("id"), "text"), parts, span, gram).withColumnRenamed("id", KEY), "hits")
-    runs = every.select(KEY, F.explode("spans").alias("s")).select(KEY, F.col("s")[0].alias("lo"), F.col("s")[1].alias("hi"))
+    # a key for each row, which stays as it is written before anything is joined
+    rows = written(rows.select(F.monotonically_increasing_id().alias(KEY), "id", document_spans(items, span, gram, bits)("text").alias("w"))
+                   .select(KEY, "id", "w.n_words", "w.spans"), "doc-spans")
+    open_spans = rows.where(F.size("spans") > 0).select(KEY, F.pmod(F.col(KEY), F.lit(SALT)).cast("int").alias("salt"), F.explode("spans").alias("s")).select(KEY, "salt", "s.*")
+    runs = (open_spans.join(salted(items.select("print", "span", "size").distinct()), JOINED, "left_semi")
+            .select(KEY, F.col("at").alias("lo"), (F.col("at") + F.col("size")).alias("hi")))
     order = Window.partitionBy(KEY).orderBy("lo", "hi")
     before = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    merged = (runs.distinct().withColumn("fresh", F.when(F.col("lo") > before, 1).when(before.isNull(), 1).otherwise(0))
+    merged = (runs.withColumn("fresh", F.when(F.col("lo") > before, 1).when(before.isNull(), 1).otherwise(0))
               .withColumn("run", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
               .groupBy(KEY, "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
               .groupBy(KEY).agg(F.sort_array(F.collect_list(F.array("lo", "hi"))).alias("spans")))
-    items = every.select(KEY, F.explode("items").alias("i")).groupBy(KEY).agg(F.sort_array(F.collect_set("i")).alias("items"))
+    found = (open_spans.drop("at").distinct().join(salted(items), JOINED).select(KEY, "item").distinct()
+             .groupBy(KEY).agg(F.sort_array(F.collect_list("item")).alias("items")))
     empty_items, empty_spans = F.array().cast("array<long>"), F.array().cast("array<array<long>>")
-    return (rows.select(KEY, "id").join(every.where("block = 0").select(KEY, "n_words"), KEY).join(items, KEY, "left").join(merged, KEY, "left")
+    return (rows.select(KEY, "id", "n_words").join(found, KEY, "left").join(merged, KEY, "left")
             .select("id", "n_words", F.coalesce("items", empty_items).alias("items"), F.coalesce("spans", empty_spans).alias("spans")))
 
 
-def collected(block: DataFrame) -> list[tuple[int, str]]:
-    return [(r["id"], r["text"]) for r in block.select("id", "text").orderBy("id", "text").collect()]
-
-
-def block_hits(rows: DataFrame, parts: list[DataFrame], span: int, gram: int) -> DataFrame:
-    """document_hits() of rows (id, text) for each block of the benchmark, with the block's number."""
-    found = [document_hits(rows, Benchmark(collected(part), span, gram)).withColumn("block", F.lit(b)) for b, part in enumerate(parts)]
-    every = found[0]
-    for more in found[1:]:
-        every = every.union(more)
-    return every
-
-
-def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                         span: int = SPAN, gram: int = GRAM, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
-    """The rows of docs without a hit word. With one block of the benchmark, rows are tested where they are;
-    with several, by a key of the row."""
-    parts = blocks(benchmark, "item_id", "text", span, gram, broadcast_words)
-    if len(parts) > 1:
-        rows = keyed(docs)
-        found = block_hits(rows.select(F.col(KEY).alias("id"), F.col(text_col).alias("text")), parts, span, gram)
-        hit = found.where(F.size("spans") > 0).select(F.col("id").alias(KEY)).distinct()
-        return rows.join(hit, KEY, "left_anti").select(*docs.columns)
-    shared = docs.sparkSession.sparkContext.broadcast(Benchmark(collected(parts[0]), span, gram))
-
-    @F.arrow_udf("boolean")
-    def hit(texts: pa.Array) -> pa.Array:
-        out = np.zeros(len(texts), bool)
-        for lo, _, data, offsets in X.pieces(texts):
-            w = X.Words(data, offsets, X.ALNUM)
-            out[lo + w.row[hits(w, shared.value)[0]]] = True
-        return pa.array(out)
-
-    return docs.where(~hit(F.col(text_col)))
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id",
+                         item_text_col: str = "text", span: int = SPAN, gram: int = GRAM, bits: int = BITS) -> DataFrame:
+    """The rows of docs without a hit word. Whether a text is hit depends on the text alone, so that hit texts are told by
+    their digest: docs are read twice and not written."""
+    items = item_spans(benchmark, item_id_col, item_text_col, span, gram)
+    spans = document_spans(items, span, gram, bits)
+    digest_of = F.unhex(F.sha2(F.col(text_col), 256))
+    open_spans = (docs.select(digest_of.alias(KEY), spans(text_col).alias("w")).where(F.size("w.spans") > 0)
+                  .select(KEY, F.explode("w.spans").alias("s")).select(KEY, "s.print", "s.span", "s.size").distinct()
+                  .withColumn("salt", F.pmod(F.xxhash64(KEY), F.lit(SALT)).cast("int")))
+    hit = written(open_spans.join(salted(items.select("print", "span", "size").distinct()), JOINED, "left_semi").select(KEY).distinct(), "hit-texts")
+    return docs.join(hit, digest_of == hit[KEY], "left_anti")
 
 
 def digest(found: DataFrame) -> DataFrame:

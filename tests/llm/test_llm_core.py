@@ -199,14 +199,14 @@ def contaminated_corpus(seed):
     return docs + [(98, None), (99, "")], items
 
 
-@pytest.mark.parametrize("seed,limit", [(1, 2_000_000), (2, 150)])
-def test_decontamination_equals_brute_force(spark, seed, limit):
+@pytest.mark.parametrize("seed,bits", [(1, 1 << 24), (2, 64)])
+def test_decontamination_equals_brute_force(spark, seed, bits):
     from roomrate.llm.decontaminate import brute_force, contamination, digest
 
     docs, items = contaminated_corpus(seed)
     d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("items", F.lit(0))
     b = spark.createDataFrame(items, "item_id long, text string").withColumn("n", F.lit("x"))
-    got = {r.doc_id: r for r in digest(contamination(d, b, broadcast_words=limit)).collect()}
+    got = {r.doc_id: r for r in digest(contamination(d, b, bits=bits)).collect()}
     assert len(got) == len(docs)
     for i, t in docs:
         n, hit, found, sha = brute_force(t, items)
@@ -215,13 +215,13 @@ def test_decontamination_equals_brute_force(spark, seed, limit):
     from roomrate.llm.decontaminate import without_contaminated
 
     clean = {i for i, t in docs if not brute_force(t, items)[1]}
-    assert {r.doc_id for r in without_contaminated(d, b, broadcast_words=limit).collect()} == clean
+    assert {r.doc_id for r in without_contaminated(d, b, bits=bits).collect()} == clean
     assert all(r.n_hit == 0 for r in digest(contamination(d, b.limit(0))).collect())
     assert digest(contamination(d.limit(0), b)).collect() == []
 
 
-@pytest.mark.parametrize("limit", [2_000_000, 150])
-def test_decontamination_tells_rows_with_null_and_repeated_ids_apart(spark, limit):
+@pytest.mark.parametrize("bits", [1 << 24, 64])
+def test_decontamination_tells_rows_with_null_and_repeated_ids_apart(spark, bits):
     from collections import Counter
 
     from roomrate.llm.decontaminate import brute_force, contamination, digest, without_contaminated
@@ -234,13 +234,28 @@ def test_decontamination_tells_rows_with_null_and_repeated_ids_apart(spark, limi
     d = spark.createDataFrame(docs, "doc_id long, text string")
     b = spark.createDataFrame(items, "item_id long, text string")
     got = Counter((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated)
-                  for r in digest(contamination(d, b, broadcast_words=limit)).collect())
+                  for r in digest(contamination(d, b, bits=bits)).collect())
     want = [(i, *brute_force(t, items)) for i, t in docs]
     assert got == Counter((i, n, h, len(found), sha, h > 0) for i, n, h, found, sha in want)
-    left = Counter(tuple(r) for r in without_contaminated(d, b, broadcast_words=limit).collect())
+    left = Counter(tuple(r) for r in without_contaminated(d, b, bits=bits).collect())
     assert left == Counter(row for row, w in zip(docs, want) if not w[2])
 
 
+def test_decontamination_of_a_phrase_in_all_items_and_of_long_texts(spark):
+    from roomrate.llm.decontaminate import brute_force, contamination, digest
+
+    phrase = " ".join(f"p{i}" for i in range(14))
+    items = [(i, f"a{i} b{i} {phrase} c{i}") for i in range(60)] + [(60, "the"), (61, "Ü2 two")]
+    docs = [(i, f"x{i} y {phrase} z") for i in range(200)] + [(200, f"{phrase} q " * 2000), (201, "m " * 300_000 + "the Ü2 Two"), (202, "n " * 40)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: r for r in digest(contamination(d, b)).collect()}
+    for i in (0, 199, 202):
+        n, hit, found, sha = brute_force(docs[i][1], items)
+        assert (got[i].n_words, got[i].n_hit, got[i].n_items, got[i].items_sha256) == (n, hit, len(found), sha)
+    assert (got[200].n_words, got[200].n_hit, got[200].n_items) == (30_000, 28_000, 60)
+    assert (got[201].n_words, got[201].n_hit, got[201].n_items) == (300_003, 3, 2)
+
+
 def test_decontamination_on_the_table(spark):
     from roomrate.llm.decontaminate import brute_force
 
