@@ -2,11 +2,13 @@
 
 Vectors are dealt to shards of about SHARD_ROWS by a hash of their id, so shards grow in number and not in
 size. The graph of a shard is stored as flat neighbour arrays, one row of a written table. Equal vectors are
-one node with all their ids. Levels are drawn geometrically from a hash of the node. Each level links a node
-to its nearest nodes of that level, chosen by the diversity rule (a candidate nearer to a chosen neighbour
-than to the node is passed over; free places are filled with the nearest ones passed over), and links back
-where a place is free. As a shard is bounded, the candidates come from an exact search within it, block by
-block, instead of from inserting one node after the other; the result is the same kind of graph.
+one node with all their ids. Levels are drawn geometrically from a hash of the node. Nodes are inserted from the
+highest level down, so the nodes of a level are the first ones of a shard. An insertion searches the graph of the
+nodes before it, greedily with a beam from level to level, and links the node at each of its levels to nodes
+found there, chosen by the diversity rule (a candidate nearer to a chosen neighbour than to the node is passed
+over; free places are filled with the nearest ones passed over). The nodes chosen link back; where their places
+are used up, the same rule chooses anew among all of theirs. Nodes are inserted BATCH at a time, and
+as many as the graph holds at most; those of a batch do not find each other in the graph and are compared directly.
 
 A search starts at the top level and goes down, with a beam of nodes at each level; a block of queries moves
 in step, so that numpy works on all of them at once. The inner product is searched by the known reduction:
@@ -33,73 +35,104 @@ SHARD_ROWS = 8192
 QUERY_ROWS = 1024
 LINKS = 24
 CANDIDATES = 64
+#: nodes inserted at once, and nodes of the same batch that are candidates
+BATCH = 256
+MATES = 16
 BEAM = 96
 UPPER_BEAM = 32
 
-INDEX = "shard int, ids binary, first binary, vectors binary, dim int, levels array<binary>, members array<binary>"
-
-
-def nearest(x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(index, inner product) of the n nearest other rows of each row of x, nearest first."""
-    found, scores = [], []
-    for lo in range(0, len(x), 512):
-        s = x[lo: lo + 512] @ x.T
-        s[np.arange(len(s)), lo + np.arange(len(s))] = -np.inf
-        at = np.argpartition(-s, n - 1, axis=1)[:, :n]
-        v = np.take_along_axis(s, at, 1)
-        order = np.argsort(-v, axis=1, kind="stable")
-        found.append(np.take_along_axis(at, order, 1))
-        scores.append(np.take_along_axis(v, order, 1))
-    return np.concatenate(found), np.concatenate(scores)
-
-
-def linked(x: np.ndarray, links: int) -> np.ndarray:
-    """Neighbour array (rows x 2 links, -1 for none) of one level over the rows of x."""
-    n = len(x)
-    out = np.full((n, 2 * links), -1, np.int32)
-    if n < 2:
-        return out
-    near, score = nearest(x, min(CANDIDATES, n - 1))
-    width = near.shape[1]
-    for lo in range(0, n, 256):
-        c, s = near[lo: lo + 256], score[lo: lo + 256]
-        among = np.einsum("acd,aed->ace", x[c], x[c], optimize=True)
-        chosen = np.zeros(c.shape, bool)
+INDEX = "shard int, ids binary, first binary, vectors binary, dim int, levels array<binary>"
+
+
+def diverse(x: np.ndarray, c: np.ndarray, v: np.ndarray, limit: int, fill: bool) -> np.ndarray:
+    """Up to `limit` candidates for each row of c (nodes of x, nearest first, -1 for none; v their inner products with the
+    row's node) by the diversity rule, -1 for none; `fill` uses free places for the nearest ones passed over."""
+    out = np.full((len(c), limit), -1, np.int32)
+    width = c.shape[1]
+    for lo in range(0, len(c), BATCH):
+        some, s = c[lo: lo + BATCH], v[lo: lo + BATCH]
+        y = x[some]
+        among = y @ y.transpose(0, 2, 1)
+        chosen = np.zeros(some.shape, bool)
         for j in range(width):
             closer = (among[:, j, :] > s[:, j: j + 1]) & chosen
-            chosen[:, j] = ~closer.any(axis=1) & (chosen.sum(axis=1) < links)
-        rank = np.where(chosen, 0, 1) * width + np.arange(width)
-        order = np.argsort(rank, axis=1)[:, :links]
-        out[lo: lo + 256, : order.shape[1]] = np.take_along_axis(c, order, 1)
-    used = (out >= 0).sum(axis=1)
-    origin, slot = np.nonzero(out >= 0)
-    target = out[origin, slot].astype(np.int64)
-    one_way = ~np.isin(target * n + origin, origin * n + target)
-    origin, target = origin[one_way], target[one_way]
+            chosen[:, j] = (some[:, j] >= 0) & ~closer.any(axis=1) & (chosen.sum(axis=1) < limit)
+        rank = np.where(chosen, 0, np.where(some >= 0, 1, 2)) * width + np.arange(width)
+        order = np.argsort(rank, axis=1)[:, :limit]
+        best = np.take_along_axis(some, order, 1)
+        out[lo: lo + BATCH, : order.shape[1]] = best if fill else np.where(np.take_along_axis(chosen, order, 1), best, -1)
+    return out
+
+
+def ranked(c: np.ndarray, v: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The n best candidates of each row with their values, best first."""
+    order = np.argsort(-v, axis=1, kind="stable")[:, :n]
+    return np.take_along_axis(c, order, 1), np.take_along_axis(v, order, 1)
+
+
+def link_back(x: np.ndarray, links: np.ndarray, origin: np.ndarray, target: np.ndarray) -> None:
+    """Adds the links target -> origin to the neighbour array; where places are used up, diverse() chooses anew."""
+    fresh = ~(links[target] == origin[:, None]).any(axis=1)
+    origin, target = origin[fresh], target[fresh]
     order = np.lexsort((-np.einsum("ad,ad->a", x[origin], x[target]), target))
     origin, target = origin[order], target[order]
-    back = np.arange(len(target)) - np.searchsorted(target, target)
-    fits = back < (2 * links - used)[target]
-    out[target[fits], (used[target] + back)[fits]] = origin[fits]
-    return out
+    node, first, n = np.unique(target, return_index=True, return_counts=True)
+    at = np.arange(len(target)) - np.repeat(first, n)
+    used = (links[node] >= 0).sum(axis=1)
+    fits = used + n <= links.shape[1]
+    row = np.repeat(np.arange(len(node)), n)
+    easy = fits[row]
+    links[target[easy], (used[row] + at)[easy]] = origin[easy]
+    full = np.flatnonzero(~fits)
+    if len(full):
+        wide = np.full((len(full), links.shape[1] + n[full].max()), -1, np.int32)
+        wide[:, : links.shape[1]] = links[node[full]]
+        place = np.full(len(node), -1)
+        place[full] = np.arange(len(full))
+        wide[place[row[~easy]], links.shape[1] + at[~easy]] = origin[~easy]
+        v = np.empty(wide.shape, x.dtype)
+        for lo in range(0, len(full), BATCH):
+            v[lo: lo + BATCH] = np.einsum("ad,awd->aw", x[node[full[lo: lo + BATCH]]], x[wide[lo: lo + BATCH]], optimize=True)
+        v[wide < 0] = -np.inf
+        links[node[full]] = diverse(x, *ranked(wide, v, links.shape[1] + MATES), links.shape[1], fill=False)
+
+
+def graph(x: np.ndarray, sizes: list[int]) -> list[np.ndarray]:
+    """Neighbour array (nodes x 2 LINKS, -1 for none) of each level from 0 over the first sizes[level] rows of x,
+    built by inserting one batch of nodes after the other."""
+    levels = [np.full((n, 2 * LINKS), -1, np.int32) for n in sizes]
+    lo = 0
+    while lo < len(x):
+        hi = min(len(x), lo + min(BATCH, max(lo, LINKS)))
+        q = x[lo:hi]
+        mates = q @ q.T
+        np.fill_diagonal(mates, -np.inf)
+        entry = np.tile(np.arange(min(lo, sizes[-1], UPPER_BEAM), dtype=np.int32), (len(q), 1))
+        for at in range(len(levels) - 1, -1, -1):
+            new = min(hi, sizes[at]) - lo  # nodes of the batch that have this level
+            before = min(lo, sizes[at])
+            if before:
+                found, v = beam_search(x[:before], levels[at], q, entry, CANDIDATES if new > 0 else UPPER_BEAM)
+                entry = found
+            if new <= 0:
+                continue
+            mate, score = ranked(np.tile(np.arange(lo, lo + new, dtype=np.int32), (new, 1)), mates[:new, :new], MATES)
+            mate = np.where(score > -np.inf, mate, -1)
+            if before:
+                mate, score = ranked(np.hstack([found[:new], mate]), np.hstack([v[:new], score]), CANDIDATES + MATES)
+            own = diverse(x, mate, score, LINKS, fill=True)
+            levels[at][lo: lo + new, :LINKS] = own
+            row, col = np.nonzero(own >= 0)
+            link_back(x, levels[at], (lo + row).astype(np.int32), own[row, col])
+        lo = hi
+    return levels
 
 
-def graph(vectors: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
-    """(nodes with equal norms, neighbour array of each level from 0, nodes of each level)."""
+def equalised(vectors: np.ndarray) -> np.ndarray:
+    """The vectors with one more component that makes all norms 1 at the longest vector's scale."""
     norms = np.sqrt((vectors ** 2).sum(axis=1))
     top = norms.max()
-    x = np.hstack([vectors, np.sqrt(np.maximum(top ** 2 - norms ** 2, 0))[:, None]]) / top
-    level = np.floor(-np.log(seed) / np.log(LINKS)).astype(int)
-    levels, members, at = [], [], 0
-    own = np.arange(len(x))
-    while len(own):
-        levels.append(linked(x[own], LINKS))
-        members.append(own.astype(np.int32))
-        at += 1
-        if len(own) <= LINKS:
-            break
-        own = np.flatnonzero(level >= at)
-    return x, levels, members
+    return (np.hstack([vectors, np.sqrt(np.maximum(top ** 2 - norms ** 2, 0))[:, None]]) / top).astype(np.float32)
 
 
 def beam_search(x: np.ndarray, links: np.ndarray, q: np.ndarray, entry: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
@@ -149,31 +182,32 @@ def built(shard: int, ids: np.ndarray, vectors: np.ndarray) -> dict:
     ids, vectors = ids[order], np.ascontiguousarray(vectors[order])
     _, at, node = np.unique(vectors.view(np.dtype((np.void, vectors.dtype.itemsize * vectors.shape[1]))).ravel(),
                             return_index=True, return_inverse=True)
+    # nodes are renumbered by falling level, as they are inserted
+    seed = (((ids[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
+    order = np.argsort(seed, kind="stable")
+    number = np.empty(len(order), np.int64)
+    number[order] = np.arange(len(order))
+    at, node, level = at[order], number[node], np.floor(-np.log(seed[order]) / np.log(LINKS))
     by_node = np.argsort(node, kind="stable")
     first = np.searchsorted(node[by_node], np.arange(len(at) + 1))
     nodes = vectors[at]
-    seed = (((ids[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
-    _, levels, members = graph(nodes, seed)
+    sizes = [len(nodes)]
+    while sizes[-1] > LINKS and (level >= len(sizes)).any():
+        sizes.append(int((level >= len(sizes)).sum()))
     return {"shard": shard, "ids": ids[by_node].astype(np.int64).tobytes(), "first": first.astype(np.int64).tobytes(),
-            "vectors": nodes.tobytes(), "dim": nodes.shape[1], "levels": [x.tobytes() for x in levels],
-            "members": [x.tobytes() for x in members]}
+            "vectors": nodes.tobytes(), "dim": nodes.shape[1], "levels": [x.tobytes() for x in graph(equalised(nodes), sizes)]}
 
 
 def searched(index, query_ids: np.ndarray, q: np.ndarray, k: int, beam: int = BEAM) -> pd.DataFrame:
     """(query_id, vec_id, score) of the k nearest found in one shard for each query."""
     ids, first = np.frombuffer(index["ids"], np.int64), np.frombuffer(index["first"], np.int64)
     vectors = np.frombuffer(index["vectors"], np.float64).reshape(-1, index["dim"])
-    members = [np.frombuffer(x, np.int32) for x in index["members"]]
-    levels = [np.frombuffer(x, np.int32).reshape(len(m), -1) for x, m in zip(index["levels"], members, strict=True)]
+    levels = [np.frombuffer(x, np.int32).reshape(-1, 2 * LINKS) for x in index["levels"]]
     x = (vectors / np.sqrt((vectors ** 2).sum(axis=1)).max()).astype(np.float32)
     query = (q / np.sqrt((q ** 2).sum(axis=1, keepdims=True))).astype(np.float32)
-    entry = np.tile(members[-1][: max(UPPER_BEAM, LINKS)], (len(q), 1))
+    entry = np.tile(np.arange(min(len(levels[-1]), UPPER_BEAM), dtype=np.int32), (len(q), 1))
     for at in range(len(levels) - 1, -1, -1):
-        own = members[at]
-        place = np.full(len(x) + 1, -1, np.int32)
-        place[own] = np.arange(len(own))
-        found, _ = beam_search(x[own], levels[at], query, place[entry], max(beam, k + 1) if at == 0 else UPPER_BEAM)
-        entry = np.where(found >= 0, own[found], -1)
+        entry, _ = beam_search(x[: len(levels[at])], levels[at], query, entry, max(beam, k + 1) if at == 0 else UPPER_BEAM)
     row, col = np.nonzero(entry >= 0)
     node = entry[row, col]
     n = np.minimum(first[node + 1] - first[node], k + 1)
@@ -220,13 +254,13 @@ def neighbours(table: DataFrame, is_query: Column, k: int = 20, id_col: str = "v
     def search(batches):
         for batch in batches:
             for row in range(batch.num_rows):
-                index = {c: batch.column(c)[row].as_py() for c in ("ids", "first", "vectors", "dim", "levels", "members")}
+                index = {c: batch.column(c)[row].as_py() for c in ("ids", "first", "vectors", "dim", "levels")}
                 queries = batch.column("queries")[row].values
                 ids = queries.field("id").to_numpy()
                 q = queries.field("v").flatten().to_numpy().reshape(len(ids), -1)
                 yield pa.RecordBatch.from_pandas(searched(index, ids, q, k, beam), preserve_index=False)
 
-    found = pairs.join(index, "shard").select("queries", "ids", "first", "vectors", "dim", "levels", "members").mapInArrow(search, result)
+    found = pairs.join(index, "shard").select("queries", "ids", "first", "vectors", "dim", "levels").mapInArrow(search, result)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))
