@@ -60,19 +60,19 @@ PATTERNS = {
     "key": (r"-----BEGIN (?:[A-Z]{2,12} ){0,3}PRIVATE KEY-----|(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])|"
             r"[spr]k_(?:live|test)_[0-9A-Za-z]{10,}+|gh[pousr]_[0-9A-Za-z]{20,}+|xox[abprs]-[0-9A-Za-z-]{10,}+|AIza[0-9A-Za-z_-]{30,}+|"
             r"eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+)"),
-    "identity": (r"(?<=(?i:passport|ssn|social security|national id|identity card|id card|driver'?s licen[cs]e|tax id|nino|dni|personalausweis)"
+    "identity": (r"(?=[A-Z0-9])(?<![0-9A-Za-z])(?<=(?i:passport|ssn|social security|national id|identity card|id card|driver'?s licen[cs]e|tax id|nino|dni|personalausweis)"
                  r"(?: [Nn]umber| [Nn]o\.?| [Nn]r\.?| #)?(?: is)?[ \t]{0,2}[:#=]?[ \t]{0,2})"
                  r"[A-Z]{0,3}[0-9][0-9A-Z]{0,11}+(?:[ -][0-9]{2,6}){0,3}+(?:[ -]?[A-Z])?+(?![0-9A-Za-z])"),
-    "birth": (r"(?i)(?<=(?:born|birth|birthday|dob|geboren|geburtsdatum|nacid[oa]|nacimiento|naissance|née|né)[^\n0-9]{0,16})(?<![0-9])(?:[0-9]{1,2}([./-])"
+    "birth": (r"(?i)(?=[0-9])(?<![0-9])(?<=(?:born|birth|birthday|dob|geboren|geburtsdatum|nacid[oa]|nacimiento|naissance|née|né)[^\n0-9]{0,16})(?:[0-9]{1,2}([./-])"
               rf"[0-9]{{1,2}}\1(?:[0-9]{{4}}|[0-9]{{2}})|[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{1,2}}\.?(?: de)? {_MONTH}(?: de)? [0-9]{{4}})(?![0-9])|"
-              rf"(?<=(?:born|birth|birthday|dob)[^\n0-9]{{0,16}})(?<!\p{{L}}){_MONTH} [0-9]{{1,2}}(?:st|nd|rd|th)?,? [0-9]{{4}}(?![0-9])"),
+              rf"(?=[adefjmnos])(?<!\p{{L}})(?={_MONTH} [0-9])(?<=(?:born|birth|birthday|dob)[^\n0-9]{{0,16}}){_MONTH} [0-9]{{1,2}}(?:st|nd|rd|th)?,? [0-9]{{4}}(?![0-9])"),
     "address": (r"(?<![0-9A-Za-z.,])[0-9]{1,5}[A-Za-z]?,? (?:(?:[A-Z][\p{L}'.]{0,20} ){1,3}(?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Dr|Boulevard|"
                 r"Blvd|Court|Ct|Way|Terrace|Close|Crescent)(?![\p{L}])|(?:rue|avenue|boulevard|chemin)(?: d[eu]s?| la| l'| les){0,2} ?[A-Z]\p{L}{1,20}+)|"
                 r"(?<!\p{L})[A-Z]\p{L}{1,20}(?:straße|strasse|gasse|allee|platz|weg) [0-9]{1,4}[a-z]?(?![0-9\p{L}])|"
                 r"(?<!\p{L})(?:Calle|Avenida|Via|Plaza) (?:de )?(?:la )?[A-Z]\p{L}{1,20}+,? [0-9]{1,4}(?![0-9])"),
-    "name": (r"(?<=(?<!\p{L})(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Sra?|Señora?|[Nn]ame|[Nn]amed|NAME|[Pp]atient|[Cc]ustomer|"
+    "name": (r"(?=[A-Z])(?<=[ \t])(?<=(?<!\p{L})(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Sra?|Señora?|[Nn]ame|[Nn]amed|NAME|[Pp]atient|[Cc]ustomer|"
              r"[Ee]mployee|[Rr]ecipient|[Ss]igned|[Cc]ontact)(?:\.|:| is|=)?[ \t]{1,2})[A-Z][\p{Ll}'-]{1,20}+(?: [A-Z]\.)?+(?: [A-Z][\p{Ll}'-]{1,20}+){0,2}+(?!\p{L})"),
-    "password": r"(?<=(?i:password|passwd|pwd|passwort|contraseña|mot de passe)(?: is)?[ \t]{0,2}[:=][ \t]{0,2}[\"']?)[^\s\"':=]{4,64}+",
+    "password": r"(?<=[:= \t\"'])(?=[^\s\"':=])(?<=(?i:password|passwd|pwd|passwort|contraseña|mot de passe)(?: is)?[ \t]{0,2}[:=][ \t]{0,2}[\"']?)[^\s\"':=]{4,64}+",
     "number": r"(?<![0-9A-Za-z+.-])\(?[0-9](?:[ ().-]{0,2}[0-9]){6,18}(?![0-9A-Za-z])",
     "secret": r"(?<=[=:][ \t]{0,2}[\"']?)(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+",
 }
