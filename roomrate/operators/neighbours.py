@@ -193,7 +193,8 @@ def band_pairs(left: DataFrame, right: DataFrame, category: str, lat: str, lon:
                half_lat: float, half_lon: float) -> DataFrame:
     """General 2-D band join: every (left, right) pair of the same category whose
     coordinates differ by less than the half-widths (strict). Right columns get
-    the prefix 'r_'. (J5)"""
+    the prefix 'r_'. Both sides are shuffled: packed files look small enough to broadcast long after their
+    rows have outgrown the driver. (J5)"""
     k = CELLS_PER_HALF_WIDTH
     cell_lat, cell_lon = half_lat / k * (1 + CELL_SLACK), half_lon / k * (1 + CELL_SLACK)
     offsets = _offsets(k)
@@ -206,4 +207,4 @@ def band_pairs(left: DataFrame, right: DataFrame, category: str, lat: str, lon:
     cond = [l[category] == r[f"r_{category}"], l["_cx"] == r["_cx"], l["_cy"] == r["_cy"],
             r[f"r_{lat}"] > l[lat] - F.lit(half_lat), r[f"r_{lat}"] < l[lat] + F.lit(half_lat),
             r[f"r_{lon}"] > l[lon] - F.lit(half_lon), r[f"r_{lon}"] < l[lon] + F.lit(half_lon)]
-    return l.join(r, on=reduce(lambda a, b: a & b, cond), how="inner").drop("_cx", "_cy")
+    return l.join(r.hint("merge"), on=reduce(lambda a, b: a & b, cond), how="inner").drop("_cx", "_cy")

@@ -70,3 +70,14 @@ def test_exact_quantiles_never_use_exact_percentile(spark):
     out = exact_quantiles(df, ["x"], [0.5])
     assert out.first().quantile == 2499.5
     assert "percentile(" not in _plan(out)
+
+
+def test_band_pairs_broadcast_neither_side(spark):
+    """Both sides are far below the broadcast threshold here; at scale packed files look that small too."""
+    from roomrate.operators.neighbours import band_pairs
+
+    rows = spark.createDataFrame([(1, "a", 40.0, -73.0), (2, "a", 40.001, -73.001), (3, "b", 40.0, -73.0), (4, "a", 40.0, None)],
+                                 "id long, room_type string, latitude double, longitude double")
+    pairs = band_pairs(rows, rows, "room_type", "latitude", "longitude", 0.002, 0.002).where("id <> r_id")
+    assert "BroadcastExchange" not in _plan(pairs)
+    assert sorted((r.id, r.r_id) for r in pairs.collect()) == [(1, 2), (2, 1)]
