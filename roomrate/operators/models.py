@@ -32,6 +32,7 @@ from roomrate.session import ensure_checkpoint_dir
 
 TEXT_FEATURES = 1 << 14
 PARALLEL_FITS = 4  # independent fits that are submitted to Spark at once
+FOREST_MEMORY_MB = 512  # statistics of the nodes that a forest splits in one pass (Spark: 256)
 
 
 def regressor(kind: str, **params):
@@ -46,7 +47,7 @@ def regressor(kind: str, **params):
         p = {**K.FOREST_PARAMS, **params}
         return RandomForestRegressor(featuresCol="features", labelCol="label", numTrees=p["numTrees"],
                                      maxDepth=p["maxDepth"], featureSubsetStrategy=p["featureSubsetStrategy"],
-                                     seed=42, checkpointInterval=10)
+                                     seed=42, checkpointInterval=10, cacheNodeIds=True, maxMemoryInMB=FOREST_MEMORY_MB)
     raise ValueError(kind)
 
 

@@ -81,3 +81,10 @@ def test_band_pairs_broadcast_neither_side(spark):
     pairs = band_pairs(rows, rows, "room_type", "latitude", "longitude", 0.002, 0.002).where("id <> r_id")
     assert "BroadcastExchange" not in _plan(pairs)
     assert sorted((r.id, r.r_id) for r in pairs.collect()) == [(1, 2), (2, 1)]
+
+
+def test_deep_forests_keep_the_nodes_of_rows(spark):
+    from roomrate.operators.models import regressor
+
+    forest = regressor("rf")
+    assert forest.getCacheNodeIds() and forest.getMaxMemoryInMB() > 256 and forest.getMaxDepth() == 30 and forest.getNumTrees() == 100
