@@ -51,10 +51,17 @@ def regressor(kind: str, **params):
     raise ValueError(kind)
 
 
+def training_rows(df: DataFrame, label: str) -> DataFrame:
+    """df with `label`, in no more partitions than the cluster has cores: a boosted fit is some thousand jobs, each with a
+    task, and a result sent to the driver, per partition."""
+    data = df.withColumn("label", F.col(label).cast("double"))
+    return data.coalesce(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def fit_regression(df: DataFrame, features, label: str, kind: str = "gbt", **params) -> PipelineModel:
     """Assemble features + fit. Input rows must be NULL-free in features and label. (M3, M4, M5)"""
     ensure_checkpoint_dir(df.sparkSession)
-    data = df.withColumn("label", F.col(label).cast("double"))
+    data = training_rows(df, label)
     pipe = Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="error"),
                             regressor(kind, **params)])
     return pipe.fit(data)
@@ -63,7 +70,7 @@ def fit_regression(df: DataFrame, features, label: str, kind: str = "gbt", **par
 def fit_on_entries(df: DataFrame, vector: str, indices, label: str, kind: str = "gbt", **params) -> PipelineModel:
     """Slice the given entries of a vector column + fit."""
     ensure_checkpoint_dir(df.sparkSession)
-    data = df.withColumn("label", F.col(label).cast("double"))
+    data = training_rows(df, label)
     pipe = Pipeline(stages=[VectorSlicer(inputCol=vector, outputCol="features", indices=[int(i) for i in indices]),
                             regressor(kind, **params)])
     return pipe.fit(data)

@@ -83,6 +83,13 @@ def test_band_pairs_broadcast_neither_side(spark):
     assert sorted((r.id, r.r_id) for r in pairs.collect()) == [(1, 2), (2, 1)]
 
 
+def test_fits_take_no_more_partitions_than_cores(spark):
+    from roomrate.operators.models import training_rows
+
+    rows = spark.range(0, 200, 1, 50).withColumn("y", F.col("id") * 1.0)
+    assert training_rows(rows, "y").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism < 50
+
+
 def test_deep_forests_keep_the_nodes_of_rows(spark):
     from roomrate.operators.models import regressor
 
