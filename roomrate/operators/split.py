@@ -43,7 +43,8 @@ def stratified_split(df: DataFrame, key: str, label: str, shares=(0.6, 0.2, 0.2)
 
     Rows of a label are ordered by (hash of the key, key). The cut ranks are order statistics of the hash over
     (label, hash, count); keys that share a cut's hash (collisions, repeated keys) are ordered among themselves
-    only. Labels may be many: cut points are a table that is joined, and nothing is collected."""
+    only. Labels may be many: cut points are a table that is joined, and nothing is collected. Cut points and ties are
+    written, so that Spark knows their size: few of them need no shuffle of the rows, which would put a label in one task."""
     h = key_hash52(key).cast("double")
     rows = df.withColumns({"_label": F.col(label).cast("string"), "_h": h})
     counts = written(rows.where(F.col("_label").isNotNull()).groupBy(F.col("_label").alias("column"), F.col("_h").alias("value"))
@@ -60,11 +61,11 @@ def stratified_split(df: DataFrame, key: str, label: str, shares=(0.6, 0.2, 0.2)
             .groupBy("_label", "_h", "below", F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n")))
     order = Window.partitionBy("_label", "_h").orderBy("_key")
     before = F.coalesce(F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ties = ties.select("_label", "_h", "_key", (F.col("below") + before).alias("_tied"))
+    ties = written(ties.select("_label", "_h", "_key", (F.col("below") + before).alias("_tied")), "split-ties")
 
     point = lambda name: at.select(F.col("column").alias("_c"), F.col("rank").alias(name), F.col("value").alias(f"{name}_h"))
-    table = (cuts.withColumnRenamed("column", "_c").join(point("a"), ["_c", "a"], "left").join(point("b"), ["_c", "b"], "left")
-             .select("_c", "a", "b", "a_h", "b_h"))
+    table = written(cuts.withColumnRenamed("column", "_c").join(point("a"), ["_c", "a"], "left").join(point("b"), ["_c", "b"], "left")
+                    .select("_c", "a", "b", "a_h", "b_h"), "split-table")
     joined = (rows.join(table, F.col("_label") == F.col("_c"), "left").alias("r")
               .join(ties.alias("t"), (F.col("r._label") == F.col("t._label")) & (F.col("r._h") == F.col("t._h"))
                     & (F.col(f"r.{key}") == F.col("t._key")), "left"))

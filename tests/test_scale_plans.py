@@ -95,3 +95,14 @@ def test_deep_forests_keep_the_nodes_of_rows(spark):
 
     forest = regressor("rf")
     assert forest.getCacheNodeIds() and forest.getMaxMemoryInMB() > 256 and forest.getMaxDepth() == 30 and forest.getNumTrees() == 100
+
+
+def test_few_labels_split_without_a_shuffle_of_the_rows(spark):
+    """Cut points and ties are tables of known size, so a label that holds most rows is not one task."""
+    from roomrate.operators.split import stratified_split
+
+    rows = spark.range(400).select(F.col("id").alias("k"), (F.col("id") % 10 == 0).cast("int").alias("y"))
+    parts = stratified_split(rows, "k", "y")
+    assert "SortMergeJoin" not in _plan(parts) and "Exchange hashpartitioning" not in _plan(parts)
+    assert {(r.y, r.part): r["count"] for r in parts.groupBy("y", "part").count().collect()} == {
+        (0, "train"): 216, (0, "val"): 72, (0, "test"): 72, (1, "train"): 24, (1, "val"): 8, (1, "test"): 8}
