@@ -106,3 +106,23 @@ def test_few_labels_split_without_a_shuffle_of_the_rows(spark):
     assert "SortMergeJoin" not in _plan(parts) and "Exchange hashpartitioning" not in _plan(parts)
     assert {(r.y, r.part): r["count"] for r in parts.groupBy("y", "part").count().collect()} == {
         (0, "train"): 216, (0, "val"): 72, (0, "test"): 72, (1, "train"): 24, (1, "val"): 8, (1, "test"): 8}
+
+
+def test_six_segments_fit_at_once(spark, monkeypatch):
+    """Boosted fits of all segments are under way together: each waits here until the six have begun."""
+    from threading import Barrier
+
+    from roomrate.operators import models as ML
+
+    begun = Barrier(6, timeout=20)
+
+    class Metrics:
+        @staticmethod
+        def first():
+            return {"n": 1, "r2": 0.0, "mae": 0.0}
+
+    monkeypatch.setattr(ML, "fit_regression", lambda rows, features, label, kind, **_: kind == "gbt" and begun.wait())
+    monkeypatch.setattr(ML, "evaluate", lambda *_: Metrics)
+    rows = spark.range(4).withColumn("is_test", F.col("id") > 2)
+    told = ML.compare_models({f"s{i}": rows for i in range(6)}, lambda d: ["id"], "id")
+    assert sorted(r[:2] for r in told) == sorted((k, f"s{i}") for k in ("lr", "rf", "gbt") for i in range(6))
