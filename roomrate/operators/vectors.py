@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from roomrate.operators.encode import multi_hot_sets, ranked, token_table
+from roomrate.operators.encode import exploded_tokens, multi_hot_sets, ranked, token_table
 from roomrate.session import shared_path
 
 
@@ -23,23 +23,33 @@ def token_ranks(df: DataFrame, tokens_col: str) -> DataFrame:
     return ranked(token_table(df, tokens_col), "token")
 
 
-def with_token_vectors(df: DataFrame, tokens_col: str, out_col: str, ranks: DataFrame) -> DataFrame:
-    """df with `out_col`, the fields of a sparse 0/1 vector of the row's tokens; written_vectors() makes it one.
-    Tokens that are not in ranks have no entry; NULL tokens give the zero vector."""
+def token_uses(df: DataFrame, tokens_col: str) -> DataFrame:
+    """(token, rank, uses): token_ranks with the number of times that each token is there."""
+    return ranked(exploded_tokens(df, tokens_col), "token", "uses")
+
+
+def with_token_vectors(df: DataFrame, tokens_col: str, out_col: str, ranks: DataFrame, key: str | None = None) -> DataFrame:
+    """df with `out_col`, the fields of a sparse 0/1 vector of the row's tokens; vector_schema() or written_vectors() makes
+    it one. Tokens that are not in ranks have no entry; NULL tokens give the zero vector. For `key` and ranks with a
+    column `uses`, see multi_hot_sets()."""
     size = ranks.count()
-    coded = multi_hot_sets(df, tokens_col, "_codes", ranks)
+    coded = multi_hot_sets(df, tokens_col, "_codes", ranks, key)
     fields = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(size).alias("size"),
                       F.col("_codes").cast("array<int>").alias("indices"),
                       F.transform("_codes", lambda _: F.lit(1.0)).alias("values"))
     return coded.select(*df.columns, fields.alias(out_col))
 
 
+def vector_schema(schema: T.StructType, vectors: tuple[str, ...]) -> T.StructType:
+    """schema with the columns `vectors` (structs of a vector's fields) as vectors, to read a written table by."""
+    return T.StructType([T.StructField(f.name, VectorUDT() if f.name in vectors else f.dataType) for f in schema])
+
+
 def written_vectors(df: DataFrame, name: str, vectors: tuple[str, ...]) -> DataFrame:
     """df from a Parquet table in the shared folder, its columns `vectors` (structs of a vector's fields) as vectors."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    schema = T.StructType([T.StructField(f.name, VectorUDT() if f.name in vectors else f.dataType) for f in df.schema])
-    return df.sparkSession.read.schema(schema).parquet(path)
+    return df.sparkSession.read.schema(vector_schema(df.schema, vectors)).parquet(path)
 
 
 def entries(df: DataFrame, vector: str, keep=()) -> DataFrame:

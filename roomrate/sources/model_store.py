@@ -21,6 +21,7 @@ from collections.abc import Callable
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 
+from roomrate.operators.vectors import vector_schema
 from roomrate.session import shared_path
 
 
@@ -110,12 +111,14 @@ def _keyed_path(spark: SparkSession, kind: str, key: str, source: str) -> str:
     return shared_path(spark, kind, hashlib.sha256(stamp.encode()).hexdigest()[:24], unique=False)
 
 
-def stored_table(spark: SparkSession, key: str, source: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """The Parquet table of a key over the input files under `source`, written on first use."""
+def stored_table(spark: SparkSession, key: str, source: str, build: Callable[[], DataFrame], vectors: tuple[str, ...] = ()) -> DataFrame:
+    """The Parquet table of a key over the input files under `source`, written on first use; its columns `vectors` (structs
+    of a vector's fields) are read as vectors."""
     path = _keyed_path(spark, "tables", key, source)
     if not _exists(spark, path + "/_SUCCESS"):
         build().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    table = spark.read.parquet(path)
+    return spark.read.schema(vector_schema(table.schema, vectors)).parquet(path) if vectors else table
 
 
 def stored_model(spark: SparkSession, key: str, source: str, fit: Callable[[], PipelineModel]) -> PipelineModel:
