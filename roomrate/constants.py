@@ -213,7 +213,26 @@ TOKEN_RULES = (
     (" (gim|lem)(me) ", " \\1 \\2 "),
     ("([^' ])' ", "\\1 ' "),
 )
+# The same rules as fewer and quicker passes over a text, in Java's syntax: rules for unlike characters are one, a rare
+# character is looked for before what stands in front of it, plain strings are replaced without a pattern (None). More than
+# two blanks are as good as two. The second rule is the caller's: two blanks at either end, and before a last line end.
+TOKEN_LAST_LINE_END = "([\\x{85}\\x{2028}\\x{2029}])\\z"
+TOKEN_PASSES = (
+    *[(None, (blank, "  ")) for blank in " \t\n\x0b\x0c\r"],
+    ("([\"“”„«»,:;@#$%&?!\\[\\](){}<>—–]|``|''|\\.\\.+|--+)", " $1 "),
+    (f"\\.(?<= (?:{'|'.join(TOKEN_ABBREVIATIONS)})\\.) ", "\ue000 "),
+    (" ([a-z](?:\\.[a-z])*)\\. ", " $1\ue000 "),
+    ("\\.(?<=[^. ]\\.)(['’]*) ", " . $1 "),
+    (None, ("\ue000", ".")),
+    (" '(t)(is|was) ", " \ue000$1 $2 "),
+    (" '([^' ])", " ' $1"),
+    (None, ("\ue000", "'")),
+    ("(n(?<=[^' ]n)'t|'(?<=[^' ]')(?:s|m|d|ll|re|ve)) ", " $1 "),
+    (" (can(?=not )|gon(?=na )|wan(?=na )|got(?=ta )|gim(?=me )|lem(?=me ))(not|na|ta|me) ", " $1 $2 "),
+    ("' (?<=[^' ]' )", " ' "),
+)
 TOKEN_KEPT = "[\\p{L}\\p{N}]"
+TOKEN_DROPPED = " [^ \\p{L}\\p{N}]++(?= )"  # words that TOKEN_KEPT is not in, in a text of words between blanks
 
 # ---------------------------------------------------------------------------
 # FIXED VALUES — English stop words (Spark ML StopWordsRemover default list), in order

@@ -68,9 +68,10 @@ def treebank_tokens(x) -> Column:
     """lower -> strip digit runs -> Treebank-like words that hold a letter: contractions are split (do n't, host 's), hyphenated
     words, abbreviations and initials are kept whole. NULL text -> empty array. (X1)"""
     out = F.regexp_replace(F.lower(_c(x)), r"\d+", "")
-    for pattern, into in K.TOKEN_RULES:
-        out = F.regexp_replace(out, pattern, into.replace("\\", "$"))
-    words = F.filter(F.split(out, " +"), lambda w: F.regexp_like(w, F.lit(K.TOKEN_KEPT)))
+    out = F.concat(F.lit("  "), F.regexp_replace(out, K.TOKEN_LAST_LINE_END, "  $1"), F.lit("  "))
+    for pattern, into in K.TOKEN_PASSES:
+        out = F.regexp_replace(out, pattern, into) if pattern else F.replace(out, *map(F.lit, into))
+    words = F.array_remove(F.split(F.regexp_replace(out, K.TOKEN_DROPPED, ""), " +"), "")
     return F.coalesce(words, F.array().cast("array<string>"))
 
 
