@@ -219,7 +219,7 @@ TOKEN_RULES = (
 TOKEN_LAST_LINE_END = "([\\x{85}\\x{2028}\\x{2029}])\\z"
 TOKEN_PASSES = (
     *[(None, (blank, "  ")) for blank in " \t\n\x0b\x0c\r"],
-    ("([\"“”„«»,:;@#$%&?!\\[\\](){}<>—–]|``|''|\\.\\.+|--+)", " $1 "),
+    ("((?![a-z ])(?:[\"“”„«»,:;@#$%&?!\\[\\](){}<>—–]|``|''|\\.\\.+|--+))", " $1 "),
     (f"\\.(?<= (?:{'|'.join(TOKEN_ABBREVIATIONS)})\\.) ", "\ue000 "),
     (" ([a-z](?:\\.[a-z])*)\\. ", " $1\ue000 "),
     ("\\.(?<=[^. ]\\.)(['’]*) ", " . $1 "),
