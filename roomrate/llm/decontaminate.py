@@ -146,7 +146,9 @@ def document_spans(items: DataFrame, span: int, gram: int, bits: int) -> Callabl
             lists.append(listed(w, fingerprinted(w, span, gram, sizes, known), hi - lo))
         return pa.StructArray.from_arrays([pa.concat_arrays(counts), pa.concat_arrays([x.cast(_SPANS) for x in lists])], names=["n_words", "spans"])
 
-    return lambda text: spans(F.col(text))
+    # otherwise a filter on the spans has every text worked off twice, in a second Python worker of the task
+    once = spans.asNondeterministic()
+    return lambda text: once(F.col(text))
 
 
 JOINED = ["print", "span", "size", "salt"]

@@ -45,11 +45,13 @@ from roomrate.llm.storage import written
 TILE = 4096
 #: n-grams of a family that is compared in one place (32 MB of hashes)
 FAMILY = 4_000_000
+#: bytes of text whose n-grams a task holds at once (some 50 bytes of arrays for each, kept by the worker once taken)
+PIECE = 1 << 18
 
 
 def sets_of(texts: pa.Array, k: int):
     """Per piece of the texts: (first row, end row, sorted distinct hashes, row of each, first index)."""
-    for lo, hi, data, offsets in X.pieces(texts):
+    for lo, hi, data, offsets in X.pieces(texts, PIECE):
         w = X.Words(data, offsets, X.NOT_SPACE)
         h, rows, _ = X.grams(w.hash, w.first, w.count, w.row, k, short=True)
         yield lo, hi, *X.sorted_sets(h, rows, hi - lo)

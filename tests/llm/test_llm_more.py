@@ -467,3 +467,39 @@ def test_library_does_not_import_this_folder():
         for n in names:
             if n.endswith(".py") and os.sep + "llm" not in at:
                 assert "roomrate.llm" not in open(os.path.join(at, n)).read()
+
+
+def test_decontaminate_works_off_each_text_once(spark, monkeypatch):
+    """A filter on the spans must not bring a second evaluation, and with it a second Python worker for each task."""
+    from roomrate.llm import decontaminate as D
+
+    plans, written = {}, D.written
+
+    def noted(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython")
+        return written(df, name)
+
+    monkeypatch.setattr(D, "written", noted)
+    item = " ".join(f"w{i}" for i in range(12))
+    docs = spark.createDataFrame([(1, f"some words and {item} then"), (2, "clean"), (3, None)], "doc_id long, text string")
+    kept = D.without_contaminated(docs, spark.createDataFrame([(7, item)], "item_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == [2, 3]
+    assert plans["hit-texts"] == 1
+
+
+def test_near_duplicates_hold_the_arrays_of_few_texts_at_once():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from roomrate.llm import ngram_jaccard as J
+
+    texts = pa.array([" ".join(f"{i * j % 9973:x}" for j in range(400)) for i in range(1, 1500)])
+    list(J.sets_of(texts.slice(0, 5), 5))  # tables that stay
+    tracemalloc.start()
+    try:
+        n = sum(len(J.signatures(h, rows, first, 80, 100)[0]) for _, _, h, rows, first in J.sets_of(texts, 5))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert n and peak < 32 << 20, peak
