@@ -126,3 +126,75 @@ def test_six_segments_fit_at_once(spark, monkeypatch):
     rows = spark.range(4).withColumn("is_test", F.col("id") > 2)
     told = ML.compare_models({f"s{i}": rows for i in range(6)}, lambda d: ["id"], "id")
     assert sorted(r[:2] for r in told) == sorted((k, f"s{i}") for k in ("lr", "rf", "gbt") for i in range(6))
+
+
+def _price_rows(spark, n=300, parts=8):
+    return (spark.range(0, n, 1, parts).select("id", (F.col("id") % 17).cast("double").alias("a"), (F.col("id") % 5).cast("double").alias("b"))
+            .withColumn("y", F.col("a") * 3 + F.col("b") + (F.col("id") % 3)))
+
+
+def test_forests_grow_in_groups_that_the_driver_can_hold(spark, monkeypatch):
+    """Nodes of all trees are never held at once; all trees are there, every row's prediction is the mean over all of them, and
+    the stored forest scores as the fitted one."""
+    from pyspark.ml import PipelineModel
+    from roomrate.operators import models as ML
+    from roomrate.session import shared_path
+    from roomrate.sources.model_store import stored_model
+
+    rows = _price_rows(spark)
+    monkeypatch.setattr(ML, "FOREST_NODES", 1200)
+    source = shared_path(spark, "forest-source")
+    rows.write.parquet(source)
+    fitted = ML.fit_regression(rows, ["a", "b"], "y", "rf", numTrees=9)
+    assert sum(trees for _, trees, _ in fitted.groups) == 9 and len(fitted.groups) > 1
+    assert all(nodes <= 1200 for _, _, nodes in fitted.groups)
+    plain = [(PipelineModel.load(path).transform(rows).orderBy("id").collect(), trees) for path, trees, _ in fitted.groups]
+    assert len({str([r.prediction for r in part]) for part, _ in plain}) == len(plain)  # groups draw rows of their own
+    want = [sum(part[i].prediction * trees for part, trees in plain) / 9 for i in range(300)]
+    got = fitted.transform(rows).orderBy("id").collect()
+    assert max(abs(r.prediction - w) for r, w in zip(got, want, strict=True)) < 1e-9
+    monkeypatch.setattr(ML, "FOREST_NODES", 1)  # every group is loaded alone, sums between them are written
+    stored = stored_model(spark, "grouped", source, lambda: fitted)
+    again = stored_model(spark, "grouped", source, lambda: 1 / 0).transform(rows).orderBy("id").collect()
+    assert [r.asDict() for r in stored.transform(rows).orderBy("id").collect()] == [r.asDict() for r in again]
+    assert max(abs(r.prediction - w) for r, w in zip(again, want, strict=True)) < 1e-9
+    assert set(again[0].asDict()) == {"id", "a", "b", "y", "prediction"}
+
+
+def test_groups_of_trees_hold_every_tree():
+    from roomrate.operators.models import group_sizes
+
+    assert group_sizes(97, 1000, 6) == [[17, 16, 16, 16, 16, 16]]
+    assert group_sizes(7, 3, 2) == [[2, 1], [2, 1], [1]]
+    assert group_sizes(2, 0, 4) == [[1], [1]] and group_sizes(0, 5, 4) == []
+
+
+def test_small_forests_are_one_fit(spark):
+    from pyspark.ml import PipelineModel
+    from roomrate.operators import models as ML
+
+    model = ML.fit_regression(_price_rows(spark), ["a", "b"], "y", "rf", numTrees=5)
+    assert isinstance(model, PipelineModel) and model.stages[-1].getNumTrees == 5
+
+
+def test_tree_fits_read_rows_written_once(spark, monkeypatch):
+    """Tasks of the many jobs of a boosted fit carry a scan of two columns, in one task for each TASK_ROWS rows."""
+    from pyspark.ml.feature import VectorAssembler
+    from roomrate.operators import models as ML
+
+    rows = _price_rows(spark).where("id % 2 = 0")
+    assembler = VectorAssembler(inputCols=["a", "b"], outputCol="features")
+    fit, n = ML.tree_rows(rows, assembler, "y")
+    assert n == 150 and fit.columns == ["features", "label"] and fit.rdd.getNumPartitions() == 1 and "Range" not in _plan(fit)
+    assert sorted((*r.features, r.label) for r in fit.collect()) == sorted((r.a, r.b, r.y) for r in rows.collect())
+    monkeypatch.setattr(ML, "TASK_ROWS", 50)
+    assert ML.tree_rows(rows, assembler, "y")[0].rdd.getNumPartitions() == 3
+
+
+def test_tree_fits_of_no_rows_fail_as_before(spark):
+    import pytest
+    from roomrate.operators import models as ML
+
+    for kind in ("gbt", "rf"):
+        with pytest.raises(Exception, match="(?i)empty|size 0"):
+            ML.fit_regression(_price_rows(spark).where("id < 0"), ["a", "b"], "y", kind, maxIter=2, numTrees=2)
